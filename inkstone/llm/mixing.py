@@ -163,3 +163,18 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
         out = out.unionByName(x)
     copies = F.col("whole") + F.col("more")
     return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def taken(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs, with all their columns, each as many times as the mix takes it.
+
+    Rows with one doc_id are taken as often as each other if their copies can't be told apart: the copies
+    of a doc_id are summed and dealt out to its rows in turn.
+    """
+    of = mixed(docs, share, most).groupBy(F.col("doc_id").alias("_of")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    of = keep(of.filter("_sum > 0"), "mix-copies")
+    both = docs.join(of, docs.doc_id.eqNullSafe(of._of))
+    turn = F.row_number().over(Window.partitionBy("_of").orderBy("source", "text"))
+    single = both.filter("_rows = 1").withColumn("_n", F.col("_sum"))
+    several = both.filter("_rows > 1").withColumn("_turn", turn).withColumn("_n", F.expr("_sum div _rows + int(_turn <= _sum % _rows)")).drop("_turn")
+    return single.unionByName(several).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import backoff, ledger, llr, mixing, sharding, simhash, spaced, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -21,6 +25,58 @@ def op3_pivotal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_vector_bin_packing, op3_pivotal_mixture)}
+def op5_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(table(spark, sf_dir, "documents"))
+
+
+def op9_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return llr.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_arc_to_warc": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest from p),
+        f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+        from f""",
+    "op8_stupid_backoff": """
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+        t as (select doc_id, unnest(ws) as w, unnest(list_prepend(null, ws[:-2])) as v, unnest(range(len(ws))) as i from w),
+        c1 as (select w, count(*) as n from t group by w),
+        c2 as (select v, w, count(*) as n from t where i > 0 group by v, w having count(*) >= 2),
+        total as (select count(*) as n from t),
+        s as (select t.doc_id, c2.n is not null as full_,
+                     case when c2.n is not null then floor(ln(c2.n) * 1e6 + 0.5) - floor(ln(cv.n) * 1e6 + 0.5)
+                          else floor(ln(cw.n) * 1e6 + 0.5) - floor(ln(total.n) * 1e6 + 0.5)
+                               + case when t.i = 0 then 0 else floor(ln(0.4::double) * 1e6 + 0.5) end end as micro
+              from t cross join total join c1 cw on cw.w = t.w left join c1 cv on cv.w = t.v
+              left join c2 on c2.v = t.v and c2.w = t.w and t.i > 0),
+        g as (select doc_id, count(*) as n_words, count(*) filter (where full_) as n_bigrams, sum(micro) as micro from s group by doc_id)
+        select d.doc_id, coalesce(g.n_words, 0) as n_words, coalesce(g.n_bigrams, 0) as n_bigrams,
+               g.micro / (g.n_words * 1e6) as score
+        from documents d left join g on g.doc_id = d.doc_id""",
+}
