@@ -106,7 +106,8 @@ def findings(at: DataFrame, ledger: DataFrame) -> DataFrame:
     by_blob = ledger.groupBy("blob").agg(hits.alias("found"))
     by_blob = by_blob.select("blob", F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), kind(x).alias("kind"), x["end"].alias("end")))).alias("found"))
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of_kind = lambda k: F.filter("found", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
     digest = F.sha2(listed(F.filter("found", lambda x: x["kind"].isin(list(BASE)))).cast("binary"), 256)
     table = keep(by_blob.select(F.col("blob").alias("of"), *counts, digest.alias("base_sha256"), listed(F.col("found")).alias("spans")), "findings")
     return at.join(table, at.blob == table.of).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

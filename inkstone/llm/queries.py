@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, ledger, llr, mixing, sharding, simhash, spaced, toxic, warc
+from . import backoff, ledger, llr, mixing, sharding, simhash, spaced, suffixes, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_pivotal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger)
+    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger)
 }
 
 ORACLES: dict[str, str] = {
