@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import hash_of, mix, slices
+from .packing import ROWS, by_part, pack, rows, unpack
 from .scratch import keep
 
 LEAST, ALPHA, MILLION = 2, 0.4, 1e6
@@ -32,43 +32,10 @@ PARTITION, HOT = 2 << 20, 16
 #: Text bytes whose bigrams are packed together.
 PACK_BYTES = 24 << 20
 
-_PACKED = "part int, kind int, blob binary"
-
-
 def _micro(x) -> np.ndarray:
     return np.floor(np.log(x) * MILLION + 0.5).astype(np.int64)
 
 
-def _six(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-
-
-def _unsix(raw: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = raw[: 6 * n].reshape(6, n).T
-    return out.view("<u8").ravel()
-
-
-def _pack(*fields: tuple[str, np.ndarray]) -> bytes:
-    """Arrays as (kind, values), kind 6: 48-bit numbers by byte planes, else a numpy type."""
-    out = [np.array([len(v) for _, v in fields], "<i8").tobytes()]
-    for kind, v in fields:
-        out.append(_six(v) if kind == "6" else np.ascontiguousarray(v.astype(kind)).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    sizes = raw[: 8 * len(kinds)].view("<i8").tolist()
-    at, out = 8 * len(kinds), []
-    for kind, n in zip(kinds, sizes, strict=True):
-        width = 6 if kind == "6" else np.dtype(kind).itemsize
-        part = raw[at : at + n * width]
-        out.append(_unsix(part, n) if kind == "6" else np.frombuffer(part.tobytes(), kind))
-        at += n * width
-    return out
-
-
 def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Index of the first document, word hashes and word offsets of runs of documents."""
     for texts in slices(column):
@@ -81,16 +48,6 @@ def _part(words: np.ndarray, parts: int) -> np.ndarray:
     return ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
 
-def _by_part(to: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    cuts = np.searchsorted(to, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        yield p, slice(cuts[p], cuts[p + 1])
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
-
-
 def _singles(parts: int):
     """Distinct words of runs of documents with their counts, by partition."""
 
@@ -103,7 +60,7 @@ def _singles(parts: int):
             to = _part(words, parts)
             order = np.argsort(to, kind="stable")
             words, counts, to = words[order], counts[order], to[order]
-            return _rows([(p, 0, _pack(("6", words[s]), ("<i8", counts[s]))) for p, s in _by_part(to, parts)])
+            return rows([(p, 0, pack(("p6", words[s]), ("<i8", counts[s]))) for p, s in by_part(to, parts)])
 
         for batch in batches:
             for _, words, _ in _words(batch.column("text")):
@@ -119,17 +76,17 @@ def _singles(parts: int):
 
 def _table(group: pa.Table) -> pa.Table:
     """The count table of one partition."""
-    got = [_unpack(x.as_py(), "6", "<i8") for x in group.column("blob")]
+    got = [unpack(x.as_py(), "p6", "<i8") for x in group.column("blob")]
     words, at = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
     counts = np.bincount(at, np.concatenate([c for _, c in got])).astype(np.int64)
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "kind": pa.array([0], pa.int32()), "blob": pa.array([_pack(("6", words), ("<i8", counts))], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64())})
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "kind": pa.array([0], pa.int32()), "blob": pa.array([pack(("p6", words), ("<i8", counts))], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64())})
 
 
 def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob"):
-                words, counts = _unpack(blob.as_py(), "6", "<i8")
+                words, counts = unpack(blob.as_py(), "p6", "<i8")
                 at = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array(words[at].astype(np.int64)), pa.array(counts[at])], ["word", "n"])
 
@@ -153,13 +110,13 @@ def _bigrams(parts: int, hot: np.ndarray):
                 to[spread] = _part(mix(first[spread] + second[spread] * np.uint64(3)) & _MASK, parts)
             order = np.lexsort((second, to))
             second, first, doc, to = second[order], first[order], doc[order], to[order]
-            rows = []
-            for p, s in _by_part(to, parts):
+            out = []
+            for p, s in by_part(to, parts):
                 new = np.concatenate(([True], second[s][1:] != second[s][:-1]))
                 own, local = np.unique(doc[s], return_inverse=True)
                 at = np.flatnonzero(new)
-                rows.append((p, 1, _pack(("6", second[s][at]), ("<i4", np.diff(np.append(at, len(new)))), ("6", first[s]), ("<i8", key[own]), ("<u2" if len(own) <= 65536 else "<u4", local), ("<i1", np.array([2 if len(own) <= 65536 else 4])))))
-            return _rows(rows)
+                out.append((p, 1, pack(("p6", second[s][at]), ("<i4", np.diff(np.append(at, len(new)))), ("p6", first[s]), ("<i8", key[own]), ("p3", local))))
+            return rows(out)
 
         size = n = 0
         for batch in batches:
@@ -202,9 +159,7 @@ def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         second, first, key, doc, base = [], [], [], [], 0
         for x in group.column("blob"):
-            blob = x.as_py()
-            *_, width = _unpack_bigrams(blob)
-            w, runs, v, k, d = _unpack_bigrams(blob)[:5]
+            w, runs, v, k, d = unpack(x.as_py(), "p6", "<i4", "p6", "<i8", "p3")
             second.append(np.repeat(w, runs))
             first.append(v)
             key.append(k)
@@ -228,42 +183,30 @@ def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
         to = _part(first[ask], parts)
         order = np.lexsort((first[ask], to))
         ask, to = ask[order], to[order]
-        rows = []
-        for p, s in _by_part(to, parts):
+        found = []
+        for p, s in by_part(to, parts):
             docs, local = np.unique(key[doc[ask[s]]], return_inverse=True)
             words = first[ask[s]]
             at = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-            rows.append((p, _pack(("6", words[at]), ("<i4", np.diff(np.append(at, len(words)))), ("<i8", docs), ("<i4", local))))
-        null = pa.nulls(len(rows), pa.int64())
-        asked = pa.table([null, null, null, null, pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_SCORED_ARROW)
+            found.append((p, pack(("p6", words[at]), ("<i4", np.diff(np.append(at, len(words)))), ("<i8", docs), ("<i4", local))))
+        null = pa.nulls(len(found), pa.int64())
+        asked = pa.table([null, null, null, null, pa.array([r[0] for r in found], pa.int32()), pa.array([1] * len(found), pa.int32()), pa.array([r[1] for r in found], pa.binary())], schema=_SCORED_ARROW)
         return pa.concat_tables([scores, asked])
 
     return run
 
 
-def _unpack_bigrams(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    kind = "<u2" if raw[-1] == 2 else "<u4"
-    sizes = np.frombuffer(raw[:48], "<i8").tolist()
-    at, out = 48, []
-    for k, n in zip(("6", "<i4", "6", "<i8", kind, "<i1"), sizes, strict=True):
-        width = 6 if k == "6" else np.dtype(k).itemsize
-        out.append(_unsix(np.frombuffer(raw, np.uint8, n * 6, at), n) if k == "6" else np.frombuffer(raw, k, n, at))
-        at += n * width
-    return out
-
-
 def _answer(group: pa.Table) -> pa.Table:
     """What documents lose for c(v), from the count table of a partition and what was asked of it."""
     kinds = group.column("kind").to_pylist()
     key, micro, table = [], [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for kind, blob in zip(kinds, group.column("blob"), strict=True):
         if kind == 0:
-            table = _unpack(blob.as_py(), "6", "<i8")
+            table = unpack(blob.as_py(), "p6", "<i8")
     lost = _micro(table[1])
     for kind, blob in zip(kinds, group.column("blob"), strict=True):
         if kind == 1:
-            words, runs, docs, local = _unpack(blob.as_py(), "6", "<i4", "<i8", "<i4")
+            words, runs, docs, local = unpack(blob.as_py(), "p6", "<i4", "<i8", "<i4")
             own, m = _sums(docs, local, -np.repeat(lost[np.searchsorted(table[0], words)], runs))
             key.append(own)
             micro.append(m)
@@ -287,13 +230,13 @@ def scores(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(24, -(-size // (6 * PARTITION)))
-    singles = keyed.select("text").mapInArrow(_singles(parts), _PACKED)
-    table = keep(singles.groupBy("part").applyInArrow(_table, f"{_PACKED}, total long"), "lm-words")
+    singles = keyed.select("text").mapInArrow(_singles(parts), ROWS)
+    table = keep(singles.groupBy("part").applyInArrow(_table, f"{ROWS}, total long"), "lm-words")
     total = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     least = max(2, -(-total // (parts * HOT)))
     frequent = table.select("blob").mapInArrow(_frequent(least), "word long, n long").orderBy("word").collect()  # at most parts * HOT rows
     hot, hot_counts = np.array([r["word"] for r in frequent], np.uint64), np.array([r["n"] for r in frequent], np.int64)
-    packed = keyed.select("text", "key").mapInArrow(_bigrams(parts, hot), _PACKED)
+    packed = keyed.select("text", "key").mapInArrow(_bigrams(parts, hot), ROWS)
     scored = keep(packed.groupBy("part").applyInArrow(_score(parts, max(1, total), hot, hot_counts), _SCORED), "lm-scores")
     asked = scored.filter("kind = 1").select("part", "kind", "blob").union(table.select("part", "kind", "blob"))
     answers = asked.groupBy("part").applyInArrow(_answer, "key long, micro long, words long, bigrams long")
