@@ -29,8 +29,10 @@ LEAST, ALPHA, MILLION = 2, 0.4, 1e6
 _MASK = np.uint64((1 << 48) - 1)
 #: Bigrams in a partition, about, and the part of it from which on a word is hot.
 PARTITION, HOT = 2 << 20, 16
+#: Partitions at least.
+LEAST_PARTS = 64
 #: Text bytes whose bigrams are packed together.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 10 << 20
 
 def _micro(x) -> np.ndarray:
     return np.floor(np.log(x) * MILLION + 0.5).astype(np.int64)
@@ -60,7 +62,7 @@ def _singles(parts: int):
             to = _part(words, parts)
             order = np.argsort(to, kind="stable")
             words, counts, to = words[order], counts[order], to[order]
-            return rows([(p, 0, pack(("p6", words[s]), ("<i8", counts[s]))) for p, s in by_part(to, parts)])
+            return rows([(p, _COUNTS, pack(("p6", words[s]), ("<i8", counts[s]))) for p, s in by_part(to, parts)])
 
         for batch in batches:
             for _, words, _ in _words(batch.column("text")):
@@ -79,7 +81,7 @@ def _table(group: pa.Table) -> pa.Table:
     got = [unpack(x.as_py(), "p6", "<i8") for x in group.column("blob")]
     words, at = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
     counts = np.bincount(at, np.concatenate([c for _, c in got])).astype(np.int64)
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "kind": pa.array([0], pa.int32()), "blob": pa.array([pack(("p6", words), ("<i8", counts))], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64())})
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "kind": pa.array([_COUNTS], pa.int32()), "blob": pa.array([pack(("p6", words), ("<i8", counts))], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64())})
 
 
 def _frequent(least: int):
@@ -115,7 +117,7 @@ def _bigrams(parts: int, hot: np.ndarray):
                 new = np.concatenate(([True], second[s][1:] != second[s][:-1]))
                 own, local = np.unique(doc[s], return_inverse=True)
                 at = np.flatnonzero(new)
-                out.append((p, 1, pack(("p6", second[s][at]), ("<i4", np.diff(np.append(at, len(new)))), ("p6", first[s]), ("<i8", key[own]), ("p3", local))))
+                out.append((p, _BIGRAMS, pack(("p6", second[s][at]), ("<i4", np.diff(np.append(at, len(new)))), ("p6", first[s]), ("<i8", key[own]), ("p3", local))))
             return rows(out)
 
         size = n = 0
@@ -138,8 +140,9 @@ def _bigrams(parts: int, hot: np.ndarray):
     return run
 
 
-_SCORED = "key long, micro long, words long, bigrams long, part int, kind int, blob binary"
-_SCORED_ARROW = pa.schema([("key", pa.int64()), ("micro", pa.int64()), ("words", pa.int64()), ("bigrams", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+#: Kinds of packed rows: count table, bigrams, what is asked of a count table, sums by document.
+_COUNTS, _BIGRAMS, _ASKED, _SUMS = range(4)
+_SUM_KINDS = ("p8", "p8", "<u4", "<u4")
 
 
 def _sums(key: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -147,6 +150,14 @@ def _sums(key: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> list[np.ndar
     return [own, *(np.bincount(at[doc], v, len(own)).astype(np.int64) for v in values)]
 
 
+def _packed_sums(own: np.ndarray, micro: np.ndarray, words: np.ndarray, kept: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Sums by document (own, ascending) as packed rows of the documents' partitions."""
+    to = _part(mix(own.view(np.uint64)), parts)
+    order = np.argsort(to, kind="stable")
+    own, micro, words, kept, to = own[order], micro[order], words[order], kept[order], to[order]
+    return [(p, _SUMS, pack(("p8", own[s].view(np.uint64)), ("p8", micro[s].view(np.uint64)), ("<u4", words[s]), ("<u4", kept[s]))) for p, s in by_part(to, parts)]
+
+
 def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
     """Count the words and bigrams of one partition and score its bigrams, all but for c(v) of words that are not hot."""
 
@@ -177,46 +188,46 @@ def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
         micro = np.where(full, _micro(pair), _micro(single) - int(_micro(float(total))) + np.where(begins, 0, int(_micro(ALPHA))))
         first_hot, n = known(first)
         micro = micro - np.where(full & first_hot, _micro(np.maximum(n, 1)), 0)
-        own, micro, words, kept = _sums(key, doc, micro, np.ones(len(doc)), full)
-        scores = pa.table([own, micro, words, kept, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], schema=_SCORED_ARROW)
+        out = _packed_sums(*_sums(key, doc, micro, np.ones(len(doc)), full), parts)
         ask = np.flatnonzero(full & ~first_hot)
         to = _part(first[ask], parts)
         order = np.lexsort((first[ask], to))
         ask, to = ask[order], to[order]
-        found = []
         for p, s in by_part(to, parts):
             docs, local = np.unique(key[doc[ask[s]]], return_inverse=True)
             words = first[ask[s]]
             at = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-            found.append((p, pack(("p6", words[at]), ("<i4", np.diff(np.append(at, len(words)))), ("<i8", docs), ("<i4", local))))
-        null = pa.nulls(len(found), pa.int64())
-        asked = pa.table([null, null, null, null, pa.array([r[0] for r in found], pa.int32()), pa.array([1] * len(found), pa.int32()), pa.array([r[1] for r in found], pa.binary())], schema=_SCORED_ARROW)
-        return pa.concat_tables([scores, asked])
+            out.append((p, _ASKED, pack(("p6", words[at]), ("<i4", np.diff(np.append(at, len(words)))), ("<i8", docs), ("<i4", local))))
+        return pa.Table.from_batches([rows(out)])
 
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table:
+def _answer(parts: int):
     """What documents lose for c(v), from the count table of a partition and what was asked of it."""
-    kinds = group.column("kind").to_pylist()
-    key, micro, table = [], [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for kind, blob in zip(kinds, group.column("blob"), strict=True):
-        if kind == 0:
-            table = unpack(blob.as_py(), "p6", "<i8")
-    lost = _micro(table[1])
-    for kind, blob in zip(kinds, group.column("blob"), strict=True):
-        if kind == 1:
-            words, runs, docs, local = unpack(blob.as_py(), "p6", "<i4", "<i8", "<i4")
-            own, m = _sums(docs, local, -np.repeat(lost[np.searchsorted(table[0], words)], runs))
-            key.append(own)
-            micro.append(m)
-    own = np.concatenate([np.zeros(0, np.int64), *key])
-    if len(own):
-        own, m = _sums(own, np.arange(len(own)), np.concatenate(micro))
-    else:
-        m = own
-    zero = np.zeros(len(own), np.int64)
-    return pa.table({"key": own, "micro": m, "words": zero, "bigrams": zero})
+
+    def run(group: pa.Table) -> pa.Table:
+        kinds, blobs = group.column("kind").to_pylist(), [x.as_py() for x in group.column("blob")]
+        table = next((unpack(b, "p6", "<i8") for k, b in zip(kinds, blobs, strict=True) if k == _COUNTS), None)
+        asked = [unpack(b, "p6", "<i4", "<i8", "<i4") for k, b in zip(kinds, blobs, strict=True) if k == _ASKED]
+        if not asked:
+            return pa.Table.from_batches([rows([])])
+        lost = _micro(table[1])
+        sums = [_sums(docs, local, -np.repeat(lost[np.searchsorted(table[0], words)], runs)) for words, runs, docs, local in asked]
+        own = np.concatenate([k for k, _ in sums])
+        own, micro = _sums(own, np.arange(len(own)), np.concatenate([m for _, m in sums]))
+        zero = np.zeros(len(own), np.int64)
+        return pa.Table.from_batches([rows(_packed_sums(own, micro, zero, zero, parts))])
+
+    return run
+
+
+def _total(group: pa.Table) -> pa.Table:
+    """The sums of a partition's documents."""
+    got = [unpack(x.as_py(), *_SUM_KINDS) for x in group.column("blob")]
+    own, micro, words, kept = (np.concatenate([x[k] for x in got]) for k in range(4))
+    own, micro, words, kept = _sums(own.view(np.int64), np.arange(len(own)), micro.view(np.int64), words, kept)
+    return pa.table({"key": own, "micro": micro, "words": words, "bigrams": kept})
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -229,7 +240,7 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(24, -(-size // (6 * PARTITION)))
+    parts = max(LEAST_PARTS, -(-size // (6 * PARTITION)))
     singles = keyed.select("text").mapInArrow(_singles(parts), ROWS)
     table = keep(singles.groupBy("part").applyInArrow(_table, f"{ROWS}, total long"), "lm-words")
     total = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
@@ -237,13 +248,12 @@ def scores(docs: DataFrame) -> DataFrame:
     frequent = table.select("blob").mapInArrow(_frequent(least), "word long, n long").orderBy("word").collect()  # at most parts * HOT rows
     hot, hot_counts = np.array([r["word"] for r in frequent], np.uint64), np.array([r["n"] for r in frequent], np.int64)
     packed = keyed.select("text", "key").mapInArrow(_bigrams(parts, hot), ROWS)
-    scored = keep(packed.groupBy("part").applyInArrow(_score(parts, max(1, total), hot, hot_counts), _SCORED), "lm-scores")
-    asked = scored.filter("kind = 1").select("part", "kind", "blob").union(table.select("part", "kind", "blob"))
-    answers = asked.groupBy("part").applyInArrow(_answer, "key long, micro long, words long, bigrams long")
-    names = ["key", "micro", "words", "bigrams"]
-    sums = scored.filter("kind is null").select(*names).union(answers).groupBy("key").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    scored = keep(packed.groupBy("part").applyInArrow(_score(parts, max(1, total), hot, hot_counts), ROWS), "lm-scores")
+    asked = scored.filter(F.col("kind") == _ASKED).union(table.select("part", "kind", "blob"))
+    answers = asked.groupBy("part").applyInArrow(_answer(parts), ROWS)
+    sums = scored.filter(F.col("kind") == _SUMS).union(answers).groupBy("part").applyInArrow(_total, "key long, micro long, words long, bigrams long")
     each = keep(sums.withColumnRenamed("key", "of"), "lm-sums")
-    rows = keep(keyed.groupBy("doc_id", "key").agg(F.count("*").alias("copies")), "lm-rows")
+    each_row = keep(keyed.groupBy("doc_id", "key").agg(F.count("*").alias("copies")), "lm-rows")
     n = lambda c: F.expr(f"cast(coalesce({c}, 0) div copies as long)")
-    out = rows.join(each, rows.key == each.of, "left").select("doc_id", n("words").alias("n_words"), n("bigrams").alias("n_bigrams"), (F.col("micro") / (F.col("words") * MILLION)).alias("score"), "copies")
+    out = each_row.join(each, each_row.key == each.of, "left").select("doc_id", n("words").alias("n_words"), n("bigrams").alias("n_bigrams"), (F.col("micro") / (F.col("words") * MILLION)).alias("score"), "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
