@@ -17,22 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import hash_of, mix, slices
-from .packing import ROWS, by_part, pack, rows, unpack
+from .packing import ROWS, SCHEMA, by_part, pack, rows, unpack
 from .scratch import keep
 
 LEAST, ALPHA, MILLION = 2, 0.4, 1e6
 #: Word hashes have 48 bits; 0 stands for the start of a document.
 _MASK = np.uint64((1 << 48) - 1)
 #: Bigrams in a partition, about, and the part of it from which on a word is hot.
-PARTITION, HOT = 2 << 20, 16
+PARTITION, HOT = 3 << 19, 16
 #: Partitions at least.
-LEAST_PARTS = 64
+LEAST_PARTS = 96
 #: Text bytes whose bigrams are packed together.
-PACK_BYTES = 10 << 20
+PACK_BYTES = 8 << 20
 
 def _micro(x) -> np.ndarray:
     return np.floor(np.log(x) * MILLION + 0.5).astype(np.int64)
@@ -67,7 +68,7 @@ def _singles(parts: int):
         for batch in batches:
             for _, words, _ in _words(batch.column("text")):
                 held.append(np.unique(words, return_counts=True))
-                if sum(len(w) for w, _ in held) > 1 << 21:
+                if sum(len(w) for w, _ in held) > 1 << 20:
                     yield flush()
                     held = []
         if held and sum(len(w) for w, _ in held):
@@ -95,56 +96,74 @@ def _frequent(least: int):
     return run
 
 
+#: Kinds of packed rows: count table, bigrams, what is asked of a count table, sums by document, documents.
+_COUNTS, _BIGRAMS, _ASKED, _SUMS, _ROWS = range(5)
+_SUM_KINDS = ("<i8", "p8", "<u4", "<u4")
+_BIGRAM_KINDS = ("p6", "<i4", "p6", "p3", "<i8", "p3")
+_ASKED_KINDS = ("p6", "<i4", "<i8", "p3")
+#: Documents with neighbouring numbers whose sums go to one partition.
+_NEAR = 10
+
+
+def _doc_part(docs: np.ndarray, parts: int) -> np.ndarray:
+    return _part(mix((docs >> _NEAR).view(np.uint64)), parts)
+
+
 def _bigrams(parts: int, hot: np.ndarray):
-    """The bigrams of runs of documents by the partition of their second word (a hot one: of both words)."""
+    """The bigrams of runs of documents by the partition of their second word (a hot one: of both words), and the documents.
+
+    Documents are numbered by task and place in it, so that the numbers of neighbours differ little.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        keys: list[np.ndarray] = []
+        base = TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:
             second, first, doc = (np.concatenate([x[k] for x in held]) for k in range(3))
-            key = np.concatenate(keys)
+            held.clear()
             to = _part(second, parts)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, second), len(hot) - 1)
                 spread = hot[at] == second
                 to[spread] = _part(mix(first[spread] + second[spread] * np.uint64(3)) & _MASK, parts)
             order = np.lexsort((second, to))
-            second, first, doc, to = second[order], first[order], doc[order], to[order]
-            out = []
+            to = to[order]
+            found = []
             for p, s in by_part(to, parts):
-                new = np.concatenate(([True], second[s][1:] != second[s][:-1]))
-                own, local = np.unique(doc[s], return_inverse=True)
-                at = np.flatnonzero(new)
-                out.append((p, _BIGRAMS, pack(("p6", second[s][at]), ("<i4", np.diff(np.append(at, len(new)))), ("p6", first[s]), ("<i8", key[own]), ("p3", local))))
-            return rows(out)
+                o = order[s]
+                w = second[o]
+                at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                own, local = np.unique(doc[o], return_inverse=True)
+                before, place = np.unique(first[o], return_inverse=True)
+                found.append((p, _BIGRAMS, pack(("p6", w[at]), ("<i4", np.diff(np.append(at, len(w)))), ("p6", before), ("p3", place), ("<i8", np.diff(own, prepend=0)), ("p3", local))))
+            return rows(found)
 
         size = n = 0
         for batch in batches:
-            key = np.asarray(batch.column("key"))
+            ids = batch.column("doc_id")
+            numbers = base + n + np.arange(len(ids))
+            to = _doc_part(numbers, parts)
+            order = np.argsort(to, kind="stable")
+            none = np.asarray(ids.is_null())
+            known = np.asarray(ids.fill_null(0))
+            yield rows([(parts + p, _ROWS, pack(("<i8", numbers[o := order[s]]), ("<i8", known[o]), ("<u1", none[o]))) for p, s in by_part(to[order], parts)])
             for first, words, offs in _words(batch.column("text")):
                 before = np.zeros(len(words), np.uint64)
                 before[1:] = words[:-1]
                 before[offs[:-1][np.diff(offs) > 0]] = 0
-                held.append((words, before, np.repeat(np.arange(n, n + len(offs) - 1), np.diff(offs))))
-                keys.append(key[first : first + len(offs) - 1])
-                n += len(offs) - 1
+                held.append((words, before, np.repeat(numbers[first : first + len(offs) - 1], np.diff(offs))))
                 size += len(words) * 6
                 if size >= PACK_BYTES:
                     yield flush()
-                    held, keys, size, n = [], [], 0, 0
+                    size = 0
+            n += len(ids)
         if size:
             yield flush()
 
     return run
 
 
-#: Kinds of packed rows: count table, bigrams, what is asked of a count table, sums by document.
-_COUNTS, _BIGRAMS, _ASKED, _SUMS = range(4)
-_SUM_KINDS = ("p8", "p8", "<u4", "<u4")
-
-
 def _sums(key: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     own, at = np.unique(key, return_inverse=True)
     return [own, *(np.bincount(at[doc], v, len(own)).astype(np.int64) for v in values)]
@@ -152,10 +171,14 @@ def _sums(key: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> list[np.ndar
 
 def _packed_sums(own: np.ndarray, micro: np.ndarray, words: np.ndarray, kept: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
     """Sums by document (own, ascending) as packed rows of the documents' partitions."""
-    to = _part(mix(own.view(np.uint64)), parts)
+    to = _doc_part(own, parts)
     order = np.argsort(to, kind="stable")
     own, micro, words, kept, to = own[order], micro[order], words[order], kept[order], to[order]
-    return [(p, _SUMS, pack(("p8", own[s].view(np.uint64)), ("p8", micro[s].view(np.uint64)), ("<u4", words[s]), ("<u4", kept[s]))) for p, s in by_part(to, parts)]
+    return [(p, _SUMS, pack(("<i8", np.diff(own[s], prepend=0)), ("p8", micro[s].view(np.uint64)), ("<u4", words[s]), ("<u4", kept[s]))) for p, s in by_part(to, parts)]
+
+
+def _moved(group: pa.Table, parts: int) -> pa.Table:
+    return pa.table([pa.array([p - parts for p in group.column("part").to_pylist()], pa.int32()), group.column("kind"), group.column("blob")], schema=SCHEMA)
 
 
 def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
@@ -168,15 +191,15 @@ def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
         return hot[at] == words, hot_counts[at]
 
     def run(group: pa.Table) -> pa.Table:
-        second, first, key, doc, base = [], [], [], [], 0
-        for x in group.column("blob"):
-            w, runs, v, k, d = unpack(x.as_py(), "p6", "<i4", "p6", "<i8", "p3")
-            second.append(np.repeat(w, runs))
-            first.append(v)
-            key.append(k)
-            doc.append(d.astype(np.int64) + base)
-            base += len(k)
-        second, first, key, doc = map(np.concatenate, (second, first, key, doc))
+        if group.column("part")[0].as_py() >= parts:
+            return _moved(group, parts)
+        got = [unpack(x.as_py(), *_BIGRAM_KINDS) for x in group.column("blob")]
+        second = np.concatenate([np.repeat(x[0], x[1]) for x in got])
+        first = np.concatenate([x[2][x[3].astype(np.int64)] for x in got])
+        base = np.cumsum([0, *(len(x[4]) for x in got)])
+        key = np.concatenate([np.cumsum(x[4]) for x in got])
+        doc = np.concatenate([x[5].astype(np.int64) + b for x, b in zip(got, base, strict=False)])
+        del got
         _, at, n = np.unique(mix(first * np.uint64(0x9E3779B97F4A7C15) ^ (second << np.uint64(16))), return_inverse=True, return_counts=True)
         pair = n[at]
         _, at, n = np.unique(second, return_inverse=True, return_counts=True)
@@ -197,7 +220,7 @@ def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
             docs, local = np.unique(key[doc[ask[s]]], return_inverse=True)
             words = first[ask[s]]
             at = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-            out.append((p, _ASKED, pack(("p6", words[at]), ("<i4", np.diff(np.append(at, len(words)))), ("<i8", docs), ("<i4", local))))
+            out.append((p, _ASKED, pack(("p6", words[at]), ("<i4", np.diff(np.append(at, len(words)))), ("<i8", np.diff(docs, prepend=0)), ("p3", local))))
         return pa.Table.from_batches([rows(out)])
 
     return run
@@ -209,11 +232,11 @@ def _answer(parts: int):
     def run(group: pa.Table) -> pa.Table:
         kinds, blobs = group.column("kind").to_pylist(), [x.as_py() for x in group.column("blob")]
         table = next((unpack(b, "p6", "<i8") for k, b in zip(kinds, blobs, strict=True) if k == _COUNTS), None)
-        asked = [unpack(b, "p6", "<i4", "<i8", "<i4") for k, b in zip(kinds, blobs, strict=True) if k == _ASKED]
+        asked = [unpack(b, *_ASKED_KINDS) for k, b in zip(kinds, blobs, strict=True) if k == _ASKED]
         if not asked:
             return pa.Table.from_batches([rows([])])
         lost = _micro(table[1])
-        sums = [_sums(docs, local, -np.repeat(lost[np.searchsorted(table[0], words)], runs)) for words, runs, docs, local in asked]
+        sums = [_sums(np.cumsum(docs), local.astype(np.int64), -np.repeat(lost[np.searchsorted(table[0], words)], runs)) for words, runs, docs, local in asked]
         own = np.concatenate([k for k, _ in sums])
         own, micro = _sums(own, np.arange(len(own)), np.concatenate([m for _, m in sums]))
         zero = np.zeros(len(own), np.int64)
@@ -222,12 +245,22 @@ def _answer(parts: int):
     return run
 
 
+_OUT = "doc_id long, n_words long, n_bigrams long, score double"
+
+
 def _total(group: pa.Table) -> pa.Table:
-    """The sums of a partition's documents."""
-    got = [unpack(x.as_py(), *_SUM_KINDS) for x in group.column("blob")]
-    own, micro, words, kept = (np.concatenate([x[k] for x in got]) for k in range(4))
-    own, micro, words, kept = _sums(own.view(np.int64), np.arange(len(own)), micro.view(np.int64), words, kept)
-    return pa.table({"key": own, "micro": micro, "words": words, "bigrams": kept})
+    """The documents of a partition with their sums."""
+    kinds, blobs = group.column("kind").to_pylist(), [x.as_py() for x in group.column("blob")]
+    docs = [unpack(b, "<i8", "<i8", "<u1") for k, b in zip(kinds, blobs, strict=True) if k == _ROWS]
+    got = [unpack(b, *_SUM_KINDS) for k, b in zip(kinds, blobs, strict=True) if k == _SUMS]
+    number, ids, none = (np.concatenate([x[k] for x in docs]) for k in range(3))
+    order = np.argsort(number)
+    number, ids, none = number[order], ids[order], none[order].astype(bool)
+    at = np.searchsorted(number, np.concatenate([np.zeros(0, np.int64), *(np.cumsum(x[0]) for x in got)]))
+    micro = np.bincount(at, np.concatenate([np.zeros(0), *(x[1].view(np.int64) for x in got)]), len(number))
+    words, kept = (np.bincount(at, np.concatenate([np.zeros(0), *(x[k] for x in got)]), len(number)).astype(np.int64) for k in (2, 3))
+    score = pa.array(micro / np.maximum(words * MILLION, 1), mask=words == 0)
+    return pa.table({"doc_id": pa.array(ids, mask=none), "n_words": words, "n_bigrams": kept, "score": score})
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -237,23 +270,17 @@ def scores(docs: DataFrame) -> DataFrame:
     or empty text has no words and a null score; repeated rows count each time in the model and get equal scores;
     no rows give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-size // (6 * PARTITION)))
-    singles = keyed.select("text").mapInArrow(_singles(parts), ROWS)
+    singles = text.select("text").mapInArrow(_singles(parts), ROWS)
     table = keep(singles.groupBy("part").applyInArrow(_table, f"{ROWS}, total long"), "lm-words")
     total = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     least = max(2, -(-total // (parts * HOT)))
     frequent = table.select("blob").mapInArrow(_frequent(least), "word long, n long").orderBy("word").collect()  # at most parts * HOT rows
     hot, hot_counts = np.array([r["word"] for r in frequent], np.uint64), np.array([r["n"] for r in frequent], np.int64)
-    packed = keyed.select("text", "key").mapInArrow(_bigrams(parts, hot), ROWS)
+    packed = text.mapInArrow(_bigrams(parts, hot), ROWS)
     scored = keep(packed.groupBy("part").applyInArrow(_score(parts, max(1, total), hot, hot_counts), ROWS), "lm-scores")
     asked = scored.filter(F.col("kind") == _ASKED).union(table.select("part", "kind", "blob"))
     answers = asked.groupBy("part").applyInArrow(_answer(parts), ROWS)
-    sums = scored.filter(F.col("kind") == _SUMS).union(answers).groupBy("part").applyInArrow(_total, "key long, micro long, words long, bigrams long")
-    each = keep(sums.withColumnRenamed("key", "of"), "lm-sums")
-    each_row = keep(keyed.groupBy("doc_id", "key").agg(F.count("*").alias("copies")), "lm-rows")
-    n = lambda c: F.expr(f"cast(coalesce({c}, 0) div copies as long)")
-    out = each_row.join(each, each_row.key == each.of, "left").select("doc_id", n("words").alias("n_words"), n("bigrams").alias("n_bigrams"), (F.col("micro") / (F.col("words") * MILLION)).alias("score"), "copies")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
+    return scored.filter(F.col("kind").isin(_SUMS, _ROWS)).union(answers).groupBy("part").applyInArrow(_total, _OUT)
