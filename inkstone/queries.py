@@ -55,6 +55,14 @@ def split_stats(spark: SparkSession, d: str) -> DataFrame:
     return C.stats(D.split(inputs.markdown(spark, d), SIZES))
 
 
+@query
+def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without tables and with room enough: a chunk for each section."""
+    docs = inputs.markdown(spark, d).withColumn("md_content", F.replace("md_content", F.lit("|"), F.lit("/")))
+    out = D.split(docs, SplitConfig(1_000_000, 1, 0))
+    return out.select("doc_id", _n("chunk_index"), "title", "parent_title", F.array_join("heading_path", " > ").alias("heading_path"), "body", "content", _n("char_count"))
+
+
 @query
 def chunk_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Per document: chunks whose index isn't dense, whose count of characters is wrong, or that mix first headings. All are 0."""
@@ -113,7 +121,7 @@ def validate_md_path(spark: SparkSession, d: str) -> DataFrame:
 def _state(spark: SparkSession, d: str) -> DataFrame:
     files = inputs.files(spark, d)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    content = F.expr("case doc_id % 9 when 0 then null when 1 then '' when 2 then chr(65279) || 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c' else text end")
+    content = F.expr("case doc_id % 9 when 0 then null when 1 then '' when 2 then '\ufeff' || 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c' else text end")
     return docs.join(files, "doc_id").select(
         "doc_id",
         content.alias("md_content"),
