@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..plans import splitter
@@ -26,7 +27,7 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), T.strip), lambda s: s != "")
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(K.ArrayType(K.StringType()))
 def recursive_split(text: pa.Array, size: pa.Array) -> pa.Array:
     """Pieces of at most size characters, cut at the coarsest separator that occurs."""
     pairs = zip(text.to_pylist(), size.to_pylist(), strict=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..plans import tables as plain
@@ -115,10 +116,10 @@ def replaced(raw: Column, text: Column) -> Column:
     return F.coalesce(F.concat(F.lit(plain.OPEN + "\n"), F.nullif(text, F.lit("")), F.lit("\n" + plain.CLOSE)), raw)
 
 
-_GRID = "grid array<array<string>>, header boolean"
+_GRID = K.StructType([K.StructField("grid", K.ArrayType(K.ArrayType(K.StringType()))), K.StructField("header", K.BooleanType())])
 
 
-@F.arrow_udf(f"struct<{_GRID}>")
+@F.arrow_udf(_GRID)
 def html_grid(raw: pa.Array) -> pa.Array:
     """struct<grid, header> of HTML tables; null where one can't be projected."""
     out = []
@@ -131,7 +132,7 @@ def html_grid(raw: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("grid", pa.list_(pa.list_(pa.string()))), ("header", pa.bool_())]))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(K.StringType())
 def linearized(text: pa.Array) -> pa.Array:
     """Texts with the tables outside fences as sentences."""
     return pa.array([None if x is None else plain.linearized(x) for x in text.to_pylist()], pa.string())

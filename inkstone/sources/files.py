@@ -11,7 +11,7 @@ from ..operators.lines import lines
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """md_path, md_content, image_dir of the .md and .markdown files under path; line ends as \\n, a byte-order mark stays."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("md_path"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("md_path"), "value")
     files = files.filter(F.lower(T.suffix(F.col("md_path"))).isin(".md", ".markdown"))
     content = F.regexp_replace("value", r"\r\n?", "\n")
     return files.select("md_path", content.alias("md_content"), F.concat(T.parent(F.col("md_path")), F.lit("/images")).alias("image_dir"))
