@@ -20,7 +20,7 @@ from .batch import LOWER, SPACE, Texts, hash_of, mix, roll, slices
 BUCKETS = 1 << 17
 #: Pieces in which count vectors travel.
 PIECES = 64
-THRESHOLD = -0.05
+THRESHOLD, PRIOR = -0.05, 1.0
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
@@ -96,7 +96,9 @@ def weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     raw, target = counts.reshape(2, BUCKETS).astype(float)
     if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
+    # smoothed by PRIOR counts in the target and as many, at its size, in the raw corpus: buckets that both hardly know tell nothing
+    expected = raw * (target.sum() / raw.sum())
+    return np.log(target + PRIOR) - np.log(expected + PRIOR)
 
 
 def scores(texts: Texts, weight: np.ndarray) -> np.ndarray:

@@ -171,10 +171,15 @@ def taken(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     Rows with one doc_id are taken as often as each other if their copies can't be told apart: the copies
     of a doc_id are summed and dealt out to its rows in turn.
     """
-    of = mixed(docs, share, most).groupBy(F.col("doc_id").alias("_of")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    of = keep(of.filter("_sum > 0"), "mix-copies")
-    both = docs.join(of, docs.doc_id.eqNullSafe(of._of))
-    turn = F.row_number().over(Window.partitionBy("_of").orderBy("source", "text"))
-    single = both.filter("_rows = 1").withColumn("_n", F.col("_sum"))
-    several = both.filter("_rows > 1").withColumn("_turn", turn).withColumn("_n", F.expr("_sum div _rows + int(_turn <= _sum % _rows)")).drop("_turn")
-    return single.unionByName(several).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    of, total, rows, n, turn = (mark + x for x in ("of", "total", "rows", "n", "turn"))
+    copies = mixed(docs, share, most).groupBy(F.col("doc_id").alias(of)).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    copies = keep(copies.filter(F.col(total) > 0), "mix-copies")
+    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(of)))
+    single = both.filter(F.col(rows) == 1).withColumn(n, F.col(total))
+    several = both.filter(F.col(rows) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(of).orderBy("source", "text")))
+    several = several.withColumn(n, F.expr(f"{total} div {rows} + int({turn} <= {total} % {rows})")).drop(turn)
+    every = single.unionByName(several).filter(F.col(n) > 0)
+    return every.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)

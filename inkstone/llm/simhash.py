@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns, one for each component: that of the smallest doc_id (rows without doc_id stay)."""
-    ids = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.filter("doc_id is not null")
-    kept = with_id.join(ids, with_id.doc_id == ids._kept, "left_semi").dropDuplicates(["doc_id"])
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    ids = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = docs.join(ids, F.col("doc_id") == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))
