@@ -119,3 +119,10 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         j = min(j, len(column))
         yield Texts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i)
         i = j
+
+
+def each(column: pa.Array) -> Iterator[Texts]:
+    """The documents one by one."""
+    for texts in slices(column):
+        for i, (a, b) in enumerate(zip(texts.offs, texts.offs[1:], strict=False)):
+            yield Texts(texts.data[a:b], np.array([0, b - a]), texts.first + i)
