@@ -75,7 +75,7 @@ class WarcRecord:
 
 
 def zipped(data: bytes) -> bytes:
-    c = zlib.compressobj(1, zlib.DEFLATED, 31)
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
 
 
