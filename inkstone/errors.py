@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger("inkstone")
+
 
-class ImportError_(Exception):
+class ImportFailure(Exception):
     """Root of all errors of an import: a message, the stage, and what caused it."""
 
     def __init__(self, message: str, stage: str = "", cause: BaseException | None = None):
@@ -18,15 +24,15 @@ class ImportError_(Exception):
         return f"{head}{self.message}" + (f" (原因: {self.cause})" if self.cause else "")
 
 
-class FieldError(ImportError_):
+class FieldError(ImportFailure):
     """A field is missing or unusable."""
 
 
-class ConfigError(ImportError_):
+class ConfigError(ImportFailure):
     """The configuration is invalid; raised on the driver before any job."""
 
 
-class FileError(ImportError_):
+class FileError(ImportFailure):
     """A file can't be read or written."""
 
 
@@ -38,22 +44,22 @@ class ImageError(FileError):
     """An image can't be processed."""
 
 
-class SplitError(ImportError_):
+class SplitError(ImportFailure):
     """A document can't be split."""
 
 
-class StoreError(ImportError_):
+class StoreError(ImportFailure):
     """An object store fails."""
 
 
-class ModelError(ImportError_):
+class ModelError(ImportFailure):
     """A model service fails."""
 
 
 KINDS = {x.__name__: x for x in (FieldError, ConfigError, FileError, PdfError, ImageError, SplitError, StoreError, ModelError)}
 
 
-def flagged(df: DataFrame, stage: str, *checks: tuple[Column, type[ImportError_], str]) -> DataFrame:
+def flagged(df: DataFrame, stage: str, *checks: tuple[Column, type[ImportFailure], str]) -> DataFrame:
     """df with error_class, error_message and stage of the first check that holds (null: none); earlier errors stay."""
     kind, message = F.lit(None).cast("string"), F.lit(None).cast("string")
     for bad, cls, text in reversed(checks):
@@ -73,3 +79,25 @@ def strict(df: DataFrame) -> DataFrame:
     stop = F.raise_error(F.concat_ws(": ", "stage", "error_class", "error_message"))
     checked = df.filter(F.when(F.col("error_class").isNotNull(), stop.cast("boolean")).otherwise(True))
     return checked.drop("error_class", "error_message", "stage")
+
+
+def stage(name: str) -> Callable:
+    """A decorator for functions of a DataFrame: its jobs carry the stage's name, and unclassified errors become failures of the stage."""
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def run(df: DataFrame, *args, **kwargs):
+            log.info("%s: begins", name)
+            df.sparkSession.sparkContext.setJobDescription(name)
+            try:
+                out = f(df, *args, **kwargs)
+            except ImportFailure:
+                raise
+            except Exception as e:
+                raise ImportFailure(str(e), name, e) from e
+            log.info("%s: planned", name)
+            return out
+
+        return run
+
+    return wrap

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ImageConfig, SplitConfig
-from ..errors import SplitError
+from ..errors import SplitError, stage
 from ..functions import text as T
 from ..operators import images as I
 from ..operators.validate import checked_documents
@@ -40,6 +40,7 @@ _ERROR = "error_class string, error_message string"
 _BATCH = 64
 
 
+@stage("split")
 def split(docs: DataFrame, config: SplitConfig | None = None, errors: bool = False) -> DataFrame:
     """The chunks of docs (doc_id, md_content, file_title, md_path), without any shuffle.
 
@@ -66,6 +67,7 @@ def split(docs: DataFrame, config: SplitConfig | None = None, errors: bool = Fal
     return rows.mapInArrow(run, f"{CHUNK}, {_ERROR}" if errors else CHUNK)
 
 
+@stage("images")
 def with_images(docs: DataFrame, files: DataFrame, describe: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], DataFrame], written: Callable[[DataFrame], DataFrame], config: ImageConfig) -> DataFrame:
     """docs with the references to their images (files: doc_id, image_name, path, data_url) described and pointing at the store.
 

@@ -103,3 +103,44 @@ def test_stream_of_documents(spark, tmp_path):
         ingest.chunk_stream(ingest.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     got = {(r.doc_id, r.content) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "content").collect()}
     assert got == {(r.doc_id, r.content) for r in D.split(docs).select("doc_id", F.col("content")).collect()}
+
+
+def test_conversion_service():
+    sent = []
+
+    def send(answer):
+        def post(request, timeout):
+            sent.append((request.full_url, request.data, timeout))
+            return answer
+
+        return post
+
+    assert X.ApiConverter("http://h/", send=send(b'{"results": {"a": {"md_content": "# x"}}}'))("/d/a.PDF", b"bytes") == "# x"
+    assert sent[0][0] == "http://h/file_parse" and b"bytes" in sent[0][1] and b'name="return_md"' in sent[0][1] and sent[0][2] == 3600.0
+    for bad in (b"no json", b"[]", b'{"results": {}}', b'{"results": {"a": {}, "b": {}}}', b'{"results": {"a": {"md_content": 3}}}', b'{"results": {"a": null}}'):
+        with pytest.raises(PdfError):
+            X.ApiConverter(send=send(bad))("a.pdf", b"")
+    with pytest.raises(PdfError):
+        X.ApiConverter(send=send(b"{}"))("a.txt", b"")
+
+
+def test_folder_store(tmp_path):
+    (tmp_path / "p.png").write_bytes(b"x")
+    put = X.FolderStore(str(tmp_path / "s"), "bucket")
+    put("knowledge/d/p.png", str(tmp_path / "p.png"), "image/png")
+    assert (tmp_path / "s/bucket/knowledge/d/p.png").read_bytes() == b"x"
+    with pytest.raises(StoreError):
+        put("k", str(tmp_path / "none"), "t")
+
+
+def test_stages_classify_errors(spark):
+    from inkstone.errors import ImportFailure, stage
+
+    @stage("demo")
+    def fails(df, error):
+        raise error
+
+    with pytest.raises(ImportFailure, match=r"\[demo\] odd"):
+        fails(spark.range(1), ValueError("odd"))
+    with pytest.raises(ConfigError):
+        fails(spark.range(1), ConfigError("bad"))
