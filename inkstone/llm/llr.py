@@ -20,7 +20,7 @@ from .batch import LOWER, SPACE, Texts, hash_of, mix, roll, slices
 BUCKETS = 1 << 17
 #: Pieces in which count vectors travel.
 PIECES = 64
-THRESHOLD, PRIOR = -0.05, 1.0
+THRESHOLD, PRIOR = -0.1, 1.0
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 

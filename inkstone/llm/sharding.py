@@ -5,8 +5,8 @@ the largest dot product with the group's size vector. Groups are the copies of o
 itself sees a bounded list of items at any corpus size:
 
 * a group with more than 1/FINE of a shard in some dimension is a large group (there can be only
-  3 * FINE * shards of them); it is cut into pieces of about that size by a hash of doc_id, so a text
-  that makes up a third of the rows is spread evenly;
+  3 * FINE * shards of them) and an item of its own; one with more than 1/COARSE of a shard is cut into
+  pieces of at most about that size by a hash of doc_id, so a text that makes up a third of the rows is spread evenly;
 * all other groups share CELLS cells by the hash of their text, so copies stay together.
 """
 
@@ -22,19 +22,24 @@ from .scratch import keep
 
 #: Large groups exceed this fraction of a shard.
 FINE = 64
+#: Groups that exceed this fraction of a shard are cut.
+COARSE = 8
 #: Cells for all groups that are not large.
 CELLS = 16384
+#: Weights of bytes, words and rows. Equal bytes are the law, so they count most.
+WEIGHTS = (3.0, 1.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
+def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
     """The shard of each item: largest items first, each where its dot product with the residual capacity is highest.
 
-    vectors has a row per item and a column per dimension. Ties take the lowest shard.
+    vectors has a row per item and a column per dimension; both the items and the capacities are measured in
+    weights of the totals. Ties take the lowest shard.
     """
     total = vectors.sum(0)
-    v = vectors / np.where(total > 0, total, 1)
-    room = np.full((shards, v.shape[1]), 1 / max(1, shards))
+    v = vectors / np.where(total > 0, total, 1) * weights
+    room = np.full((shards, v.shape[1]), 1 / max(1, shards)) * weights
     out = np.zeros(len(v), np.int64)
     for i in np.argsort(-v.max(1), kind="stable") if len(v) else []:
         out[i] = s = int(np.argmax(room @ v[i]))
@@ -72,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     large = groups.withColumn("share", share).filter("share > 1").orderBy(*group).collect()
     pieces, base, at = [], [], CELLS
     for r in large:
-        pieces.append(min(r["n"], math.ceil(r["share"])))
+        pieces.append(min(r["n"], math.ceil(r["share"] * COARSE / FINE)))
         base.append(at)
         at += pieces[-1]
     table = spark.createDataFrame([(r["key"], r["text_crc32"], r["size"], p, b) for r, p, b in zip(large, pieces, base, strict=True)], "key long, text_crc32 long, size long, pieces long, base long")
@@ -81,7 +86,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     placed = rows.join(F.broadcast(table), group, "left").select("doc_id", "size", "text_crc32", "words", item.alias("item"))
     # at most CELLS + 6 * FINE * shards rows: each large group has fewer than share + 1 pieces
     items = placed.groupBy("item").agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count("*").alias("n")).orderBy("item").collect()
-    where = pack(np.array([[r["b"], r["w"], r["n"]] for r in items], float).reshape(len(items), 3), shards)
+    where = pack(np.array([[r["b"], r["w"], r["n"]] for r in items], float).reshape(len(items), 3), shards, WEIGHTS)
     filled, out = [0] * shards, []
     for r, s in zip(items, where.tolist(), strict=True):
         out.append((r["item"], s, filled[s]))
