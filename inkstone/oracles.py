@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import inputs
+from .functions.text import PROMPT
 
 _CASE = inputs.LINE.format(d="doc_id", n="(i - 1)", x="x")
 _EXT = "[" + ", ".join(f"'{e}'" for e in inputs.EXTENSIONS) + "][doc_id % 7 + 1]"
@@ -101,6 +102,9 @@ _SENT = "list_filter(list_transform(regexp_extract_all({0}, '[^。！？；.!?;]
 _TARGETS = """[ 'images/a b.png', '<my img/A.PNG> "t"', 'http://h/x.png', 'dir\\B.jpg ''title''', 'data:image/png;base64,xx', '<broken', './%E5%9B%BE.png?x#y', 'C+D.gif']"""
 _DEST = "['images/a', 'my img/A.PNG', 'http://h/x.png', 'dir\\B.jpg', 'data:image/png;base64,xx', NULL, './%E5%9B%BE.png?x#y', 'C+D.gif'][n_nationkey % 8 + 1]"
 
+_GIVEN = ["'doc' || doc_id", *(f"coalesce(nullif({c}, ''), '未提供')" for c in ("heading", "pre_text", "post_text"))]
+_PROMPT = " || ".join([*(f"'{head}' || {value}" for head, value in zip(PROMPT, _GIVEN, strict=False)), f"'{PROMPT[-1]}'"])
+
 ORACLES: dict[str, str] = {
     "chunk_sections": f"""{_SECTIONS.replace("chr(10)) AS md FROM documents", "chr(10)).replace('|', '/') AS md FROM documents")}
         , r AS (SELECT *, {_strip('title')} || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END AS content FROM sections)
@@ -137,6 +141,16 @@ ORACLES: dict[str, str] = {
     "heading_path": f"{_SECTIONS} SELECT doc_id, section_idx, array_to_string(path, ' > ') AS heading_path, len(path) AS depth FROM sections",
     "parent_title": f"{_SECTIONS} SELECT doc_id, section_idx, parent_title FROM sections",
     "render_section": f"{_SECTIONS} SELECT doc_id, section_idx, {_strip('title')} || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END AS content FROM sections",
+    "blocks": f"""{_SECTIONS},
+        sx AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS section_idx FROM pa),
+        b1 AS (SELECT doc_id, g, line_no, line, opens, CASE WHEN in_fence THEN 'fenced_code' WHEN regexp_matches(line, '^\\s*!\\[[^\\]]*\\]\\([^\\n]+\\)\\s*$') THEN 'image'
+                      WHEN regexp_matches(line, '^\\s*\\[[^\\]]+\\]\\([^\\n]+\\)\\s*$') THEN 'link' ELSE 'text' END AS kind FROM gl WHERE level = 0),
+        b2 AS (SELECT *, CASE WHEN lag(kind) OVER w IS DISTINCT FROM kind OR kind IN ('image', 'link') OR opens THEN 1 ELSE 0 END AS new FROM b1 WINDOW w AS (PARTITION BY doc_id, g ORDER BY line_no)),
+        b3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, g ORDER BY line_no) AS b FROM b2),
+        b4 AS (SELECT doc_id, g, b, min(kind) AS kind, string_agg(line, chr(10) ORDER BY line_no) AS t, b = max(b) OVER (PARTITION BY doc_id, g) AS last FROM b3 GROUP BY doc_id, g, b),
+        b5 AS (SELECT doc_id, g, b, kind, CASE WHEN kind = 'text' THEN trim(t, chr(10)) WHEN last THEN rtrim(t, chr(10)) ELSE t END AS text FROM b4)
+        SELECT doc_id, section_idx, row_number() OVER (PARTITION BY doc_id, section_idx ORDER BY b) - 1 AS block_no, kind, kind <> 'text' AS atomic, text
+        FROM b5 JOIN sx USING (doc_id, g) WHERE kind <> 'text' OR trim(text, ' ' || chr(9) || chr(10)) <> ''""",
     "length_gate": f"""{_SECTIONS}, r AS (SELECT *, len({_strip('title')}) AS t, len({_strip('title')}) + CASE WHEN body = '' THEN 0 ELSE 2 + len(body) END AS n FROM sections)
         SELECT doc_id, section_idx, n AS content_length, n > 300 AS is_long, CASE WHEN n > 300 THEN 300 - t - CASE WHEN {_strip('body')} = '' THEN 0 ELSE 2 END END AS body_budget FROM r""",
     "pipe_tables": f"""{_LINES}, p AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS isle FROM fl WHERE NOT in_fence AND regexp_matches(line, '^[ \\t]*\\|.*\\|[ \\t]*$'))
@@ -208,6 +222,7 @@ ORACLES: dict[str, str] = {
     "rewrite_refs": f"""WITH {_MD} SELECT doc_id, md5(regexp_replace(md, '!\\[([^\\]\\n]*)\\]\\(images/0\\.png\\)', '![\\1](http://store/b/' || doc_id || '/0.PNG)', 'g')) AS digest FROM md""",
     "alt_normalize": f"WITH {_IMAGES} SELECT doc_id, k || '.PNG' AS image_name, CASE WHEN k = 0 THEN '图片描述' ELSE 'seen ' || k || ' in ' || doc_id END AS alt FROM three",
     "summary_normalize": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a view' WHEN 2 THEN 'x ' || doc_id ELSE '图片描述' END AS summary FROM documents",
+    "prompt_build": f"{_CONTEXT} SELECT doc_id, image_key, md5({_PROMPT}) AS digest FROM cx",
     "safe_dir": """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'c_ d' WHEN 1 THEN NULL WHEN 2 THEN n_name || '_x' ELSE '说明' || n_nationkey END AS directory FROM nation""",
     "object_url": "SELECT n_nationkey, 'http://h:9000/b%2Fc/knowledge/' || n_name || '%20%C3%A9~%2A%2B/' || n_nationkey || '.png' AS url FROM nation",
     "data_url": """SELECT n_nationkey, 'data:' || ['image/png', 'image/jpeg', NULL, 'image/webp'][n_nationkey % 4 + 1] || ';base64,' || base64(encode(repeat(n_name, 12))) AS data_url FROM nation""",
