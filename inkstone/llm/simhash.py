@@ -135,7 +135,6 @@ def matches(keys: np.ndarray, bits: np.ndarray, distance: int = DISTANCE) -> tup
         rest = [i for i in range(64) if not lo <= i < hi]
         for part in np.array_split(np.array(rest), PARTS):
             mask = np.uint64(sum(1 << int(i) for i in part))
-            # the part's bits are in one or two runs: a product folds them into a short number without loss only by chance, so the key keeps them whole
             order = np.lexsort((b & mask, k))
             ks, bs = k[order], b[order]
             same = (ks[1:] == ks[:-1]) & (bs[1:] & mask == bs[:-1] & mask)
@@ -188,7 +187,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs with all their columns, one for each component: that of the smallest doc_id (rows without doc_id stay)."""
+    """The rows of docs with all their columns, one for each component: that of the smallest doc_id.
+
+    Of repeated rows with that doc_id one stays; rows without a doc_id all stay; no rows give no rows.
+    """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
