@@ -11,7 +11,7 @@ Only distinct fingerprints are indexed; copies follow their fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -186,14 +186,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(member, rows.bits == member.of).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of docs with all their columns, one for each component: that of the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays; rows without a doc_id all stay; no rows give no rows.
+    groups gives the component_id of every row, by 4 bits of the fingerprint unless another is given. Of repeated rows with that doc_id one stays; rows without a doc_id all stay; no rows give no rows.
     """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
-    ids = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    ids = groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
     kept = docs.join(ids, F.col("doc_id") == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))
