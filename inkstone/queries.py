@@ -344,6 +344,13 @@ def sentence_overlap(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", _n("part_no"), "text")
 
 
+@query
+def sentence_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of every document; the query before, like its SQL, takes the first 12."""
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(C.sentence_overlap(F.split("text", "\n"), F.lit(400), 2)).alias("part_no", "text"))
+    return s.select("doc_id", _n("part_no"), "text")
+
+
 @query
 def merge_short(spark: SparkSession, d: str) -> DataFrame:
     drafts = F.expr("transform(split(text, chr(10)), (x, i) -> named_struct('key', cast(int((doc_id + i) / 9) as string), 'length', length(x)))")
