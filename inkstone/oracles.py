@@ -229,3 +229,7 @@ ORACLES: dict[str, str] = {
     "upload_stats": "SELECT doc_id, 3 AS n_images, 2 AS n_uploaded, 1 AS n_fallback FROM documents",
     "api_result_parse": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '# ' || n_name END AS md_content FROM nation",
 }
+
+# Beside the SQL over cut heading lines, the same over whole texts.
+_WHOLE = inputs.WHOLE_LINE.format(d="doc_id", n="(i - 1)", x="x")
+ORACLES |= {f"{name}_whole": sql.replace(_CASE, _WHOLE) for name, sql in ORACLES.items() if _CASE in sql}

@@ -16,3 +16,30 @@ def test_overlap_reads_all_lines(spark):
     assert max(r.text.count("\n") for r in docs) >= 12
     want = {(r.doc_id, n): t for r in docs for n, t in enumerate(S.overlapped(r.text.split("\n"), 400, 2))}
     assert {(r.doc_id, r.part_no): r.text for r in Q.QUERIES["sentence_overlap_whole"](spark, DATA).collect()} == want
+
+
+def test_markdown_keeps_all_text(spark):
+    """Every character of a document but white space is in its Markdown, in order; so it is in the chunks."""
+    from inkstone import inputs
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(len(x) > 40 for t in docs.values() for x in t.split("\n"))
+    got = {r.doc_id: r.md_content for r in inputs.whole_markdown(spark, DATA).collect()}
+    chunks: dict = {}
+    for r in Q.QUERIES["chunks"](spark, DATA).orderBy("doc_id", "chunk_index").collect():
+        chunks.setdefault(r.doc_id, []).append(r.content)
+    for i, text in docs.items():
+        for n, x in enumerate(text.split("\n")):
+            if (i + 3 * n) % 8 == 1 and x.strip(" "):
+                assert f"# {x[:40]}" + ("\n" + x[40:] if len(x) > 40 else "") in got[i]
+            else:
+                assert x in got[i]
+    long = [(i, t[40:].strip()) for i, t in docs.items() if i % 8 == 1 and "\n" not in t and 40 < len(t) < 500]
+    assert long and all(tail in "".join(chunks[i]) for i, tail in long)
+
+
+def test_every_cut_query_has_a_whole_one():
+    from inkstone.oracles import _CASE, ORACLES
+
+    cut = {n for n, sql in ORACLES.items() if _CASE in sql}
+    assert cut and {f"{n}_whole" for n in cut} <= set(Q.QUERIES) & set(ORACLES)
