@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import inputs
 from .functions.text import PROMPT
 
@@ -233,3 +235,7 @@ ORACLES: dict[str, str] = {
 # Beside the SQL over cut heading lines, the same over whole texts.
 _WHOLE = inputs.WHOLE_LINE.format(d="doc_id", n="(i - 1)", x="x")
 ORACLES |= {f"{name}_whole": sql.replace(_CASE, _WHOLE) for name, sql in ORACLES.items() if _CASE in sql}
+
+# And over every real text, whose line ends and marks are taken away again.
+_WHOLE_STATE = re.sub(r"CASE doc_id % 9 .*? END AS md,", "text AS md,", _STATE)
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(_STATE, _WHOLE_STATE) for name in ("validate_docs", "normalize_text")}

@@ -43,3 +43,12 @@ def test_every_cut_query_has_a_whole_one():
 
     cut = {n for n, sql in ORACLES.items() if _CASE in sql}
     assert cut and {f"{n}_whole" for n in cut} <= set(Q.QUERIES) & set(ORACLES)
+
+
+def test_every_real_text_is_normalized(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.md_content for r in Q.QUERIES["normalize_text_whole"](spark, DATA).collect()} == docs
+    before = {r.doc_id: r.md_content for r in Q._state(spark, DATA, Q._WHOLE_TEXT).collect()}
+    assert any(t.startswith("\ufeff") for t in before.values()) and any("\r" in t for t in before.values())
+    sizes = {r.doc_id: r.n_chars for r in Q.QUERIES["validate_docs_whole"](spark, DATA).collect()}
+    assert sizes == {i: len(t) for i, t in docs.items()}
