@@ -1,7 +1,7 @@
 """Tables written to the folder that driver and executors share.
 
 A written table cuts lineage: it survives lost executors, and a join over two of them reads plain
-exchanges, whose skewed partitions the engine can split.
+exchanges, whose skewed partitions the engine can split. Tables are removed by drop(), or else when the driver ends.
 """
 
 from __future__ import annotations
@@ -16,10 +16,15 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Where that is unset a local master gets a folder of the process's own; on a cluster, whose machines wouldn't share it, this is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "at" not in _own:
         keeper = tempfile.TemporaryDirectory(prefix="inkstone-")
         atexit.register(keeper.cleanup)
@@ -27,11 +32,18 @@ def folder(spark: SparkSession) -> str:
     return "file://" + _own["at"]
 
 
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df under the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     at = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    store, path = _path(spark, at)
+    store.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)
     out._inkstone_path = at
     return out
@@ -41,6 +53,5 @@ def drop(df: DataFrame) -> None:
     """Remove what keep() wrote; df must not be read afterwards."""
     at = getattr(df, "_inkstone_path", None)
     if at:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = _path(df.sparkSession, at)
+        store.delete(path, True)

@@ -355,7 +355,7 @@ def spaced_brute(rows, items):
         w = split(t)
         for i, it in {x for x in items if x[1] is not None}:
             v = split(it)
-            if len(v) < 5:
+            if not v:
                 continue
             n, best = min(20, len(v)), 0
             for a in range(len(w) - n + 1):
@@ -370,8 +370,8 @@ def test_decontamination(spark, none):
     rng = random.Random(7)
     plain = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
     items = [(i, plain(rng.choice([3, 5, 8, 15, 30, 50]))) for i in range(25)] + [(100, None), (101, ""), (7, "other item of the same id here"), (8, None)]
-    items.append(items[0])
-    rows = []
+    items += [items[0], (300, "short thing here"), (301, "four words in it"), (302, "Lone")]
+    rows = [(600, "a short thing here, now"), (601, "short thing not here"), (602, "lone. four words in a row"), (603, "four words in it")]
     for i in range(70):
         v = (items[i % 25][1]).split()
         for k in rng.sample(range(len(v)), min(len(v), rng.choice([0, 0, 1, 2, 5]))):
@@ -384,18 +384,43 @@ def test_decontamination(spark, none):
     got = spaced.overlaps(docs, bench).collect()
     want = spaced_brute(rows, items)
     assert Counter((r.doc_id, r.item_id, r.equal_words, r.window_words) for r in got) == want
-    held = {(r.doc_id) for r in got}
-    assert {r.doc_id for r in spaced.decontaminated(docs, bench).collect()} == {d for d, _ in rows} - held
+    held = {r.doc_id for r in got if r.window_words >= 5}
+    assert any(r.window_words < 5 for r in got)  # short items are found where they occur exactly, but condemn no document
+    kept = spaced.decontaminated(docs, bench)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if d not in held)
     assert spaced.overlaps(none, bench).count() == 0 and spaced.overlaps(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(spaced, "BLOCK_ITEMS", 3)
-    items = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(10)]
-    docs = spark.createDataFrame([(i, "start " + items[i][1] + " " + items[(i + 3) % 10][1]) for i in range(10)] + [(50, "clean text")], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in spaced.overlaps(docs, bench).collect()} == {(i, j) for i in range(10) for j in (i, (i + 3) % 10)}
-    assert [r.doc_id for r in spaced.decontaminated(docs, bench).collect()] == [50]
+def test_common_seeds_lose_no_overlap(spark, monkeypatch):
+    """Items and documents with one opening, salted and compared in small blocks, against all pairs."""
+    rng = random.Random(8)
+    for name, value in (("BUCKET", 40), ("BLOCK", 64), ("HOT_ITEMS", 2)):
+        monkeypatch.setattr(spaced, name, value)
+    opening = [f"o{k}" for k in range(9)]
+    items = [(i, " ".join(opening[: rng.choice([5, 9])] + [f"a{rng.randrange(60)}" for _ in range(rng.choice([3, 11, 20, 30]))])) for i in range(25)]
+    rows = []
+    for i in range(60):
+        v = items[i % 25][1].split()
+        for k in rng.sample(range(len(v)), len(v) // 5 if i % 2 else len(v) // 4):
+            v[k] = f"b{i}"
+        rows.append((i, " ".join([f"c{i}"] * (i % 4) + (v if i % 3 else opening + [f"d{i}"] * 20))))
+    got = spaced.overlaps(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = spaced_brute(rows, items)
+    assert Counter((r.doc_id, r.item_id, r.equal_words, r.window_words) for r in got) == want and len(want) >= 30
+
+
+def test_left_out_seeds_leave_one_in_every_pattern():
+    from itertools import combinations
+
+    for n in range(5, 21):
+        words = n + 3
+        seeds = [(p, m[-1] + 1, m) for m in spaced.MASKS for p in range(words - m[-1])]
+        gone = spaced.spared(np.array([p for p, *_ in seeds]), np.array([s for _, s, _ in seeds]), words)
+        left = [(p, m) for (p, _, m), g in zip(seeds, gone, strict=True) if not g] if n == 20 else [(p, m) for p, _, m in seeds]
+        for start in range(words - n + 1):
+            inside = [(p - start, m) for p, m in left if p >= start and p + m[-1] < start + n]
+            patterns = combinations(range(n), n - math.ceil(0.8 * n - 1e-9))
+            assert all(any(not {p + o for o in m} & set(out) for p, m in inside) for out in patterns), (n, start)
 
 
 # 8
