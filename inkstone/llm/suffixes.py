@@ -3,19 +3,21 @@
 Every byte covered by a LENGTH-byte string that also starts earlier is removed. Two suffixes matter to
 each other if their first LENGTH bytes are equal, so these are what is compared.
 
-1. Candidates. Most suffixes match no other; they are ruled out without sorting them. Of the GRAM-byte
-   strings inside a suffix's first LENGTH bytes, the one with the least hash is its anchor: equal suffixes have
-   equal anchors at the same distance. Neighbouring suffixes with one anchor form a run, and only runs
-   are exchanged, by the hash of their anchor. A run whose anchor is alone has no match; a run all of whose bytes
-   occurred in an earlier run is a repeat throughout; the rest, where runs share an anchor but differ, are candidates.
-2. Suffix sort. Sampled splitters range-partition the candidates' suffixes by their leading bytes and
-   then by the hash of all LENGTH bytes, so equal suffixes meet however common their beginning is. Each bucket sorts
-   by one key after the other; all but the earliest of equal neighbours are repeats. A splitter is a whole key, so equal
-   suffixes never lie across a boundary and there is nothing to compare there.
-3. Removal. The repeats of a document are united and its bytes outside them are kept.
-
-Inside a batch of documents only the earliest of equal runs or suffixes is sent on and the others are repeats
-at once, so what thousands of copies share doesn't pile up in one task.
+1. Runs. Of the GRAM-byte strings inside a suffix's first LENGTH bytes, the one with the least hash is its anchor:
+   equal suffixes have equal anchors at the same distance. Neighbouring suffixes with one anchor travel together as a
+   run, with the bytes of all of them.
+2. Partition. Sampled splitters range-partition the runs by the leading bytes of their anchors; a range that is
+   larger than a bucket is cut by a hash of the whole anchor. Equal suffixes have the same anchor, so they never lie
+   on two sides of a boundary, and no bucket has anything to compare with the next one. An anchor that is more
+   common than a bucket can hold (a licence's first words) has its suffixes dealt one by one, by all their bytes.
+3. Sort. Each bucket sorts its runs by the bytes of their anchors; an anchor that stands alone matches nothing. The
+   suffixes of all other runs are sorted by their own bytes. Both are a multikey quicksort whose keys are eight bytes:
+   groups that are equal so far are sorted by the next key, until they are alone or equal in all LENGTH bytes. Of
+   equal suffixes all but the earliest are repeats. No hash decides on equality.
+4. Removal. The repeats of a document are united and its bytes outside them are kept.
+
+Each batch of documents sorts its own suffixes first, by the same function, and sends only those on that are the
+earliest in it, so what thousands of copies share doesn't pile up in one bucket.
 """
 
 from __future__ import annotations
@@ -32,24 +34,25 @@ from .batch import Texts, hash_of, mix, powers, slices
 from .packing import ROWS, SCHEMA, by_part, pack, rows, unpack
 from .scratch import keep
 
-LENGTH, GRAM = 100, 50
-#: Text bytes whose runs are packed together; text bytes behind one partition of runs or suffixes, and of documents.
-PACK_BYTES, SORT_BYTES, TEXT_BYTES = 24 << 20, 64 << 20, 32 << 20
-#: One in so many suffixes is sampled for the splitters.
-SAMPLE = 1024
+LENGTH, GRAM, LEAD = 100, 32, 16
+#: Text bytes that are sorted together before they are sent on; text bytes behind one bucket of runs, and of documents.
+PACK_BYTES, SORT_BYTES, TEXT_BYTES = 8 << 20, 16 << 20, 32 << 20
+#: Suffixes that are sorted at a time, but for those of one anchor.
+SORT_SUFFIXES = 1 << 20
+#: Ranges of leading bytes at most, and text bytes of the documents that are sampled for their boundaries, about.
+RANGES, SAMPLE_BYTES = 4096, 16 << 20
 
 _LAST = np.iinfo(np.int64).max  # stands for no doc_id
-_ANCHORS, _SPANS, _RUNS, _TEXTS = 0, 1, 2, 3
-_RUN_KINDS = ("p8", "p6", "<u4", "<u4", "<u1", "<i8", "p3")
+_RUNS, _SPANS, _TEXTS = 0, 1, 2
 _SPAN_KINDS = ("<u4", "<u4", "<u4", "<i8", "p3")
-_SUFFIX_KINDS = ("p4", "p8", "<u4", "<u4", "<i8", "p3")
+_RUN_KINDS = ("<u4", "<u1", "<u4", "<u1", "<u1", "<i8", "p3")
 
 
 def anchored(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes with one anchor: anchor hash, hash of all bytes of the run, document, first suffix in it, further suffixes."""
+    """Runs of suffixes with one anchor: hash of the anchor, document, place of the first suffix in the bytes, further suffixes, distance of the anchor."""
     n = len(texts.data)
     if n < length:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     prefix = texts.prefix()
     grams = mix((prefix[gram:] - prefix[:-gram]) * powers(n + 1, True)[: n - gram + 1])
     bits = np.uint64(max(22, n.bit_length()))
@@ -61,7 +64,7 @@ def anchored(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         least = np.minimum(least[:-step], least[step:])
         have += step
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), texts.lengths())
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), texts.lengths())
     inside = owner[: n - length + 1] == owner[length - 1 :]
     edge = np.ones(len(anchor) + 1, bool)
     edge[1:-1] = (anchor[1:] != anchor[:-1]) | (owner[1 : n - length + 1] != owner[: n - length]) | (inside[1:] != inside[:-1])
@@ -70,19 +73,100 @@ def anchored(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     ok = inside[first]
     first, last = first[ok], last[ok]
     where = anchor[first]
-    whole = hash_of(prefix, first, last + length) ^ mix((where - first).astype(np.uint64))
-    return grams[where], whole, owner[first], first - texts.offs[owner[first]], last - first
+    return grams[where], owner[first].astype(np.int64), first, last - first, where - first
 
 
-def _first_of(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Along order, whether a row is the first with its keys."""
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = False
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
-    return new
+# The sort.
+
+
+def multikey(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings of depth bytes (8 at least) at places of data, and for each place in it the first place of an equal string.
+
+    A multikey quicksort with keys of eight bytes: all groups that are equal so far are sorted by their next key at once.
+    From the third key on a group is first compared with its first string as a whole, and is done if all are equal to it.
+    """
+    words = np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data), strides=(1,))
+    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    open_ = np.arange(len(at)) if len(at) > 1 else np.zeros(0, np.int64)
+    steps = [min(d, depth - 8) for d in range(0, depth, 8)]
+    for n, d in enumerate(steps):
+        if not len(open_):
+            break
+        key, g = words[at[order[open_]] + d].astype(np.uint64), group[open_]
+        s = np.lexsort((key, g))
+        order[open_], key = order[open_][s], key[s]
+        new = np.ones(len(open_), bool)
+        new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
+        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        open_ = open_[~(new & np.append(new[1:], True))]
+        if n >= 2 and len(open_):
+            mine, lead = at[order[open_]], at[order[group[open_]]]
+            same = np.ones(len(open_), bool)
+            for k in steps[n + 1 :]:
+                same &= words[mine + k] == words[lead + k]
+            unlike = np.zeros(len(at), bool)
+            unlike[group[open_][~same]] = True
+            open_ = open_[unlike[group[open_]]]
+    return order, group
+
+
+def repeats(data: np.ndarray, first: np.ndarray, more: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and number in it of each suffix that equals an earlier one, by sorting all suffixes of the runs.
+
+    first: place of each run's first suffix in data; doc, start: which suffix is earlier. One start of one document is not earlier than itself.
+    """
+    n = more + 1
+    run = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    order, group = multikey(data, first[run] + k, LENGTH)
+    several = np.zeros(len(order), bool)
+    several[1:] = group[1:] == group[:-1]
+    several[:-1] |= several[1:]
+    order, group = order[several], group[several]
+    run, k = run[order], k[order]
+    when = np.lexsort((start[run] + k, doc[run], group))
+    run, k, group = run[when], k[when], group[when]
+    new = np.ones(len(run), bool)
+    new[1:] = group[1:] != group[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
+    again = (doc[run] != doc[run[lead]]) | (start[run] + k != start[run[lead]] + k[lead])
+    return run[again], k[again]
+
+
+def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, sorting the runs by their anchors before the suffixes of those that share one."""
+    order, group = multikey(data, first + anchor, GRAM)
+    shared = np.zeros(len(order), bool)
+    shared[1:] = group[1:] == group[:-1]
+    shared[:-1] |= shared[1:]
+    order, group = order[shared], group[shared]
+    ends = np.cumsum(more[order] + 1)
+    cuts = np.append(np.flatnonzero(np.diff(group)) + 1, len(order)) if len(order) else np.zeros(0, np.int64)
+    found, a = [], 0
+    while a < len(order):
+        # whole groups of equal anchors, at least one
+        reach = np.searchsorted(ends, (ends[a - 1] if a else 0) + SORT_SUFFIXES, "right")
+        b = int(cuts[max(np.searchsorted(cuts, reach, "right") - 1, np.searchsorted(cuts, a, "right"))])
+        o = order[a:b]
+        run, k = repeats(data, first[o], more[o], doc[o], start[o])
+        found.append((o[run], k))
+        a = b
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run, k = (np.concatenate(x) for x in zip(*found, strict=True))
+    when = np.lexsort((k, run))
+    return run[when], k[when]
+
+
+def stretches(run: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted suffixes (run, number) as stretches of neighbours: run, first number, further ones."""
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (k[1:] != k[:-1] + 1)
+    at = np.flatnonzero(new)
+    return run[at], k[at], np.diff(np.append(at, len(run))) - 1
+
+
+# Documents and packed rows.
 
 
 def _doc_part(ids: np.ndarray, tags: np.ndarray, parts: int) -> np.ndarray:
@@ -96,61 +180,141 @@ def _docs_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(ids.fill_null(_LAST), np.int64), np.asarray(batch.column("tag")).astype(np.uint64), none
 
 
+def _ranked(ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document its rank in the order that decides which string is earlier, and the ids and tags of the ranks; rows of one id and text are one document."""
+    order = np.lexsort((tags, ids))
+    ids, tags = ids[order], tags[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, ids[new], tags[new]
+
+
 def _dictionary(doc: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
     """doc as numbers in a list of the documents that occur, and that list (ids as differences, tags)."""
     own, local = np.unique(doc, return_inverse=True)
     return local, ("<i8", np.diff(ids[own], prepend=0)), ("p3", tags[own])
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, more: np.ndarray, ids: np.ndarray, tags: np.ndarray, parts: int, kind: int) -> list[tuple[int, int, bytes]]:
-    """Packed rows, by the documents' part, of runs of suffixes: document, first suffix, further suffixes."""
+def _spans(doc: np.ndarray, start: np.ndarray, more: np.ndarray, ids: np.ndarray, tags: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Packed rows, by the documents' part, of repeated suffixes: document, first suffix, further suffixes."""
     to = _doc_part(ids, tags, parts)[doc]
     order = np.lexsort((start, doc, to))
     doc, start, more, to = doc[order], start[order], more[order], to[order]
     out = []
     for p, s in by_part(to, parts):
         local, *named = _dictionary(doc[s], ids, tags)
-        out.append((p, kind, pack(("<u4", start[s]), ("<u4", more[s]), ("<u4", local), *named)))
+        out.append((p, _SPANS, pack(("<u4", start[s]), ("<u4", more[s]), ("<u4", local), *named)))
     return out
 
 
-def _runs(sort_parts: int, doc_parts: int):
+def _gathered(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The fields of packed rows, their documents (third field) as ranks, and the ids and tags of the ranks."""
+    got = [unpack(b, *kinds) for b in blobs]
+    rank, ids, tags = _ranked(np.concatenate([np.cumsum(x[-2]) for x in got]), np.concatenate([x[-1] for x in got]))
+    base = np.cumsum([0, *(len(x[-1]) for x in got)])
+    doc = np.concatenate([x[2].astype(np.int64) + b for x, b in zip(got, base, strict=False)])
+    return [np.concatenate([x[k] for x in got]) for k in range(len(kinds) - 2)], rank[doc], ids, tags
+
+
+def _bytes_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return data[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _leads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The leading bytes at places, as values that sort like the bytes."""
+    return np.ascontiguousarray(data[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
+
+
+def _sample(rate: int):
+    """Leading bytes and hashes of the anchors of one in rate documents; of one over 1 MB in proportion fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags, _ = _docs_of(batch)
+            chosen = mix(mix(ids.view(np.uint64)) + tags) % np.uint64(rate) == 0
+            for texts in slices(batch.column("text").filter(pa.array(chosen))):
+                gram, _, first, _, distance = anchored(texts)
+                step = 1 + (len(texts.data) >> 21)
+                keys = _leads(texts.data, (first + distance)[::step])
+                yield pa.RecordBatch.from_pydict({"lead": pa.array(keys.tolist(), pa.binary()), "gram": pa.array(gram[::step].view(np.int64))})
+
+    return run
+
+
+class Plan:
+    """Where a run goes: a range of leading bytes, cut by the hash of the anchor; suffixes of hot anchors by all their bytes."""
+
+    def __init__(self, splitters: np.ndarray, cuts: int, hot: np.ndarray):
+        self.splitters, self.cuts, self.hot = splitters, cuts, hot
+        self.parts = (len(splitters) + 1) * cuts
+
+    def part(self, lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.splitters, lead, "right") * self.cuts + (gram >> np.uint64(33)).astype(np.int64) % self.cuts
+
+    def is_hot(self, gram: np.ndarray) -> np.ndarray:
+        return np.isin(gram.view(np.int64), self.hot) if len(self.hot) else np.zeros(len(gram), bool)
+
+
+def planned(rows_in: DataFrame, size: int) -> Plan:
+    """A plan from a sample of about SAMPLE_BYTES of text, whatever the size of the corpus."""
+    want = max(24, -(-size // SORT_BYTES))
+    rate = max(1, -(-size // SAMPLE_BYTES))
+    sample = rows_in.mapInArrow(_sample(rate), "lead binary, gram long").toArrow()  # about SAMPLE_BYTES / 30 rows
+    leads, grams = np.sort(np.array(sample.column("lead").to_pylist(), f"S{LEAD}")), np.asarray(sample.column("gram"))
+    ranges = min(want, RANGES)
+    splitters = np.unique(leads[np.arange(1, ranges) * len(leads) // ranges]) if len(leads) else leads
+    own, n = np.unique(grams, return_counts=True)
+    return Plan(splitters, -(-want // ranges), own[n >= max(4, len(grams) / want)])
+
+
+def _runs(plan: Plan, doc_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         names: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            gram, whole, doc, start, more = (np.concatenate([x[k] for x in held]) for k in range(5))
-            ids, tags = (np.concatenate([x[k] for x in names]) for k in range(2))
-            # documents in the order that decides which string is earlier
-            rank = np.lexsort((tags, ids))
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            doc, ids, tags = place[doc], ids[rank], tags[rank]
-            whole = whole & np.uint64((1 << 48) - 1)
-            order = np.lexsort((start, doc, whole, gram))
-            new = _first_of(order, gram, whole)
-            again = order[~new]
-            # rows of one id and text are one document, whose strings aren't earlier than themselves
-            lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][~new]
-            same = (ids[doc[again]] == ids[doc[lead]]) & (tags[doc[again]] == tags[doc[lead]]) & (start[again] == start[lead])
-            again = again[~same]
-            out = [(sort_parts + p, _SPANS, blob) for p, _, blob in _spans(doc[again], start[again], more[again], ids, tags, doc_parts, _SPANS)]
-            order = order[new]
-            to = ((gram[order] >> np.uint64(20)) % np.uint64(sort_parts)).astype(np.int64)
-            order, to = order[t := np.argsort(to, kind="stable")], to[t]
-            for p, s in by_part(to, sort_parts):
-                o = order[s]
+            data = np.concatenate([*(x[0] for x in held), np.zeros(8, np.uint8)])
+            gram, doc, first, more, anchor, start = (np.concatenate([x[k] for x in held]) for k in range(1, 7))
+            rank, ids, tags = _ranked(*(np.concatenate([x[k] for x in names]) for k in range(2)))
+            doc = rank[doc]
+            found, k = repeats_by_anchor(data, first, more, anchor, doc, start)
+            r, low, further = stretches(found, k)
+            out = [(plan.parts + p, kind, blob) for p, kind, blob in _spans(doc[r], start[r] + low, further, ids, tags, doc_parts)]
+            # what is left of the runs
+            gone = np.zeros(len(first), bool)
+            gone[found] = True
+            whole, part = np.flatnonzero(~gone), np.flatnonzero(gone)
+            n = more[part] + 1
+            run_, number = np.repeat(part, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            width = int(more.max(initial=0)) + 1
+            left = ~np.isin(run_ * width + number, found * width + k)
+            r, low, further = stretches(run_[left], number[left])
+            r, low, further = np.append(whole, r), np.append(np.zeros(len(whole), np.int64), low), np.append(more[whole], further)
+            to = plan.part(_leads(data, first[r] + anchor[r]), gram[r])
+            if (hot := plan.is_hot(gram[r])).any():
+                n = further[hot] + 1
+                each, number = np.repeat(r[hot], n), np.repeat(low[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = first[each] + number
+                deal = (hash_of(Texts(data, np.array([0, len(data)])).prefix(), at, at + LENGTH) >> np.uint64(33)).astype(np.int64) % plan.parts
+                r, low, further, to = (np.append(x[~hot], y) for x, y in ((r, each), (low, number), (further, np.zeros(len(each), np.int64)), (to, deal)))
+            order = np.argsort(to, kind="stable")
+            r, low, further, to = r[order], low[order], further[order], to[order]
+            for p, s in by_part(to, plan.parts):
+                o = r[s]
                 local, *named = _dictionary(doc[o], ids, tags)
-                out.append((p, _ANCHORS, pack(("p8", gram[o]), ("p6", whole[o]), ("<u4", start[o]), ("<u4", local), ("<u1", more[o]), *named)))
+                raw = _bytes_of(data, first[o] + low[s], further[s] + LENGTH)
+                out.append((p, _RUNS, pack(("<u4", start[o] + low[s]), ("<u1", further[s]), ("<u4", local), ("<u1", anchor[o] - low[s]), ("<u1", raw), *named)))
             return rows(out)
 
         size = n = 0
         for batch in batches:
             ids, tags, _ = _docs_of(batch)
             for texts in slices(batch.column("text")):
-                gram, whole, doc, start, more = anchored(texts)
-                held.append((gram, whole, doc + n, start, more))
+                gram, doc, first, more, anchor = anchored(texts)
+                held.append((texts.data, gram, doc + n, first + size, more, anchor, first - texts.offs[doc]))
                 names.append((ids[texts.first : texts.first + len(texts)], tags[texts.first : texts.first + len(texts)]))
                 n += len(texts)
                 size += len(texts.data)
@@ -163,45 +327,24 @@ def _runs(sort_parts: int, doc_parts: int):
     return run
 
 
-def _gathered(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The fields of packed rows, their documents as ranks, and the ids and tags of the ranks."""
-    got = [unpack(b, *kinds) for b in blobs]
-    ids = np.concatenate([np.cumsum(x[-2]) for x in got])
-    tags = np.concatenate([x[-1] for x in got])
-    base = np.cumsum([0, *(len(x[-1]) for x in got)])
-    doc = np.concatenate([x[3 if len(kinds) > 5 else 2].astype(np.int64) + b for x, b in zip(got, base, strict=False)])
-    rank = np.lexsort((tags, ids))
-    ids, tags = ids[rank], tags[rank]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
-    place = np.empty(len(rank), np.int64)
-    place[rank] = np.cumsum(new) - 1
-    fields = [np.concatenate([x[k] for x in got]) for k in range(len(kinds) - 2)]
-    return fields, place[doc], ids[new], tags[new]
-
-
 def _table(found: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_batches([rows(found)], SCHEMA)
 
 
-def _match_runs(sort_parts: int, doc_parts: int):
-    """Runs that repeat an earlier run (spans), and runs that share an anchor with a different one (candidates)."""
+def _sort(parts: int, doc_parts: int):
+    """The repeats of a bucket, by document; what the batches found is passed on."""
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         blobs = [x.as_py() for x in group.column("blob")]
-        if part >= sort_parts:
-            return _table([(part - sort_parts, _SPANS, b) for b in blobs])
-        (gram, whole, start, _, more), doc, ids, tags = _gathered(blobs, _RUN_KINDS)
-        start, more = start.astype(np.int64), more.astype(np.int64)
-        order = np.lexsort((doc << 32 | start, whole, gram))
-        new_gram = _first_of(order, gram)
-        new = new_gram | _first_of(order, whole)
-        several = np.bincount(np.cumsum(new_gram) - 1, new)[np.cumsum(new_gram) - 1] > 1 if len(order) else new
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        repeat = ~new & ((doc[order] != doc[lead]) | (start[order] != start[lead]))
-        again, open_ = order[repeat], order[new & several]
-        return _table(_spans(doc[again], start[again], more[again], ids, tags, doc_parts, _SPANS) + _spans(doc[open_], start[open_], more[open_], ids, tags, doc_parts, _RUNS))
+        if part >= parts:
+            return _table([(part - parts, _SPANS, b) for b in blobs])
+        (start, more, _, anchor, raw), doc, ids, tags = _gathered(blobs, _RUN_KINDS)
+        start, more, anchor = (x.astype(np.int64) for x in (start, more, anchor))
+        size = more + LENGTH
+        found, k = repeats_by_anchor(np.append(raw, np.zeros(8, np.uint8)), np.cumsum(size) - size, more, anchor, doc, start)
+        r, low, further = stretches(found, k)
+        return _table(_spans(doc[r], start[r] + low, further, ids, tags, doc_parts))
 
     return run
 
@@ -240,89 +383,6 @@ def _lookup(ids: np.ndarray, tags: np.ndarray, own_ids: np.ndarray, own_tags: np
     return np.array([known.get(k, -1) for k in zip(ids.tolist(), tags.tolist(), strict=True)], np.int64)
 
 
-def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The four leading bytes of suffixes as numbers that sort like the bytes."""
-    return sum(data[at + k].astype(np.uint64) << np.uint64(24 - 8 * k) for k in range(4))
-
-
-def _key(lead: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return (lead << np.uint64(31) | whole >> np.uint64(33)).astype(np.int64)
-
-
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for texts in slices(batch.column("text")):
-            lengths = texts.lengths()
-            at = np.flatnonzero(mix(np.arange(len(texts.data), dtype=np.uint64)) % np.uint64(SAMPLE) == 0)
-            doc = np.searchsorted(texts.offs, at, "right") - 1
-            at = at[at + LENGTH <= (texts.offs[:-1] + lengths)[doc]]
-            yield pa.RecordBatch.from_pydict({"key": _key(leading(texts.data, at), hash_of(texts.prefix(), at, at + LENGTH))})
-
-
-def _suffixes(splitters: np.ndarray, doc_parts: int):
-    """The suffixes of the candidate runs of a part's documents, cut at the splitters; repeats inside the part as spans."""
-    sort_parts = len(splitters) + 1
-
-    def run(group: pa.Table) -> pa.Table:
-        kinds, blobs = group.column("kind").to_pylist(), [x.as_py() for x in group.column("blob")]
-        asked = [b for k, b in zip(kinds, blobs, strict=True) if k == _RUNS]
-        if not asked:
-            return _table([])
-        (start, more, _), doc, own_ids, own_tags = _gathered(asked, _SPAN_KINDS)
-        start, more = start.astype(np.int64), more.astype(np.int64)
-        order = np.lexsort((start, doc))
-        doc, start, more = doc[order], start[order], more[order]
-        seen, found = np.zeros(len(own_ids), bool), []
-        for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == _TEXTS):
-            texts, ids, tags, _ = _read_texts(blob)
-            where = _lookup(ids, tags, own_ids, own_tags)
-            for i in np.flatnonzero(where >= 0).tolist():
-                w = where[i]
-                if seen[w]:
-                    continue  # a repeated row
-                seen[w] = True
-                a, b = np.searchsorted(doc, [w, w + 1])
-                n = more[a:b] + 1
-                at = np.repeat(start[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                data = texts.data[texts.offs[i] : texts.offs[i + 1]]
-                one = Texts(data, np.array([0, len(data)]))
-                found.append((leading(data, at), hash_of(one.prefix(), at, at + LENGTH), at, np.full(len(at), w)))
-        if not found:
-            return _table([])
-        lead, whole, at, doc = (np.concatenate([x[k] for x in found]) for k in range(4))
-        order = np.lexsort((doc << 32 | at, whole))
-        new = _first_of(order, whole, lead)
-        again = order[~new]
-        out = [(sort_parts + p, k, b) for p, k, b in _spans(doc[again], at[again], np.zeros(len(again), np.int64), own_ids, own_tags, doc_parts, _SPANS)]
-        order = order[new]
-        order = order[np.lexsort((whole[order], lead[order]))]
-        to = np.searchsorted(splitters, _key(lead[order], whole[order]), "right")
-        for p, s in by_part(to, sort_parts):
-            o = order[s]
-            local, *named = _dictionary(doc[o], own_ids, own_tags)
-            out.append((p, _ANCHORS, pack(("p4", lead[o]), ("p8", whole[o]), ("<u4", at[o]), ("<u4", local), *named)))
-        return _table(out)
-
-    return run
-
-
-def _sort(sort_parts: int, doc_parts: int):
-    """Sort a bucket's suffixes: by leading bytes, then the rest, then which is earlier. All but the first of equal ones are repeats."""
-
-    def run(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        blobs = [x.as_py() for x in group.column("blob")]
-        if part >= sort_parts:
-            return _table([(part - sort_parts, _SPANS, b) for b in blobs])
-        (lead, whole, at, _), doc, ids, tags = _gathered(blobs, _SUFFIX_KINDS)
-        at = at.astype(np.int64)
-        order = np.lexsort((doc << 32 | at, whole, lead))
-        again = order[~_first_of(order, lead, whole)]
-        return _table(_spans(doc[again], at[again], np.zeros(len(again), np.int64), ids, tags, doc_parts, _SPANS))
-
-    return run
-
-
 def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals that touch or overlap as one; starts must ascend."""
     if not len(start):
@@ -380,16 +440,8 @@ def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("tag"))
     size = rows_in.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sort_parts, doc_parts = max(24, -(-size // SORT_BYTES)), max(24, -(-size // TEXT_BYTES))
+    plan, doc_parts = planned(rows_in, size), max(24, -(-size // TEXT_BYTES))
+    runs = rows_in.mapInArrow(_runs(plan, doc_parts), ROWS)
+    spans = keep(runs.groupBy("part").applyInArrow(_sort(plan.parts, doc_parts), ROWS), "repeats")
     packed = rows_in.mapInArrow(_texts(doc_parts), ROWS)
-    runs = rows_in.mapInArrow(_runs(sort_parts, doc_parts), ROWS)
-    first = keep(runs.groupBy("part").applyInArrow(_match_runs(sort_parts, doc_parts), ROWS), "repeat-runs")
-    steps = [i / sort_parts for i in range(1, sort_parts)]
-    cut = rows_in.select("text").mapInArrow(_sample, "key long").agg(F.percentile_approx("key", steps, 100 * sort_parts)).first()[0]
-    splitters = np.unique(np.array(cut or [], np.int64))
-    asked = packed.union(first.filter(F.col("kind") == _RUNS))
-    suffixes = asked.groupBy("part").applyInArrow(_suffixes(splitters, doc_parts), ROWS)
-    second = keep(suffixes.groupBy("part").applyInArrow(_sort(len(splitters) + 1, doc_parts), ROWS), "repeat-suffixes")
-    spans = first.filter(F.col("kind") == _SPANS).union(second)
-    out = packed.union(spans).groupBy("part").applyInArrow(_remove(with_text), _OUT + (", kept_text string" if with_text else ""))
-    return out
+    return packed.union(spans).groupBy("part").applyInArrow(_remove(with_text), _OUT + (", kept_text string" if with_text else ""))

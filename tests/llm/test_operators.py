@@ -242,6 +242,47 @@ def test_repeats_of_many_shapes(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == {k: v[:4] for k, v in want.items()}
 
 
+def test_multikey_sorts_like_bytes():
+    rng = random.Random(12)
+    raw = b"".join(rng.choice([b"ab", b"abc", b"x" * 30, b"\0", "é".encode(), b"0123456789" * 9]) for _ in range(900))
+    data = np.frombuffer(raw + b"\0" * 8, np.uint8)
+    for depth in (16, 32, 100):
+        at = np.array([rng.randrange(len(raw) - depth) for _ in range(3000)])
+        order, group = suffixes.multikey(data, at, depth)
+        got = [raw[a : a + depth] for a in at[order]]
+        want = sorted(raw[a : a + depth] for a in at)
+        assert got == want and group.tolist() == [want.index(x) for x in want]
+    assert [len(x) for x in suffixes.multikey(data, np.zeros(0, np.int64), 100)] == [0, 0]
+
+
+def test_repeats_in_small_groups_and_of_common_anchors(spark, monkeypatch):
+    """Buckets of a few suffixes, ranges cut by hash, and first words that all documents share, each behind other bytes."""
+    rng = random.Random(13)
+    licence = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files. " * 2
+    rows = [(i, f"{rng.random()}" * rng.randrange(1, 9) + licence[: rng.randrange(90, 230)] + f"{rng.random()}" * 6) for i in range(150)]
+    rows += [(200 + i, rows[i % 7][1]) for i in range(30)] + [(7, "x" * 500), (None, "x" * 300)]
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 700)
+    monkeypatch.setattr(suffixes, "RANGES", 5)
+    monkeypatch.setattr(suffixes, "PACK_BYTES", 5000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plan = suffixes.planned(docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 24)).alias("tag")), sum(len(t) for _, t in rows))
+    assert len(plan.hot) > 2 and plan.cuts > 1 and len(plan.splitters) == 4
+    got = suffixes.repeats_removed(docs).collect()
+    tag = {(r.doc_id, r.text): r.tag for r in docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 24)).alias("tag")).collect()}
+    want = repeats([(k, k[1]) for k in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, tag[x]))])
+    assert Counter(tuple(r) for r in got) == Counter((r[0], *want[r][:4]) for r in rows)
+    monkeypatch.setattr(suffixes, "SORT_SUFFIXES", 1)
+    data = np.frombuffer(("".join(t for _, t in rows[:20]) + " " * 8).encode(), np.uint8)
+    one = suffixes.anchored(suffixes.Texts(data[:-8], np.array([0, len(data) - 8])))
+    args = (data, one[2], one[3], one[4], np.zeros(len(one[2]), np.int64), one[2])
+    run, k = suffixes.repeats_by_anchor(*args)
+    raw, seen, want_at = data[:-8].tobytes(), set(), []
+    for i in range(len(raw) - 99):
+        want_at += [i] if raw[i : i + 100] in seen else []
+        seen.add(raw[i : i + 100])
+    assert sorted((one[2][run] + k).tolist()) == want_at and want_at
+
+
 # 5
 
 
