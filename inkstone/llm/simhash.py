@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .batch import LOWER, slices
 from .components import components
-from .scratch import keep
+from .scratch import drop, keep
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -64,18 +64,14 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, tag and the 64 fingerprint bits (as a signed long) of every row; null text: 0."""
     for batch in batches:
         out = []
         for texts in slices(batch.column("text")):
             data, offs = LOWER[texts.data].tobytes(), texts.offs.tolist()
             out.append(majority([shingle_hashes(data[a:b]) for a, b in zip(offs, offs[1:], strict=False)]))
         if out:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "bits"])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the 64 fingerprint bits (as a signed long) of every row of docs (doc_id, text); null text: 0."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, bits long")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "tag", "bits"])
 
 
 def variants(bits: np.ndarray) -> np.ndarray:
@@ -169,6 +165,26 @@ def near_links(distinct: DataFrame, n: int) -> DataFrame:
     return index.groupBy("bucket").applyInArrow(_verify, "a long, b long")
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, text of every row of docs: the tag tells rows with one doc_id and different texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, bits, root (the group) and component_id of every row of docs (doc_id, text)."""
+    rows = keep(tagged(docs).mapInArrow(_fingerprints, "doc_id long, tag long, bits long"), "simhash-rows")
+    distinct = keep(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    links = keep(near_links(distinct, distinct.count()), "simhash-links")
+    root = components(links)
+    known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots")
+    for x in (distinct, links, root):
+        drop(x)
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "root", "component_id"), "simhash-members")
+    drop(known)
+    return rows.join(member, rows.bits == member.of).select("doc_id", "tag", "bits", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id in reach) of every row of docs (doc_id, text).
 
@@ -176,24 +192,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies of each other; a null doc_id is never the smallest unless there is no other; no rows give no
     rows; other columns are ignored.
     """
-    rows = keep(fingerprints(docs), "simhash-rows")
-    distinct = keep(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    links = keep(near_links(distinct, distinct.count()), "simhash-links")
-    root = components(links)
-    known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "component_id"), "simhash-members")
-    return rows.join(member, rows.bits == member.of).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of docs with all their columns, one for each component: that of the smallest doc_id.
+def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = grouped) -> DataFrame:
+    """One row of docs, with all its columns, for each group: of the smallest doc_id, and of its rows that with the least hash of its text.
 
-    groups gives the component_id of every row, by 4 bits of the fingerprint unless another is given. Of repeated rows with that doc_id one stays; rows without a doc_id all stay; no rows give no rows.
+    groups gives doc_id, tag and root (the group) of every row, by 4 bits of the fingerprint unless another is given. Of
+    rows with one doc_id and text one stays; rows without a doc_id are members of groups like others and stay only where no
+    member has one; null and empty texts are one group; no rows give no rows; columns of docs may have any names.
+    Which rows stay is decided on ids and hashes; texts take part in one join.
     """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
-    ids = groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(ids, F.col("doc_id") == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    none, of, tag = (mark + x for x in ("none", "of", "tag"))
+    key = [F.col("doc_id").isNull().alias(none), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(of)]
+    lead = groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("of"), "tag")).alias("lead"))
+    lead = keep(lead.select(F.col("lead.none").alias(none), F.col("lead.of").alias(of), F.col("lead.tag").alias(tag)), "dedup-lead")
+    kept = docs.withColumns({none: key[0], of: key[1], tag: F.xxhash64("text")}).join(lead, [none, of, tag])
+    return kept.dropDuplicates([none, of, tag]).select(*docs.columns)

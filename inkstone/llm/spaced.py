@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import LOWER, SPACE, Texts, hash_of, mix, slices
+from .filters import held, key_filter
 from .scratch import drop, keep
 
 #: Word offsets that each mask looks at.
@@ -37,8 +38,6 @@ SHORT_MASKS = ((0,), (0, 1), (0, 1, 2))
 WINDOW, SIMILAR, LEAST_WORDS = 20, 0.8, 5
 #: Items that share a seed from which on it is left out where that loses nothing.
 HOT_ITEMS = 8
-#: Bits of the filter for each seed, its bits at least and at most, and those of a piece of it.
-SEED_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 22, 28, 19
 #: Hits in a bucket of the join, about, and pairs that are compared at a time.
 BUCKET, BLOCK = 100_000, 40_000
 #: Words on each side of a hit that travel with it: any window around it lies within.
@@ -141,54 +140,6 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return out
 
 
-# The filter.
-
-
-def _slots(seed: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix(seed + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2, 3)]
-
-
-def _pieces(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(1 << (bits - 3), np.uint8)
-        for batch in batches:
-            for at in _slots(np.asarray(batch.column("seed")).view(np.uint64), bits):
-                np.bitwise_or.at(filled, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        pieces = filled.reshape(-1, 1 << (PIECE_BITS - 3))
-        for i in np.flatnonzero(pieces.any(1)).tolist():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([i], pa.int32()), "bits": pa.array([pieces[i].tobytes()], pa.binary())})
-
-    return run
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, bits in zip(batch.column("piece").to_pylist(), batch.column("bits"), strict=True):
-            now = np.frombuffer(bits.as_py(), np.uint8)
-            total[piece] = total[piece] | now if piece in total else now
-    yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()), "bits": pa.array([x.tobytes() for x in total.values()], pa.binary())})
-
-
-def seed_filter(found: DataFrame) -> np.ndarray:
-    """A filter that holds every seed of found: 1 << MOST_BITS bits (32 MB) at most, whatever the number of seeds."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (SEED_BITS * found.count()).bit_length()))
-    out = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
-    united = found.select("seed").mapInArrow(_pieces(bits), "piece int, bits binary").repartition("piece").mapInArrow(_united, "piece int, bits binary")
-    for r in united.collect():  # at most the pieces of the filter
-        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def held(filled: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Where seeds may be in the filter."""
-    at = np.arange(len(seed))
-    for k in range(3):
-        slot = _slots(seed[at], len(filled).bit_length() + 2)[k]
-        at = at[(filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-    return at
-
-
 # Documents.
 
 _HIT = "seed long, doc_id long, tag long, at int, around binary"
@@ -290,7 +241,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
     wanted = item_seeds(items)
     short = {r["words"] for r in wanted.filter(F.col("words") < 4).select("words").distinct().collect()}  # three rows at most
     masks = MASKS + tuple(SHORT_MASKS[n - 1] for n in sorted(short))
-    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "seed"))
     hits = keep(_tagged(docs).mapInArrow(_hits(shared, masks), _HIT), "seeds-hits")
     real = hits.filter("seed is not null")
     counts = keep(real.groupBy("seed").agg(F.count("*").alias("n")), "seeds-hit")

@@ -318,10 +318,25 @@ def test_near_duplicates(spark, docs, rows, none):
         if i is not None:
             least[g] = min(i, least.get(g, i))
     assert Counter(tuple(r) for r in got) == Counter((i, f"{b:016x}", least.get(g)) for (i, b), g in zip(items, roots, strict=True))
+    tag = {r.text: r.tag for r in docs.select("text", F.xxhash64("text").alias("tag")).collect()}
+    lead: dict = {}
+    for r, g in zip(rows, roots, strict=True):
+        lead[g] = min(lead.get(g, (True, 0, 1 << 63)), (r[0] is None, r[0] or 0, tag[r[1]]))
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted(set(least.values())) and simhash.near_duplicates(none).count() == 0
+    assert Counter((r.doc_id is None, r.doc_id or 0, tag[r.text]) for r in kept.collect()) == Counter(lead.values()) and simhash.near_duplicates(none).count() == 0
+    assert simhash.deduplicated(none).count() == 0
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    """One doc_id with different texts, in groups of its own and of others; rows without a doc_id; repeated rows."""
+    a, b, c = ("alpha beta gamma delta epsilon " * 9, "one two three four five six " * 9, "uno dos tres cuatro cinco " * 9)
+    rows = [(3, b), (7, b), (7, a), (7, c), (7, c), (None, a), (None, "nur ein Text ohne Nummer hier " * 4), (None, "nur ein Text ohne Nummer hier " * 4)]
+    for _ in range(3):
+        random.Random(len(rows)).shuffle(rows)
+        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string").repartition(3)
+        kept = [(r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()]
+        assert Counter(kept) == Counter([(3, b), (7, a), (7, c), (None, "nur ein Text ohne Nummer hier " * 4)])
 
 
 def test_no_link_is_lost():
