@@ -1,21 +1,22 @@
 """Secret scans with an incremental blob ledger.
 
-Every text is content-addressed by SHA-256. The ledger says which rules, by version, have been run over
-which blob and what they found. A scan reads only blobs with a rule version that they have not seen, one
-copy of each, and joins all findings back to every path (doc_id) of a blob.
+Every text, of every version of a path, is content-addressed by SHA-256. The ledger says which rules, by version, have
+been run over which blob and what they found. A scan reads only blobs with a rule version that they have not
+seen, one copy of each, appends what it finds, and joins the findings of the blobs in use back to every path (doc_id).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, folder, keep
 
 # The patterns of the base kinds and of known token formats.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,8 +52,9 @@ BASE = ("assign", "access", "hex")
 LEDGER = "blob string, rules array<string>, found array<struct<rule:string,start:int,end:int>>"
 
 
-def rule_ids(rules: dict | None = None) -> list[str]:
-    return [f"{kind}@{version}" for kind, (version, _) in (rules or RULES).items()]
+def rule_ids(kinds: tuple[str, ...] | None = None) -> list[str]:
+    """The current version of each rule (or of those kinds) as kind@version."""
+    return [f"{kind}@{version}" for kind, (version, _) in RULES.items() if kinds is None or kind in kinds]
 
 
 def find(text: str, kinds: list[str]) -> list[tuple[str, int, int]]:
@@ -73,54 +75,100 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("rules").cast(kinds.field(1).type), pa.array(found, kinds.field(2).type)], schema=kinds)
 
 
-def paths(docs: DataFrame) -> DataFrame:
-    """doc_id and blob (SHA-256 of the text's UTF-8; null: of nothing) of every row."""
-    return docs.select(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("blob"))
+class Ledger:
+    """A table of (blob, rules, found) in a folder (without one: for this session). Rows are only ever appended; a blob has a row for each scan of it."""
 
+    def __init__(self, spark: SparkSession, at: str | None = None):
+        self.spark, self.at = spark, at or f"{folder(spark)}/ledger-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        self._store, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+        if at is None:
+            self._store.deleteOnExit(path)
 
-def update(docs: DataFrame, at: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """ledger with what its rules have not seen of docs (doc_id, text; at: their paths) scanned and added.
+    def rows(self) -> DataFrame:
+        if not self._store.exists(self._path):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.at)
 
-    Each blob is read once, from the row of its smallest doc_id, however many copies there are.
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").option("compression", "zstd").parquet(self.at)
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def versions(docs: DataFrame) -> DataFrame:
+    """none (no doc_id), of (the doc_id), tag and blob (SHA-256 of the text's UTF-8; null: of nothing) of every row of docs."""
+    return docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("of"), F.xxhash64(_text()).alias("tag"), F.sha2(_text().cast("binary"), 256).alias("blob"))
+
+
+def unseen(at: DataFrame, ledger: Ledger, rules: list[str]) -> DataFrame:
+    """none, of, tag, blob, rules: for each blob of at (versions) that some of the rules have not seen, one row that has it, and those rules."""
+    seen = ledger.rows().groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))  # a blob's rule versions
+    copy = at.groupBy("blob").agg(F.min(F.struct("none", "of", "tag")).alias("copy"))
+    left = F.array_except(F.array(*[F.lit(x) for x in rules]), F.coalesce("seen", F.array().cast("array<string>")))
+    return copy.join(seen, "blob", "left").select("copy.none", "copy.of", "copy.tag", "blob", left.alias("rules")).filter(F.size("rules") > 0)
+
+
+def update(docs: DataFrame, at: DataFrame, ledger: Ledger, rules: list[str] | None = None) -> int:
+    """Scan what the rules (the current versions, unless others are given) have not seen of docs (at: their versions) and append it; the number of blobs.
+
+    Only the texts to be scanned are exchanged, one copy of each blob, even of a row repeated with its doc_id.
     """
-    want = F.array(*[F.lit(x) for x in rule_ids()])
-    copy = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("copy")
-    todo = at.groupBy("blob").agg(copy).withColumn("rules", want)
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
-        left = F.array_except("rules", F.coalesce("seen", F.array().cast("array<string>")))
-        todo = todo.join(seen, "blob", "left").select("blob", "copy", left.alias("rules")).filter(F.size("rules") > 0)
-    todo = todo.select(F.col("blob").alias("of"), F.col("copy.doc_id").alias("path"), "rules")
-    text = docs.select("doc_id", "text", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("blob"))
-    one = text.join(todo, F.col("doc_id").eqNullSafe(F.col("path")) & (F.col("blob") == F.col("of"))).select("text", "blob", "rules")
-    new = one.mapInArrow(_scan, LEDGER).dropDuplicates(["blob"])  # rows repeated with their doc_id
-    return keep(new if ledger is None else ledger.select("blob", "rules", "found").union(new), "ledger")
-
-
-def findings(at: DataFrame, ledger: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every path, from the findings of the current rule versions."""
+    todo = keep(unseen(at, ledger, rules or rule_ids()), "ledger-todo")
+    n = todo.count()
+    if n:
+        key = [F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("of"), F.xxhash64(_text()).alias("tag")]
+        text = docs.select(*key, _text().alias("text")).join(todo, ["none", "of", "tag"])
+        ledger.append(text.dropDuplicates(["none", "of", "tag"]).select("text", "blob", "rules").mapInArrow(_scan, LEDGER))
+    drop(todo)
+    return n
+
+
+def findings(at: DataFrame, ledger: Ledger) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of at (versions), from the findings of the current rule versions."""
     ids, order = rule_ids(), {k: i for i, k in enumerate(RULES)}
     hits = F.filter(F.flatten(F.collect_list("found")), lambda x: x["rule"].isin(ids))
     kind = lambda x: F.split_part(x["rule"], F.lit("@"), F.lit(1))
     rank = lambda x: F.element_at(F.create_map(*[F.lit(v) for kv in order.items() for v in kv]), kind(x))
-    by_blob = ledger.groupBy("blob").agg(hits.alias("found"))
-    by_blob = by_blob.select("blob", F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), kind(x).alias("kind"), x["end"].alias("end")))).alias("found"))
+    # most blobs hold nothing; only findings travel, and only those of blobs in use meet a path
+    some = ledger.rows().filter(F.size("found") > 0).groupBy("blob").agg(hits.alias("found"))
+    some = some.select("blob", F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), kind(x).alias("kind"), x["end"].alias("end")))).alias("found"))
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     of_kind = lambda k: F.filter("found", lambda x: x["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
     digest = F.sha2(listed(F.filter("found", lambda x: x["kind"].isin(list(BASE)))).cast("binary"), 256)
-    table = keep(by_blob.select(F.col("blob").alias("of"), *counts, digest.alias("base_sha256"), listed(F.col("found")).alias("spans")), "findings")
-    return at.join(table, at.blob == table.of).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    table = keep(some.select(F.col("blob").alias("in_blob"), *counts, digest.alias("base_sha256"), listed(F.col("found")).alias("spans")), "findings")
+    none = {"base_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.lit(""), **{f"n_{k}": F.lit(0).cast("long") for k in BASE}}
+    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    return at.join(table, F.col("blob") == F.col("in_blob"), "left").select(F.when(~F.col("none"), F.col("of")).alias("doc_id"), *(F.coalesce(n, none[n]).alias(n) for n in names))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, ledger: Ledger | None = None, rules: list[str] | None = None) -> DataFrame:
     """The secrets of every row of docs (doc_id, text), through the ledger (a fresh one if none is given).
 
-    A null text is an empty blob without findings; copies and repeated rows get the same findings each;
-    a null doc_id is a path like others; no rows give no rows; other columns are ignored.
+    doc_id is a path, its rows are versions of it. A null text is an empty blob without findings; copies and repeated
+    rows get the same findings each; a null doc_id is a path like others; no rows give no rows; other columns are ignored.
+    """
+    ledger = ledger or Ledger(docs.sparkSession)
+    at = keep(versions(docs), "versions")
+    update(docs, at, ledger, rules)
+    return findings(at, ledger)
+
+
+def scan_in_turn(docs: DataFrame) -> DataFrame:
+    """The secrets of every row of docs (as scan() gives them), after two scans: of the table as it was when half its ids were given, and as it is.
+
+    The second scan reads only the blobs that the first one has not seen.
     """
-    at = keep(paths(docs), "paths")
-    return findings(at, update(docs, at, ledger))
+    ledger = Ledger(docs.sparkSession)
+    at = keep(versions(docs), "versions")
+    low, high = at.filter("not none").agg(F.min("of"), F.max("of")).first()
+    earlier = at.filter(~F.col("none") & (F.col("of") <= F.lit(((low or 0) + (high or 0)) // 2)))
+    update(docs, earlier, ledger)
+    update(docs, at, ledger)
+    return findings(at, ledger)
 
 
 def base_sha256(spans: list[tuple[str, int, int]]) -> str:

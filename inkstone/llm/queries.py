@@ -50,7 +50,7 @@ def op9_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.scan(table(spark, sf_dir, "documents"))
+    return ledger.scan_in_turn(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -567,20 +567,29 @@ def test_secrets(spark, docs, rows, none):
         n = Counter(k for k, *_ in s)
         want[(r[0], n["assign"], n["access"], n["hex"], ledger.base_sha256(s), ",".join(f"{k}:{a}:{b}" for k, a, b in s))] += 1
     assert Counter(tuple(r) for r in got) == want and sum(r.n_assign for r in got) > 5
-    assert ledger.scan(none).count() == 0
+    assert ledger.scan(none).count() == 0 and ledger.scan_in_turn(none).count() == 0
+    assert Counter(tuple(r) for r in ledger.scan_in_turn(docs).collect()) == want
 
 
-def test_only_unseen_pairs_are_scanned(spark, docs, monkeypatch):
+def test_only_unseen_pairs_are_scanned(spark, tmp_path, monkeypatch):
     schema = "doc_id long, text string"
-    old = spark.createDataFrame([(1, "token = abcdef1"), (2, "token = abcdef1"), (3, "clean")], schema)
-    book = ledger.update(old, ledger.paths(old))
-    assert book.count() == 2 and all(sorted(r.rules) == sorted(ledger.rule_ids()) for r in book.collect())
-    new = old.unionByName(spark.createDataFrame([(4, "token = abcdef1"), (5, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36)], schema))
-    grown = ledger.update(new, ledger.paths(new), book)
-    assert grown.count() == 3
+    old = spark.createDataFrame([(1, "token = abcdef1"), (2, "token = abcdef1"), (3, "clean"), (3, "clean"), (None, "clean")], schema)
+    book = ledger.Ledger(spark, str(tmp_path / "book"))
+    assert book.rows().count() == 0 and ledger.update(old, ledger.versions(old), book) == 2
+    first = {(r.blob, *r.rules) for r in book.rows().collect()}
+    assert book.rows().count() == 2 and all(sorted(r.rules) == sorted(ledger.rule_ids()) for r in book.rows().collect())
+    # another version of path 3 and two new paths; what is known stays as it is
+    new = old.unionByName(spark.createDataFrame([(3, "hex " + "0a" * 13), (4, "token = abcdef1"), (5, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36)], schema))
+    assert ledger.update(new, ledger.versions(new), book) == 2 and ledger.update(new, ledger.versions(new), book) == 0
+    assert first < {(r.blob, *r.rules) for r in book.rows().collect()} and book.rows().count() == 4
     monkeypatch.setitem(ledger.RULES, "hex", (2, ledger.RULES["hex"][1]))
-    again = ledger.update(new, ledger.paths(new), grown)
-    fresh = [r for r in again.collect() if r.rules == ["hex@2"]]
-    assert len(fresh) == 3 and again.count() == 6
-    spans = {r.doc_id: r.spans for r in ledger.findings(ledger.paths(new), again).collect()}
-    assert spans[1] == spans[2] == spans[4] == "assign:0:15" and spans[3] == "" and spans[5] == "pem:0:31,github:32:72,hex:36:72"
+    assert ledger.update(new, ledger.versions(new), book) == 4 and book.rows().count() == 8
+    assert len([r for r in book.rows().collect() if r.rules == ["hex@2"]]) == 4
+    spans = Counter((r.doc_id, r.spans) for r in ledger.findings(ledger.versions(new), book).collect())
+    key = "pem:0:31,github:32:72,hex:36:72"
+    assert spans == Counter({(1, "assign:0:15"): 1, (2, "assign:0:15"): 1, (4, "assign:0:15"): 1, (3, ""): 2, (None, ""): 1, (3, "hex:4:30"): 1, (5, key): 1})
+    # rules one by one: the base kinds first, then the others only
+    book = ledger.Ledger(spark)
+    assert ledger.update(new, ledger.versions(new), book, ledger.rule_ids(ledger.BASE)) == 4
+    assert ledger.update(new, ledger.versions(new), book) == 4
+    assert sorted(len(r.rules) for r in book.rows().collect()) == [3] * 8
