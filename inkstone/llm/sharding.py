@@ -1,13 +1,14 @@
 """Vector bin packing of documents into shards.
 
 Bytes, words and rows are balanced jointly: each group goes to the shard whose residual capacity has
-the largest dot product with the group's size vector. Groups are the copies of one text. The packing
-itself sees a bounded list of items at any corpus size:
+the largest dot product with the group's size vector. Groups are the copies of one text.
 
-* a group with more than 1/FINE of a shard in some dimension is a large group (there can be only
-  3 * FINE * shards of them) and an item of its own; one with more than 1/COARSE of a shard is cut into
-  pieces of at most about that size by a hash of doc_id, so a text that makes up a third of the rows is spread evenly;
-* all other groups share CELLS cells by the hash of their text, so copies stay together.
+* A group with more than 1/FINE of a shard in some dimension is a large group. There can be only 3 * FINE * shards
+  of them, so they are packed first, on the driver. One with more than 1/COARSE of a shard is cut into pieces of at most about
+  that size, as many for each shard, by a hash of doc_id, so a text that makes up a third of the rows is spread evenly.
+* All other groups are dealt to parts by a hash of their text, each part with the same share of every shard's residual
+  capacity. A part packs its groups one by one, largest first, in one task. Parts are independent of each other; each
+  ends with its smallest groups, so what parts leave uneven is small and has no direction.
 """
 
 from __future__ import annotations
@@ -15,31 +16,35 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, keep
 
 #: Large groups exceed this fraction of a shard.
 FINE = 64
 #: Groups that exceed this fraction of a shard are cut.
 COARSE = 8
-#: Cells for all groups that are not large.
-CELLS = 16384
+#: Rows in a part, about.
+PART_ROWS = 200_000
 #: Weights of bytes, words and rows. Equal bytes are the law, so they count most.
 WEIGHTS = (3.0, 1.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
+_PLACED = "doc_id long, size long, text_crc32 long, shard int, part long, turn long"
 
-def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
+
+def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.0, 1.0), room: np.ndarray | None = None) -> np.ndarray:
     """The shard of each item: largest items first, each where its dot product with the residual capacity is highest.
 
     vectors has a row per item and a column per dimension; both the items and the capacities are measured in
-    weights of the totals. Ties take the lowest shard.
+    weights of the totals. room: the share of the totals that each shard takes (a row each), the same for all if not given.
+    Ties take the lowest shard.
     """
     total = vectors.sum(0)
     v = vectors / np.where(total > 0, total, 1) * weights
-    room = np.full((shards, v.shape[1]), 1 / max(1, shards)) * weights
+    room = (np.full((shards, v.shape[1]), 1 / max(1, shards)) if room is None else room) * weights
     out = np.zeros(len(v), np.int64)
     for i in np.argsort(-v.max(1), kind="stable") if len(v) else []:
         out[i] = s = int(np.argmax(room @ v[i]))
@@ -47,18 +52,45 @@ def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 1.
     return out
 
 
+def _pack_part(shards: int, room: np.ndarray):
+    """Shard and place in it of the rows of a part; rows of large groups have their shard already."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key, crc, size, words, given = (np.asarray(group.column(c)) for c in ("key", "text_crc32", "size", "words", "given"))
+        free = np.flatnonzero(given < 0)
+        shard = given.astype(np.int64)
+        if len(free):
+            order = free[np.lexsort((size[free], crc[free], key[free]))]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (key, crc, size)], 0)
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(order)))
+            one = np.stack([size[order[first]], words[order[first]], np.ones(len(first))], 1)
+            shard[order] = np.repeat(pack(one * n[:, None], shards, WEIGHTS, room), n)
+        ids = group.column("doc_id").combine_chunks()
+        none, known = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
+        order = np.lexsort((crc, size, known, none, shard))
+        turn = np.empty(len(order), np.int64)
+        begin = np.searchsorted(shard[order], np.arange(shards))
+        turn[order] = np.arange(len(order)) - begin[shard[order]]
+        return pa.table({"doc_id": ids, "size": size, "text_crc32": crc, "shard": shard.astype(np.int32), "part": group.column("part"), "turn": turn})
+
+    return run
+
+
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text).
 
     A null text counts as empty (size 8); a null doc_id is placed like any other; repeated rows each get
     a slot of their own; no rows give no rows; other columns are ignored. Slots of a shard are 0, 1, 2, ...
-    without gaps. law is 'bytes': shards have nearly equal sizes, and words and rows are balanced as well.
+    without gaps. law is 'bytes': shards have nearly equal sizes, and words and rows are balanced as well; the rows of
+    one text are in one shard, unless they make up more than 1/COARSE of a shard in some dimension.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = keep(
         docs.select(
-            F.col("doc_id"),
+            F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
@@ -67,38 +99,45 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         "shard-rows",
     )
     group = ["key", "text_crc32", "size"]
-    total = rows.agg(F.sum("size"), F.sum("words"), F.count("*")).first()
-    if not total[2]:
-        total = (0, 0, 0)
+    total = np.array([x or 0 for x in rows.agg(F.sum("size"), F.sum("words"), F.count("*")).first()], float)
     bound = [max(1.0, x / (shards * FINE)) for x in total]
     groups = rows.groupBy(*group).agg(F.count("*").alias("n"), F.max("words").alias("w"))
     share = F.greatest(F.col("n") * F.col("size") / bound[0], F.col("n") * F.col("w") / bound[1], F.col("n") / bound[2])
     # at most 3 * FINE * shards rows, by the definition of bound
     large = groups.withColumn("share", share).filter("share > 1").orderBy(*group).collect()
-    pieces, base, at = [], [], CELLS
-    for r in large:
-        pieces.append(min(r["n"], math.ceil(r["share"] * COARSE / FINE)))
-        base.append(at)
-        at += pieces[-1]
-    table = spark.createDataFrame([(r["key"], r["text_crc32"], r["size"], p, b) for r, p, b in zip(large, pieces, base, strict=True)], "key long, text_crc32 long, size long, pieces long, base long")
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.col("pieces"))
-    item = F.when(F.col("pieces").isNull(), F.pmod(F.col("key"), F.lit(CELLS))).otherwise(F.col("base") + spread)
-    placed = rows.join(F.broadcast(table), group, "left").select("doc_id", "size", "text_crc32", "words", item.alias("item"))
-    # at most CELLS + 6 * FINE * shards rows: each large group has fewer than share + 1 pieces
-    items = placed.groupBy("item").agg(F.sum("size").alias("b"), F.sum("words").alias("w"), F.count("*").alias("n")).orderBy("item").collect()
-    where = pack(np.array([[r["b"], r["w"], r["n"]] for r in items], float).reshape(len(items), 3), shards, WEIGHTS)
-    filled, out = [0] * shards, []
-    for r, s in zip(items, where.tolist(), strict=True):
-        out.append((r["item"], s, filled[s]))
-        filled[s] += r["n"]
-    plan = spark.createDataFrame(out, "item long, shard int, first long")
-    turn = F.row_number().over(Window.partitionBy("item").orderBy("doc_id", "size", "text_crc32"))
-    return placed.join(F.broadcast(plan), "item").select(
+    pieces = [min(r["n"], 1 if r["share"] * COARSE <= FINE else shards * math.ceil(r["share"] * COARSE / FINE / shards)) for r in large]
+    ends = np.cumsum(pieces).tolist()
+    table = spark.createDataFrame([(r["key"], r["text_crc32"], r["size"], r["w"], p, e - p) for r, p, e in zip(large, pieces, ends, strict=True)], "key long, text_crc32 long, size long, w long, pieces int, base int")
+    piece = F.col("base") + F.pmod(F.xxhash64("doc_id", F.lit(17)), F.col("pieces"))
+    counted = rows.join(F.broadcast(table), group).groupBy(piece.alias("piece")).agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("w").alias("w"))
+    # each large group has fewer than share * COARSE / FINE + shards + 1 pieces, and at most 3 * COARSE * shards groups are cut
+    each = np.zeros((sum(pieces), 3))
+    for r in counted.collect():
+        each[r["piece"]] = r["n"] * r["size"], r["n"] * r["w"], r["n"]
+    # shards have room for all rows; the pieces take their part of it
+    where = pack(each, shards, WEIGHTS, np.full((shards, 3), 1 / shards) * total / np.maximum(each.sum(0), 1))
+    homes = spark.createDataFrame([(r["key"], r["text_crc32"], r["size"], where[e - p : e].tolist()) for r, p, e in zip(large, pieces, ends, strict=True)], "key long, text_crc32 long, size long, shards array<int>")
+    # the share of the other rows that each shard still takes
+    load = np.zeros((shards, 3))
+    np.add.at(load, where, each)
+    room = np.maximum(total / shards - load, 0)
+    room = room / np.where(room.sum(0) > 0, room.sum(0), 1)
+    parts = max(1, math.ceil(total[2] / PART_ROWS))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.size("shards"))
+    given = F.coalesce(F.get("shards", spread), F.lit(-1)).alias("given")
+    part = F.pmod(F.when(F.col("shards").isNull(), F.xxhash64("key", F.lit(5))).otherwise(F.xxhash64("doc_id", F.lit(5))), F.lit(parts)).alias("part")
+    dealt = rows.join(F.broadcast(homes), group, "left").select("doc_id", "size", "text_crc32", "key", "words", given, part)
+    placed = keep(dealt.groupBy("part").applyInArrow(_pack_part(shards, room), _PLACED), "shard-placed")
+    drop(rows)
+    filled = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = keep(filled.select(F.col("shard").alias("of"), F.col("part").alias("in"), before.alias("first")), "shard-first")
+    return placed.join(first, (F.col("shard") == F.col("of")) & (F.col("part") == F.col("in"))).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("first") + turn - 1).cast("long").alias("slot"),
+        (F.col("first") + F.col("turn")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

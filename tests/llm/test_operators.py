@@ -150,6 +150,36 @@ def test_packing_follows_the_dot_product():
     assert np.abs(room).max() < 0.01
 
 
+def test_groups_are_packed_one_by_one(spark, monkeypatch):
+    """Against packing the groups of each part in plain Python; parts by the same hash of the text."""
+    rng = random.Random(21)
+    texts = [" ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 40))) for _ in range(900)]
+    rows = [(i, rng.choice(texts)) for i in range(1500)] + [(None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(sharding, "PART_ROWS", 400)
+    monkeypatch.setattr(sharding, "FINE", 1)
+    got = sharding.shard(docs, 4).collect()
+    part = {r.text: r.part for r in docs.select("text", F.pmod(F.xxhash64(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(5)), F.lit(4)).alias("part")).collect()}
+    key = {r.text: r.key for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).collect()}
+    want = {}
+    for p in range(4):
+        counts = Counter(t or "" for _, t in rows if part[t] == p)
+        groups = sorted(counts, key=lambda t: key[t])
+        v = [np.array([n * (len(t) + 8), n * len(t.split()), n], float) for t, n in ((t, counts[t]) for t in groups)]
+        total, room = np.sum(v, 0), np.full((4, 3), 0.25) * sharding.WEIGHTS
+        share = [x / total * sharding.WEIGHTS for x in v]
+        for i in sorted(range(len(groups)), key=lambda i: -share[i].max()):
+            s = int(np.argmax([r @ share[i] for r in room]))
+            room[s] -= share[i]
+            want[groups[i]] = s
+    crc = {zlib.crc32(t.encode()): t for t in want}
+    assert all(r.shard == want[crc[r.text_crc32]] for r in got) and len(got) == len(rows)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    load = [sum(r.size for r in got if r.shard == s) for s in range(4)]
+    assert max(load) - min(load) < 0.01 * sum(load)
+
+
 # 3
 
 
