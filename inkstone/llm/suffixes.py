@@ -10,10 +10,11 @@ each other if their first LENGTH bytes are equal, so these are what is compared.
    larger than a bucket is cut by a hash of the whole anchor. Equal suffixes have the same anchor, so they never lie
    on two sides of a boundary, and no bucket has anything to compare with the next one. An anchor that is more
    common than a bucket can hold (a licence's first words) has its suffixes dealt one by one, by all their bytes.
-3. Sort. Each bucket sorts its runs by the bytes of their anchors; an anchor that stands alone matches nothing. The
-   suffixes of all other runs are sorted by their own bytes. Both are a multikey quicksort whose keys are eight bytes:
-   groups that are equal so far are sorted by the next key, until they are alone or equal in all LENGTH bytes. Of
-   equal suffixes all but the earliest are repeats. No hash decides on equality.
+3. Sort. Each bucket sorts its runs by the bytes of their anchors; an anchor that stands alone matches nothing. Runs
+   that share one are sorted by their first and last suffixes, and of equal runs all but the earliest are repeats.
+   The suffixes of the other runs are sorted by their own bytes, and of equal ones all but the earliest are repeats.
+   All three are a multikey quicksort whose keys are eight bytes: groups that are equal so far are sorted by the next
+   key, until they are alone or equal in all LENGTH bytes. No hash decides on equality.
 4. Removal. The repeats of a document are united and its bytes outside them are kept.
 
 Each batch of documents sorts its own suffixes first, by the same function, and sends only those on that are the
@@ -36,9 +37,9 @@ from .scratch import keep
 
 LENGTH, GRAM, LEAD = 100, 32, 16
 #: Text bytes that are sorted together before they are sent on; text bytes behind one bucket of runs, and of documents.
-PACK_BYTES, SORT_BYTES, TEXT_BYTES = 8 << 20, 16 << 20, 32 << 20
+PACK_BYTES, SORT_BYTES, TEXT_BYTES = 8 << 20, 8 << 20, 32 << 20
 #: Suffixes that are sorted at a time, but for those of one anchor.
-SORT_SUFFIXES = 1 << 20
+SORT_SUFFIXES = 1 << 19
 #: Ranges of leading bytes at most, and text bytes of the documents that are sampled for their boundaries, about.
 RANGES, SAMPLE_BYTES = 4096, 16 << 20
 
@@ -116,25 +117,49 @@ def repeats(data: np.ndarray, first: np.ndarray, more: np.ndarray, doc: np.ndarr
     first: place of each run's first suffix in data; doc, start: which suffix is earlier. One start of one document is not earlier than itself.
     """
     n = more + 1
-    run = np.repeat(np.arange(len(n)), n)
-    k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    order, group = multikey(data, first[run] + k, LENGTH)
+    run = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    k = (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    again, order, _ = later(*multikey(data, first[run] + k, LENGTH), doc[run], start[run] + k)
+    return run[order[again]].astype(np.int64), k[order[again]].astype(np.int64)
+
+
+def later(order: np.ndarray, group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted strings that equal others (order, by group and then doc and start) which are later than the first of their group, that order, and which are a first one."""
     several = np.zeros(len(order), bool)
     several[1:] = group[1:] == group[:-1]
     several[:-1] |= several[1:]
     order, group = order[several], group[several]
-    run, k = run[order], k[order]
-    when = np.lexsort((start[run] + k, doc[run], group))
-    run, k, group = run[when], k[when], group[when]
-    new = np.ones(len(run), bool)
+    when = np.lexsort((start[order], doc[order], group))
+    order, group = order[when], group[when]
+    new = np.ones(len(order), bool)
     new[1:] = group[1:] != group[:-1]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
-    again = (doc[run] != doc[run[lead]]) | (start[run] + k != start[run[lead]] + k[lead])
-    return run[again], k[again]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return (doc[order] != doc[lead]) | (start[order] != start[lead]), order, new
+
+
+def repeated_runs(data: np.ndarray, first: np.ndarray, more: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which runs equal an earlier one as a whole, so that all their suffixes do.
+
+    A run is at most two suffixes long, so it is its first and its last one: the runs are sorted by the one and then by the other.
+    """
+    one, group = multikey(data, first, LENGTH)
+    head, tail = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+    head[one] = group
+    other, group = multikey(data, first + more, LENGTH)
+    tail[other] = group
+    order = np.lexsort((more, tail, head))
+    new = np.ones(len(order), bool)
+    for x in (head, tail, more):
+        new[1:] &= x[order][1:] == x[order][:-1]
+    new[1:] = ~new[1:]
+    again, order, _ = later(order, np.flatnonzero(new)[np.cumsum(new) - 1], doc, start)
+    out = np.zeros(len(first), bool)
+    out[order[again]] = True
+    return out
 
 
 def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same, sorting the runs by their anchors before the suffixes of those that share one."""
+    """The same, sorting the runs by their anchors, those that share one as wholes, and only then the suffixes of those that differ."""
     order, group = multikey(data, first + anchor, GRAM)
     shared = np.zeros(len(order), bool)
     shared[1:] = group[1:] == group[:-1]
@@ -148,6 +173,10 @@ def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anc
         reach = np.searchsorted(ends, (ends[a - 1] if a else 0) + SORT_SUFFIXES, "right")
         b = int(cuts[max(np.searchsorted(cuts, reach, "right") - 1, np.searchsorted(cuts, a, "right"))])
         o = order[a:b]
+        whole = repeated_runs(data, first[o], more[o], doc[o], start[o])
+        n = more[o[whole]] + 1
+        found.append((np.repeat(o[whole], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+        o = o[~whole]
         run, k = repeats(data, first[o], more[o], doc[o], start[o])
         found.append((o[run], k))
         a = b
@@ -212,10 +241,16 @@ def _spans(doc: np.ndarray, start: np.ndarray, more: np.ndarray, ids: np.ndarray
 def _gathered(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The fields of packed rows, their documents (third field) as ranks, and the ids and tags of the ranks."""
     got = [unpack(b, *kinds) for b in blobs]
+    blobs.clear()
     rank, ids, tags = _ranked(np.concatenate([np.cumsum(x[-2]) for x in got]), np.concatenate([x[-1] for x in got]))
     base = np.cumsum([0, *(len(x[-1]) for x in got)])
     doc = np.concatenate([x[2].astype(np.int64) + b for x, b in zip(got, base, strict=False)])
-    return [np.concatenate([x[k] for x in got]) for k in range(len(kinds) - 2)], rank[doc], ids, tags
+    fields = []
+    for k in range(len(kinds) - 2):
+        fields.append(np.concatenate([x[k] for x in got]))
+        for x in got:
+            x[k] = None
+    return fields, rank[doc], ids, tags
 
 
 def _bytes_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
