@@ -1,14 +1,15 @@
 """Stupid-backoff scores of documents under a bigram model of the whole corpus.
 
-S(w | v) = c(v w) / c(v) if the bigram occurs at least LEAST times, else 0.4 * c(w) / N; the first word of
-a document has c(w) / N. Scores are summed in millionths of ln, each logarithm rounded by itself, so sums
-are exact in any order.
+A word is scored by all of the corpus but its own occurrence, as that is no evidence for it: with c' = c - 1 and N' = N - 1,
+S(w | v) = c'(v w) / c'(v) if c'(v w) > 0, else 0.4 * S(w); S(w) = c'(w) / N' if c'(w) > 0, else 0.4 / N'. The first word
+of a document has S(w). So every bigram counts, and one that occurs nowhere else backs off. Scores are summed in millionths
+of ln, each logarithm rounded by itself, so sums are exact in any order.
 
 Count tables are partitioned by word hash. The exploded bigrams of all documents go to the partition of their
 second word, where c(w) and c(v w) are counted; what is still missing, c(v), is asked of the table of
 single words, which is partitioned alike. Words that make up a large part of a partition (HOT) are spread
 over all partitions by their first word; their exact counts, of which there is a bounded number, are known
-everywhere. Rows hold packed arrays of one partition and one batch of documents.
+everywhere (MOST_HOT at most). Rows hold packed arrays of one partition and one batch of documents.
 """
 
 from __future__ import annotations
@@ -23,18 +24,21 @@ from pyspark.sql import functions as F
 
 from .batch import hash_of, mix, slices
 from .packing import ROWS, SCHEMA, by_part, pack, rows, unpack
-from .scratch import keep
+from .scratch import keep, settled
 
-LEAST, ALPHA, MILLION = 2, 0.4, 1e6
+ALPHA, MILLION = 0.4, 1e6
 #: Word hashes have 48 bits; 0 stands for the start of a document.
 _MASK = np.uint64((1 << 48) - 1)
 #: Bigrams in a partition, about, and the part of it from which on a word is hot.
 PARTITION, HOT = 3 << 19, 16
+#: Hot words at most (16 MB).
+MOST_HOT = 1 << 20
 #: Partitions at least.
 LEAST_PARTS = 96
 #: Text bytes whose bigrams are packed together.
 PACK_BYTES = 8 << 20
 
+
 def _micro(x) -> np.ndarray:
     return np.floor(np.log(x) * MILLION + 0.5).astype(np.int64)
 
@@ -109,7 +113,7 @@ def _doc_part(docs: np.ndarray, parts: int) -> np.ndarray:
     return _part(mix((docs >> _NEAR).view(np.uint64)), parts)
 
 
-def _bigrams(parts: int, hot: np.ndarray):
+def _bigrams(parts: int, shared):
     """The bigrams of runs of documents by the partition of their second word (a hot one: of both words), and the documents.
 
     Documents are numbered by task and place in it, so that the numbers of neighbours differ little.
@@ -117,6 +121,7 @@ def _bigrams(parts: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        hot = shared.value[0]
         base = TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:
@@ -181,10 +186,11 @@ def _moved(group: pa.Table, parts: int) -> pa.Table:
     return pa.table([pa.array([p - parts for p in group.column("part").to_pylist()], pa.int32()), group.column("kind"), group.column("blob")], schema=SCHEMA)
 
 
-def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
+def _score(parts: int, total: int, shared):
     """Count the words and bigrams of one partition and score its bigrams, all but for c(v) of words that are not hot."""
 
     def known(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hot, hot_counts = shared.value
         if not len(hot):
             return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
@@ -207,10 +213,11 @@ def _score(parts: int, total: int, hot: np.ndarray, hot_counts: np.ndarray):
         is_hot, n = known(second)
         single = np.where(is_hot, n, single)
         begins = first == 0
-        full = ~begins & (pair >= LEAST)
-        micro = np.where(full, _micro(pair), _micro(single) - int(_micro(float(total))) + np.where(begins, 0, int(_micro(ALPHA))))
+        full = ~begins & (pair > 1)
+        alone = np.where(single > 1, _micro(np.maximum(single - 1, 1)), int(_micro(ALPHA))) - int(_micro(float(max(1, total - 1))))
+        micro = np.where(full, _micro(np.maximum(pair - 1, 1)), alone + np.where(begins, 0, int(_micro(ALPHA))))
         first_hot, n = known(first)
-        micro = micro - np.where(full & first_hot, _micro(np.maximum(n, 1)), 0)
+        micro = micro - np.where(full & first_hot, _micro(np.maximum(n - 1, 1)), 0)
         out = _packed_sums(*_sums(key, doc, micro, np.ones(len(doc)), full), parts)
         ask = np.flatnonzero(full & ~first_hot)
         to = _part(first[ask], parts)
@@ -235,7 +242,7 @@ def _answer(parts: int):
         asked = [unpack(b, *_ASKED_KINDS) for k, b in zip(kinds, blobs, strict=True) if k == _ASKED]
         if not asked:
             return pa.Table.from_batches([rows([])])
-        lost = _micro(table[1])
+        lost = _micro(np.maximum(table[1] - 1, 1))
         sums = [_sums(np.cumsum(docs), local.astype(np.int64), -np.repeat(lost[np.searchsorted(table[0], words)], runs)) for words, runs, docs, local in asked]
         own = np.concatenate([k for k, _ in sums])
         own, micro = _sums(own, np.arange(len(own)), np.concatenate([m for _, m in sums]))
@@ -270,17 +277,18 @@ def scores(docs: DataFrame) -> DataFrame:
     or empty text has no words and a null score; repeated rows count each time in the model and get equal scores;
     no rows give no rows; other columns are ignored.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    text = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lm-documents")
+    size = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-size // (6 * PARTITION)))
     singles = text.select("text").mapInArrow(_singles(parts), ROWS)
     table = keep(singles.groupBy("part").applyInArrow(_table, f"{ROWS}, total long"), "lm-words")
     total = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    least = max(2, -(-total // (parts * HOT)))
-    frequent = table.select("blob").mapInArrow(_frequent(least), "word long, n long").orderBy("word").collect()  # at most parts * HOT rows
-    hot, hot_counts = np.array([r["word"] for r in frequent], np.uint64), np.array([r["n"] for r in frequent], np.int64)
-    packed = text.mapInArrow(_bigrams(parts, hot), ROWS)
-    scored = keep(packed.groupBy("part").applyInArrow(_score(parts, max(1, total), hot, hot_counts), ROWS), "lm-scores")
+    least = max(2, -(-total // min(parts * HOT, MOST_HOT)))
+    frequent = table.select("blob").mapInArrow(_frequent(least), "word long, n long").orderBy("word").toArrow()  # at most parts * HOT rows, and MOST_HOT
+    hot = np.asarray(frequent.column("word")).astype(np.uint64), np.asarray(frequent.column("n"))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    packed = text.mapInArrow(_bigrams(parts, shared), ROWS)
+    scored = keep(packed.groupBy("part").applyInArrow(_score(parts, max(1, total), shared), ROWS), "lm-scores")
     asked = scored.filter(F.col("kind") == _ASKED).union(table.select("part", "kind", "blob"))
     answers = asked.groupBy("part").applyInArrow(_answer(parts), ROWS)
     return scored.filter(F.col("kind").isin(_SUMS, _ROWS)).union(answers).groupBy("part").applyInArrow(_total, _OUT)

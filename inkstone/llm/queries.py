@@ -71,11 +71,11 @@ ORACLES: dict[str, str] = {
         with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
         t as (select doc_id, unnest(ws) as w, unnest(list_prepend(null, ws[:-2])) as v, unnest(range(len(ws))) as i from w),
         c1 as (select w, count(*) as n from t group by w),
-        c2 as (select v, w, count(*) as n from t where i > 0 group by v, w having count(*) >= 2),
+        c2 as (select v, w, count(*) as n from t where i > 0 group by v, w having count(*) > 1),
         total as (select count(*) as n from t),
         s as (select t.doc_id, c2.n is not null as full_,
-                     case when c2.n is not null then floor(ln(c2.n) * 1e6 + 0.5) - floor(ln(cv.n) * 1e6 + 0.5)
-                          else floor(ln(cw.n) * 1e6 + 0.5) - floor(ln(total.n) * 1e6 + 0.5)
+                     case when c2.n is not null then floor(ln(c2.n - 1) * 1e6 + 0.5) - floor(ln(cv.n - 1) * 1e6 + 0.5)
+                          else floor(ln(case when cw.n > 1 then cw.n - 1 else 0.4::double end) * 1e6 + 0.5) - floor(ln(greatest(total.n - 1, 1)) * 1e6 + 0.5)
                                + case when t.i = 0 then 0 else floor(ln(0.4::double) * 1e6 + 0.5) end end as micro
               from t cross join total join c1 cw on cw.w = t.w left join c1 cv on cv.w = t.v
               left join c2 on c2.v = t.v and c2.w = t.w and t.i > 0),

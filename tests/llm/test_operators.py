@@ -524,11 +524,11 @@ def test_backoff(spark, docs, rows, none, monkeypatch):
     for r in rows:
         w, s, n = tokens(r[1]), 0, 0
         for k, x in enumerate(w):
-            if k and two[w[k - 1], x] >= 2:
-                s += micro(two[w[k - 1], x]) - micro(one[w[k - 1]])
+            if k and two[w[k - 1], x] - 1 > 0:
+                s += micro(two[w[k - 1], x] - 1) - micro(one[w[k - 1]] - 1)
                 n += 1
             else:
-                s += micro(one[x]) - micro(total) + (micro(0.4) if k else 0)
+                s += micro(one[x] - 1 if one[x] > 1 else 0.4) - micro(total - 1) + (micro(0.4) if k else 0)
         want.append((r[0], len(w), n, round(s / (len(w) * 1e6), 9) if w else None))
     for hot in (16, 1 << 20):  # few hot words, and all of them
         monkeypatch.setattr(backoff, "HOT", hot)
