@@ -16,16 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import LOWER, SPACE, Texts, hash_of, mix, roll, slices
-from .packing import ROWS, by_part, pack, rows, unpack
+from .filters import held, key_filter
+from .scratch import drop, keep
 
 BUCKETS = 1 << 17
 #: Pieces in which count vectors travel.
 PIECES = 64
-#: Text bytes of the documents that are counted together.
-PART_BYTES = 48 << 20
 THRESHOLD, PRIOR = -0.1, 1.0
 WINDOW = 8
-_DOCUMENTS, _GOOD = range(2)
 LEAST_WORDS, MOST_REPEATED = 20, 30
 
 _KIND = np.where(SPACE, 0, 2).astype(np.uint8)
@@ -64,91 +62,49 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> shift).astype(np.int64), pairs, offs
 
 
-def _parts_of(ids: np.ndarray, none: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each id; rows without one go anywhere."""
-    keys = np.where(none, np.arange(len(ids)), ids).astype(np.int64)
-    return (mix(keys.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
-
-
-def _texts(parts: int):
-    """Documents packed by the part of their id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            none = np.asarray(ids.is_null())
-            known = np.asarray(ids.fill_null(0))
-            part = _parts_of(known, none, parts)
-            for texts in slices(batch.column("text"), 8 << 20):
-                to = part[texts.first : texts.first + len(texts)]
-                order = np.argsort(to, kind="stable")
-                found = []
-                for p, s in by_part(to[order], parts):
-                    o = order[s]
-                    data = np.concatenate([texts.data[texts.offs[i] : texts.offs[i + 1]] for i in o])
-                    found.append((p, _DOCUMENTS, pack(("<i8", known[texts.first + o]), ("<u1", none[texts.first + o]), ("<i8", texts.lengths()[o]), ("<u1", data))))
-                yield rows(found)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a task's documents by bucket, in PIECES rows."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for texts in slices(batch.column("text")):
+            one, two, _ = features(texts)
+            total += np.bincount(one, minlength=BUCKETS) + np.bincount(two, minlength=BUCKETS + 1)[:BUCKETS]
+    yield pa.RecordBatch.from_pydict({"piece": pa.array(np.arange(PIECES, dtype=np.int32)), "counts": pa.array([x.tobytes() for x in total.reshape(PIECES, -1)], pa.binary())})
 
-    return run
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for kind, piece, counts in zip(batch.column("kind").to_pylist(), batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
+            v = np.frombuffer(counts.as_py(), np.int64)
+            total[kind, piece] = total[kind, piece] + v if (kind, piece) in total else v
+    yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in total], pa.int32()), "piece": pa.array([p for _, p in total], pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
-def _good(parts: int):
-    """Ids packed by their part."""
 
+def _likely(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.sort(np.asarray(batch.column("doc_id")))
-            part = _parts_of(ids, np.zeros(len(ids), bool), parts)
-            order = np.argsort(part, kind="stable")
-            yield rows([(p, _GOOD, pack(("<i8", ids[order[s]]))) for p, s in by_part(part[order], parts)])
+            yield batch.take(pa.array(held(shared.value, np.asarray(batch.column("doc_id")).view(np.uint64))))
 
     return run
 
 
-def _count(group: pa.Table) -> pa.Table:
-    """Count vectors (raw, trusted) of a part, in PIECES rows."""
-    kinds, blobs = group.column("kind").to_pylist(), [x.as_py() for x in group.column("blob")]
-    good = np.unique(np.concatenate([np.zeros(0, np.int64), *(unpack(b, "<i8")[0] for k, b in zip(kinds, blobs, strict=True) if k == _GOOD)]))
-    total = np.zeros((2, BUCKETS), np.int64)
-    for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == _DOCUMENTS):
-        ids, none, lengths, data = unpack(blob, "<i8", "<u1", "<i8", "<u1")
-        trusted = np.isin(ids, good) & (none == 0)
-        ends = np.cumsum(lengths)
-        column = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.concatenate(([0], ends)).tobytes()), pa.py_buffer(data)])
-        for texts in slices(column):
-            one, two, offs = features(texts)
-            own = np.repeat(trusted[texts.first : texts.first + len(texts)], np.diff(offs))
-            for row, chosen in enumerate((slice(None), own)):
-                total[row] += np.bincount(one[chosen], minlength=BUCKETS)
-                total[row] += np.bincount(two[chosen], minlength=BUCKETS + 1)[:BUCKETS]
-    parts = total.reshape(2, PIECES, -1).transpose(1, 0, 2)
-    return pa.table({"piece": pa.array(np.arange(PIECES, dtype=np.int32)), "counts": pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())})
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
-            v = np.frombuffer(counts.as_py(), np.int64)
-            total[piece] = total[piece] + v if piece in total else v
-    yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
-
-
 def weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p(target) - log p(raw) of each bucket, counted over all of docs; zero throughout if nothing is labelled good.
 
-    Labels meet their documents by id: texts are exchanged compressed, a part of them at a time.
+    The raw corpus is counted where it is read. Labels meet their documents by id; a filter of the good ids goes first,
+    so only texts that are labelled good, and few others, are exchanged for it.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(24, -(-size // PART_BYTES))
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    both = text.mapInArrow(_texts(parts), ROWS).union(good.mapInArrow(_good(parts), ROWS))
-    vectors = both.groupBy("part").applyInArrow(_count, "piece int, counts binary")
-    found = vectors.repartition("piece").mapInArrow(_add, "piece int, counts binary").collect()  # PIECES rows, 2 MB together
+    good = keep(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "llr-good")
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(good, "doc_id"))
+    trusted = text.filter("doc_id is not null").mapInArrow(_likely(shared), "doc_id long, text string").join(good, "doc_id", "left_semi")
+    vectors = [d.select("text").mapInArrow(_count, "piece int, counts binary").withColumn("kind", F.lit(k)) for k, d in enumerate((text, trusted))]
+    found = vectors[0].union(vectors[1]).repartition("kind", "piece").mapInArrow(_add, "kind int, piece int, counts binary").collect()  # 2 * PIECES rows, 2 MB together
+    drop(good)
     counts = np.zeros((2, PIECES, BUCKETS // PIECES), np.int64)
     for r in found:
-        counts[:, r["piece"]] = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
+        counts[r["kind"], r["piece"]] = np.frombuffer(r["counts"], np.int64)
     raw, target = counts.reshape(2, BUCKETS).astype(float)
     if not target.sum():
         return np.zeros(BUCKETS)

@@ -422,6 +422,85 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxic.scored(docs, spark.createDataFrame([], LABELS)).collect()} == {0.0}
 
 
+def made(rng, n=12):
+    """A few samples as buckets() makes them, with parameters in double precision."""
+    texts = [words(rng, rng.randrange(1, 9)) + " Vile" * (i % 3 == 0) for i in range(n)] + ["one"]
+    column = pa.array(texts)
+    samples = [(w, at, i % 3 == 0) for i, (w, at, _) in enumerate(toxic.buckets(t) for t in toxic.each(column))]
+    known = np.unique(np.concatenate([w.ravel() for w, *_ in samples]))
+    known = known[known != toxic._NONE][::2]
+    ids = np.zeros(toxic._NONE + 1, np.int32)
+    ids[known] = np.arange(1, len(known) + 1)
+    y = np.array([float(t) for *_, t in samples])
+    p = {k: v.astype(float) for k, v in toxic.start(y, len(known), np.random.default_rng(5)).items()}
+    p["bias"] += 0.3
+    return samples, y, ids, p
+
+
+def naive_score(p, ids, words_of, at):
+    """The network for one document, word by word and filter by filter."""
+    emb = [sum(p["emb"][ids[b]] for b in words_of[i]) for i in at]
+    z = p["out_bias"][0]
+    for k, width in enumerate(toxic.WIDTHS):
+        for f in range(toxic.FILTERS):
+            place = lambda i: sum(emb[i + o] @ p[f"w{width}"][o][:, f] for o in range(width) if i + o < len(emb))
+            column = k * toxic.FILTERS + f
+            z += p["out"][column] * max(0.0, max(map(place, range(len(emb)))) + p["bias"][column])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_the_network_scores_like_a_naive_one():
+    samples, _, ids, p = made(random.Random(31))
+    model = toxic.built(p, ids)
+    got = model.scores(*toxic._joined(samples))
+    want = [naive_score(p, ids, w, at.tolist()) for w, at, _ in samples]
+    assert np.allclose(got, want, atol=1e-5) and len({round(x, 3) for x in want}) > 3
+    nothing = model.scores(np.zeros((0, 1 + len(toxic.STEMS)), np.uint32), np.zeros(0, np.int64), np.array([0, 0]))
+    assert np.allclose(nothing, 1 / (1 + math.exp(-p["out_bias"][0])))
+
+
+def test_gradients_are_those_of_the_loss():
+    samples, y, ids, p = made(random.Random(32))
+
+    def loss():
+        s = np.array([naive_score(p, ids, w, at.tolist()) for w, at, _ in samples])
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    g, rows, of_rows = toxic.gradients(p, ids, samples, y)
+    emb = np.zeros_like(p["emb"])
+    emb[rows] = of_rows
+    rng, seen = random.Random(33), 0
+    for name, grad in {**g, "emb": emb}.items():
+        for flat in rng.sample(range(p[name].size), min(p[name].size, 12)):
+            at = np.unravel_index(flat, p[name].shape)
+            if name == "emb" and at[0] == 0:
+                continue
+            old, values = p[name][at], []
+            for step in (1e-6, -1e-6):
+                p[name][at] = old + step
+                values.append(loss())
+            p[name][at] = old
+            assert math.isclose(grad[at], (values[0] - values[1]) / 2e-6, rel_tol=1e-3, abs_tol=1e-7), (name, at)
+            seen += abs(grad[at]) > 1e-6
+    assert seen > 20
+
+
+def test_thresholds_by_language():
+    s = np.array([0.95, 0.9, 0.4, 0.2, 0.1])
+    assert toxic.threshold(s, np.array([1, 1, 0, 0, 0])) == pytest.approx(0.65) and toxic.threshold(s, np.array([1, 1, 1, 0, 0])) == 0.5
+    model = toxic.Model(np.zeros(toxic._NONE + 1, np.int32), [[np.zeros((1, toxic.FILTERS), np.float32)] * w for w in toxic.WIDTHS], np.zeros(24, np.float32), np.zeros(24, np.float32), 3.0)
+    sample = lambda label: (np.full((1, 1 + len(toxic.STEMS)), toxic._NONE, np.uint32), np.zeros(1, np.int64), label)
+    toxic.calibrate(model, [sample(1)] * 20 + [sample(0)] * 5 + [sample(1)] * 3, ["en"] * 25 + ["fr"] * 3)
+    assert set(model.thresholds) == {None, "en"} and all(0.5 <= t <= 0.9 for t in model.thresholds.values())
+
+
+def test_no_language_column(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} vile" if i % 4 == 0 else f"word{i % 7}") for i in range(200)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], LABELS)
+    assert toxic.without_toxic(docs, labels).columns == ["doc_id", "text"] and toxic.scored(docs, labels).count() == 201
+    assert not [r.doc_id for r in toxic.without_toxic(docs, labels).collect() if r.doc_id is not None and r.doc_id % 4 == 0]
+
+
 # 7
 
 
@@ -564,6 +643,38 @@ def test_quality(spark, docs, rows, none):
     assert {r.llr for r in llr.judged(both, spark.createDataFrame([], LABELS)).collect()} == {0.0}
 
 
+def test_llr_from_dictionaries(spark, docs, rows):
+    """Counts, ratios, means and verdicts from dictionaries; only the bucket of an n-gram is asked of the operator."""
+    bucket: dict = {}
+
+    def grams(text):
+        raw = re.sub(b"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+        toks = re.findall(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0D]+", raw)
+        for g in [(t,) for t in toks] + list(zip(toks, toks[1:], strict=False)):
+            if g not in bucket:
+                one, two, _ = llr.features(llr.Texts(np.frombuffer(b" ".join(g), np.uint8), np.array([0, len(b" ".join(g))])))
+                bucket[g] = int(two[0]) if len(g) == 2 else int(one[0])
+            yield bucket[g]
+
+    labels = [(i, int(i % 3 == 0), 0) for i in range(45)] + [(9, 0, 0), (9, 1, 0), (None, 1, 0)]
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    raw, target = Counter(), Counter()
+    for r in rows:
+        found = list(grams(r[1]))
+        raw.update(found)
+        target.update(found if r[0] in good else [])
+    share = sum(target.values()) / sum(raw.values())
+    weight = {b: math.log(target[b] + llr.PRIOR) - math.log(raw[b] * share + llr.PRIOR) for b in raw}
+    got = llr.judged(docs, spark.createDataFrame(labels, LABELS)).collect()
+    want = Counter()
+    for r in rows:
+        found, b = [weight[g] for g in grams(r[1])], base_brute(r[1])
+        mean = sum(found) / len(found) if found else 0.0
+        failed = b[0] < 20 or 100 * b[4] > 30 * b[0]
+        want[r[0], round(mean, 6), not failed and mean >= llr.THRESHOLD] += 1
+    assert Counter((r.doc_id, round(r.llr, 6), r.kept) for r in got) == want and {k for *_, k in want} == {True, False}
+
+
 def test_llr_tells_junk_from_prose(spark):
     rng = random.Random(9)
     good = [(i, " ".join(f"word{rng.randrange(60)}" for _ in range(50)) + ".") for i in range(100)]
