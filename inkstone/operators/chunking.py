@@ -1,4 +1,4 @@
-"""Chunk sizing: gates, packing, overlap and merging as Column expressions over a document's arrays."""
+"""Chunk sizing over a document's arrays: gates and paths as Column expressions, packing, overlap and merging (ordered folds) as Arrow functions."""
 
 from __future__ import annotations
 
@@ -34,39 +34,33 @@ def recursive_split(text: pa.Array, size: pa.Array) -> pa.Array:
     return pa.array([None if t is None else splitter.recursive_split(t, n) for t, n in pairs], pa.list_(pa.string()))
 
 
-def pack_pieces(pieces: Column, budget: Column) -> Column:
+@F.arrow_udf(K.ArrayType(K.StringType()))
+def pack_pieces(pieces: pa.Array, budget: pa.Array) -> pa.Array:
     """Neighbouring pieces (struct<text, atomic>) joined by blank lines up to budget; an atomic piece over it stands alone."""
-    kind = "struct<done:array<string>,now:string>"
-    cast = lambda done, now: F.struct(done.alias("done"), now.cast("string").alias("now")).cast(kind)
-    closed = lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+    pairs = zip(pieces.to_pylist(), budget.to_pylist(), strict=True)
+    return pa.array([None if xs is None else splitter.packed([(x["text"], x["atomic"]) for x in xs], n) for xs, n in pairs], pa.list_(pa.string()))
 
-    def step(acc: Column, p: Column) -> Column:
-        t = F.btrim(p["text"], F.lit("\n"))
-        return (
-            F.when(T.strip(t) == "", cast(acc["done"], acc["now"]))
-            .when(p["atomic"] & (F.length(t) > budget), cast(F.concat(closed(acc), F.array(t)), F.lit("")))
-            .when(acc["now"] == "", cast(acc["done"], t))
-            .when(F.length(acc["now"]) + 2 + F.length(t) <= budget, cast(acc["done"], F.concat(acc["now"], F.lit("\n\n"), t)))
-            .otherwise(cast(closed(acc), t))
-        )
 
-    return F.aggregate(pieces, cast(F.array().cast("array<string>"), F.lit("")), step, closed)
+@F.arrow_udf(K.ArrayType(K.StringType()))
+def _overlapped(parts: pa.Array, budget: pa.Array, overlap: pa.Array) -> pa.Array:
+    rows = zip(parts.to_pylist(), budget.to_pylist(), overlap.to_pylist(), strict=True)
+    return pa.array([None if xs is None else splitter.overlapped(xs, n, k) for xs, n, k in rows], pa.list_(pa.string()))
 
 
 def sentence_overlap(parts: Column, budget: Column, overlap: int) -> Column:
     """Each part behind as many of the last sentences of the part before, as it stands by then, as fit."""
+    return _overlapped(parts, budget, F.lit(overlap))
+
+
+_GROUP = K.StructType([K.StructField(x, K.IntegerType()) for x in ("first", "last", "length")])
 
-    def step(acc: Column, part: Column) -> Column:
-        before = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))
-        every = sentences(before)
-        tail = F.slice(every, F.greatest(F.size(every) - overlap, F.lit(0)) + 1, F.lit(max(overlap, 1)))
-        prefixes = F.transform(tail, lambda s, i: F.array_join(F.slice(tail, i + 1, F.size(tail)), ""))
-        fit = F.get(F.filter(prefixes, lambda x: F.length(x) + 1 + F.length(part) <= budget), F.lit(0))
-        with_tail = F.coalesce(F.concat(fit, F.lit("\n"), part), part)
-        first = (F.size(acc) == 0) | F.lit(overlap == 0) | (F.length(part) > budget)
-        return F.concat(acc, F.array(F.when(first, part).otherwise(with_tail)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+@F.arrow_udf(K.ArrayType(_GROUP))
+def _neighbours(drafts: pa.Array, least: pa.Array, most: pa.Array) -> pa.Array:
+    names = ("first", "last", "length")
+    rows = zip(drafts.to_pylist(), least.to_pylist(), most.to_pylist(), strict=True)
+    found = [None if xs is None else [dict(zip(names, g, strict=True)) for g in splitter.neighbours(((x["key"], x["length"]) for x in xs), low, high)] for xs, low, high in rows]
+    return pa.array(found, pa.list_(pa.struct([(x, pa.int32()) for x in names])))
 
 
 def merge_short(drafts: Column, min_length: int, max_length: int) -> Column:
@@ -75,27 +69,7 @@ def merge_short(drafts: Column, min_length: int, max_length: int) -> Column:
     A short group takes in those after it while they have its key and fit; one that stays short joins the group
     before it if it may. Only keys and lengths are carried: the length of joined drafts is a + 2 + b.
     """
-    g = "struct<first:int,last:int,length:int,key:string>"
-    kind = f"struct<done:array<{g}>,now:{g}>"
-    group = lambda first, last, length, key: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), length.cast("int").alias("length"), key.cast("string").alias("key"))
-    fits = lambda a, b: (a["key"] == b["key"]) & (a["length"] + 2 + b["length"] <= max_length)
-    joined = lambda a, b: group(a["first"], b["last"], a["length"] + 2 + b["length"], a["key"])
-
-    def settled(acc: Column) -> Column:
-        now, done = acc["now"], acc["done"]
-        last = F.get(done, F.size(done) - 1)
-        back = (now["length"] < min_length) & F.coalesce(fits(last, now), F.lit(False))
-        return F.when(now.isNull(), done).when(back, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined(last, now)))).otherwise(F.concat(done, F.array(now)))
-
-    numbered = F.transform(drafts, lambda d, i: group(i, i, d["length"], d["key"]))
-
-    def step(acc: Column, d: Column) -> Column:
-        now = acc["now"]
-        forward = now.isNotNull() & (now["length"] < min_length) & fits(now, d)
-        state = lambda done, x: F.struct(done.alias("done"), x.alias("now")).cast(kind)
-        return F.when(forward, state(acc["done"], joined(now, d))).otherwise(state(settled(acc), d))
-
-    return F.aggregate(numbered, F.expr(f"cast(named_struct('done', array(), 'now', null) as {kind})"), step, settled)
+    return _neighbours(drafts, F.lit(min_length), F.lit(max_length))
 
 
 def common_path(paths: Column) -> Column:

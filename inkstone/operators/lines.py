@@ -1,23 +1,27 @@
-"""Lines, fences, headings and sections of Markdown, one array per document.
+"""Lines, fences, headings, sections and blocks of Markdown, each document within its row.
 
-A document's lines stay in its row as arrays: no exchange is needed to bring them together again, and
-every step is linear in the text. Only fences and heading paths need a fold, over the few lines that matter.
+Lines and fences are found by splitting the text at whole fences; nothing is folded, and every step is linear in the
+text. Heading paths and blocks are ordered folds, so they are one Arrow pass over the documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans import splitter
 
 # Formats of the input.
 FENCE = r"(?d)\A {0,3}(`{3,}|~{3,})(.*)\z"
 HEADING = r"(?d)\A {0,3}(#{1,6})[ \t]+(.+?)[ \t]*\z"
-IMAGE_LINE = r"(?dU)\A\s*!\[[^\]]*\]\([^\n]+\)\s*\z"
-LINK_LINE = r"(?dU)\A\s*\[[^\]]+\]\([^\n]+\)\s*\z"
+#: A whole fence: its opening line, and all up to a line with nothing but as long a marker, or up to the end.
+WHOLE_FENCE = r"(?dmU)^ {0,3}(?:(`{3,}+)[^`\n]*|(~{3,}+)[^\n]*)$(?:[\u0000-\x{10FFFF}]*?\n {0,3}(?:\1`*+|\2~*+)[\s\x1c-\x1f&&[^\n]]*$|[\u0000-\x{10FFFF}]*\z)"
 
-SPANS = "array<struct<first:int,last:int>>"
+LINE = "array<struct<line:string,in_fence:boolean>>"
 
 
 def lines(text: Column) -> Column:
@@ -35,34 +39,21 @@ def opens(line: Column) -> Column:
     return (m != "") & ~(m.startswith("`") & F.regexp_extract(line, FENCE, 2).contains("`"))
 
 
-def fences(text_lines: Column) -> Column:
-    """First and last line of each fence in an array of lines; the last one runs to the end if it isn't closed."""
-    candidate = lambda x, i: F.struct(
-        i.cast("int").alias("at"), marker(x).alias("mark"), opens(x).alias("opens"), (T.strip(F.regexp_extract(x, FENCE, 2)) == "").alias("bare")
-    )
-    found = F.filter(F.transform(text_lines, candidate), lambda c: c["mark"] != "")
-    state = lambda mark, first, done: F.struct(mark.cast("string").alias("mark"), first.cast("int").alias("first"), done.cast(SPANS).alias("done"))
-
-    def step(acc: Column, c: Column) -> Column:
-        closes = c["bare"] & (F.substring(c["mark"], 1, 1) == F.substring(acc["mark"], 1, 1)) & (F.length(c["mark"]) >= F.length(acc["mark"]))
-        span = F.array(F.struct(acc["first"].alias("first"), c["at"].alias("last")))
-        return (
-            F.when((acc["mark"] == "") & c["opens"], state(c["mark"], c["at"], acc["done"]))
-            .when((acc["mark"] != "") & closes, state(F.lit(""), F.lit(-1), F.concat(acc["done"], span)))
-            .otherwise(state(acc["mark"], acc["first"], acc["done"]))
-        )
-
-    rest = lambda acc: F.array(F.struct(acc["first"].alias("first"), (F.size(text_lines) - 1).cast("int").alias("last")))
-    finish = lambda acc: F.when(acc["mark"] == "", acc["done"]).otherwise(F.concat(acc["done"], rest(acc).cast(SPANS)))
-    return F.aggregate(found, state(F.lit(""), F.lit(-1), F.array()), step, finish)
+def fenced_lines(text: Column) -> Column:
+    """array<struct<line, in_fence>> of a text: a fence's opening and closing lines are inside it; one that isn't closed runs to the end."""
+    pieces = F.arrays_zip(F.split(text, WHOLE_FENCE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WHOLE_FENCE), F.lit(0)).alias("fence"))
+    flagged = lambda xs, inside: F.transform(xs, lambda x: F.struct(x.alias("line"), F.lit(inside).alias("in_fence"))).cast(LINE)
+    nothing = F.array().cast(LINE)
 
+    def piece(z: Column, i: Column) -> Column:
+        # the line ends beside a fence belong to neither side
+        before, after = (i > 0).cast("int"), z["fence"].isNotNull().cast("int")
+        empty = F.length(z["gap"]) == F.when(before + after == 2, 1).when(before + after == 1, 0).otherwise(-1)
+        inner = F.substring(z["gap"], before + 1, F.length(z["gap"]) - before - after)
+        gap = F.when(empty, nothing).otherwise(flagged(lines(inner), False))
+        return F.concat(gap, F.when(z["fence"].isNull(), nothing).otherwise(flagged(lines(z["fence"]), True)))
 
-def mask(text_lines: Column, spans: Column) -> Column:
-    """For each line whether it is inside a fence (its opening and closing lines are)."""
-    before = lambda i: F.coalesce(F.get(spans, i - 1)["last"] + 1, F.lit(0))
-    part = lambda s, i: F.concat(F.array_repeat(F.lit(False), s["first"] - before(i)), F.array_repeat(F.lit(True), s["last"] - s["first"] + 1))
-    after = F.size(text_lines) - before(F.size(spans))
-    return F.concat(F.flatten(F.transform(spans, part)), F.array_repeat(F.lit(False), after))
+    return F.flatten(F.transform(pieces, piece))
 
 
 def heading_level(line: Column) -> Column:
@@ -71,58 +62,31 @@ def heading_level(line: Column) -> Column:
     return F.when(real, F.length(F.regexp_extract(line, HEADING, 1))).otherwise(0)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, md_content, ...) with lines, spans (fences) and levels (0: no heading) of each document."""
-    out = docs.withColumn("lines", lines(F.col("md_content"))).withColumn("spans", fences(F.col("lines")))
-    level = lambda z: F.when(z["fenced"], 0).otherwise(heading_level(z["line"])).cast("int")
-    both = F.arrays_zip(F.col("lines").alias("line"), mask(F.col("lines"), F.col("spans")).alias("fenced"))
-    return out.withColumn("levels", F.transform(both, level))
-
-
 def exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, in_fence, heading_level: a row per line; trailing empty lines are kept."""
-    s = scanned(docs)
-    both = F.arrays_zip("lines", mask(F.col("lines"), F.col("spans")).alias("fenced"), "levels")
-    return s.select("doc_id", F.posexplode(both).alias("line_no", "x")).select("doc_id", "line_no", F.col("x.lines").alias("line"), F.col("x.fenced").alias("in_fence"), F.col("x.levels").alias("heading_level"))
+    """doc_id, line_no, line, in_fence, heading_level: a row per line of docs (doc_id, md_content); trailing empty lines are kept, a null text has none."""
+    s = docs.select("doc_id", F.posexplode(fenced_lines(F.col("md_content"))).alias("line_no", "x")).select("doc_id", "line_no", "x.line", "x.in_fence")
+    return s.withColumn("heading_level", F.when(F.col("in_fence"), 0).otherwise(heading_level(F.col("line"))).cast("int"))
 
 
-def _paths(heads: Column) -> Column:
-    """The heading path at each heading (level, title): fold over the open headings, deeper ones fall away."""
-    kind = "struct<open:array<struct<level:int,title:string>>,paths:array<array<string>>>"
-    start = F.expr(f"cast(named_struct('open', array(), 'paths', array()) as {kind})")
+_SECTION = "section_idx int, heading_level int, title string, parent_title string, heading_path array<string>, body string"
 
-    def step(acc: Column, h: Column) -> Column:
-        now = F.concat(F.filter(acc["open"], lambda o: o["level"] < h["level"]), F.array(h))
-        titles = F.transform(now, lambda o: o["title"])
-        return F.struct(now.alias("open"), F.concat(acc["paths"], F.array(titles)).alias("paths"))
 
-    return F.aggregate(heads, start, step, lambda acc: acc["paths"])
+def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+    for batch in batches:
+        for i, (text, title) in enumerate(zip(batch.column("md_content").to_pylist(), batch.column("file_title").to_pylist(), strict=True)):
+            found = splitter.sections(text, title) if text is not None else []
+            columns = [pa.array([getattr(s, c) for s in found], k) for c, k in zip(("index", "level", "title", "parent", "path", "body"), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i] * len(found), pa.int32())), *columns], ["doc_id", *(x.split()[0] for x in _SECTION.split(", "))])
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, section_idx, heading_level, title, parent_title, heading_path, body of docs (doc_id, md_content, file_title).
 
     Text before the first heading is a section of level 0 named after the file, unless it is blank; a heading
-    without a text below it is a section with an empty body.
+    without a text below it is a section with an empty body. A null text has no sections; repeated rows have theirs each.
     """
-    s = scanned(docs)
-    at = F.filter(F.transform("levels", lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
-    s = s.withColumn("at", at)
-    head = lambda i: F.struct(F.element_at("levels", i + 1).cast("int").alias("level"), F.element_at("lines", i + 1).alias("title"))
-    s = s.withColumn("heads", F.transform("at", head))
-    s = s.withColumn("paths", _paths(F.col("heads")))
-    size = F.size("lines")
-    body = lambda first, end: F.btrim(F.array_join(F.slice("lines", first + 1, end - first), "\n"), F.lit("\n"))
-    opening = F.struct(F.lit(0).alias("level"), F.col("file_title").alias("title"), F.col("file_title").alias("parent"), F.array("file_title").alias("path"), body(F.lit(0), F.coalesce(F.get("at", F.lit(0)), size)).alias("body"))
-
-    def section(i: Column, j: Column) -> Column:
-        h, p = F.get("heads", j), F.get("paths", j)
-        over = F.coalesce(F.get(p, F.size(p) - 2), h["title"])
-        return F.struct(h["level"].alias("level"), h["title"].alias("title"), over.alias("parent"), p.alias("path"), body(i + 1, F.coalesce(F.get("at", j + 1), size)).alias("body"))
-
-    every = F.concat(F.filter(F.array(opening), lambda x: T.strip(x["body"]) != ""), F.transform("at", section))
-    out = s.select("doc_id", F.posexplode(every).alias("section_idx", "x"))
-    return out.select("doc_id", "section_idx", F.col("x.level").alias("heading_level"), F.col("x.title").alias("title"), F.col("x.parent").alias("parent_title"), F.col("x.path").alias("heading_path"), F.col("x.body").alias("body"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "md_content", "file_title").mapInArrow(_sections, f"doc_id long, {_SECTION}")
 
 
 def rendered(title: Column, body: Column) -> Column:
@@ -130,20 +94,15 @@ def rendered(title: Column, body: Column) -> Column:
     return F.concat_ws("\n\n", T.filled(title), F.nullif(F.btrim(body, F.lit("\n")), F.lit("")))
 
 
-def blocks(parts: DataFrame) -> DataFrame:
-    """parts (doc_id, section_idx, body) as block_no, kind, atomic, text: fences, image lines and link lines alone, text between them.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(i, n, kind, atomic, text) for i, body in enumerate(batch.column("body").to_pylist()) if body is not None for n, (text, kind, atomic) in enumerate(splitter.blocks(body))]
+        of = pa.array([x[0] for x in found], pa.int32())
+        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.bool_(), pa.string()), 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("section_idx").take(of), *columns], ["doc_id", "section_idx", "block_no", "kind", "atomic", "text"])
 
-    Lines get the number of the block that they begin or continue, all within their row.
-    """
-    s = parts.withColumn("lines", lines(F.col("body"))).withColumn("spans", fences(F.col("lines")))
-    kind = lambda z: F.when(z["fenced"], "fenced_code").when(z["line"].rlike(IMAGE_LINE), "image").when(z["line"].rlike(LINK_LINE), "link").otherwise("text")
-    both = F.arrays_zip(F.col("lines").alias("line"), mask(F.col("lines"), F.col("spans")).alias("fenced"))
-    s = s.withColumn("kinds", F.transform(both, kind)).withColumn("opening", F.transform("spans", lambda x: x["first"]))
-    # a block begins where the kind changes, at every image or link line, and at every line that opens a fence
-    first = lambda i: (i == 0) | (F.get("kinds", i) != F.get("kinds", i - 1)) | F.get("kinds", i).isin("image", "link") | F.array_contains("opening", i)
-    s = s.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), first))
-    text = lambda i, j: F.array_join(F.slice("lines", i + 1, F.coalesce(F.get("starts", j + 1), F.size("lines")) - i), "\n")
-    block = lambda i, j: F.struct(F.get("kinds", i).alias("kind"), F.when(F.get("kinds", i) == "text", F.btrim(text(i, j), F.lit("\n"))).otherwise(text(i, j)).alias("text"))
-    found = F.filter(F.transform("starts", block), lambda b: (b["kind"] != "text") | (T.strip(b["text"]) != ""))
-    out = s.select("doc_id", "section_idx", F.posexplode(found).alias("block_no", "b"))
-    return out.select("doc_id", "section_idx", "block_no", F.col("b.kind").alias("kind"), (F.col("b.kind") != "text").alias("atomic"), F.col("b.text").alias("text"))
+
+def blocks(parts: DataFrame) -> DataFrame:
+    """parts (doc_id, section_idx, body) as block_no, kind, atomic, text: fences, image lines and link lines alone, text between them."""
+    rows = parts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("section_idx").cast("int").alias("section_idx"), "body")
+    return rows.mapInArrow(_blocks, "doc_id long, section_idx int, block_no int, kind string, atomic boolean, text string")

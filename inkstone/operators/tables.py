@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,32 +11,26 @@ from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..plans import tables as plain
-from .lines import scanned
 
 # Formats of the input and wording of the output.
-PIPE_LINE = r"(?d)\A[ \t]*\|[^\n]*\|[ \t]*\z"
 HTML_TABLE = r"(?is)<table\b[^>]*>.*?</table\s*>"
 SEPARATOR = r"\A:?-{3,}:?\z"
 
 
+_TABLE = "doc_id long, table_no int, first_line int, n_lines int, raw string"
+
+
+def _pipe_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _TABLE.split(", ")]
+    for batch in batches:
+        found = [(i, n, first, len(rows), "\n".join(rows)) for i, text in enumerate(batch.column("md_content").to_pylist()) if text and "|" in text for n, (first, rows) in enumerate(plain.pipe_tables(text))]
+        of = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int32()))
+        yield pa.RecordBatch.from_arrays([of, *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()), 1))], names)
+
+
 def pipe_tables(docs: DataFrame) -> DataFrame:
-    """doc_id, table_no, first_line, n_lines, raw: runs of two or more pipe lines outside fences.
-
-    Runs are islands of neighbouring lines, not matches of one pattern, so a table can be of any length.
-    """
-    from .lines import mask
-
-    s = scanned(docs)
-    both = F.arrays_zip(F.col("lines").alias("line"), mask(F.col("lines"), F.col("spans")).alias("fenced"))
-    s = s.withColumn("pipe", F.transform(both, lambda z: ~z["fenced"] & z["line"].rlike(PIPE_LINE)))
-    on = lambda i: F.coalesce(F.get("pipe", i), F.lit(False))
-    every = F.sequence(F.lit(0), F.size("lines") - 1)
-    s = s.withColumn("a", F.filter(every, lambda i: on(i) & ~F.when(i > 0, on(i - 1)).otherwise(False)))
-    s = s.withColumn("b", F.filter(every, lambda i: on(i) & ~on(i + 1)))
-    runs = F.filter(F.arrays_zip("a", "b"), lambda z: z["b"] > z["a"])
-    out = s.select("doc_id", "lines", F.posexplode(runs).alias("table_no", "z"))
-    n = F.col("z.b") - F.col("z.a") + 1
-    return out.select("doc_id", "table_no", F.col("z.a").alias("first_line"), n.alias("n_lines"), F.array_join(F.slice("lines", F.col("z.a") + 1, n), "\n").alias("raw"))
+    """doc_id, table_no, first_line, n_lines, raw of docs (doc_id, md_content): runs of two or more pipe lines outside fences, of any length."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "md_content").mapInArrow(_pipe_tables, _TABLE)
 
 
 def html_tables(text: Column) -> Column:
