@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import Texts, hash_of, mix, powers, slices
+from .filters import held, key_filter
 from .packing import ROWS, SCHEMA, by_part, pack, rows, unpack
 from .scratch import keep
 
-LENGTH, GRAM, LEAD = 100, 32, 16
+LENGTH, GRAM, LEAD = 100, 24, 16
 #: Text bytes that are sorted together before they are sent on; text bytes behind one bucket of runs, and of documents.
 PACK_BYTES, SORT_BYTES, TEXT_BYTES = 8 << 20, 8 << 20, 32 << 20
 #: Suffixes that are sorted at a time, but for those of one anchor.
@@ -384,11 +385,32 @@ def _sort(parts: int, doc_parts: int):
     return run
 
 
-def _texts(doc_parts: int):
-    """Whole documents, by part: ids, tags, lengths and bytes."""
+def _doc_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.view(np.uint64)) + tags)
+
+
+def _span_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key of each document with repeats."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            *_, ids, tags = unpack(blob.as_py(), *_SPAN_KINDS)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(_doc_keys(np.cumsum(ids), tags).view(np.int64))})
+
+
+def _touched(batch: pa.RecordBatch, shared) -> np.ndarray:
+    """Whether each document may have repeats."""
+    ids, tags, _ = _docs_of(batch)
+    out = np.zeros(batch.num_rows, bool)
+    out[held(shared.value, _doc_keys(ids, tags))] = True
+    return out
+
+
+def _texts(doc_parts: int, shared):
+    """Whole documents that may have repeats, by part: ids, tags, lengths and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_touched(batch, shared)))
             ids, tags, none = _docs_of(batch)
             part = _doc_part(ids, tags, doc_parts)
             for texts in slices(batch.column("text"), 8 << 20):
@@ -405,6 +427,21 @@ def _texts(doc_parts: int):
     return run
 
 
+def _whole(shared, with_text: bool):
+    """The other documents, which keep every byte, where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~_touched(batch, shared)))
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = text.encode()
+                out.append((doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), text))
+            yield _result(out, with_text).to_batches()[0] if out else pa.RecordBatch.from_pylist([], _result(out, with_text).schema)
+
+    return run
+
+
 def _read_texts(blob: bytes) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
     ids, tags, none, lengths, data = unpack(blob, "<i8", "p3", "<u1", "<i8", "<u1")
     return Texts(data, np.concatenate(([0], np.cumsum(lengths)))), ids, tags, none.astype(bool)
@@ -432,6 +469,11 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 _OUT_ARROW = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in _OUT.split(", ")])
 
 
+def _result(found: list[tuple], with_text: bool) -> pa.Table:
+    names = [*_OUT_ARROW, pa.field("kept_text", pa.string())] if with_text else list(_OUT_ARROW)
+    return pa.table([pa.array([r[k] for r in found], f.type) for k, f in enumerate(names)], schema=pa.schema(names))
+
+
 def _remove(with_text: bool):
     def run(group: pa.Table) -> pa.Table:
         kinds, blobs = group.column("kind").to_pylist(), [x.as_py() for x in group.column("blob")]
@@ -458,8 +500,7 @@ def _remove(with_text: bool):
                 raw = data.tobytes()
                 text = raw.decode("utf-8", "replace") if with_text else None
                 out.append((None if none[i] else int(ids[i]), n, removed, spans, hashlib.sha256(raw).hexdigest(), text))
-        names = [*_OUT_ARROW, pa.field("kept_text", pa.string())] if with_text else list(_OUT_ARROW)
-        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(names)], schema=pa.schema(names))
+        return _result(out, with_text)
 
     return run
 
@@ -478,5 +519,9 @@ def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     plan, doc_parts = planned(rows_in, size), max(24, -(-size // TEXT_BYTES))
     runs = rows_in.mapInArrow(_runs(plan, doc_parts), ROWS)
     spans = keep(runs.groupBy("part").applyInArrow(_sort(plan.parts, doc_parts), ROWS), "repeats")
-    packed = rows_in.mapInArrow(_texts(doc_parts), ROWS)
-    return packed.union(spans).groupBy("part").applyInArrow(_remove(with_text), _OUT + (", kept_text string" if with_text else ""))
+    # documents without repeats, mostly by far, are finished where they are read; a filter of bounded size tells most of them
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(spans.select("blob").mapInArrow(_span_keys, "key long"), "key"))
+    schema = _OUT + (", kept_text string" if with_text else "")
+    packed = rows_in.mapInArrow(_texts(doc_parts, shared), ROWS)
+    cut = packed.union(spans).groupBy("part").applyInArrow(_remove(with_text), schema)
+    return cut.union(rows_in.mapInArrow(_whole(shared, with_text), schema))
