@@ -52,7 +52,9 @@ def stem(c: Column) -> Column:
 
 
 def parent(c: Column) -> Column:
-    return F.regexp_extract(F.rtrim(c, F.lit("/")), r"(?s)\A(.*)/[^/]*\z", 1)
+    """The folder of a path: '/' for what is in the root, '.' for a name alone."""
+    at = F.rtrim(c, F.lit("/"))
+    return F.when(at.contains("/"), F.coalesce(F.nullif(F.regexp_extract(at, r"(?s)\A(.*)/[^/]*\z", 1), F.lit("")), F.lit("/"))).when(at.isNotNull(), F.when((at == "") & (c != ""), "/").otherwise("."))
 
 
 def true_word(c: Column) -> Column:
@@ -84,7 +86,8 @@ def output_path(c: Column) -> Column:
     """Where the processed copy of a Markdown file goes: beside it, its stem ending in _new once."""
     done = F.lower(stem(c)).endswith("_new")
     file = F.concat(stem(c), F.when(done, "").otherwise("_new"), suffix(c))
-    return F.concat(F.when(c.contains("/"), F.concat(parent(c), F.lit("/"))).otherwise(""), file)
+    folder = F.regexp_extract(c, r"(?s)\A(.*/)[^/]*\z", 1)
+    return F.concat(folder, file)
 
 
 def quoted(c: Column, keep_slash: bool = True) -> Column:

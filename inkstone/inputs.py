@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What line {n} (from 0), reading {x}, of document {d} becomes.
+#: What line {n} (from 0), reading {x}, of document {d} becomes. All text is kept; what is long for a heading goes on below it.
 LINE = """CASE ({d} + {n} * 3) % 8
-  WHEN 1 THEN CASE WHEN trim({x}) <> '' THEN repeat('#', cast(1 + ({d} + {n}) % 6 AS int)) || ' ' || substr({x}, 1, 40) ELSE {x} END
+  WHEN 1 THEN CASE WHEN trim({x}) <> '' THEN repeat('#', cast(1 + ({d} + {n}) % 6 AS int)) || ' ' || substr({x}, 1, 40) || CASE WHEN length({x}) > 40 THEN chr(10) || substr({x}, 41) ELSE '' END ELSE {x} END
   WHEN 2 THEN {x} || chr(10)
   WHEN 3 THEN '```' || CASE WHEN ({d} + {n}) % 2 = 0 THEN 'py' ELSE '' END || chr(10) || '# code ' || {n} || chr(10) || {x}
               || CASE WHEN {d} % 13 = 0 THEN '' ELSE chr(10) || '```' END
@@ -21,9 +21,6 @@ LINE = """CASE ({d} + {n} * 3) % 8
   WHEN 7 THEN '## Head ' || {d} % 3 || chr(10) || {x}
   ELSE {x} END"""
 
-#: The same with the rest of a long heading line as a line of its own.
-WHOLE_LINE = LINE.replace("substr({x}, 1, 40)", "substr({x}, 1, 40) || CASE WHEN length({x}) > 40 THEN chr(10) || substr({x}, 41) ELSE '' END")
-
 EXTENSIONS = (".md", ".MD", ".pdf", ".markdown", ".txt", ".PDF", "")
 #: A file path for document {d}; {ext} is its extension.
 PATH = "CASE WHEN {d} % 11 = 0 THEN NULL WHEN {d} % 12 = 0 THEN '  ' ELSE CASE WHEN {d} % 5 = 0 THEN '  ' ELSE '' END || '/in/' || source || '/doc ' || {d} || {ext} END"
@@ -44,17 +41,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def markdown(spark: SparkSession, d: str, line: str = LINE) -> DataFrame:
+def markdown(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, md_content, file_title, md_path."""
-    body = f"array_join(transform(split(text, chr(10), -1), (x, i) -> {line.format(d='doc_id', n='i', x='x')}), chr(10))"
+    body = f"array_join(transform(split(text, chr(10), -1), (x, i) -> {LINE.format(d='doc_id', n='i', x='x')}), chr(10))"
     return table(spark, d, "documents").select("doc_id", F.expr(body).alias("md_content"), F.expr("'doc' || doc_id").alias("file_title"), F.expr("'/in/' || source || '/doc' || doc_id || '.md'").alias("md_path"))
 
 
-def whole_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """The same, without any loss of text."""
-    return markdown(spark, d, WHOLE_LINE)
-
-
 def files(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, import_file_path."""
     ext = "element_at(array(" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "), cast(doc_id % 7 + 1 AS int))"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
+from ..functions.names import unused
+from ..plans import context
 
 # Formats of the input.
 IMAGE = r"!\[([^\]\n]*)\]\(\s*([^)\n]+?)\s*\)"
-HEADING = r"(?d)\A\s{0,3}#{1,6}(?:\s+|\z)"
 BREAK = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
 
@@ -56,87 +59,88 @@ def references(docs: DataFrame) -> DataFrame:
     return s.withColumns({"is_local": local, "image_key": F.when(local, F.nullif(basename(F.col("destination")), F.lit("")))})
 
 
+def _named(files: DataFrame, refs: DataFrame, how: str) -> DataFrame:
+    key, of = unused("key", files), unused("of", files)
+    names = refs.filter("is_local").select(F.col("doc_id").alias(of), F.col("image_key").alias(key)).distinct()
+    return files.join(names, (files.doc_id == F.col(of)) & (F.lower(files.image_name) == F.col(key)), how)
+
+
 def referenced(files: DataFrame, refs: DataFrame) -> DataFrame:
-    """The files (doc_id, image_name, ...) that a local reference of their document names."""
-    keys = refs.filter("is_local").select("doc_id", F.col("image_key").alias("_key")).distinct()
-    return files.withColumn("_key", F.lower("image_name")).join(keys, ["doc_id", "_key"], "left_semi").drop("_key")
+    """The files (doc_id, image_name, ...) that a local reference of their document names; none of a null doc_id or name."""
+    return _named(files, refs, "left_semi")
 
 
 def unreferenced(files: DataFrame, refs: DataFrame) -> DataFrame:
     """The other files."""
-    keys = refs.filter("is_local").select("doc_id", F.col("image_key").alias("_key")).distinct()
-    return files.withColumn("_key", F.lower("image_name")).join(keys, ["doc_id", "_key"], "left_anti").drop("_key")
+    return _named(files, refs, "left_anti")
+
+
+def _with_first(docs: DataFrame) -> DataFrame:
+    """doc_id, md_content, first: array<struct<image_key, line_no>> of the first line with a local reference to each image, by image_key."""
 
+    def on_line(line: Column, at: Column) -> Column:
+        to = F.transform(F.regexp_extract_all(line, F.lit(IMAGE), F.lit(2)), destination)
+        return F.transform(F.filter(to, is_local), lambda x: F.struct(basename(x).alias("image_key"), at.cast("int").alias("line_no")))
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(splitlines(F.col("md_content"))).alias("line_no", "line"))
+    every = F.array_sort(F.flatten(F.transform(splitlines(F.col("md_content")), on_line)))
+    s = docs.select("doc_id", "md_content", every.alias("every"))
+    before = F.concat(F.array(F.lit(None).cast("struct<image_key:string,line_no:int>")), F.slice("every", F.lit(1), F.greatest(F.size("every") - 1, F.lit(0))))
+    new = F.zip_with("every", before, lambda x, y: F.when(y.isNull() | ~x["image_key"].eqNullSafe(y["image_key"]), x))
+    return s.select("doc_id", "md_content", F.filter(new, lambda x: x.isNotNull()).alias("first"))
 
 
 def first_references(docs: DataFrame) -> DataFrame:
-    """doc_id, image_key, line_no of the first line with a local reference to each image."""
-    found = F.regexp_extract_all("line", F.lit(IMAGE), F.lit(2))
-    refs = _lines(docs).select("doc_id", "line_no", F.explode(found).alias("raw")).withColumn("to", destination(F.col("raw")))
-    refs = refs.filter(is_local(F.col("to"))).withColumn("image_key", basename(F.col("to")))
-    return refs.groupBy("doc_id", "image_key").agg(F.min("line_no").alias("line_no"))
+    """doc_id, image_key, line_no of the first line with a local reference to each image, for each row of docs (doc_id, md_content)."""
+    return _with_first(docs).select("doc_id", F.inline("first"))
+
+
+_CONTEXT = K.StructType([K.StructField(x, K.StringType()) for x in ("heading", "pre_text", "post_text")])
+
+
+@F.arrow_udf(K.ArrayType(_CONTEXT))
+def _contexts(text: pa.Array, places: pa.Array, limit: pa.Array) -> pa.Array:
+    names = ("heading", "pre_text", "post_text")
+    rows = zip(text.to_pylist(), places.to_pylist(), limit.to_pylist(), strict=True)
+    found = [[dict(zip(names, x, strict=True)) for x in context.contexts(t, at, n)] if t is not None and at else [] for t, at, n in rows]
+    return pa.array(found, pa.list_(pa.struct([(x, pa.string()) for x in names])))
 
 
 def contexts(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, image_key, line_no, heading, pre_text, post_text for the first reference to each image.
+    """doc_id, image_key, line_no, heading, pre_text, post_text for the first reference to each image of each row of docs (doc_id, md_content).
 
     Context is whole paragraphs between the nearest headings, nearest first while limit characters hold them (the
-    first one always); blank lines and lines with images end a paragraph. One exchange by doc_id serves all of it:
-    heading and paragraph of each line come from windows over the document's lines.
+    first one always); blank lines and lines with images end a paragraph. A document stays in its row: nothing is
+    exchanged, and rows with one doc_id are read each by itself. A null text has no images.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    ln = _lines(docs)
-    edge = T.blank(F.col("line")) | F.col("line").rlike(IMAGE)
-    head = F.col("line").rlike(HEADING)
-    above = F.last(F.when(head, F.col("line_no")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ln = ln.withColumns({"edge": edge | head, "is_head": head, "above": above, "title": F.last(F.when(head, T.strip(F.col("line"))), True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    ln = ln.withColumn("block", F.sum(F.col("edge").cast("int")).over(w))
-    paragraphs = ln.filter("not edge").groupBy("doc_id", "block").agg(
-        F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("above").alias("above")
-    )
-    refs = first_references(docs)
-    at = refs.join(ln.select("doc_id", "line_no", "above", "title"), ["doc_id", "line_no"])
-    # a paragraph belongs to the same stretch as the image if the same heading is above both; a line of a heading opens the next
-    image_above = F.when(F.col("i.is_head"), F.col("i.line_no")).otherwise(F.col("i.above"))
-    at = at.join(ln.select("doc_id", "line_no", "is_head"), ["doc_id", "line_no"])
-    i, p = at.alias("i"), paragraphs.alias("p")
-    after = F.col("p.first") > F.col("i.line_no")
-    same = F.when(after, F.col("p.above").eqNullSafe(image_above)).otherwise(F.col("p.above").eqNullSafe(F.col("i.above")))
-    near = i.join(p, (F.col("i.doc_id") == F.col("p.doc_id")) & same & (after | (F.col("p.last") < F.col("i.line_no")))).select("i.doc_id", "i.image_key", after.alias("after"), "p.first", "p.text")
-    side = Window.partitionBy("doc_id", "image_key", "after").orderBy(F.when(F.col("after"), F.col("first")).otherwise(-F.col("first")))
-    near = near.withColumns({"n": F.row_number().over(side), "total": F.sum(F.length("text")).over(side.rowsBetween(Window.unboundedPreceding, 0))})
-    taken = near.filter((F.lit(limit) > 0) & ((F.col("n") == 1) | (F.col("total") <= limit)))
-    text = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(x, F.struct("first", "text")))), lambda y: y["text"]), "\n\n")
-    texts = taken.groupBy("doc_id", "image_key").agg(text(~F.col("after")).alias("pre_text"), text(F.col("after")).alias("post_text"))
-    out = at.join(texts, ["doc_id", "image_key"], "left")
-    return out.select("doc_id", "image_key", "line_no", F.coalesce("title", F.lit("")).alias("heading"), F.coalesce("pre_text", F.lit("")).alias("pre_text"), F.coalesce("post_text", F.lit("")).alias("post_text"))
+    found = _with_first(docs).filter(F.size("first") > 0)
+    around = found.select("doc_id", "first", _contexts("md_content", F.transform("first", lambda x: x["line_no"]), F.lit(limit)).alias("around"))
+    each = around.select("doc_id", F.explode(F.arrays_zip("first", "around")).alias("x"))
+    return each.select("doc_id", "x.first.image_key", "x.first.line_no", "x.around.heading", "x.around.pre_text", "x.around.post_text")
 
 
 def rewritten(docs: DataFrame, images: DataFrame) -> DataFrame:
     """docs with md_content whose local references to stored images have the image's summary and url.
 
     images: doc_id, image_name, summary, url. References to other images, to remote ones and to images whose url
-    isn't HTTP(S) stay as they are. Of files with one name, the last in order of path (then url) counts.
+    isn't HTTP(S) stay as they are. Of files whose names differ in case only, the last in order of image_name (then url) counts.
     """
+    known, of = unused("known", docs), unused("of", docs)
     stored = images.groupBy("doc_id", F.lower("image_name").alias("image_key")).agg(F.max(F.struct("image_name", "url", "summary")).alias("x"))
     stored = stored.filter(F.col("x.url").rlike("(?i)^https?:"))
-    by_doc = stored.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("image_key", "x"))).alias("_images"))  # the images of one document
+    by_doc = stored.groupBy(F.col("doc_id").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("image_key", "x"))).alias(known))  # the images of one document
     matches = F.regexp_extract_all("md_content", F.lit(IMAGE), F.lit(0))
     gaps = F.split("md_content", IMAGE, -1)
     parts = F.arrays_zip(matches.alias("whole"), F.regexp_extract_all("md_content", F.lit(IMAGE), F.lit(1)).alias("alt"), F.regexp_extract_all("md_content", F.lit(IMAGE), F.lit(2)).alias("raw"))
 
     def one(r: Column) -> Column:
         to = destination(r["raw"])
-        found = F.when(is_local(to), F.try_element_at("_images", basename(to)))
+        found = F.when(is_local(to), F.try_element_at(known, basename(to)))
         alt = T.alt_text(F.coalesce(F.nullif(found["summary"], F.lit("")), r["alt"]))
         return F.coalesce(F.concat(F.lit("!["), F.when(found.isNotNull(), alt), F.lit("]("), found["url"], F.lit(")")), r["whole"])
 
     new = F.concat(gaps[0], F.array_join(F.zip_with(F.transform(parts, one), F.slice(gaps, F.lit(2), F.size(gaps)), lambda a, b: F.concat(a, b)), ""))
-    joined = docs.join(by_doc, "doc_id", "left")
-    return joined.withColumn("md_content", F.when(F.col("_images").isNull(), F.col("md_content")).otherwise(new)).drop("_images")
+    joined = docs.join(by_doc, docs.doc_id == F.col(of), "left")
+    return joined.withColumn("md_content", F.when(F.col(known).isNull(), F.col("md_content")).otherwise(new)).drop(known, of)
 
 
 def upload_stats(images: DataFrame) -> DataFrame:

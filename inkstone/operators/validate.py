@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FieldError, PdfError, flagged
 from ..functions import text as T
+from ..functions.names import unused
 
 
 def _kind(path: Column) -> Column:
@@ -51,10 +52,11 @@ def valid_pdf(path: Column) -> Column:
 
 def checked_pdfs(files: DataFrame, listing: DataFrame) -> DataFrame:
     """files (pdf_path) with output_dir, or an error where the path is no PDF or not in listing (path)."""
-    there = listing.select(F.col("path").alias("_path")).distinct()
-    out = files.join(there, F.col("pdf_path") == F.col("_path"), "left").withColumn("output_dir", T.parent(F.col("pdf_path")))
-    bad = ~valid_pdf(F.col("pdf_path")) | F.col("_path").isNull()
-    return flagged(out, "pdf", (bad, PdfError, "the PDF does not exist or is none")).drop("_path")
+    there = unused("there", files)
+    listed = listing.select(F.col("path").alias(there)).distinct()
+    out = files.join(listed, F.col("pdf_path") == F.col(there), "left").withColumn("output_dir", T.parent(F.col("pdf_path")))
+    bad = ~valid_pdf(F.col("pdf_path")) | F.col(there).isNull()
+    return flagged(out, "pdf", (bad, PdfError, "the PDF does not exist or is none")).drop(there)
 
 
 def valid_markdown_path(path: Column) -> Column:
@@ -74,11 +76,12 @@ def directory(file_dir: Column, md_path: Column) -> Column:
 def checked_documents(docs: DataFrame) -> DataFrame:
     """docs (md_content, md_path, import_file_path, file_title, file_dir) normalised, or with an error. An empty md_content is fine."""
     found = title(F.col("file_title"), F.col("import_file_path"), F.col("md_path"))
+    name = unused("found_title", docs)
     out = flagged(
-        docs.withColumn("_title", found),
+        docs.withColumn(name, found),
         "split",
         (F.col("md_content").isNull(), FieldError, "md_content is missing"),
         (~valid_markdown_path(F.col("md_path")), FieldError, "md_path is no Markdown file"),
-        (F.col("_title").isNull(), FieldError, "no title can be found"),
+        (F.col(name).isNull(), FieldError, "no title can be found"),
     )
-    return out.withColumns({"md_content": T.normalized(F.col("md_content")), "file_title": F.col("_title"), "file_dir": directory(F.col("file_dir"), F.col("md_path"))}).drop("_title")
+    return out.withColumns({"md_content": T.normalized(F.col("md_content")), "file_title": F.col(name), "file_dir": directory(F.col("file_dir"), F.col("md_path"))}).drop(name)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from . import inputs
 from .functions.text import PROMPT
 
@@ -61,10 +59,11 @@ def _stem(x: str) -> str:
 
 _FILES = f"files AS (SELECT doc_id, {_PATH} AS p, {_strip(_PATH)} AS s FROM documents)"
 _KIND = f"CASE lower({_suffix('s')}) WHEN '.pdf' THEN 'pdf' WHEN '.md' THEN 'markdown' WHEN '.markdown' THEN 'markdown' END"
-_STATE = f"""state AS (SELECT doc_id, {_PATH} AS md_path,
-  CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'a' || chr(10) || 'b' || chr(10) || 'c' ELSE text END AS md,
+_STATE = f"""cases AS (SELECT doc_id * 2 AS id, doc_id, source, text AS md FROM documents UNION ALL
+  SELECT doc_id * 2 + 1, doc_id, source, CASE doc_id % 9 WHEN 1 THEN '' WHEN 3 THEN 'a' || chr(10) || 'b' || chr(10) || 'c' END FROM documents WHERE doc_id % 9 IN (0, 1, 3)),
+state AS (SELECT id, {_PATH} AS md_path, md,
   CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Source ' || doc_id END AS import_stem,
-  CASE doc_id % 4 WHEN 0 THEN 'title ' || doc_id END AS given, CASE WHEN doc_id % 6 = 0 THEN '/out' END AS dir FROM documents)"""
+  CASE doc_id % 4 WHEN 0 THEN 'title ' || doc_id END AS given, CASE WHEN doc_id % 6 = 0 THEN '/out' END AS dir FROM cases)"""
 _TITLE = f"coalesce(given, import_stem, nullif({_strip(_stem(_strip('md_path')))}, ''))"
 
 _NATION = "SELECT *, [' host:9000/ ', 'http://host:9000', 'HTTPS://host', 'ftp://host', 'http://', 'http://host/path', 'https://host/?q', ''][n_nationkey % 8 + 1] AS e FROM nation"
@@ -113,6 +112,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, section_idx AS chunk_index, title, parent_title, array_to_string(path, ' > ') AS heading_path, body, content, len(content) AS char_count FROM r""",
     "chunk_bounds": "SELECT doc_id, 0 AS gaps, 0 AS bad_counts, 0 AS mixed FROM documents",
     "chunk_conservation": "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[#`|<~\\[\\]!]', 'x', 'g'), '\\s', '', 'g')) AS digest FROM documents",
+    "import_graph": f"""WITH {_FILES}, k AS (SELECT f.*, {_KIND} AS kind, d.text FROM files f JOIN documents d USING (doc_id)),
+        e AS (SELECT *, CASE WHEN kind IS NULL THEN 'FieldError' WHEN kind = 'pdf' AND doc_id % 10 = 4 THEN 'PdfError' END AS error_class,
+                     trim(regexp_replace(text, '[#`|<~\\[\\]!]', 'x', 'g'), chr(10)) AS body FROM k)
+        SELECT doc_id, CASE WHEN error_class IS NULL THEN 1 ELSE 0 END AS n_chunks,
+               CASE WHEN error_class IS NULL THEN len('# it ' || doc_id) + CASE WHEN body = '' THEN 0 ELSE 2 + len(body) END ELSE 0 END AS n_chars, error_class,
+               CASE error_class WHEN 'FieldError' THEN 'entry' WHEN 'PdfError' THEN 'pdf' ELSE 'done' END AS stage FROM e""",
     "classify_files": f"""WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM files)
         SELECT doc_id, coalesce(kind = 'pdf', false) AS is_pdf_read_enabled, coalesce(kind = 'markdown', false) AS is_md_read_enabled,
                CASE WHEN kind = 'pdf' THEN s END AS pdf_path, CASE WHEN kind = 'markdown' THEN s END AS md_path, CASE WHEN kind IS NULL THEN 'FieldError' END AS error_class FROM k""",
@@ -120,14 +125,14 @@ ORACLES: dict[str, str] = {
         CASE WHEN (doc_id % 3 = 0) = (doc_id % 4 IN (0, 2)) THEN 'FieldError' END AS error_class FROM documents""",
     "route_union": f"""WITH {_FILES}, k AS (SELECT *, {_KIND} AS kind FROM files)
         SELECT doc_id, kind AS route, CASE WHEN kind = 'pdf' THEN regexp_extract(s, '^(.*)/[^/]*$', 1) || '/' || {_stem('s')} || '/auto/' || {_stem('s')} || '.md' ELSE s END AS md_path FROM k WHERE kind IS NOT NULL""",
-    "validate_pdf_path": f"""WITH {_FILES} SELECT doc_id, CASE WHEN s LIKE '%/%' THEN regexp_extract(s, '^(.*)/[^/]*$', 1) WHEN s IS NOT NULL THEN '' END AS output_dir,
+    "validate_pdf_path": f"""WITH {_FILES} SELECT doc_id, CASE WHEN s LIKE '%/%' THEN regexp_extract(s, '^(.*)/[^/]*$', 1) WHEN s IS NOT NULL THEN '.' END AS output_dir,
         CASE WHEN lower({_suffix('s')}) = '.pdf' AND doc_id % 2 = 0 THEN NULL ELSE 'PdfError' END AS error_class FROM files""",
     "validate_md_path": f"WITH {_FILES} SELECT doc_id, coalesce(lower({_suffix('s')}) IN ('.md', '.markdown'), false) AS is_valid FROM files",
-    "validate_docs": f"""WITH {_STATE} SELECT doc_id, {_TITLE} AS file_title,
+    "validate_docs": f"""WITH {_STATE} SELECT id AS doc_id, {_TITLE} AS file_title,
         CASE WHEN md IS NULL OR coalesce(lower({_suffix(_strip('md_path'))}) NOT IN ('.md', '.markdown'), true) OR {_TITLE} IS NULL THEN 'FieldError' END AS error_class, len(md) AS n_chars FROM state""",
-    "normalize_text": f"WITH {_STATE} SELECT doc_id, md AS md_content FROM state",
-    "resolve_title": f"WITH {_STATE} SELECT doc_id, {_TITLE} AS file_title FROM state",
-    "resolve_dir": f"""WITH {_STATE} SELECT doc_id, coalesce(dir, CASE WHEN md_path LIKE '%/%' THEN regexp_extract({_strip('md_path')}, '^(.*)/[^/]*$', 1) WHEN md_path IS NOT NULL THEN '' END) AS file_dir FROM state""",
+    "normalize_text": f"WITH {_STATE} SELECT id AS doc_id, md AS md_content FROM state",
+    "resolve_title": f"WITH {_STATE} SELECT id AS doc_id, {_TITLE} AS file_title FROM state",
+    "resolve_dir": f"""WITH {_STATE} SELECT id AS doc_id, coalesce(dir, CASE WHEN md_path LIKE '%/%' THEN regexp_extract({_strip('md_path')}, '^(.*)/[^/]*$', 1) WHEN md_path IS NOT NULL THEN '.' END) AS file_dir FROM state""",
     "env_bool": "SELECT n_nationkey, n_nationkey % 8 < 4 AS is_true FROM nation",
     "base_url": f"""WITH n AS ({_NATION}) SELECT n_nationkey, CASE WHEN rtrim(trim(e), '/') LIKE 'http://%' OR rtrim(trim(e), '/') LIKE 'https://%' THEN rtrim(trim(e), '/')
         ELSE CASE WHEN n_regionkey % 2 = 0 THEN 'https://' ELSE 'http://' END || rtrim(trim(e), '/') END AS base_url FROM n""",
@@ -183,13 +188,14 @@ ORACLES: dict[str, str] = {
                      p.atomic AND len(p.t) > 400
               FROM w JOIN p ON p.doc_id = w.doc_id AND p.k = w.k + 1)
         SELECT w.doc_id, w.part AS part_no, string_agg(p.t, chr(10) || chr(10) ORDER BY p.k) AS text FROM w JOIN p ON p.doc_id = w.doc_id AND p.k = w.k GROUP BY w.doc_id, w.part""",
-    "sentence_overlap": f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10))[1:12] AS ls FROM documents),
-        o AS (SELECT doc_id, ls, 0::BIGINT AS k, ls[1] AS t FROM d
+    "sentence_overlap": f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, n AS k, ls[n + 1] AS c FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS n FROM d)),
+        o AS (SELECT doc_id, k, c AS t FROM l WHERE k = 0
               UNION ALL
-              SELECT doc_id, ls, k + 1, CASE WHEN len(c) > 400 THEN c WHEN n >= 2 AND len(two) + 1 + len(c) <= 400 THEN two || chr(10) || c
-                                            WHEN n >= 1 AND len(one) + 1 + len(c) <= 400 THEN one || chr(10) || c ELSE c END
-              FROM (SELECT doc_id, ls, k, ls[k + 2] AS c, len(ss) AS n, ss[len(ss)] AS one, ss[len(ss) - 1] || ss[len(ss)] AS two
-                    FROM (SELECT *, {_SENT.format('t')} AS ss FROM o WHERE k + 1 < len(ls))))
+              SELECT doc_id, k, CASE WHEN len(c) > 400 THEN c WHEN n >= 2 AND len(two) + 1 + len(c) <= 400 THEN two || chr(10) || c
+                                     WHEN n >= 1 AND len(one) + 1 + len(c) <= 400 THEN one || chr(10) || c ELSE c END
+              FROM (SELECT doc_id, k, c, len(ss) AS n, ss[len(ss)] AS one, ss[len(ss) - 1] || ss[len(ss)] AS two
+                    FROM (SELECT l.doc_id, l.k, l.c, {_SENT.format('o.t')} AS ss FROM o JOIN l ON l.doc_id = o.doc_id AND l.k = o.k + 1)))
         SELECT doc_id, k AS part_no, t AS text FROM o""",
     "merge_short": """WITH RECURSIVE d0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), d1 AS (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM d0),
         d AS (SELECT doc_id, i, len(ls[i + 1]) AS n, (doc_id + i) // 9 AS key FROM d1), last AS (SELECT doc_id, max(i) AS i FROM d GROUP BY doc_id),
@@ -231,11 +237,3 @@ ORACLES: dict[str, str] = {
     "upload_stats": "SELECT doc_id, 3 AS n_images, 2 AS n_uploaded, 1 AS n_fallback FROM documents",
     "api_result_parse": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '# ' || n_name END AS md_content FROM nation",
 }
-
-# Beside the SQL over cut heading lines, the same over whole texts.
-_WHOLE = inputs.WHOLE_LINE.format(d="doc_id", n="(i - 1)", x="x")
-ORACLES |= {f"{name}_whole": sql.replace(_CASE, _WHOLE) for name, sql in ORACLES.items() if _CASE in sql}
-
-# And over every real text, whose line ends and marks are taken away again.
-_WHOLE_STATE = re.sub(r"CASE doc_id % 9 .*? END AS md,", "text AS md,", _STATE)
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(_STATE, _WHOLE_STATE) for name in ("validate_docs", "normalize_text")}

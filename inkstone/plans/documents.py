@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..config import ImageConfig, SplitConfig
 from ..errors import SplitError, stage
 from ..functions import text as T
+from ..functions.names import unused
 from ..operators import images as I
-from ..operators.validate import checked_documents
+from ..operators.validate import checked_documents, classified, routed
 from . import splitter
 
 CHUNK = (
@@ -75,9 +76,10 @@ def with_images(docs: DataFrame, files: DataFrame, describe: Callable[[DataFrame
     """
     config = config.checked()
     found = I.referenced(files, I.references(docs))
-    context = I.contexts(docs, config.context).withColumnRenamed("image_key", "_key")
-    asked = found.withColumn("_key", F.lower("image_name")).join(context, ["doc_id", "_key"]).join(docs.select("doc_id", "file_title"), "doc_id")
-    asked = asked.withColumn("prompt", T.prompt(F.col("file_title"), F.col("heading"), F.col("pre_text"), F.col("post_text"))).drop("_key")
+    names = [unused(x, found) for x in ("of", "key", "head", "before", "after")]
+    context = I.contexts(docs, config.context).join(docs.select("doc_id", "file_title"), "doc_id").select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "image_key", "heading", "pre_text", "post_text"), names, strict=True)), "file_title")
+    asked = found.join(context, (F.col("doc_id") == F.col(names[0])) & (F.lower("image_name") == F.col(names[1])))
+    asked = asked.withColumn("prompt", T.prompt(F.col("file_title"), *map(F.col, names[2:]))).drop(*names)
     described = written(describe(asked)).withColumn("summary", T.summary(F.col("summary")))
     key = object_key(F.col("file_title"), F.col("image_name"))
     kind = F.coalesce(T.media_type(F.col("image_name")), F.when(F.lower(T.suffix(F.col("image_name"))) == ".bmp", "image/bmp"), F.lit("application/octet-stream"))
@@ -97,3 +99,37 @@ def imported(docs: DataFrame, config: SplitConfig | None = None) -> tuple[DataFr
     failed = parts.filter("error_class is not null").select("doc_id", "error_class", "error_message", F.lit("split").alias("stage"))
     rejected = checked.filter("error_class is not null").select("doc_id", "error_class", "error_message", "stage").unionByName(failed)
     return parts.filter("error_class is null").drop("error_class", "error_message"), rejected
+
+
+def imported_files(
+    files: DataFrame,
+    contents: DataFrame,
+    convert: Callable[[DataFrame], DataFrame],
+    images: Callable[[DataFrame], DataFrame] = lambda docs: docs,
+    config: SplitConfig | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejected) of files (doc_id, import_file_path): the whole import, from paths to chunks.
+
+    Paths are classified and take one of two routes. convert makes doc_id, md_content, error_class, error_message of the
+    PDFs (doc_id, pdf_path, ...); Markdown files find their text in contents (md_path, md_content). Both meet again, images
+    works on all of them, and they are checked and split. What fails on the way is rejected with its stage, and the rest goes on.
+    """
+    entry = classified(files)
+    ready = routed(entry.filter("error_class is null").drop("error_class", "error_message", "stage"))
+    pdfs, texts = ready.filter("route = 'pdf'"), ready.filter("route = 'markdown'")
+    made = convert(pdfs).select(F.col("doc_id").alias("of"), "md_content", "error_class", "error_message")
+    left_at = F.concat_ws("/", T.parent(F.col("pdf_path")), T.stem(F.col("pdf_path")), F.lit("auto"), F.concat(T.stem(F.col("pdf_path")), F.lit(".md")))
+    converted = pdfs.select("doc_id", "import_file_path", left_at.alias("md_path")).join(made, F.col("doc_id") == F.col("of")).drop("of")
+    read = texts.select("doc_id", "import_file_path", F.col("md_path").alias("at")).join(contents.select("md_path", "md_content"), F.col("at") == F.col("md_path"), "left")
+    gone = F.col("md_path").isNull()
+    read = read.select("doc_id", "import_file_path", F.col("at").alias("md_path"), "md_content", F.when(gone, "FileError").alias("error_class"), F.when(gone, "the file can't be read").alias("error_message"))
+    both = converted.select(*read.columns).unionByName(read)
+    good = both.filter("error_class is null").drop("error_class", "error_message").withColumns({c: F.lit(None).cast("string") for c in ("file_title", "file_dir")})
+    checked = checked_documents(good)
+    failed = "doc_id", "error_class", "error_message"
+    passed = checked.filter("error_class is null").drop("error_class", "error_message", "stage")
+    parts = split(images(passed), config, errors=True)
+    rejected = entry.filter("error_class is not null").select(*failed, "stage")
+    for stage_of, table in (("pdf", both.filter("error_class = 'PdfError'")), ("images", both.filter("error_class = 'FileError'")), ("split", checked.filter("error_class is not null")), ("split", parts.filter("error_class is not null"))):
+        rejected = rejected.unionByName(table.select(*failed, F.lit(stage_of).alias("stage")))
+    return parts.filter("error_class is null").drop("error_class", "error_message"), rejected

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +43,7 @@ def _n(c: str):
 @query
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: Markdown documents to chunks."""
-    out = D.split(inputs.whole_markdown(spark, d), SIZES)
+    out = D.split(inputs.markdown(spark, d), SIZES)
     return out.select(
         "doc_id", _n("chunk_index"), "file_title", "title", "parent_title", F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("source_titles", " > ").alias("source_titles"),
         F.array_join(F.transform("source_section_indexes", lambda x: x.cast("string")), ",").alias("source_section_indexes"), "body", "content", _n("char_count"), "source_path",
@@ -53,13 +52,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
-    return C.stats(D.split(inputs.whole_markdown(spark, d), SIZES))
+    return C.stats(D.split(inputs.markdown(spark, d), SIZES))
 
 
 @query
-def chunk_sections(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
+def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents without tables and with room enough: a chunk for each section."""
-    docs = markdown(spark, d).withColumn("md_content", F.replace("md_content", F.lit("|"), F.lit("/")))
+    docs = inputs.markdown(spark, d).withColumn("md_content", F.replace("md_content", F.lit("|"), F.lit("/")))
     out = D.split(docs, SplitConfig(1_000_000, 1, 0))
     return out.select("doc_id", _n("chunk_index"), "title", "parent_title", F.array_join("heading_path", " > ").alias("heading_path"), "body", "content", _n("char_count"))
 
@@ -67,7 +66,7 @@ def chunk_sections(spark: SparkSession, d: str, markdown: Query = inputs.markdow
 @query
 def chunk_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Per document: chunks whose index isn't dense, whose count of characters is wrong, or that mix first headings. All are 0."""
-    out = D.split(inputs.whole_markdown(spark, d), SIZES)
+    out = D.split(inputs.markdown(spark, d), SIZES)
     per = out.groupBy("doc_id").agg(F.max("chunk_index").alias("top"), F.count("*").alias("n"), F.count_if(F.length("content") != F.col("char_count")).alias("bad_counts"), F.count_if(F.size("heading_path") == 0).alias("mixed"))
     return per.select("doc_id", (F.col("n") - F.col("top") - 1).alias("gaps"), "bad_counts", "mixed")
 
@@ -81,6 +80,19 @@ def chunk_conservation(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("doc_id", F.md5(F.regexp_replace("body", r"(?U)\s", "").cast("binary")).alias("digest"))
 
 
+@query
+def import_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Mixed paths through the whole import: classified, routed, converted or read, checked and split; a row per document."""
+    files, docs = inputs.files(spark, d), table(spark, d, "documents")
+    text = docs.select(F.col("doc_id").alias("n"), F.concat(F.lit("# it "), F.col("doc_id").cast("string"), F.lit("\n"), F.regexp_replace("text", r"[#`|<~\[\]!]", "x")).alias("md_content"))
+    lost = F.col("n") % 10 == 4
+    convert = lambda pdfs: pdfs.join(text, F.col("doc_id") == F.col("n")).select("doc_id", F.when(~lost, F.col("md_content")).alias("md_content"), F.when(lost, "PdfError").alias("error_class"), F.when(lost, "broken").alias("error_message"))
+    contents = V.classified(files).join(text, F.col("doc_id") == F.col("n")).filter("md_path is not null").select("md_path", "md_content")
+    found, rejected = D.imported_files(files, contents, convert, config=SplitConfig(1_000_000, 1, 0))
+    done = found.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("char_count").alias("n_chars"), F.lit(None).cast("string").alias("error_class"), F.lit("done").alias("stage"))
+    return done.unionByName(rejected.select("doc_id", F.lit(0).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_chars"), "error_class", "stage"))
+
+
 # Validation and routing.
 
 
@@ -119,19 +131,17 @@ def validate_md_path(spark: SparkSession, d: str) -> DataFrame:
     return inputs.files(spark, d).select("doc_id", V.valid_markdown_path(F.col("import_file_path")).alias("is_valid"))
 
 
-#: Some real texts give way to edge cases, as in the SQL.
-_CUT_TEXT = "case doc_id % 9 when 0 then null when 1 then '' when 2 then '\ufeff' || 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c' else text end"
-#: Every real text; the edge cases are a mark before it and other line ends in it.
-_WHOLE_TEXT = "case doc_id % 9 when 1 then '\ufeff' || text when 2 then '\ufeff' || replace(text, chr(10), chr(13) || chr(10)) when 3 then replace(text, chr(10), chr(13)) else text end"
+#: Every real text, some with a mark before it and other line ends in it, and edge cases beside some.
+_CASES = """case doc_id % 9 when 0 then array(text, null) when 1 then array('\ufeff' || text, '') when 2 then array('\ufeff' || replace(text, chr(10), chr(13) || chr(10)))
+  when 3 then array(replace(text, chr(10), chr(13)), '\ufeff' || 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c') else array(text) end"""
 
 
-def _state(spark: SparkSession, d: str, text: str = _CUT_TEXT) -> DataFrame:
-    files = inputs.files(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    content = F.expr(text)
-    return docs.join(files, "doc_id").select(
-        "doc_id",
-        content.alias("md_content"),
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as they enter the split stage; 2 * doc_id for the real texts, one more for the edge cases."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.expr(_CASES)).alias("k", "md_content"))
+    return docs.join(inputs.files(spark, d), "doc_id").select(
+        (F.col("doc_id") * 2 + F.col("k")).alias("doc_id"),
+        "md_content",
         F.col("import_file_path").alias("md_path"),
         F.expr("case doc_id % 3 when 0 then null when 1 then '/up/Source ' || doc_id || '.PDF' else '   ' end").alias("import_file_path"),
         F.expr("case doc_id % 4 when 0 then ' title ' || doc_id || ' ' when 1 then '' end").alias("file_title"),
@@ -140,14 +150,14 @@ def _state(spark: SparkSession, d: str, text: str = _CUT_TEXT) -> DataFrame:
 
 
 @query
-def validate_docs(spark: SparkSession, d: str, text: str = _CUT_TEXT) -> DataFrame:
-    out = V.checked_documents(_state(spark, d, text))
+def validate_docs(spark: SparkSession, d: str) -> DataFrame:
+    out = V.checked_documents(_state(spark, d))
     return out.select("doc_id", "file_title", "error_class", F.length("md_content").cast("long").alias("n_chars"))
 
 
 @query
-def normalize_text(spark: SparkSession, d: str, text: str = _CUT_TEXT) -> DataFrame:
-    return _state(spark, d, text).select("doc_id", T.normalized(F.col("md_content")).alias("md_content"))
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return _state(spark, d).select("doc_id", T.normalized(F.col("md_content")).alias("md_content"))
 
 
 @query
@@ -190,62 +200,62 @@ def output_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def explode_lines(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.exploded(markdown(spark, d)).select("doc_id", _n("line_no"), "line")
+def explode_lines(spark: SparkSession, d: str) -> DataFrame:
+    return L.exploded(inputs.markdown(spark, d)).select("doc_id", _n("line_no"), "line")
 
 
 @query
-def fence_open(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    s = L.exploded(markdown(spark, d)).filter(L.opens(F.col("line")))
+def fence_open(spark: SparkSession, d: str) -> DataFrame:
+    s = L.exploded(inputs.markdown(spark, d)).filter(L.opens(F.col("line")))
     return s.select("doc_id", _n("line_no"), L.marker(F.col("line")).alias("marker"))
 
 
 @query
-def fence_mask(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.exploded(markdown(spark, d)).select("doc_id", _n("line_no"), "in_fence")
+def fence_mask(spark: SparkSession, d: str) -> DataFrame:
+    return L.exploded(inputs.markdown(spark, d)).select("doc_id", _n("line_no"), "in_fence")
 
 
 @query
-def headings(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.exploded(markdown(spark, d)).filter("heading_level > 0").select("doc_id", _n("line_no"), _n("heading_level"), "line")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    return L.exploded(inputs.markdown(spark, d)).filter("heading_level > 0").select("doc_id", _n("line_no"), _n("heading_level"), "line")
 
 
 @query
-def sections(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.sections(markdown(spark, d)).select("doc_id", _n("section_idx"), _n("heading_level"), "title", "parent_title", F.array_join("heading_path", " > ").alias("heading_path"), "body")
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    return L.sections(inputs.markdown(spark, d)).select("doc_id", _n("section_idx"), _n("heading_level"), "title", "parent_title", F.array_join("heading_path", " > ").alias("heading_path"), "body")
 
 
 @query
-def section_body(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.sections(markdown(spark, d)).select("doc_id", _n("section_idx"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
+def section_body(spark: SparkSession, d: str) -> DataFrame:
+    return L.sections(inputs.markdown(spark, d)).select("doc_id", _n("section_idx"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
 
 
 @query
-def heading_path(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.sections(markdown(spark, d)).select("doc_id", _n("section_idx"), F.array_join("heading_path", " > ").alias("heading_path"), F.size("heading_path").cast("long").alias("depth"))
+def heading_path(spark: SparkSession, d: str) -> DataFrame:
+    return L.sections(inputs.markdown(spark, d)).select("doc_id", _n("section_idx"), F.array_join("heading_path", " > ").alias("heading_path"), F.size("heading_path").cast("long").alias("depth"))
 
 
 @query
-def parent_title(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.sections(markdown(spark, d)).select("doc_id", _n("section_idx"), "parent_title")
+def parent_title(spark: SparkSession, d: str) -> DataFrame:
+    return L.sections(inputs.markdown(spark, d)).select("doc_id", _n("section_idx"), "parent_title")
 
 
 @query
-def render_section(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.sections(markdown(spark, d)).select("doc_id", _n("section_idx"), L.rendered(F.col("title"), F.col("body")).alias("content"))
+def render_section(spark: SparkSession, d: str) -> DataFrame:
+    return L.sections(inputs.markdown(spark, d)).select("doc_id", _n("section_idx"), L.rendered(F.col("title"), F.col("body")).alias("content"))
 
 
 @query
-def blocks(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return L.blocks(L.sections(markdown(spark, d))).select("doc_id", _n("section_idx"), _n("block_no"), "kind", "atomic", "text")
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return L.blocks(L.sections(inputs.markdown(spark, d))).select("doc_id", _n("section_idx"), _n("block_no"), "kind", "atomic", "text")
 
 
 # Tables.
 
 
 @query
-def pipe_tables(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return B.pipe_tables(markdown(spark, d)).select("doc_id", _n("table_no"), _n("first_line"), _n("n_lines"), "raw")
+def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
+    return B.pipe_tables(inputs.markdown(spark, d)).select("doc_id", _n("table_no"), _n("first_line"), _n("n_lines"), "raw")
 
 
 @query
@@ -315,8 +325,8 @@ def html_linearize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def length_gate(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    out = C.length_gate(L.sections(markdown(spark, d)), 300)
+def length_gate(spark: SparkSession, d: str) -> DataFrame:
+    out = C.length_gate(L.sections(inputs.markdown(spark, d)), 300)
     return out.select("doc_id", _n("section_idx"), _n("content_length"), "is_long", _n("body_budget"))
 
 
@@ -346,14 +356,6 @@ def pack_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_overlap(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.slice(F.split("text", "\n"), 1, 12)
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(C.sentence_overlap(parts, F.lit(400), 2)).alias("part_no", "text"))
-    return s.select("doc_id", _n("part_no"), "text")
-
-
-@query
-def sentence_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All lines of every document; the query before, like its SQL, takes the first 12."""
     s = table(spark, d, "documents").select("doc_id", F.posexplode(C.sentence_overlap(F.split("text", "\n"), F.lit(400), 2)).alias("part_no", "text"))
     return s.select("doc_id", _n("part_no"), "text")
 
@@ -375,8 +377,8 @@ def common_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def image_refs(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.references(markdown(spark, d)).select("doc_id", _n("ref_no"), "alt", "raw_destination")
+def image_refs(spark: SparkSession, d: str) -> DataFrame:
+    return I.references(inputs.markdown(spark, d)).select("doc_id", _n("ref_no"), "alt", "raw_destination")
 
 
 _TARGETS = ("images/a b.png", "<my img/A.PNG> \"t\"", "http://h/x.png", "dir\\\\B.jpg 'title'", "data:image/png;base64,xx", "<broken", "./%E5%9B%BE.png?x#y", "C+D.gif")
@@ -399,33 +401,33 @@ def local_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def image_join(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.referenced(inputs.images(spark, d), I.references(markdown(spark, d))).select("doc_id", "image_name")
+def image_join(spark: SparkSession, d: str) -> DataFrame:
+    return I.referenced(inputs.images(spark, d), I.references(inputs.markdown(spark, d))).select("doc_id", "image_name")
 
 
 @query
-def unreferenced_images(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.unreferenced(inputs.images(spark, d), I.references(markdown(spark, d))).select("doc_id", "image_name")
+def unreferenced_images(spark: SparkSession, d: str) -> DataFrame:
+    return I.unreferenced(inputs.images(spark, d), I.references(inputs.markdown(spark, d))).select("doc_id", "image_name")
 
 
 @query
-def first_ref(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.first_references(markdown(spark, d)).select("doc_id", "image_key", _n("line_no"))
+def first_ref(spark: SparkSession, d: str) -> DataFrame:
+    return I.first_references(inputs.markdown(spark, d)).select("doc_id", "image_key", _n("line_no"))
 
 
 @query
-def ref_heading(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.contexts(markdown(spark, d), 200).select("doc_id", "image_key", "heading")
+def ref_heading(spark: SparkSession, d: str) -> DataFrame:
+    return I.contexts(inputs.markdown(spark, d), 200).select("doc_id", "image_key", "heading")
 
 
 @query
-def image_context(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.contexts(markdown(spark, d), 200).select("doc_id", "image_key", "pre_text", "post_text")
+def image_context(spark: SparkSession, d: str) -> DataFrame:
+    return I.contexts(inputs.markdown(spark, d), 200).select("doc_id", "image_key", "pre_text", "post_text")
 
 
 @query
-def rewrite_refs(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    return I.rewritten(markdown(spark, d), inputs.images(spark, d)).select("doc_id", F.md5("md_content").alias("digest"))
+def rewrite_refs(spark: SparkSession, d: str) -> DataFrame:
+    return I.rewritten(inputs.markdown(spark, d), inputs.images(spark, d)).select("doc_id", F.md5("md_content").alias("digest"))
 
 
 @query
@@ -440,8 +442,8 @@ def summary_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def prompt_build(spark: SparkSession, d: str, markdown: Query = inputs.markdown) -> DataFrame:
-    s = I.contexts(markdown(spark, d), 200)
+def prompt_build(spark: SparkSession, d: str) -> DataFrame:
+    s = I.contexts(inputs.markdown(spark, d), 200)
     return s.select("doc_id", "image_key", F.md5(T.prompt(F.expr("'doc' || doc_id"), F.col("heading"), F.col("pre_text"), F.col("post_text")).cast("binary")).alias("digest"))
 
 
@@ -474,13 +476,3 @@ def api_result_parse(spark: SparkSession, d: str) -> DataFrame:
         "when 3 then '{\"results\": {\"a\": {}}}' else 'no json' end"
     )
     return table(spark, d, "nation").select("n_nationkey", T.api_markdown(answer).alias("md_content"))
-
-
-# The SQL of these queries cuts heading lines at 40 characters; beside each, one over whole texts.
-for _name in (
-    "chunk_sections", "explode_lines", "fence_open", "fence_mask", "headings", "sections", "section_body", "heading_path", "parent_title", "render_section", "blocks", "pipe_tables", "length_gate", "image_refs", "image_join", "unreferenced_images", "first_ref", "ref_heading", "image_context", "rewrite_refs", "prompt_build",
-):
-    QUERIES[f"{_name}_whole"] = functools.partial(QUERIES[_name], markdown=inputs.whole_markdown)
-
-for _name in ("validate_docs", "normalize_text"):
-    QUERIES[f"{_name}_whole"] = functools.partial(QUERIES[_name], text=_WHOLE_TEXT)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import FileError
 from ..functions import text as T
-from ..operators.lines import lines
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -17,11 +21,38 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return files.select("md_path", content.alias("md_content"), F.concat(T.parent(F.col("md_path")), F.lit("/images")).alias("image_dir"))
 
 
-def list_images(spark: SparkSession, path: str, extensions: frozenset[str]) -> DataFrame:
-    """path, image_dir, image_name, length of image files under path. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    keep = F.lower(T.suffix(F.col("path"))).isin(*sorted(x.casefold() for x in extensions))
-    return files.filter(keep).select("path", T.parent(F.col("path")).alias("image_dir"), T.name(F.col("path")).alias("image_name"), "length")
+_IMAGE = "image_dir string, image_name string, path string, length long, error_class string, error_message string"
+
+
+def _listed(extensions: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(x.split()[0], pa.int64() if x.endswith(" long") else pa.string()) for x in _IMAGE.split(", ")])
+        for batch in batches:
+            for at in batch.column("image_dir").to_pylist():
+                rows = []
+                try:
+                    store, path = FileSystem.from_uri(at)
+                    kind = store.get_file_info(path).type
+                    if kind == FileType.Directory:
+                        # only files of the folder itself, in a fixed order
+                        found = [x for x in store.get_file_info(FileSelector(path)) if x.type == FileType.File and x.base_name.casefold().endswith(tuple(extensions))]
+                        rows = [(at, x.base_name, x.path, x.size, None, None) for x in sorted(found, key=lambda x: (x.base_name.casefold(), x.base_name))]
+                    elif kind != FileType.NotFound:
+                        rows = [(at, None, None, None, "ImageError", f"{at} is no folder")]
+                except (OSError, pa.ArrowInvalid) as e:
+                    rows = [(at, None, None, None, "ImageError", f"{at}: {e}")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    return run
+
+
+def list_images(folders: DataFrame, extensions: frozenset[str]) -> DataFrame:
+    """image_dir, image_name, path, length of the image files in each folder of folders (image_dir), ordered by name within it.
+
+    Subfolders and contents are not read. A folder that isn't there has no images; one that is no folder or can't be
+    read is a row with error_class and error_message.
+    """
+    return folders.filter("image_dir is not null").select("image_dir").distinct().mapInArrow(_listed(frozenset(x.casefold() for x in extensions)), _IMAGE)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +77,30 @@ def write_chunk_json(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """Processed documents (md_path, md_content) as text, one folder a file named by output_path of its md_path."""
-    file = F.regexp_replace(T.name(T.output_path(F.col("md_path"))), "[=/]", "_")
-    docs.select(file.alias("file"), F.posexplode(lines(F.col("md_content"))).alias("line_no", "value")).repartition("file").sortWithinPartitions("file", "line_no").select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        errors = []
+        for at, text in zip(batch.column("to").to_pylist(), batch.column("md_content").to_pylist(), strict=True):
+            try:
+                store, path = FileSystem.from_uri(at)
+                with store.open_output_stream(path) as out:
+                    out.write(text.encode())
+                errors.append(None)
+            except (OSError, pa.ArrowInvalid) as e:
+                errors.append(f"{at}: {e}")
+        yield pa.RecordBatch.from_arrays([pa.array(errors, pa.string())], ["error"])
+
+
+def write_markdown(docs: DataFrame) -> int:
+    """Write processed documents (md_path, md_content), a file each, beside their sources by output_path; the number of files.
+
+    Line ends are written as they are; a file of an earlier run is replaced, the source stays. Paths may be local or in any
+    store with a URI. A null md_path or md_content, or a path that can't be written, is a FileError after all others are written.
+    """
+    rows = docs.select(T.output_path(F.col("md_path")).alias("to"), "md_content")
+    missing = rows.filter("to is null or md_content is null").count()
+    done = rows.filter("to is not null and md_content is not null").mapInArrow(_written, "error string")
+    n, failed, first = done.agg(F.count("*"), F.count("error"), F.min("error")).first()
+    if failed or missing:
+        raise FileError(f"{failed + missing} documents not written: {first or 'a path or a text is missing'}", "images")
+    return n

@@ -103,6 +103,39 @@ def test_documents_with_errors_are_set_apart(spark):
         errors.strict(V.checked_documents(df)).collect()
 
 
+def test_files_of_both_kinds_become_chunks(spark):
+    """The whole import with stand-ins for the services: order of stages, and every kind of failure beside good files."""
+    paths = {1: "/in/a.pdf", 2: "/in/b.MD", 3: "/in/c.txt", 4: None, 5: "/in/broken.pdf", 6: "/in/lost.md", 7: " /in/d.markdown ", 8: "/in/wide.md"}
+    files = spark.createDataFrame(list(paths.items()), "doc_id long, import_file_path string")
+    contents = spark.createDataFrame([("/in/b.MD", "# B\ntext of b"), ("/in/d.markdown", "# D\n![old](images/p.png)\ntext of d"), ("/in/wide.md", "# " + "w" * 300 + "\nbody")], "md_path string, md_content string")
+
+    def convert(pdfs):
+        text = F.when(F.col("pdf_path") == "/in/a.pdf", "# A\n![old](images/p.png)\ntext of a")
+        return pdfs.select("doc_id", text.alias("md_content"), F.when(text.isNull(), "PdfError").alias("error_class"), F.when(text.isNull(), "no PDF").alias("error_message"))
+
+    images = spark.createDataFrame([(i, "p.PNG", "seen", f"http://s/{i}.png") for i in (1, 7)], "doc_id long, image_name string, summary string, url string")
+    chunks, rejected = D.imported_files(files, contents, convert, lambda docs: I.rewritten(docs, images), SplitConfig(200, 50, 1))
+    got = {r.doc_id: r for r in chunks.collect()}
+    assert {i: r.content for i, r in got.items()} == {1: "# A\n\n![seen](http://s/1.png)\ntext of a", 2: "# B\n\ntext of b", 7: "# D\n\n![seen](http://s/7.png)\ntext of d"}
+    assert (got[1].file_title, got[1].source_path, got[7].source_path) == ("a", "/in/a/auto/a.md", "/in/d.markdown")
+    failed = {(r.doc_id, r.error_class, r.stage) for r in rejected.collect()}
+    assert failed == {(3, "FieldError", "entry"), (4, "FieldError", "entry"), (5, "PdfError", "pdf"), (6, "FileError", "images"), (8, "SplitError", "split")}
+
+
+def test_context_of_rows_with_one_id(spark):
+    """Two rows of one doc_id are read each by itself; clashing columns stay as they are."""
+    texts = ["# A\none\n\n![x](p.png)\n\ntwo\n# B\nthree", "four\n![y](q/p.png)\n\nfive"]
+    docs = spark.createDataFrame([(1, t, "t", "p") for t in texts] + [(2, None, "t", "p")], DOCS)
+    got = sorted((r.heading, r.pre_text, r.post_text) for r in I.contexts(docs, 200).collect())
+    assert got == [("", "four", "five"), ("# A", "one", "two")]
+    files = spark.createDataFrame([(1, "P.png", "kept", "of"), (1, "z.png", "kept", "of"), (None, "p.png", "k", "o")], "doc_id long, image_name string, key string, of string")
+    refs = I.references(docs)
+    assert [tuple(r) for r in I.referenced(files, refs).collect()] == [(1, "P.png", "kept", "of")]
+    assert {r.image_name for r in I.unreferenced(files, refs).collect()} == {"z.png", "p.png"}
+    odd = spark.createDataFrame([(1, "# a", "/d/a.md", None, None, None, "mine")], "doc_id long, md_content string, md_path string, import_file_path string, file_title string, file_dir string, found_title string")
+    assert V.checked_documents(odd).first().found_title == "mine"
+
+
 def test_image_stage(spark):
     text = "# H\nbefore\n\n![old](images/A%20b.png \"t\")\n\nafter\n![x](http://h/y.png)\n![z](images/none.png)"
     docs = spark.createDataFrame([(1, text, "Doc: 1", "/d/1.md")], DOCS)

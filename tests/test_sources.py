@@ -1,10 +1,12 @@
 """Files, connectors and streams."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from inkstone.config import ImageConfig
-from inkstone.errors import ConfigError, PdfError, StoreError
+from inkstone.errors import ConfigError, FileError, ModelError, PdfError, StoreError
 from inkstone.plans import documents as D
 from inkstone.sources import connectors as X
 from inkstone.sources import files as S
@@ -19,8 +21,13 @@ def test_markdown_and_images_from_files(spark, tmp_path):
     (tmp_path / "images" / "q.bmp").write_bytes(b"abc")
     doc = S.read_markdown(spark, str(tmp_path)).collect()
     assert [r.md_content for r in doc] == ["﻿# A\nx"] and doc[0].image_dir.endswith("/images")
-    images = S.list_images(spark, str(tmp_path), ImageConfig().extensions)
-    assert sorted(r.image_name for r in images.collect()) == ["p.PNG", "q.bmp"]
+    (tmp_path / "images" / "below.png").mkdir()
+    (tmp_path / "images" / "A.jpeg").write_bytes(b"")
+    folders = spark.createDataFrame([(str(tmp_path / "images"),), (str(tmp_path / "images"),), (str(tmp_path / "none"),), (str(tmp_path / "a.md"),), (None,)], "image_dir string")
+    images = S.list_images(folders, ImageConfig().extensions).collect()
+    assert [(r.image_name, r.length) for r in images if r.image_name] == [("A.jpeg", 0), ("p.PNG", 3), ("q.bmp", 3)]
+    assert [(r.image_dir.rsplit("/", 1)[1], r.error_class) for r in images if not r.image_name] == [("a.md", "ImageError")]
+    (tmp_path / "images" / "A.jpeg").unlink()
     urls = {r.path.rsplit("/", 1)[1]: r.data_url for r in S.read_images(spark, str(tmp_path / "images")).collect()}
     assert urls == {"p.PNG": "data:image/png;base64,YWJj", "q.bmp": None}
 
@@ -32,8 +39,23 @@ def test_chunks_and_documents_to_files(spark, tmp_path):
     S.write_chunks(chunks, str(tmp_path / "c"))
     S.write_chunk_json(chunks, str(tmp_path / "j"))
     assert spark.read.parquet(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "j")).count() == 1
-    S.write_markdown(docs, str(tmp_path / "m"))
-    assert [p.read_text() for p in (tmp_path / "m" / "file=a_new.md").glob("part-*")] == ["# A\nx\n"]
+
+
+def test_processed_documents_go_beside_their_sources(spark, tmp_path):
+    """Files of one name in two folders, line ends as they are, an earlier run replaced, sources kept."""
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.md").write_text("source")
+    rows = [(1, f"{tmp_path}/a/x.md", "one\r\nONE\n\n"), (2, f"file://{tmp_path}/b/x.md", "two é"), (3, f"{tmp_path}/b/y_NEW.markdown", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, md_path string, md_content string").repartition(3)
+    for _ in range(2):
+        assert S.write_markdown(docs) == 3
+    got = {str(p.relative_to(tmp_path)): p.read_bytes().decode() for p in tmp_path.rglob("*") if p.is_file()}
+    assert got == {"a/x.md": "source", "b/x.md": "source", "a/x_new.md": "one\r\nONE\n\n", "b/x_new.md": "two é", "b/y_NEW.markdown": ""}
+    bad = spark.createDataFrame([(1, f"{tmp_path}/none/x.md", "t"), (2, None, "t"), (3, f"{tmp_path}/a/z.md", "written")], "doc_id long, md_path string, md_content string")
+    with pytest.raises(FileError, match="2 documents"):
+        S.write_markdown(bad)
+    assert (tmp_path / "a/z_new.md").read_text() == "written"
 
 
 def test_converters(spark, tmp_path):
@@ -77,16 +99,71 @@ def test_services_that_fail(spark):
 
 
 def test_rate_limit():
-    now, slept = [0.0], []
+    """No window of 60 seconds has more than three calls, and none waits without need."""
+    now, calls = [0.0], []
 
     def sleep(s):
-        slept.append(s)
         now[0] += s
 
-    limit = X.RateLimit(2, 60, lambda: now[0], sleep)
-    for _ in range(3):
+    limit = X.RateLimit(3, 60, lambda: now[0], sleep)
+    for pause in (0, 10, 0, 0, 45, 100, 1, 1, 0, 0):
+        now[0] += pause
         limit.call()
-    assert slept == [60.0]
+        calls.append(now[0])
+    assert calls == [0, 10, 10, 60, 105, 205, 206, 207, 265, 266]
+    assert all(b - a >= 60 for a, b in zip(calls, calls[3:], strict=False))
+
+
+def test_no_more_workers_than_calls(spark):
+    images = spark.createDataFrame([("p", "u")] * 4, "prompt string, data_url string")
+    out = X.describe_images(images, lambda: lambda prompt, url: "seen", 2, 50)
+    assert out.rdd.getNumPartitions() == 2
+
+
+def test_vision_model():
+    sent = []
+
+    def send(answer):
+        def post(request, timeout):
+            sent.append(request)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        return post
+
+    ask = lambda answer: X.VisionModel("http://h/v1/", "k", "m", send=send(answer))("what?", "data:image/png;base64,xx")
+    assert ask(b'{"choices": [{"message": {"content": " a view "}}]}') == " a view "
+    assert sent[0].full_url == "http://h/v1/chat/completions" and sent[0].get_header("Authorization") == "Bearer k"
+    body = json.loads(sent[0].data)
+    assert body["model"] == "m" and body["messages"][0]["content"][0]["text"] == "what?" and body["messages"][0]["content"][1]["image_url"]["url"].endswith("xx")
+    for bad in (b"{}", b'{"choices": []}', b'{"choices": [{"message": {"content": " "}}]}', b"no json", OSError("down")):
+        with pytest.raises(ModelError):
+            ask(bad)
+    with pytest.raises(ModelError):
+        X.VisionModel("http://h", "k", "m")("p", None)
+    with pytest.raises(ConfigError):
+        X.VisionModel("http://h", " ", "m")
+
+
+def test_s3_store(monkeypatch, tmp_path):
+    """The client is made from the configuration; the bucket is made once."""
+    from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+    asked = []
+
+    def client(**given):
+        asked.append(given)
+        return SubTreeFileSystem(str(tmp_path), LocalFileSystem())
+
+    monkeypatch.setattr(X, "S3FileSystem", type("Made", (), {"__new__": lambda cls, **given: client(**given)}))
+    config = ImageConfig(endpoint="https://host:9000", secure=False, bucket="pics")
+    for _ in range(2):
+        X.s3_store(config, "a", "s")
+    assert (tmp_path / "pics").is_dir() and asked[0] == {"access_key": "a", "secret_key": "s", "endpoint_override": "host:9000", "scheme": "https", "allow_bucket_creation": True}
+    for access, secret in (("", "s"), ("a", " ")):
+        with pytest.raises(ConfigError):
+            X.s3_store(config, access, secret)
 
 
 def test_image_config():
@@ -126,7 +203,7 @@ def test_conversion_service():
 
 def test_folder_store(tmp_path):
     (tmp_path / "p.png").write_bytes(b"x")
-    put = X.FolderStore(str(tmp_path / "s"), "bucket")
+    put = X.folder_store(str(tmp_path / "s"), "bucket")
     put("knowledge/d/p.png", str(tmp_path / "p.png"), "image/png")
     assert (tmp_path / "s/bucket/knowledge/d/p.png").read_bytes() == b"x"
     with pytest.raises(StoreError):

@@ -16,10 +16,14 @@ def titles(text):
     return [s.title for s in S.sections(text, "file")]
 
 
-def test_config_rejects_what_is_no_size():
-    for bad in ((0, 1, 0), (10, 0, 0), (500, 500, 0), (100, 500, 0), (True, 1, 0), (100, 10, -1), (100, 10, False)):
+@given(st.one_of(st.integers(-5, 50), st.booleans(), st.floats(1, 9), st.none()), st.one_of(st.integers(-5, 50), st.booleans(), st.just("7")), st.one_of(st.integers(-3, 5), st.booleans()))
+def test_config_takes_sizes_only(longest, least, overlap):
+    whole = all(type(x) is int for x in (longest, least, overlap))
+    if whole and 0 < least < longest and overlap >= 0:
+        assert SplitConfig(longest, least, overlap).max_length == longest
+    else:
         with pytest.raises(ConfigError):
-            SplitConfig(*bad)
+            SplitConfig(longest, least, overlap)
 
 
 def test_env_bool(monkeypatch):
@@ -35,10 +39,18 @@ def test_normalized_drops_one_mark_and_carriage_returns():
     assert S.normalized("﻿﻿a") == "﻿a"
 
 
-def test_skipped_and_reset_levels():
-    found = S.sections("# A\n### B\n#### C\n## D\n#### E\n# F", "file")
-    assert [s.parent for s in found] == ["# A", "# A", "### B", "# A", "## D", "# F"]
-    assert found[4].path == ("# A", "## D", "#### E")
+@given(st.lists(st.integers(1, 6), max_size=25))
+def test_paths_are_chains_of_nearest_higher_headings(levels):
+    """Against looking back from each heading for the nearest one of a smaller level, again and again."""
+    found = S.sections("\n".join(f"{'#' * level} h{n}" for n, level in enumerate(levels)), "file")
+    assert [s.level for s in found] == levels
+    for n, section in enumerate(found):
+        chain = [n]
+        for k in range(n - 1, -1, -1):
+            if levels[k] < levels[chain[0]]:
+                chain.insert(0, k)
+        assert section.path == tuple(f"{'#' * levels[k]} h{k}" for k in chain)
+        assert section.parent == section.path[-2 if len(chain) > 1 else -1]
 
 
 def test_all_levels_and_orphans():
@@ -74,8 +86,36 @@ def test_a_title_that_leaves_no_room():
 
 
 def test_overlap_reads_the_part_before_as_it_stands():
-    assert S.overlapped(["先断电。再开盖。", "取出电池。", "重新装好。"], 14, 1) == ["先断电。再开盖。", "再开盖。\n取出电池。", "取出电池。\n重新装好。"]
-    assert S.overlapped(["a. b.", "x" * 20], 14, 1) == ["a. b.", "x" * 20]
+    parts = ["Rain fell; it stopped! Fog.", "Sun?", "Wind", "", "Y" * 9]
+    assert S.overlapped(parts, 16, 2) == ["Rain fell; it stopped! Fog.", "Fog.\nSun?", "Fog.Sun?\nWind", "Sun?Wind\n", "Wind\n" + "Y" * 9]
+    assert S.overlapped(parts, 16, 0) == parts and S.overlapped([], 16, 2) == []
+    assert S.overlapped(["One. Two.", "Z" * 17], 16, 1) == ["One. Two.", "Z" * 17]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(1, 30)), max_size=14), st.integers(1, 25), st.integers(26, 60))
+def test_neighbours_partition_the_drafts(drafts, least, most):
+    groups = S.neighbours(drafts, least, most)
+    assert [i for first, last, _ in groups for i in range(first, last + 1)] == list(range(len(drafts)))
+    for first, last, length in groups:
+        part = drafts[first : last + 1]
+        assert len({k for k, _ in part}) == 1 and length == sum(n for _, n in part) + 2 * (last - first)
+        assert length <= most or first == last
+    for (a, b, n), (c, _, m) in zip(groups, groups[1:], strict=False):
+        # whoever is short found no room on either side
+        if drafts[a][0] == drafts[c][0] and n + 2 + m <= most:
+            assert m >= least and (n >= least or n + 2 + drafts[c][1] > most), (a, b, c)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "\n", "a", "bb\n", "c" * 12, "d d", "e" * 25]), st.booleans()), max_size=12), st.integers(1, 20))
+def test_packing_is_greedy(pieces, budget):
+    out = S.packed(pieces, budget)
+    texts = [t.strip("\n") for t, _ in pieces if t.strip()]
+    assert "\n\n".join(out) == "\n\n".join(texts)
+    assert all(len(p) <= budget or p in texts for p in out)
+    for p, q in zip(out, out[1:], strict=False):
+        assert len(p) + 2 + len(q.split("\n\n")[0]) > budget
 
 
 def test_blocks_and_oversize_fences():
