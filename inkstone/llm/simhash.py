@@ -102,53 +102,62 @@ def _index(buckets: int):
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, root) that connect what the links (a, b) connect, one for each node that is no root."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        rx, ry = root[x], root[y]
-        open_ = rx != ry
-        if not open_.any():
-            break
-        x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
-        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-        while (root[root] != root).any():
-            root = root[root]
-    other = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[other], nodes[root[other]]
+class Roots:
+    """Connected nodes 0 to n-1: the least node in reach of each."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        while True:
+            rx, ry = self.of[x], self.of[y]
+            apart = rx != ry
+            if not apart.any():
+                return
+            x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+            np.minimum.at(self.of, np.maximum(rx, ry), np.minimum(rx, ry))
+            while (self.of[self.of] != self.of).any():
+                self.of = self.of[self.of]
 
 
 def matches(keys: np.ndarray, bits: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between fingerprints that share a variant key and differ in at most distance bits."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    """Links (fingerprint, root) that connect what shares a variant key and differs in at most distance bits, one for each that is no root.
+
+    A run of candidates is left as soon as all of it is connected, so a large cluster of near fingerprints takes few comparisons of each.
+    """
+    nodes, node = np.unique(bits, return_inverse=True)
+    roots = Roots(len(nodes))
     for lo, hi in SEGMENTS:
-        here = ((keys >> 22) >= lo) & ((keys >> 22) < hi)
-        k, b = keys[here].astype(np.uint64), bits[here]
-        if not len(k):
+        here = np.flatnonzero(((keys >> 22) >= lo) & ((keys >> 22) < hi))
+        if not len(here):
             continue
+        k, b = keys[here], bits[here]
         rest = [i for i in range(64) if not lo <= i < hi]
         for part in np.array_split(np.array(rest), PARTS):
             mask = np.uint64(sum(1 << int(i) for i in part))
             order = np.lexsort((b & mask, k))
-            ks, bs = k[order], b[order]
-            same = (ks[1:] == ks[:-1]) & (bs[1:] & mask == bs[:-1] & mask)
-            at, step = np.flatnonzero(same), 1
-            run_end = np.append(np.flatnonzero(~same), len(ks) - 1)
-            last = run_end[np.searchsorted(run_end, at)]
+            ks, bs, own = k[order], b[order], node[here][order]
+            new = np.ones(len(ks), bool)
+            new[1:] = (ks[1:] != ks[:-1]) | (bs[1:] & mask != bs[:-1] & mask)
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            last = np.append(first[1:], len(bs))[run] - 1
+            at = np.flatnonzero(np.arange(len(bs)) < last)
+            step, look, linked = 1, 1, []
             while len(at):
+                if step == look:
+                    if linked:
+                        roots.link(*map(np.concatenate, zip(*linked, strict=True)))
+                    root, linked, look = roots.of[own], [], 2 * look
+                    several = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)
+                    at = at[several[run[at]]]
                 near = np.bitwise_count(bs[at] ^ bs[at + step]) <= distance
-                if near.any():
-                    found.append((bs[at[near]], bs[at[near] + step]))
-                    if sum(len(x) for x, _ in found) > 1 << 20:
-                        found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
+                linked.append((own[at[near]], own[at[near] + step]))
                 step += 1
-                go = at + step <= last
-                at, last = at[go], last[go]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return forest(*map(np.concatenate, zip(*found, strict=True)))
+                at = at[at + step <= last[at]]
+            if linked:
+                roots.link(*map(np.concatenate, zip(*linked, strict=True)))
+    other = np.flatnonzero(roots.of != np.arange(len(nodes)))
+    return nodes[other], nodes[roots.of[other]]
 
 
 def _verify(group: pa.Table) -> pa.Table:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, keep
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -36,7 +36,8 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespa
 LEAST_SHARED = 100
 #: Records and bytes of payload in an archive.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 256, 1 << 20
-SALTS = 16
+#: Records behind a salt, about, and salts at least.
+SALT_RECORDS, SALTS = 1 << 20, 16
 
 
 @dataclass
@@ -238,13 +239,14 @@ def revisits(arcs: DataFrame) -> DataFrame:
     """archive, place, id, page for every record to be written as a revisit, with the record that it repeats.
 
     Records with equal payloads of LEAST_SHARED bytes or more: the one with the smallest page (no page:
-    last) is the original. A payload that a third of all records share is dealt over SALTS keys.
+    last) is the original. A payload that a third of all records share is dealt over as many keys as the records need.
     """
     facts = keep(arcs.mapInArrow(_facts, _FACTS), "arc-facts").filter(F.col("bytes") >= LEAST_SHARED)
-    facts = facts.withColumn("salt", F.pmod(F.xxhash64("archive", "place"), F.lit(SALTS)))
+    salts = max(SALTS, -(-facts.count() // SALT_RECORDS))
+    facts = facts.withColumn("salt", F.pmod(F.xxhash64("archive", "place"), F.lit(salts)))
     first = F.min(F.struct(F.col("page").isNull().alias("none"), "page", "archive", "place", "id")).alias("first")
     part = facts.groupBy("digest", "salt").agg(first, F.count("*").alias("n"))
-    whole = part.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))  # at most SALTS
+    whole = part.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))  # at most all salts
     shared = whole.filter("n > 1").select("digest", "first", F.explode("salts").alias("salt"))
     both = facts.drop("id", "page").join(shared, ["digest", "salt"])
     return both.filter((F.col("archive") != F.col("first.archive")) | (F.col("place") != F.col("first.place"))).select("archive", "place", F.col("first.id").alias("id"), F.col("first.page").cast("string").alias("page"))
@@ -302,4 +304,7 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
     (null page_id: last; repeated page_id: one of them), the others revisit it. A null or empty html has an
     empty payload; a null url is written as '-'; no pages give no archives and no rows.
     """
-    return read_warcs(arc_to_warc(write_arcs(pages)))
+    arcs = write_arcs(pages)
+    warcs = arc_to_warc(arcs)
+    drop(arcs)
+    return read_warcs(warcs)

@@ -225,11 +225,14 @@ def test_rounding_keeps_expectations():
     total = Counter()
     for seed in range(300):
         mixing.SEED = seed
-        rows = [{"doc_id": i, "source": "s", "size": 5, "source_size": 0, "target": 0.0, "leaf": 0, "whole": 0, "mass": 1.0 + i % 3, "more": None} for i in range(10)]
-        names = [x.split()[0] for x in mixing._ROUND.split(", ")]
-        for b in mixing._settle(True, 0)(iter([pa.RecordBatch.from_pylist(rows, schema=mixing._schema(names))])):
-            for r in b.to_pylist():
-                total[r["doc_id"]] += r["more"]
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in mixing._ROUND.split(", ")])
+        rows = [{"doc_id": i, "tag": 0, "source": "s", "size": 5, "source_size": 0, "target": 0.0, "leaf": 0, "whole": 0, "mass": 1.0 + i % 3, "more": None} for i in range(10)]
+        halves = [pa.RecordBatch.from_pylist(x, schema=schema) for x in (rows[:3], rows[3:])]
+        out = [r for b in mixing._settle(True, 0)(iter(halves)) for r in b.to_pylist()]
+        assert sorted(r["doc_id"] for r in out) == list(range(10)) and sum(r["more"] for r in out) == 4
+        for r in out:
+            total[r["doc_id"]] += r["more"]
     mixing.SEED = 42
     assert all(abs(total[i] / 300 - (1 + i % 3) / 5) < 0.12 for i in range(10))
 
