@@ -58,6 +58,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger)
 }
 
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: Kinds of secrets: pattern, and what a match must have.
+_SECRETS = {
+    "assign": ("(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "len(regexp_extract(m, '[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
+    "access": ("AKIA[A-Z0-9]{16,}", "true"),
+    "hex": ("[0-9a-f]{24,}", "true"),
+    "pem": ("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+    "jwt": ("eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", "true"),
+    "github": ("gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+}
+#: Each match with its place: what stands between matches and the matches themselves have lengths.
+_FOUND = " union all ".join(
+    f"""select doc_id, {rank} as rank, '{kind}' as kind, a, a + len(m) as b from (
+          select doc_id, ms[i] as m, cast(list_sum(list_transform(gs[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: len(x))), 0) as bigint) as a
+          from (select doc_id, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as gs, unnest(range(1, len(ms) + 1)) as i from d)) where {has}"""
+    for rank, (kind, (pattern, has)) in enumerate(_SECRETS.items())
+)
+_SPANS = "string_agg(kind || ':' || a || ':' || b, ',' order by a, rank)"
+
 ORACLES: dict[str, str] = {
     "op1_arc_to_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
@@ -83,4 +105,40 @@ ORACLES: dict[str, str] = {
         select d.doc_id, coalesce(g.n_words, 0) as n_words, coalesce(g.n_bigrams, 0) as n_bigrams,
                g.micro / (g.n_words * 1e6) as score
         from documents d left join g on g.doc_id = d.doc_id""",
+    "op4_suffix_array_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        w as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(length(h) // 2 - 99)) as i from d where length(h) >= 200)),
+        f as (select s, min(doc_id * 4294967296 + i) as first from w group by s having count(*) > 1),
+        m as (select w.doc_id, w.i from w join f using (s) where w.doc_id * 4294967296 + w.i > f.first),
+        g as (select *, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as new from m),
+        k as (select *, sum(new) over (partition by doc_id order by i) as island from g),
+        r as (select doc_id, min(i) as a, max(i) + 100 as b from k group by doc_id, island),
+        p as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as c from r),
+        o as (select doc_id, sum(b - a) as gone, count(*) as spans, max(b) as c, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' order by a) as kept from p join d using (doc_id) group by doc_id)
+        select doc_id, length(h) // 2 as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans,
+               sha256(unhex(coalesce(kept || substr(h, 2 * c + 1), h))) as kept_sha256
+        from d left join o using (doc_id)""",
+    "op7_spaced_seed_overlaps": """
+        with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as ws from documents),
+        q as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as vs
+              from (select distinct item_id, text from benchmark where text is not null)),
+        x as (select doc_id, len(ws) as dn, ws[i] as w, i - 1 as i from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from t)),
+        y as (select item_id, len(vs) as n, least(20, len(vs)) as k, vs[j] as w, j - 1 as j from (select item_id, vs, unnest(range(1, len(vs) + 1)) as j from q)),
+        e as (select doc_id, item_id, i, j, i - j as diag, dn, n, k from x join y using (w)),
+        c as (select *, greatest(0, -diag) as low, least(n, dn - diag) - k as high from e
+              qualify count(*) over (partition by doc_id, item_id, diag) >= 0.8 * k),
+        s as (select distinct doc_id, item_id, diag, k, s from (
+                select doc_id, item_id, diag, k, low, high, unnest([j - k + 1, low]) as s from c) where s between low and high),
+        b as (select s.doc_id, s.item_id, s.diag + s.s as first_word, s.k as window_words, count(*) as equal_words
+              from s join c on c.doc_id = s.doc_id and c.item_id = s.item_id and c.diag = s.diag and c.j between s.s and s.s + s.k - 1
+              group by s.doc_id, s.item_id, s.diag, s.s, s.k having count(*) >= 0.8 * s.k)
+        select doc_id, item_id, first_word, equal_words, window_words, equal_words / window_words as similarity from b
+        qualify row_number() over (partition by doc_id, item_id order by equal_words desc, first_word) = 1""",
+    "op10_secret_ledger": f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        f as ({_FOUND}),
+        g as (select doc_id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access, count(*) filter (where rank = 2) as n_hex,
+                     {_SPANS} filter (where rank < 3) as base, {_SPANS} as spans from f group by doc_id)
+        select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)""",
 }

@@ -159,8 +159,8 @@ def repeated_runs(data: np.ndarray, first: np.ndarray, more: np.ndarray, doc: np
     return out
 
 
-def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same, sorting the runs by their anchors, those that share one as wholes, and only then the suffixes of those that differ."""
+def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as stretches of neighbours (run, first number in it, further ones), in order, sorting the runs by their anchors, those that share one as wholes, and only then the suffixes of those that differ."""
     order, group = multikey(data, first + anchor, GRAM)
     shared = np.zeros(len(order), bool)
     shared[1:] = group[1:] == group[:-1]
@@ -175,17 +175,30 @@ def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anc
         b = int(cuts[max(np.searchsorted(cuts, reach, "right") - 1, np.searchsorted(cuts, a, "right"))])
         o = order[a:b]
         whole = repeated_runs(data, first[o], more[o], doc[o], start[o])
-        n = more[o[whole]] + 1
-        found.append((np.repeat(o[whole], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+        found.append((o[whole], np.zeros(int(whole.sum()), np.int64), more[o[whole]]))
         o = o[~whole]
         run, k = repeats(data, first[o], more[o], doc[o], start[o])
-        found.append((o[run], k))
+        when = np.lexsort((k, run))
+        run, low, further = stretches(run[when], k[when])
+        found.append((o[run], low, further))
         a = b
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    run, k = (np.concatenate(x) for x in zip(*found, strict=True))
-    when = np.lexsort((k, run))
-    return run[when], k[when]
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    run, low, further = (np.concatenate(x) for x in zip(*found, strict=True))
+    when = np.lexsort((low, run))
+    return run[when], low[when], further[when]
+
+
+def between(run: np.ndarray, low: np.ndarray, further: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stretches (in order) leave of the runs that they are in, as stretches."""
+    new = np.ones(len(run), bool)
+    new[1:] = run[1:] != run[:-1]
+    last = np.append(new[1:], True)[: len(run)]
+    after = low + further + 1
+    begin = np.where(new, 0, np.append(0, after[:-1])[: len(run)])
+    ahead, behind = low > begin, last & (after <= more[run])
+    run_, low_ = np.append(run[ahead], run[behind]), np.append(begin[ahead], after[behind])
+    return run_, low_, np.append((low - begin)[ahead], (more[run] - after + 1)[behind]) - 1
 
 
 def stretches(run: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,18 +329,13 @@ def _runs(plan: Plan, doc_parts: int):
             gram, doc, first, more, anchor, start = (np.concatenate([x[k] for x in held]) for k in range(1, 7))
             rank, ids, tags = _ranked(*(np.concatenate([x[k] for x in names]) for k in range(2)))
             doc = rank[doc]
-            found, k = repeats_by_anchor(data, first, more, anchor, doc, start)
-            r, low, further = stretches(found, k)
+            r, low, further = repeats_by_anchor(data, first, more, anchor, doc, start)
             out = [(plan.parts + p, kind, blob) for p, kind, blob in _spans(doc[r], start[r] + low, further, ids, tags, doc_parts)]
             # what is left of the runs
-            gone = np.zeros(len(first), bool)
-            gone[found] = True
-            whole, part = np.flatnonzero(~gone), np.flatnonzero(gone)
-            n = more[part] + 1
-            run_, number = np.repeat(part, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            width = int(more.max(initial=0)) + 1
-            left = ~np.isin(run_ * width + number, found * width + k)
-            r, low, further = stretches(run_[left], number[left])
+            whole = np.ones(len(first), bool)
+            whole[r] = False
+            whole = np.flatnonzero(whole)
+            r, low, further = between(r, low, further, more)
             r, low, further = np.append(whole, r), np.append(np.zeros(len(whole), np.int64), low), np.append(more[whole], further)
             to = plan.part(_leads(data, first[r] + anchor[r]), gram[r])
             if (hot := plan.is_hot(gram[r])).any():
@@ -378,8 +386,7 @@ def _sort(parts: int, doc_parts: int):
         (start, more, _, anchor, raw), doc, ids, tags = _gathered(blobs, _RUN_KINDS)
         start, more, anchor = (x.astype(np.int64) for x in (start, more, anchor))
         size = more + LENGTH
-        found, k = repeats_by_anchor(np.append(raw, np.zeros(8, np.uint8)), np.cumsum(size) - size, more, anchor, doc, start)
-        r, low, further = stretches(found, k)
+        r, low, further = repeats_by_anchor(np.append(raw, np.zeros(8, np.uint8)), np.cumsum(size) - size, more, anchor, doc, start)
         return _table(_spans(doc[r], start[r] + low, further, ids, tags, doc_parts))
 
     return run

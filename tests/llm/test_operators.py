@@ -308,12 +308,16 @@ def test_repeats_in_small_groups_and_of_common_anchors(spark, monkeypatch):
     data = np.frombuffer(("".join(t for _, t in rows[:20]) + " " * 8).encode(), np.uint8)
     one = suffixes.anchored(suffixes.Texts(data[:-8], np.array([0, len(data) - 8])))
     args = (data, one[2], one[3], one[4], np.zeros(len(one[2]), np.int64), one[2])
-    run, k = suffixes.repeats_by_anchor(*args)
+    run, low, further = suffixes.repeats_by_anchor(*args)
+    found = [p for r, a, n in zip(run, low, further, strict=True) for p in range(one[2][r] + a, one[2][r] + a + n + 1)]
     raw, seen, want_at = data[:-8].tobytes(), set(), []
     for i in range(len(raw) - 99):
         want_at += [i] if raw[i : i + 100] in seen else []
         seen.add(raw[i : i + 100])
-    assert sorted((one[2][run] + k).tolist()) == want_at and want_at
+    assert sorted(found) == want_at and want_at
+    more = np.array([5, 0, 9, 3])
+    left = suffixes.between(np.array([0, 2, 2, 2, 3]), np.array([0, 1, 4, 9, 2]), np.array([5, 1, 2, 0, 0]), more)
+    assert sorted(zip(*(x.tolist() for x in left), strict=True)) == [(2, 0, 0), (2, 3, 0), (2, 7, 1), (3, 0, 1), (3, 3, 0)]
 
 
 # 5
