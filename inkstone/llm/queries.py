@@ -106,17 +106,17 @@ ORACLES: dict[str, str] = {
                g.micro / (g.n_words * 1e6) as score
         from documents d left join g on g.doc_id = d.doc_id""",
     "op4_suffix_array_dedup": """
-        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-        w as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(length(h) // 2 - 99)) as i from d where length(h) >= 200)),
+        with d as (select doc_id, encode(coalesce(text, '')) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+        w as (select doc_id, i, md5_number(h[i + 1:i + 100]::varchar) as s from (select doc_id, h, unnest(range(n - 99)) as i from d where n >= 100)),
         f as (select s, min(doc_id * 4294967296 + i) as first from w group by s having count(*) > 1),
         m as (select w.doc_id, w.i from w join f using (s) where w.doc_id * 4294967296 + w.i > f.first),
         g as (select *, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as new from m),
         k as (select *, sum(new) over (partition by doc_id order by i) as island from g),
         r as (select doc_id, min(i) as a, max(i) + 100 as b from k group by doc_id, island),
         p as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as c from r),
-        o as (select doc_id, sum(b - a) as gone, count(*) as spans, max(b) as c, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' order by a) as kept from p join d using (doc_id) group by doc_id)
-        select doc_id, length(h) // 2 as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans,
-               sha256(unhex(coalesce(kept || substr(h, 2 * c + 1), h))) as kept_sha256
+        o as (select doc_id, sum(b - a) as gone, count(*) as spans, max(b) as c, string_agg(hex(h[c + 1:a]), '' order by a) as kept from p join d using (doc_id) group by doc_id)
+        select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans,
+               sha256(coalesce(unhex(kept || hex(h[c + 1:n])), h)) as kept_sha256
         from d left join o using (doc_id)""",
     "op7_spaced_seed_overlaps": """
         with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as ws from documents),
