@@ -8,6 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 
+from .test_operators import spaced_brute, tokens, waterfill
+from .test_resemblance import groups
+
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
@@ -34,22 +37,65 @@ def tables(spark, tmp_path_factory):
 
 
 def test_stages(spark, tables):
+    """Each stage against a brute-force version on what the one before it kept."""
     import corpus_pipeline as P
+    from inkstone.llm import toxic
 
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    columns, seen = docs.columns, {}
+    columns, kept = docs.columns, [docs.collect()]
     for name, stage in P.STAGES[:-1]:
         docs = P.keep(stage(spark, docs, tables), name)
         assert docs.columns == columns
-        seen[name] = Counter(r.doc_id for r in docs.select("doc_id").collect())
-    toxic, dedup, clean, mixed = (seen[n] for n, _ in P.STAGES[:-1])
-    assert not [i for i in range(0, 300, 5) if i in toxic] and len(set(range(300)) - set(toxic)) == 60
-    assert 1 in dedup and 2 in dedup and not [i for i in dedup if 1000 <= i < 1040] and dedup[7] == 1
-    leaked = {i for i in range(300) if i % 31 == 1 and i % 5}
-    assert set(dedup) - set(clean) == leaked & set(dedup)
-    assert set(mixed) <= set(clean) and max(mixed.values()) <= 2
+        kept.append(docs.collect())
+    every, clean, single, decent, mixed = kept
+    # toxicity: what the trained model scores below its threshold; all toxic documents go, no other does
+    scored = {r.doc_id: r.rejected for r in toxic.scored(spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")).collect()}
+    assert Counter(map(tuple, clean)) == Counter(tuple(r) for r in every if not scored[r.doc_id])
+    assert [i for i in range(300) if scored[i]] == list(range(0, 300, 5))
+    # near duplicates: all pairs of shingle sets; of each group the row with the smallest doc_id
+    of = groups([r.text for r in clean])
+    lead = {g: min(r.doc_id for r, h in zip(clean, of, strict=True) if h == g) for g in of}
+    assert Counter(r.doc_id for r in single) == Counter(lead.values()) and len(single) < len(clean) - 40
+    # decontamination: every document laid against every item
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    held = {d for d, _, _, n in spaced_brute([(r.doc_id, r.text) for r in single], items) if n >= 5}
+    assert Counter(map(tuple, decent)) == Counter(tuple(r) for r in single if r.doc_id not in held)
+    assert {i for i in range(300) if i % 31 == 1 and i % 5} & {r.doc_id for r in single} <= held
+    # mixing: 0 to 2 whole copies, each source within half of its largest document of its target
+    size, took, copies = Counter(), Counter(), Counter(tuple(r) for r in mixed)
+    for r in decent:
+        size[r.source] += len(tokens(r.text))
+        took[r.source] += copies[tuple(r)] * len(tokens(r.text))
+    target = waterfill(dict(size))
+    assert set(copies) <= {tuple(r) for r in decent} and max(copies.values()) <= 2
+    for s in size:
+        assert abs(took[s] - target[s]) <= max(len(tokens(r.text)) for r in decent if r.source == s) / 2 + 1e-6
+    # sharding: all rows of the mix, gapless slots, sizes near equal
     out = P.STAGES[-1][1](spark, docs, tables).collect()
-    assert Counter(r.doc_id for r in out) == mixed and len(out) == P.run(spark, tables).count()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mixed)
+    for s in range(P.SHARDS):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert Counter((r.doc_id, r.size) for r in P.run(spark, tables).collect()) == Counter((r.doc_id, r.size) for r in out)
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, tag long, root long, key string, part int, size long, `_` int, `_tag` int, item long, seed long, shard int, `_of` int, n int, turn int"
+
+
+def test_stages_without_rows_and_with_clashing_columns(spark, tables):
+    import corpus_pipeline as P
+
+    texts = ["word " * 30, "word " * 30, None, "", "x", "longer text of its own " * 4000]
+    rows = [(i if i != 4 else None, t, [None, "en"][i % 2], [None, "s"][i % 2], None, *[7] * 2, "k", *[7] * 10) for i, t in enumerate(texts)]
+    for given in (rows, rows + rows, []):
+        docs = spark.createDataFrame(given, NAMES)
+        for name, stage in P.STAGES[:-1]:
+            docs = P.keep(stage(spark, docs, tables), name)
+            assert docs.columns == spark.createDataFrame([], NAMES).columns
+            if name == "simhash_near_dedup":
+                # one of the equal texts, one of null and empty, the lone word without an id, the long text
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect()) == ([(False, 0), (False, 2), (False, 5), (True, 0)] if given else [])
+        out = P.shards(spark, docs, tables)
+        assert out.count() == docs.count()
 
 
 def test_ten_operators_are_registered():
