@@ -45,10 +45,10 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()), "bits": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
 
-def key_filter(rows: DataFrame, column: str) -> np.ndarray:
-    """A filter that holds every value of a long column without nulls: 1 << MOST_BITS bits (32 MB) at most."""
+def key_filter(rows: DataFrame, column: str, about: int | None = None) -> np.ndarray:
+    """A filter that holds every value of a long column without nulls: 1 << MOST_BITS bits (32 MB) at most. about: the number of values, if known."""
     keys = rows.select(F.col(column).alias("key"))
-    bits = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * keys.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * (keys.count() if about is None else about)).bit_length()))
     out = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
     united = keys.mapInArrow(_pieces(bits), "piece int, bits binary").repartition("piece").mapInArrow(_united, "piece int, bits binary")
     for r in united.collect():  # at most the pieces of the filter

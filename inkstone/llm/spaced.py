@@ -24,12 +24,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batch import LOWER, SPACE, Texts, hash_of, mix, slices
 from .filters import held, key_filter
-from .scratch import drop, keep
+from .scratch import keep
 
 #: Word offsets that each mask looks at.
 MASKS = ((0, 1, 2, 4), (0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
@@ -40,6 +41,8 @@ WINDOW, SIMILAR, LEAST_WORDS = 20, 0.8, 5
 HOT_ITEMS = 8
 #: Hits in a bucket of the join, about, and pairs that are compared at a time.
 BUCKET, BLOCK = 100_000, 40_000
+#: Text bytes of the items whose seeds are looked at together.
+PART_BYTES = 4 << 20
 #: Words on each side of a hit that travel with it: any window around it lies within.
 _SIDE = WINDOW - 1
 _SPAN = 2 * _SIDE + 1
@@ -120,24 +123,25 @@ def spared(place: np.ndarray, span: np.ndarray, words: int) -> np.ndarray:
 
 
 def _spare(group: pa.Table) -> pa.Table:
+    """The seeds of a part's items, without the common ones that can be left out."""
+    rare = pc.less_equal(group.column("n"), HOT_ITEMS)
+    names = [x.split()[0] for x in _SEED.split(", ")]
+    kept = group.filter(rare).select(names)
+    group = group.filter(pc.invert(rare))
+    if not len(group):
+        return kept
     group = group.sort_by([("item", "ascending"), ("n", "descending"), ("place", "ascending"), ("seed", "ascending")])
     item, place, span, words = (np.asarray(group.column(c)) for c in ("item", "place", "span", "words"))
     cuts = np.flatnonzero(np.diff(item)) + 1
     out = [spared(place[a:b], span[a:b], int(words[a])) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(item)], strict=True)]
-    return group.select(["seed", "item", "place"]).filter(pa.array(np.concatenate(out)))
-
-
-def item_seeds(items: DataFrame) -> DataFrame:
-    """The seeds (seed, item, place, span, words) of items (item, text) that documents are searched for."""
-    every = keep(items.mapInArrow(_item_seeds, _SEED), "seeds-every")
-    common = every.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ITEMS)
-    shared = keep(every.join(common, "seed"), "seeds-shared")
-    parts = max(4, -(-shared.count() // BUCKET))
-    left_out = shared.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))).groupBy("part").applyInArrow(_spare, "seed long, item long, place int")
-    out = keep(every.join(left_out, ["seed", "item", "place"], "left_anti").select(*(x.split()[0] for x in _SEED.split(", "))), "seeds")
-    drop(every)
-    drop(shared)
-    return out
+    return pa.concat_tables([kept, group.select(names).filter(pa.array(~np.concatenate(out)))])
+
+
+def item_seeds(items: DataFrame, size: int) -> DataFrame:
+    """The seeds (seed, item, place, span, words) of items (item, text; size bytes) that documents are searched for."""
+    every = items.mapInArrow(_item_seeds, _SEED).withColumn("n", F.count("*").over(Window.partitionBy("seed")))
+    part = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-size // PART_BYTES)))).alias("part")
+    return keep(every.select(part, "*").groupBy("part").applyInArrow(_spare, _SEED), "seeds")
 
 
 # Documents.
@@ -236,29 +240,28 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, tag (of the text), item_id and best window of each item in each text; and how many rows each doc_id and tag with hits has."""
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    items = keep(items.withColumn("item", F.xxhash64("item_id", "text")), "seeds-items")
-    wanted = item_seeds(items)
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    wanted = item_seeds(items, size)
     short = {r["words"] for r in wanted.filter(F.col("words") < 4).select("words").distinct().collect()}  # three rows at most
     masks = MASKS + tuple(SHORT_MASKS[n - 1] for n in sorted(short))
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "seed"))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "seed", size))
     hits = keep(_tagged(docs).mapInArrow(_hits(shared, masks), _HIT), "seeds-hits")
     real = hits.filter("seed is not null")
-    counts = keep(real.groupBy("seed").agg(F.count("*").alias("n")), "seeds-hit")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(8, -(-total // BUCKET))
-    # of the counted seeds at most total / BUCKET have more than one salt
-    salts = counts.select("seed", F.ceil(F.col("n") / BUCKET).cast("int").alias("salts"))
+    buckets = max(8, -(-real.count() // BUCKET))
+    # of the seeds with hits at most one in a bucket has more than one salt
+    hot = real.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).collect()
+    salts = docs.sparkSession.createDataFrame([(r["seed"], -(-r["n"] // BUCKET)) for r in hot], "seed long, salts int")
     bucket = F.pmod(F.xxhash64("seed", "salt"), F.lit(buckets)).alias("bucket")
-    entries = wanted.join(salts, "seed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    met = wanted.join(real.select("seed").distinct(), "seed", "left_semi")
+    entries = met.join(F.broadcast(salts), "seed", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
     words = items.mapInArrow(_item_words, "of long, item_id long, whole binary")
     entries = entries.join(words, F.col("item") == F.col("of")).select(bucket, "seed", "item", "item_id", "place", "words", "whole")
-    many = salts.filter("salts > 1")
-    salted = real.join(F.broadcast(many), "seed", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "tag", "at"), F.col("salts")), F.lit(0)).cast("int"))
+    salted = real.join(F.broadcast(salts), "seed", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "tag", "at"), F.col("salts")), F.lit(0)).cast("int"))
     pairs = salted.select(bucket, "seed", "doc_id", "tag", "at", "around").groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(_verify, _PAIR)
     best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("before"))).alias("best")
     found = pairs.groupBy("doc_id", "tag", "item", "item_id", "window_words").agg(best)
-    found = keep(found.select("doc_id", "tag", "item_id", (-F.col("best.before")).alias("first_word"), F.col("best.equal_words").alias("equal_words"), "window_words"), "seeds-found")
+    found = found.select("doc_id", "tag", "item_id", (-F.col("best.before")).alias("first_word"), F.col("best.equal_words").alias("equal_words"), "window_words")
     rows = hits.filter("seed is null").groupBy(F.col("doc_id").alias("row_id"), F.col("tag").alias("row_tag")).agg(F.count("*").alias("n"))
     return found, rows
 
@@ -287,6 +290,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEA
     while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
     found = _found(docs, benchmark)[0].filter(F.col("window_words") >= least_words)
-    bad = found.select(F.col("doc_id").alias(mark + "id"), F.col("tag").alias(mark + "tag")).distinct()
+    bad = keep(found.select(F.col("doc_id").alias(mark + "id"), F.col("tag").alias(mark + "tag")).distinct(), "seeds-found")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark + "id")) & (F.xxhash64("text") == F.col(mark + "tag"))
     return docs.join(bad, same, "left_anti")
