@@ -38,7 +38,7 @@ from .scratch import keep
 
 LENGTH, GRAM, LEAD = 100, 24, 16
 #: Text bytes that are sorted together before they are sent on; text bytes behind one bucket of runs, and of documents.
-PACK_BYTES, SORT_BYTES, TEXT_BYTES = 8 << 20, 8 << 20, 32 << 20
+PACK_BYTES, SORT_BYTES, TEXT_BYTES = 4 << 20, 4 << 20, 32 << 20
 #: Suffixes that are sorted at a time, but for those of one anchor.
 SORT_SUFFIXES = 1 << 19
 #: Ranges of leading bytes at most, and text bytes of the documents that are sampled for their boundaries, about.
@@ -48,6 +48,7 @@ _LAST = np.iinfo(np.int64).max  # stands for no doc_id
 _RUNS, _SPANS, _TEXTS = 0, 1, 2
 _SPAN_KINDS = ("<u4", "<u4", "<u4", "<i8", "p3")
 _RUN_KINDS = ("<u4", "<u1", "<u4", "<u1", "<u1", "<i8", "p3")
+_RAW = 4  # the field of bytes
 
 
 def anchored(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -261,7 +262,8 @@ def _gathered(blobs: list[bytes], kinds: tuple[str, ...]) -> tuple[list[np.ndarr
     doc = np.concatenate([x[2].astype(np.int64) + b for x, b in zip(got, base, strict=False)])
     fields = []
     for k in range(len(kinds) - 2):
-        fields.append(np.concatenate([x[k] for x in got]))
+        # bytes get a few more behind them, for keys of eight bytes at their end
+        fields.append(np.concatenate([*(x[k] for x in got), np.zeros(8, np.uint8)] if k == _RAW else [x[k] for x in got]))
         for x in got:
             x[k] = None
     return fields, rank[doc], ids, tags
@@ -356,7 +358,7 @@ def _runs(plan: Plan, doc_parts: int):
         size = n = 0
         for batch in batches:
             ids, tags, _ = _docs_of(batch)
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), 1 << 20):
                 gram, doc, first, more, anchor = anchored(texts)
                 held.append((texts.data, gram, doc + n, first + size, more, anchor, first - texts.offs[doc]))
                 names.append((ids[texts.first : texts.first + len(texts)], tags[texts.first : texts.first + len(texts)]))
@@ -386,7 +388,7 @@ def _sort(parts: int, doc_parts: int):
         (start, more, _, anchor, raw), doc, ids, tags = _gathered(blobs, _RUN_KINDS)
         start, more, anchor = (x.astype(np.int64) for x in (start, more, anchor))
         size = more + LENGTH
-        r, low, further = repeats_by_anchor(np.append(raw, np.zeros(8, np.uint8)), np.cumsum(size) - size, more, anchor, doc, start)
+        r, low, further = repeats_by_anchor(raw, np.cumsum(size) - size, more, anchor, doc, start)
         return _table(_spans(doc[r], start[r] + low, further, ids, tags, doc_parts))
 
     return run
