@@ -36,10 +36,10 @@ from .filters import held, key_filter
 from .packing import ROWS, SCHEMA, by_part, pack, rows, unpack
 from .scratch import keep
 
-LENGTH, GRAM, LEAD = 100, 24, 16
+LENGTH, GRAM, LEAD = 100, 32, 16
 #: Text bytes that are sorted together before they are sent on; text bytes behind one bucket of runs, and of documents.
 PACK_BYTES, SORT_BYTES, TEXT_BYTES = 4 << 20, 4 << 20, 32 << 20
-#: Suffixes that are sorted at a time, but for those of one anchor.
+#: Suffixes that are sorted at a time, but for those of one anchor at one distance.
 SORT_SUFFIXES = 1 << 19
 #: Ranges of leading bytes at most, and text bytes of the documents that are sampled for their boundaries, about.
 RANGES, SAMPLE_BYTES = 4096, 16 << 20
@@ -178,16 +178,32 @@ def repeats_by_anchor(data: np.ndarray, first: np.ndarray, more: np.ndarray, anc
         whole = repeated_runs(data, first[o], more[o], doc[o], start[o])
         found.append((o[whole], np.zeros(int(whole.sum()), np.int64), more[o[whole]]))
         o = o[~whole]
-        run, k = repeats(data, first[o], more[o], doc[o], start[o])
-        when = np.lexsort((k, run))
-        run, low, further = stretches(run[when], k[when])
-        found.append((o[run], low, further))
+        # equal suffixes have their anchors at one distance: a large group goes by distances, a few at a time
+        fits = (more[o] + 1).sum() <= SORT_SUFFIXES
+        width = LENGTH if fits else max(1, SORT_SUFFIXES // len(o))
+        for near in range(0, LENGTH - GRAM + 1, width):
+            reach = near + width
+            k0, k1 = np.maximum(0, anchor[o] - reach + 1), np.minimum(more[o], anchor[o] - near)
+            some = np.flatnonzero(k0 <= k1)
+            these, k0, k1 = o[some], k0[some], k1[some]
+            run, k = repeats(data, first[these] + k0, k1 - k0, doc[these], start[these] + k0)
+            k = k + k0[run]
+            when = np.lexsort((k, run))
+            run, low, further = stretches(run[when], k[when])
+            found.append((these[run], low, further))
         a = b
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     run, low, further = (np.concatenate(x) for x in zip(*found, strict=True))
     when = np.lexsort((low, run))
-    return run[when], low[when], further[when]
+    run, low, further = run[when], low[when], further[when]
+    # stretches that were cut between distances
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (low[1:] != low[:-1] + further[:-1] + 1)
+    at = np.flatnonzero(new)
+    ends = low + further
+    last = np.append(at[1:], len(run)) - 1 if len(at) else at
+    return run[at], low[at], ends[last] - low[at]
 
 
 def between(run: np.ndarray, low: np.ndarray, further: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
