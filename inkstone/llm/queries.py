@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, ledger, llr, mixing, sharding, simhash, spaced, suffixes, toxic, warc
+from . import backoff, ledger, llr, merkle, mixing, sharding, simhash, spaced, suffixes, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,13 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.scan_in_turn(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger)
+    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger, op12_merkle_manifest)
 }
 
 def _either(word: str) -> str:
@@ -80,6 +84,19 @@ _FOUND = " union all ".join(
 )
 _SPANS = "string_agg(kind || ':' || a || ':' || b, ',' order by a, rank)"
 
+
+def _coded(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    return "sha256(" + " || ".join(_coded(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: crc32 of the decimal doc_id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+              lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 ORACLES: dict[str, str] = {
     "op1_arc_to_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
@@ -141,4 +158,27 @@ ORACLES: dict[str, str] = {
                      {_SPANS} filter (where rank < 3) as base, {_SPANS} as spans from f group by doc_id)
         select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
                sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)""",
+    "op12_merkle_manifest": f"""
+        with recursive d as (select doc_id, coalesce('+' || lang, '-') as tree, lang, {_leaf()} as leaf,
+                   case when {_CRC} % 7 = 0 then {_leaf("(n_chars + 1)")} else {_leaf()} end as changed,
+                   row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n from documents),
+        lv as (select tree, 0 as level, n, pos, leaf as h from d
+               union all select tree, level + 1, (n + 1) // 2, pos // 2, sha256(string_agg(h, '' order by pos)) from lv where n > 1 group by tree, level, n, pos // 2),
+        t as (select lv.tree, h as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n
+              from lv join (select distinct tree, lang from d) using (tree) where lv.n = 1),
+        up as (select 0 as level, n, pos, subroot as h from t
+               union all select level + 1, (n + 1) // 2, pos // 2, sha256(string_agg(h, '' order by pos)) from up where n > 1 group by level, n, pos // 2),
+        own as (select doc_id, lv.level, case when lv.pos % 2 = 0 then h || '|' else '|' || h end as side
+                from d join lv on lv.tree = d.tree and lv.pos // 2 = (d.pos >> lv.level) // 2 and lv.pos <> d.pos >> lv.level),
+        tops as (select tree, up.level + 1000 as level, case when up.pos % 2 = 0 then h || '|' else '|' || h end as side
+                 from t join up on up.pos // 2 = (t.pos >> up.level) // 2 and up.pos <> t.pos >> up.level),
+        lone as (select doc_id, level, '|' as side from d join (select distinct tree, level from lv where n > 1) using (tree)
+                 union all select doc_id, level + 1000, '|' from d cross join (select distinct level from up where n > 1)),
+        every as (select doc_id, level, coalesce(max(nullif(side, '|')), '|') as side from (select * from own union all select doc_id, level, side from tops join d using (tree) union all select * from lone) group by doc_id, level),
+        p as (select doc_id, list(side order by level) as sides from every group by doc_id),
+        r as (select h as root from up where n = 1)
+        select doc_id, leaf, subroot, root, sha256(replace(array_to_string(coalesce(sides, []), ''), '|', '')) as proof_sha256,
+               list_reduce(list_prepend(changed, coalesce(sides, [])), lambda below, s: sha256(split_part(s, '|', 1) || below || split_part(s, '|', 2))) as folded_root,
+               folded_root = root as verified
+        from d join t using (tree) cross join r left join p using (doc_id)""",
 }
