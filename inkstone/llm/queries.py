@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, ledger, llr, merkle, mixing, sharding, simhash, spaced, suffixes, toxic, warc
+from . import backoff, ledger, lexical, llr, merkle, mixing, sharding, simhash, spaced, suffixes, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger, op12_merkle_manifest)
+    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger, op12_merkle_manifest, op13_ranked_search)
 }
 
 def _either(word: str) -> str:
@@ -93,6 +97,9 @@ def _leaf(n_chars: str = "n_chars") -> str:
     return "sha256(" + " || ".join(_coded(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
+
 #: crc32 of the decimal doc_id, bit by bit.
 _CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
               lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
@@ -181,4 +188,15 @@ ORACLES: dict[str, str] = {
                list_reduce(list_prepend(changed, coalesce(sides, [])), lambda below, s: sha256(split_part(s, '|', 1) || below || split_part(s, '|', 2))) as folded_root,
                folded_root = root as verified
         from d join t using (tree) cross join r left join p using (doc_id)""",
+    "op13_ranked_search": f"""
+        with t as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') as ws from documents),
+        d as (select doc_id, ws, len(ws) as n from t where len(ws) > 0),
+        whole as (select count(*) as n_docs, sum(n)::bigint as l from d),
+        q as (select distinct item_id, w from (select item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) as w from benchmark)),
+        f as (select doc_id, n, w, count(*) as tf from (select doc_id, n, unnest(ws) as w from d) where w in (select w from q) group by doc_id, n, w),
+        v as (select w, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as weight from f cross join whole group by w, n_docs),
+        s as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // l))))::bigint as score
+              from f join v using (w) join q using (w) cross join whole group by item_id, doc_id)
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0
+        qualify rank <= 50""",
 }
