@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, ledger, lexical, llr, merkle, mixing, sharding, simhash, spaced, suffixes, toxic, warc
+from . import backoff, ledger, lexical, llr, merkle, mixing, prefixes, sharding, simhash, spaced, suffixes, toxic, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.scan_in_turn(table(spark, sf_dir, "documents"))
 
 
+def op11_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger, op12_merkle_manifest, op13_ranked_search)
+    for f in (op1_arc_to_warc, op2_vector_bin_packing, op3_pivotal_mixture, op4_suffix_array_dedup, op5_simhash_near_dups, op6_toxicity_cnn, op7_spaced_seed_overlaps, op8_stupid_backoff, op9_llr_quality, op10_secret_ledger, op11_grouped_prefix_join, op12_merkle_manifest, op13_ranked_search)
 }
 
 def _either(word: str) -> str:
@@ -199,4 +203,15 @@ ORACLES: dict[str, str] = {
               from f join v using (w) join q using (w) cross join whole group by item_id, doc_id)
         select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0
         qualify rank <= 50""",
+    "op11_grouped_prefix_join": f"""
+        with recursive t as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+        s as (select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                                  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as grams from t),
+        n as (select doc_id, len(grams)::bigint as n_shingles, list_sort(grams) as grams from s),
+        c as (select grams, n_shingles, min(doc_id) as id from n where n_shingles > 0 group by grams, n_shingles),
+        e as (select id, n_shingles as n, unnest(grams) as g from c),
+        l as (select x.id as a, y.id as b from e x join e y on x.g = y.g and x.id <> y.id group by x.id, y.id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        r as (select id, id as reach from c union select r.id, l.b from r join l on l.a = r.reach),
+        k as (select id, min(reach) as component_id from r group by id)
+        select doc_id, n.n_shingles, coalesce(component_id, doc_id) as component_id from n left join c on c.grams = n.grams and n.n_shingles > 0 left join k using (id)""",
 }
