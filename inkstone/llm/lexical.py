@@ -1,6 +1,6 @@
 """Ranked lexical search by per-term geometric blocking.
 
-Documents are indexed in shards of a few thousand, each a row of a written table. In a shard every long posting list is
+Documents are indexed in shards of a thousand, each a row of a written table. In a shard every long posting list is
 cut into blocks of documents that resemble each other (nearest of some of the list's own documents, by signed sums of their
 terms), and each block keeps the coordinatewise maximum over its documents: for every term, the most that it can add in any
 of them. The maxima are rounded up to steps of STEP, so what a query can score in a block is bounded, exactly.
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .batch import LOWER, slices
 from .batch import hash_of as hashes_of
 from .filters import held, key_filter
+from .packing import pack, unpack
 from .scratch import drop, keep
 
 TOP = 50
 #: Documents of a shard and of a block; posting lists up to SHORT are scored without blocks.
-SHARD, BLOCK, SHORT = 4096, 128, 32
+SHARD, BLOCK, SHORT = 1024, 128, 32
 #: Unit of the maxima that blocks keep; what a term adds is below 1000000, so they fit into bytes.
 STEP = 4096
 #: Dimensions of the sums that tell how much documents resemble each other.
@@ -98,7 +99,9 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
 
 
-_KINDS = {"vocabulary": np.uint64, "starts": np.int64, "terms": np.int32, "adds": np.int32, "lists": np.int64, "members": np.int32, "first_block": np.int64, "blocks": np.int64, "summaries": np.int64, "summary_terms": np.int32, "summary_most": np.uint8}
+#: Fields of a shard's index, as they are packed.
+_KINDS = {"vocabulary": "<u8", "starts": "p4", "terms": "p4", "adds": "p3", "lists": "p4", "members": "p2", "first_block": "p4", "blocks": "p4", "summaries": "p5", "summary_terms": "p4", "summary_most": "u1"}
+_WRAP = 1 << 32
 
 
 def _blocked(members: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -171,7 +174,23 @@ def index_of(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, starts
         summaries += (np.searchsorted(filled, np.arange(1, high - low + 1) * width) + summaries[-1]).tolist()
     empty = [np.zeros(0, np.int64)]
     out = {"vocabulary": vocabulary, "starts": starts, "terms": terms, "adds": adds, "lists": lists, "members": members, "first_block": first_block, "blocks": np.append(0, ends), "summaries": np.array(summaries)}
-    return {k: np.ascontiguousarray(v, _KINDS[k]) for k, v in (out | {"summary_terms": np.concatenate(found or empty), "summary_most": np.concatenate(values or empty)}).items()}
+    return out | {"summary_terms": np.concatenate(found or empty), "summary_most": np.concatenate(values or empty)}
+
+
+def packed(index: dict[str, np.ndarray]) -> bytes:
+    """An index to be stored; terms of maxima as steps from one to the next."""
+    steps = np.diff(index["summary_terms"], prepend=0) % _WRAP
+    return pack(*((kind, steps if k == "summary_terms" else index[k]) for k, kind in _KINDS.items()))
+
+
+def opened(stored: bytes) -> dict[str, np.ndarray]:
+    """An index as it was, with the most that each list's term can add."""
+    index = dict(zip(_KINDS, unpack(stored, *_KINDS.values()), strict=True))
+    index |= {k: index[k].astype(np.int64) for k in _KINDS if k not in ("vocabulary", "summary_most")}
+    index["summary_terms"] = np.cumsum(index["summary_terms"]) % _WRAP
+    list_most = np.zeros(len(index["vocabulary"]), np.int64)
+    np.maximum.at(list_most, index["terms"], -(-index["adds"] // STEP))
+    return index | {"list_most": list_most}
 
 
 def _indexed(documents: int, all_lengths: int):
@@ -184,7 +203,7 @@ def _indexed(documents: int, all_lengths: int):
             ids, lengths = rows.column("doc_id").combine_chunks(), np.asarray(rows.column("length"))
             sizes = [len(x.as_buffer()) // 8 for x in rows.column("terms")]
             index = index_of(lengths, _joined(rows.column("terms"), np.uint64), _joined(rows.column("counts"), np.int32), np.append(0, np.cumsum(sizes)), documents, all_lengths)
-            return pa.RecordBatch.from_pydict({"doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64()))} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in index.items()})
+            return pa.RecordBatch.from_pydict({"doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "index": pa.array([packed(index)], pa.binary())})
 
         for batch in batches:
             for a in range(0, len(batch), SHARD):
@@ -266,14 +285,6 @@ def search(index: dict[str, np.ndarray], ids: np.ndarray, query: int, hashes: np
     return scored
 
 
-def opened(row: dict) -> dict[str, np.ndarray]:
-    """A shard's index as stored, with the most that each list's term can add."""
-    index = {k: np.frombuffer(row[k], kind) for k, kind in _KINDS.items()}
-    list_most = np.zeros(len(index["vocabulary"]), np.int64)
-    np.maximum.at(list_most, index["terms"], -(-index["adds"].astype(np.int64) // STEP))
-    return index | {"list_most": list_most}
-
-
 def _searched(queries):
     """item, doc_id, score of the best results that these shards have."""
 
@@ -283,7 +294,7 @@ def _searched(queries):
         for batch in batches:
             for i in range(len(batch)):
                 ids = np.asarray(batch.column("doc_ids")[i].values.fill_null(null))
-                index = opened({k: batch.column(k)[i].as_buffer() for k in _KINDS})
+                index = opened(batch.column("index")[i].as_buffer())
                 if len(index["vocabulary"]):
                     for q in range(len(items)):
                         search(index, ids, q, hashes[at[q] : at[q + 1]], weights[at[q] : at[q + 1]], best)
@@ -319,8 +330,7 @@ def ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
     weighed = asked.join(holders, "term").select("item", "item_id", "term", weight.alias("weight"))
     parts = max(1, -(-2 * asked.count() // QUERY_TERMS))
     weighed = keep(weighed.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))), "lexical-queries")
-    columns = ", ".join(f"{k} binary" for k in _KINDS)
-    index = keep(forward.mapInArrow(_indexed(documents, all_lengths), f"doc_ids array<long>, {columns}"), "lexical-index")
+    index = keep(forward.mapInArrow(_indexed(documents, all_lengths), "doc_ids array<long>, index binary"), "lexical-index")
     drop(forward)
     shards = index.count()
     seeds = index.sample(fraction=min(1.0, SEEDS / shards), seed=7) if shards > 2 * SEEDS else None
