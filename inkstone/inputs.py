@@ -1,7 +1,7 @@
 """Inputs for the queries, derived from the tables by rules that Spark and other SQL engines state alike.
 
 The tables hold no Markdown, so documents get headings, fences, images, links and tables by line number; file
-paths and tables are made of ids and names.
+paths and tables are made of ids and names, in many shapes.
 """
 
 from __future__ import annotations
@@ -25,16 +25,50 @@ EXTENSIONS = (".md", ".MD", ".pdf", ".markdown", ".txt", ".PDF", "")
 #: A file path for document {d}; {ext} is its extension.
 PATH = "CASE WHEN {d} % 11 = 0 THEN NULL WHEN {d} % 12 = 0 THEN '  ' ELSE CASE WHEN {d} % 5 = 0 THEN '  ' ELSE '' END || '/in/' || source || '/doc ' || {d} || {ext} END"
 
-#: A pipe table for a part.
-PIPE = """CASE p_partkey % 4
-  WHEN 0 THEN '| name | brand |  |' || chr(10) || '|:---|---|---:|' || chr(10) || '| ' || p_name || ' | ' || p_brand || ' | ' || p_size || ' |' || chr(10) || '| x{esc}|y |  | 3 |'
-  WHEN 1 THEN '|  | A |  |' || chr(10) || '| ' || p_brand || ' | ' || p_size || ' |  |' || chr(10) || '|  | 7 | ' || p_type || ' |'
-  WHEN 2 THEN '| size | ' || p_size || ' |' || chr(10) || '| brand | ' || p_brand || ' |' || chr(10) || '| none |  |'
-  ELSE '| a |  | c |' || chr(10) || '|---|---|' || chr(10) || '| ' || p_name || ' | | ' || p_size || ' |' END"""
+#: How an engine makes a list of {n} values from their numbers, and joins one; {esc} is a backslash in a literal.
+SPARK = {"each": "transform(sequence(0, {n} - 1), {x} -> {body})", "join": "array_join({xs}, {sep})", "esc": "\\\\"}
+DUCKDB = {"each": "list_transform(range({n}), lambda {x}: {body})", "join": "array_to_string({xs}, {sep})", "esc": "\\"}
 
-#: An HTML table for a part.
-HTML = """'<table class="t"><tr><th rowspan="2">name</th><th colspan="2">' || p_brand || '</th></tr><tr><td>a &gt; b</td><td>size</td></tr><tr><td>' || p_name
-  || '</td><td><b>' || p_size || '</b> mm</td><td></td></tr></table>'"""
+
+def _joined(engine: dict[str, str], n: str, x: str, body: str, sep: str) -> str:
+    return engine["join"].format(xs=engine["each"].format(n=n, x=x, body=body), sep=sep)
+
+
+#: Pipe tables: columns, rows below the first, and what is shown in row {i} (0 is the first), column {j}. A third of them has a line
+#: of rules below the first row, another third one that is too short to count and so is a row; some rows lack their last cell.
+PIPE_COLUMNS, PIPE_ROWS = "cast(2 + floor(p_partkey / 3) % 3 AS int)", "cast(1 + p_partkey % 4 AS int)"
+PIPE_SHOWN = "CASE (p_partkey + 2 * {i} + 3 * {j}) % 6 WHEN 0 THEN '' WHEN 1 THEN trim(p_brand) WHEN 2 THEN 'x|y' WHEN 3 THEN '' || p_size WHEN 4 THEN trim(p_name) ELSE 'w' || {i} || {j} END"
+PIPE_LACKS = "((p_partkey + {i}) % 4 = 0 AND {i} > 0 AND {j} = {columns} - 1)"
+
+
+def pipe(engine: dict[str, str]) -> str:
+    """A pipe table for a part."""
+    cell = f"replace({PIPE_SHOWN}, '|', '{engine['esc']}|')"
+    line = lambda i: "'| ' || " + _joined(engine, f"({PIPE_COLUMNS} - CASE WHEN {PIPE_LACKS.format(i=i, j=f'{PIPE_COLUMNS} - 1', columns=PIPE_COLUMNS)} THEN 1 ELSE 0 END)", "j", cell.format(i=i, j="j"), "' | '") + " || ' |'"
+    rules = "CASE (p_partkey + j) % 3 WHEN 0 THEN ':---' WHEN 1 THEN '---' ELSE ':-----:' END"
+    below = f"CASE p_partkey % 3 WHEN 0 THEN chr(10) || '|' || {_joined(engine, PIPE_COLUMNS, 'j', rules, chr(39) + '|' + chr(39))} || '|' WHEN 1 THEN chr(10) || '| --- |' ELSE '' END"
+    return f"{line('0')} || {below} || chr(10) || {_joined(engine, PIPE_ROWS, 'i', line('(i + 1)'), 'chr(10)')}"
+
+
+#: HTML tables: rows, columns, and what is shown where a cell begins. In the first column some cells are two rows high, in the second one each is as many
+#: columns wide as HTML_WIDE says; a third of the tables has headers in its first row.
+HTML_ROWS, HTML_COLUMNS = "cast(2 + p_partkey % 4 AS int)", "cast(2 + floor(p_partkey / 4) % 3 AS int)"
+HTML_SHOWN = "CASE (p_partkey + 2 * {i} + 3 * {j}) % 7 WHEN 0 THEN '' WHEN 1 THEN trim(p_brand) WHEN 2 THEN 'a > b' WHEN 3 THEN p_size || ' mm' WHEN 4 THEN trim(p_name) ELSE 'v' || {i} || '.' || {j} END"
+HTML_TALL = "({i} % 2 = 0 AND {i} + 1 < {rows} AND (p_partkey + {i}) % 3 = 0)"
+HTML_WIDE = "(1 + (p_partkey + {i}) % ({columns} - 1))"
+
+
+def html(engine: dict[str, str]) -> str:
+    """An HTML table for a part."""
+    kind = "CASE WHEN i = 0 AND p_partkey % 3 = 0 THEN 'th' ELSE 'td' END"
+    written = lambda j: f"replace(replace({HTML_SHOWN.format(i='i', j=j)}, 'a > b', 'a &gt; b'), p_size || ' mm', '<b>' || p_size || '</b> mm')"
+    cell = lambda j, spans: f"'<' || {kind} || {spans} || '>' || {written(j)} || '</' || {kind} || '>'"
+    tall, wide = HTML_TALL.format(i="i", rows=HTML_ROWS), HTML_WIDE.format(i="i", columns=HTML_COLUMNS)
+    hidden = f"(i % 2 = 1 AND {HTML_TALL.format(i='(i - 1)', rows=HTML_ROWS)})"
+    first = f"CASE WHEN {hidden} THEN '' ELSE {cell('0', f"CASE WHEN {tall} THEN ' rowspan=" + chr(34) + "2" + chr(34) + f"' ELSE '' END")} END"
+    rest = " || ".join(f"CASE WHEN {HTML_COLUMNS} > {j} AND {wide} < {j} THEN {cell(j, chr(39) * 2)} ELSE '' END" for j in (2, 3))
+    row = f"'<tr>' || {first} || {cell('1', f"' colspan=' || {wide}")} || {rest} || '</tr>'"
+    return "'<table class=\"t\">' || " + _joined(engine, HTML_ROWS, "i", row, "''") + " || '</table>'"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,11 +88,11 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.expr(PIPE.format(esc="\\\\")).alias("raw"))
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.expr(pipe(SPARK)).alias("raw"))
 
 
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.expr(HTML).alias("raw"))
+    return table(spark, d, "part").select("p_partkey", F.expr(html(SPARK)).alias("raw"))
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:

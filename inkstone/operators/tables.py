@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from ..functions import text as T
+from ..plans import html
 from ..plans import tables as plain
 
 # Formats of the input and wording of the output.
-HTML_TABLE = r"(?is)<table\b[^>]*>.*?</table\s*>"
+TABLE_CLOSES = r"(?iU)</table[\s\x1c-\x1f]*>"
+TABLE_OPENS = r"(?iU)<table\b"
 SEPARATOR = r"\A:?-{3,}:?\z"
 
 
@@ -34,8 +36,12 @@ def pipe_tables(docs: DataFrame) -> DataFrame:
 
 
 def html_tables(text: Column) -> Column:
-    """The HTML tables of a text, each up to the nearest closing tag."""
-    return F.regexp_extract_all(text, F.lit(HTML_TABLE), F.lit(0))
+    """The HTML tables of a text, each from an opening tag up to the nearest closing one: what stands between closing tags is looked at once."""
+    before = F.arrays_zip(F.split(text, TABLE_CLOSES, -1).alias("part"), F.regexp_extract_all(text, F.lit(TABLE_CLOSES), F.lit(0)).alias("close"))
+    begin = lambda x: F.regexp_instr(x["part"], F.lit(TABLE_OPENS))
+    table = lambda x: F.when(begin(x) > 0, F.substring(x["part"], begin(x), F.length(x["part"])))
+    found = F.transform(before, lambda x: F.when(table(x).contains(">"), F.concat(table(x), x["close"])))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def pipe_cells(line: Column) -> Column:
@@ -121,7 +127,7 @@ def html_grid(raw: pa.Array) -> pa.Array:
     out = []
     for x in raw.to_pylist():
         try:
-            grid, header = plain.html_grid(x or "")
+            grid, header = html.grid(x or "")
             out.append({"grid": grid, "header": header})
         except ValueError:
             out.append(None)

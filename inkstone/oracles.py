@@ -86,17 +86,32 @@ tx AS (SELECT doc_id, image_key, string_agg(t, chr(10) || chr(10) ORDER BY first
 cx AS (SELECT b.doc_id, b.image_key, b.at, coalesce((SELECT trim(line) FROM ln l WHERE l.doc_id = b.doc_id AND l.line_no = b.above), '') AS heading,
               coalesce(pre_text, '') AS pre_text, coalesce(post_text, '') AS post_text FROM bd b LEFT JOIN tx USING (doc_id, image_key))"""
 
-_PIPE = inputs.PIPE.format(esc="\\")
-_GRID = """CASE p_partkey % 4
-  WHEN 0 THEN 'name¦brand¦#' || trim(p_name) || '¦' || trim(p_brand) || '¦' || p_size || '#x|y¦¦3'
-  WHEN 1 THEN '¦A¦#' || trim(p_brand) || '¦' || p_size || '¦#¦7¦' || trim(p_type)
-  WHEN 2 THEN 'size¦' || p_size || '#brand¦' || trim(p_brand) || '#none¦'
-  ELSE 'a¦¦c#---¦---¦#' || trim(p_name) || '¦¦' || p_size END"""
-_TEXTS = """CASE p_partkey % 4
-  WHEN 0 THEN '- 【name:' || trim(p_name) || '，brand:' || trim(p_brand) || '，第3列:' || p_size || '】' || chr(10) || '- 【name:x|y，第3列:3】'
-  WHEN 1 THEN '- ' || trim(p_brand) || '的A标准为' || p_size || chr(10) || '- 第2行的A标准为7' || chr(10) || '- 第2行的未命名列标准为' || trim(p_type)
-  WHEN 2 THEN '- size：' || p_size || chr(10) || '- brand：' || trim(p_brand)
-  ELSE '- 【a:---，第2列:---】' || chr(10) || '- 【a:' || trim(p_name) || '，c:' || p_size || '】' END"""
+# Tables by their cells: row i and column j of the rectangle, what it shows, and whether the table has headers.
+_PIPE = inputs.pipe(inputs.DUCKDB)
+_PIPE_CELLS = f"""pt AS (SELECT *, {inputs.PIPE_COLUMNS} AS columns, {inputs.PIPE_ROWS} AS below, p_partkey % 3 = 0 AS header, {_PIPE} AS raw FROM part),
+pj AS (SELECT *, unnest(range(columns)) AS j FROM pt), pi AS (SELECT *, unnest(range(below + 1)) AS i FROM pj),
+cells AS (SELECT p_partkey, raw, header, columns, CASE WHEN p_partkey % 3 = 1 AND i > 0 THEN i + 1 ELSE i END AS i, j,
+                 CASE WHEN {inputs.PIPE_LACKS.format(i='i', j='j', columns='columns')} THEN '' ELSE {inputs.PIPE_SHOWN.format(i='i', j='j')} END AS v FROM pi
+          UNION ALL SELECT p_partkey, raw, header, columns, 1, j, CASE WHEN j = 0 THEN '---' ELSE '' END FROM pj WHERE p_partkey % 3 = 1)"""
+_HTML = inputs.html(inputs.DUCKDB)
+_HTML_CELLS = f"""ht AS (SELECT *, {inputs.HTML_COLUMNS} AS columns, {inputs.HTML_ROWS} AS nrows, p_partkey % 3 = 0 AS header, {_HTML} AS raw FROM part),
+hj AS (SELECT *, unnest(range(columns)) AS j FROM ht), hi AS (SELECT *, unnest(range(nrows)) AS i FROM hj),
+hc AS (SELECT *, CASE WHEN j = 0 AND i % 2 = 1 AND {inputs.HTML_TALL.format(i='(i - 1)', rows='nrows')} THEN i - 1 ELSE i END AS a,
+              CASE WHEN j > 0 AND j <= {inputs.HTML_WIDE.format(i='i', columns='columns')} THEN 1 ELSE j END AS b FROM hi),
+cells AS (SELECT p_partkey, raw, header, columns, i, j, {inputs.HTML_SHOWN.format(i='a', j='b')} AS v FROM hc)"""
+# What such a table tells.
+_TOLD = """kinds AS (SELECT p_partkey, any_value(raw) AS raw, any_value(header) AS header, CASE WHEN max(columns) > 2 AND max(v) FILTER (WHERE i = 0 AND j = 0) = '' THEN 'cross_table'
+                 WHEN max(columns) = 2 AND NOT any_value(header) THEN 'kv_table' ELSE 'header_table' END AS kind FROM cells GROUP BY p_partkey),
+heads AS (SELECT p_partkey, j, v AS head, coalesce(nullif(v, ''), '第' || (j + 1) || '列') AS name FROM cells WHERE i = 0),
+records AS (SELECT c.p_partkey, i, 0 AS j, '- 【' || string_agg(name || ':' || v, '，' ORDER BY j) || '】' AS line FROM cells c JOIN heads USING (p_partkey, j) WHERE i > 0 AND v <> '' GROUP BY c.p_partkey, i),
+alone AS (SELECT p_partkey, 0 AS i, 0 AS j, '- 【' || string_agg(name, '，' ORDER BY j) || '】' AS line FROM heads GROUP BY p_partkey HAVING count(*) FILTER (WHERE head <> '') > 0 AND p_partkey NOT IN (SELECT p_partkey FROM records)),
+crossings AS (SELECT c.p_partkey, c.i, c.j, '- ' || coalesce(nullif(r.v, ''), '第' || c.i || '行') || '的' || coalesce(nullif(head, ''), '未命名列') || '标准为' || c.v AS line
+              FROM cells c JOIN cells r ON r.p_partkey = c.p_partkey AND r.i = c.i AND r.j = 0 JOIN heads h ON h.p_partkey = c.p_partkey AND h.j = c.j WHERE c.i > 0 AND c.j > 0 AND c.v <> ''),
+named AS (SELECT c.p_partkey, c.i, c.j, '- ' || r.v || '：' || c.v AS line FROM cells c JOIN cells r ON r.p_partkey = c.p_partkey AND r.i = c.i AND r.j = 0 WHERE c.j = 1 AND c.v <> '' AND r.v <> ''),
+every AS (SELECT 'header_table' AS kind, * FROM records UNION ALL SELECT 'header_table', * FROM alone UNION ALL SELECT 'cross_table', * FROM crossings UNION ALL SELECT 'kv_table', * FROM named),
+told AS (SELECT k.p_partkey, kind, k.raw, coalesce(string_agg(line, chr(10) ORDER BY i, j), '') AS text FROM kinds k LEFT JOIN every e USING (p_partkey, kind) GROUP BY k.p_partkey, kind, k.raw)"""
+_RECTANGLE = "lines AS (SELECT p_partkey, any_value(header) AS header, i, string_agg(v, '¦' ORDER BY j) AS line FROM cells GROUP BY p_partkey, i) SELECT p_partkey, string_agg(line, '#' ORDER BY i) AS grid, any_value(header) AS header FROM lines GROUP BY p_partkey"
+_MARKED = "CASE WHEN text = '' THEN raw ELSE '【表格转译】' || chr(10) || text || chr(10) || '【表格转译结束】' END"
 
 _SENT = "list_filter(list_transform(regexp_extract_all({0}, '[^。！？；.!?;]+[。！？；.!?;]?'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
 
@@ -165,16 +180,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS table_no, first_line, n_lines, raw FROM r""",
     "pipe_cells": f"""WITH t AS (SELECT p_partkey, string_split({_PIPE}, chr(10)) AS ls FROM part), l AS (SELECT p_partkey, unnest(range(len(ls))) AS n, ls FROM t)
         SELECT p_partkey, n AS line_no, array_to_string(list_transform(string_split(replace(ls[n + 1][2:-2], '\\|', chr(1)), '|'), lambda c: trim(replace(c, chr(1), '|'))), '¦') AS cells FROM l""",
-    "pipe_grid": f"SELECT p_partkey, {_GRID} AS grid, p_partkey % 4 = 0 AS header FROM part",
-    "table_type": "SELECT p_partkey, ['header_table', 'cross_table', 'kv_table', 'header_table'][p_partkey % 4 + 1] AS table_type FROM part",
-    "header_table": f"SELECT p_partkey, {_TEXTS} AS text FROM part WHERE p_partkey % 4 IN (0, 3)",
-    "cross_table": f"SELECT p_partkey, {_TEXTS} AS text FROM part WHERE p_partkey % 4 = 1",
-    "kv_table": f"SELECT p_partkey, {_TEXTS} AS text FROM part WHERE p_partkey % 4 = 2",
-    "table_fallback": f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN {_PIPE} ELSE '【表格转译】' || chr(10) || {_TEXTS} || chr(10) || '【表格转译结束】' END AS text FROM part",
-    "html_tables": f"""WITH t AS (SELECT p_partkey, {inputs.HTML} AS h FROM part) SELECT p_partkey, 0 AS n, h AS raw FROM t UNION ALL SELECT p_partkey, 1, upper(h) FROM t""",
-    "html_grid": "SELECT p_partkey, 'name¦' || p_brand || '¦' || p_brand || '#name¦a > b¦size#' || p_name || '¦' || p_size || ' mm¦' AS grid, true AS header FROM part",
-    "html_linearize": """SELECT p_partkey, 'before' || chr(10) || '【表格转译】' || chr(10) || '- 【name:name，' || p_brand || ':a > b，' || p_brand || ':size】' || chr(10)
-        || '- 【name:' || p_name || '，' || p_brand || ':' || p_size || ' mm】' || chr(10) || '【表格转译结束】' || chr(10) || 'after' AS text FROM part""",
+    "pipe_grid": f"WITH {_PIPE_CELLS}, {_RECTANGLE}",
+    "table_type": f"WITH {_PIPE_CELLS}, {_TOLD} SELECT p_partkey, kind AS table_type FROM kinds",
+    **{kind: f"WITH {_PIPE_CELLS}, {_TOLD} SELECT p_partkey, text FROM told WHERE kind = '{kind}'" for kind in ("header_table", "cross_table", "kv_table")},
+    "table_fallback": f"WITH {_PIPE_CELLS}, {_TOLD} SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN raw ELSE {_MARKED} END AS text FROM told",
+    "html_tables": f"""WITH t AS (SELECT p_partkey, {_HTML} AS h FROM part) SELECT p_partkey, 0 AS n, h AS raw FROM t UNION ALL SELECT p_partkey, 1, upper(h) FROM t""",
+    "html_grid": f"WITH {_HTML_CELLS}, {_RECTANGLE}",
+    "html_linearize": f"WITH {_HTML_CELLS}, {_TOLD} SELECT p_partkey, 'before' || chr(10) || {_MARKED} || chr(10) || 'after' AS text FROM told",
     "sentences": f"""WITH s AS (SELECT doc_id, {_SENT.format('text')} AS ss FROM documents), n AS (SELECT doc_id, ss, unnest(range(len(ss))) AS k FROM s) SELECT doc_id, k AS sentence_no, ss[k + 1] AS sentence FROM n""",
     "recursive_split": "SELECT doc_id, true AS within, md5(regexp_replace(text, '\\s', '', 'g')) AS digest FROM documents",
     "pack_pieces": """WITH RECURSIVE p0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
