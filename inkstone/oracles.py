@@ -249,3 +249,5 @@ ORACLES: dict[str, str] = {
     "upload_stats": "SELECT doc_id, 3 AS n_images, 2 AS n_uploaded, 1 AS n_fallback FROM documents",
     "api_result_parse": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '# ' || n_name END AS md_content FROM nation",
 }
+ORACLES |= {f"sql_{name}": ORACLES[of] for name, of in {"sections": "sections", "blocks": "blocks", "recursive_split": "recursive_split", "linearized": "html_linearize", "chunks": "chunk_sections"}.items()}
+ORACLES["sql_table_cells"] = f"WITH {_HTML_CELLS}, {_TOLD} SELECT p_partkey, i AS row_no, j AS column_no, v AS value, kind AS table_type FROM cells JOIN kinds USING (p_partkey)"

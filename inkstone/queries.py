@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import inputs
+from . import inputs, sql
 from .config import SplitConfig
 from .functions import text as T
 from .inputs import table
@@ -476,3 +476,52 @@ def api_result_parse(spark: SparkSession, d: str) -> DataFrame:
         "when 3 then '{\"results\": {\"a\": {}}}' else 'no json' end"
     )
     return table(spark, d, "nation").select("n_nationkey", T.api_markdown(answer).alias("md_content"))
+
+
+# The same in SQL.
+
+
+def _named(spark: SparkSession, name: str, docs: DataFrame) -> SparkSession:
+    docs.createOrReplaceTempView(name)
+    return sql.register(spark)
+
+
+@query
+def sql_sections(spark: SparkSession, d: str) -> DataFrame:
+    s = _named(spark, "inkstone_markdown", inputs.markdown(spark, d))
+    return s.sql("""SELECT doc_id, CAST(section_idx AS BIGINT) AS section_idx, CAST(heading_level AS BIGINT) AS heading_level, title, parent_title, array_join(heading_path, ' > ') AS heading_path, body
+                    FROM inkstone_markdown, LATERAL sections(md_content, file_title)""")
+
+
+@query
+def sql_blocks(spark: SparkSession, d: str) -> DataFrame:
+    s = _named(spark, "inkstone_markdown", inputs.markdown(spark, d))
+    return s.sql("""SELECT doc_id, CAST(section_idx AS BIGINT) AS section_idx, CAST(block_no AS BIGINT) AS block_no, kind, atomic, text
+                    FROM inkstone_markdown d, LATERAL sections(d.md_content, d.file_title) s, LATERAL blocks(s.body)""")
+
+
+@query
+def sql_recursive_split(spark: SparkSession, d: str) -> DataFrame:
+    s = _named(spark, "inkstone_documents", table(spark, d, "documents"))
+    return s.sql("""SELECT doc_id, max(length(piece)) <= 120 AS within, md5(regexp_replace(array_join(transform(array_sort(collect_list(struct(piece_no, piece))), x -> x.piece), ''), '(?U)\\\\s', '')) AS digest
+                    FROM inkstone_documents, LATERAL recursive_split(text, 120) GROUP BY doc_id""")
+
+
+@query
+def sql_linearized(spark: SparkSession, d: str) -> DataFrame:
+    s = _named(spark, "inkstone_tables", inputs.html_tables(spark, d))
+    return s.sql("SELECT p_partkey, linearized('before' || chr(10) || raw || chr(10) || 'after') AS text FROM inkstone_tables")
+
+
+@query
+def sql_table_cells(spark: SparkSession, d: str) -> DataFrame:
+    s = _named(spark, "inkstone_tables", inputs.html_tables(spark, d))
+    return s.sql("SELECT p_partkey, CAST(row_no AS BIGINT) AS row_no, CAST(column_no AS BIGINT) AS column_no, value, table_type FROM inkstone_tables, LATERAL table_cells(raw)")
+
+
+@query
+def sql_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without tables and with room enough: a chunk for each section."""
+    s = _named(spark, "inkstone_plain", inputs.markdown(spark, d).withColumn("md_content", F.replace("md_content", F.lit("|"), F.lit("/"))))
+    return s.sql("""SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, title, parent_title, array_join(heading_path, ' > ') AS heading_path, body, content, CAST(char_count AS BIGINT) AS char_count
+                    FROM chunks(TABLE(inkstone_plain) PARTITION BY doc_id, max_length => 1000000, min_length => 1, overlap => 0)""")
