@@ -75,18 +75,18 @@ def unreferenced(files: DataFrame, refs: DataFrame) -> DataFrame:
     return _named(files, refs, "left_anti")
 
 
-def _with_first(docs: DataFrame) -> DataFrame:
-    """doc_id, md_content, first: array<struct<image_key, line_no>> of the first line with a local reference to each image, by image_key."""
+def _with_first(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, md_content, the carried columns, first: array<struct<image_key, line_no>> of the first line with a local reference to each image, by image_key."""
 
     def on_line(line: Column, at: Column) -> Column:
         to = F.transform(F.regexp_extract_all(line, F.lit(IMAGE), F.lit(2)), destination)
         return F.transform(F.filter(to, is_local), lambda x: F.struct(basename(x).alias("image_key"), at.cast("int").alias("line_no")))
 
     every = F.array_sort(F.flatten(F.transform(splitlines(F.col("md_content")), on_line)))
-    s = docs.select("doc_id", "md_content", every.alias("every"))
+    s = docs.select("doc_id", "md_content", *carried, every.alias("every"))
     before = F.concat(F.array(F.lit(None).cast("struct<image_key:string,line_no:int>")), F.slice("every", F.lit(1), F.greatest(F.size("every") - 1, F.lit(0))))
     new = F.zip_with("every", before, lambda x, y: F.when(y.isNull() | ~x["image_key"].eqNullSafe(y["image_key"]), x))
-    return s.select("doc_id", "md_content", F.filter(new, lambda x: x.isNotNull()).alias("first"))
+    return s.select("doc_id", "md_content", *carried, F.filter(new, lambda x: x.isNotNull()).alias("first"))
 
 
 def first_references(docs: DataFrame) -> DataFrame:
@@ -94,28 +94,29 @@ def first_references(docs: DataFrame) -> DataFrame:
     return _with_first(docs).select("doc_id", F.inline("first"))
 
 
-_CONTEXT = K.StructType([K.StructField(x, K.StringType()) for x in ("heading", "pre_text", "post_text")])
+_FIELDS = ("image_key", "line_no", "heading", "pre_text", "post_text")
+_CONTEXT = K.StructType([K.StructField(x, K.IntegerType() if x == "line_no" else K.StringType()) for x in _FIELDS])
+_CONTEXT_TYPE = pa.struct([(x, pa.int32() if x == "line_no" else pa.string()) for x in _FIELDS])
 
 
 @F.arrow_udf(K.ArrayType(_CONTEXT))
-def _contexts(text: pa.Array, places: pa.Array, limit: pa.Array) -> pa.Array:
-    names = ("heading", "pre_text", "post_text")
-    rows = zip(text.to_pylist(), places.to_pylist(), limit.to_pylist(), strict=True)
-    found = [[dict(zip(names, x, strict=True)) for x in context.contexts(t, at, n)] if t is not None and at else [] for t, at, n in rows]
-    return pa.array(found, pa.list_(pa.struct([(x, pa.string()) for x in names])))
+def _contexts(text: pa.Array, first: pa.Array, limit: pa.Array) -> pa.Array:
+    out = []
+    for t, places, n in zip(text.to_pylist(), first.to_pylist(), limit.to_pylist(), strict=True):
+        around = context.contexts(t, [x["line_no"] for x in places], n) if t is not None and places else []
+        out.append([{**x, "heading": head, "pre_text": before, "post_text": after} for x, (head, before, after) in zip(places or (), around, strict=False)])
+    return pa.array(out, pa.list_(_CONTEXT_TYPE))
 
 
-def contexts(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, image_key, line_no, heading, pre_text, post_text for the first reference to each image of each row of docs (doc_id, md_content).
+def contexts(docs: DataFrame, limit: int, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, image_key, line_no, heading, pre_text, post_text for the first reference to each image of each row of docs (doc_id, md_content).
 
     Context is whole paragraphs between the nearest headings, nearest first while limit characters hold them (the
     first one always); blank lines and lines with images end a paragraph. A document stays in its row: nothing is
     exchanged, and rows with one doc_id are read each by itself. A null text has no images.
     """
-    found = _with_first(docs).filter(F.size("first") > 0)
-    around = found.select("doc_id", "first", _contexts("md_content", F.transform("first", lambda x: x["line_no"]), F.lit(limit)).alias("around"))
-    each = around.select("doc_id", F.explode(F.arrays_zip("first", "around")).alias("x"))
-    return each.select("doc_id", "x.first.image_key", "x.first.line_no", "x.around.heading", "x.around.pre_text", "x.around.post_text")
+    # no filter on what is found: it would be pushed below, and find everything again for itself
+    return _with_first(docs, *carried).select("doc_id", *carried, F.inline(_contexts("md_content", "first", F.lit(limit))))
 
 
 def rewritten(docs: DataFrame, images: DataFrame) -> DataFrame:
