@@ -30,6 +30,8 @@ from .packing import pack, unpack
 from .scratch import drop, keep
 
 TOP = 50
+#: Text bytes handled at a time.
+SLICE = 1 << 19
 #: Documents of a shard and of a block; posting lists up to SHORT are scored without blocks.
 SHARD, BLOCK, SHORT = 1024, 128, 32
 #: Unit of the maxima that blocks keep; what a term adds is below 1000000, so they fit into bytes.
@@ -68,7 +70,7 @@ def counted(texts, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndar
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), SLICE):
             _, terms, _, at = counted(texts)
             of = pa.array(np.repeat(np.arange(len(texts)), np.diff(at)) + texts.first)
             yield pa.RecordBatch.from_arrays([batch.column("item").take(of), batch.column("item_id").take(of), pa.array(terms.view(np.int64))], ["item", "item_id", "term"])
@@ -79,7 +81,7 @@ def _documents(asked):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 length, terms, counts, at = counted(texts, asked.value)
                 some = np.flatnonzero(length)
                 blobs = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary()) for x in (terms, counts.astype(np.int32))]

@@ -32,6 +32,8 @@ from .filters import held, key_filter
 from .scratch import drop, keep
 
 SHINGLE = 5
+#: Text bytes handled at a time.
+SLICE = 1 << 19
 #: The least similarity is LEAST / OF.
 LEAST, OF = 80, 100
 #: Cells in which shingles are counted, and pieces in which they are summed, as powers of two.
@@ -85,7 +87,7 @@ def cell(hashes: np.ndarray) -> np.ndarray:
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << CELLS, np.uint32)
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), SLICE):
             at, n = np.unique(cell(shingle_sets(texts)[0]), return_counts=True)
             total[at] += n.astype(np.uint32)
     pieces = np.minimum(total, 65535).astype(np.uint16).reshape(1 << PIECES, -1)
@@ -145,7 +147,7 @@ def _described(tally):
         seen: set[int] = set()
         for batch in batches:
             done = 0
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 every, offs = shingle_sets(texts)
                 ids, n = _set_ids(every, offs), np.diff(offs)
                 new = [i for i, x in enumerate(ids.tolist()) if n[i] and x not in seen and not seen.add(x)]
@@ -211,7 +213,7 @@ def _sets(asked):
         seen: set[int] = set()
         for batch in batches:
             some = batch.column("text").take(pa.array(held(asked.value, np.asarray(batch.column("tag")).view(np.uint64))))
-            for texts in slices(some):
+            for texts in slices(some, SLICE):
                 every, offs = shingle_sets(texts)
                 ids = _set_ids(every, offs)
                 new = [i for i, x in enumerate(ids.tolist()) if x not in seen and not seen.add(x)]
