@@ -26,7 +26,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     base = _INVERSE if inverse else _BASE
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = -(-n >> 18) << 18
+        size = max(1, -(-n >> 18)) << 18
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
