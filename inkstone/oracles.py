@@ -146,6 +146,9 @@ ORACLES: dict[str, str] = {
     "validate_docs": f"""WITH {_STATE} SELECT id AS doc_id, {_TITLE} AS file_title,
         CASE WHEN md IS NULL OR coalesce(lower({_suffix(_strip('md_path'))}) NOT IN ('.md', '.markdown'), true) OR {_TITLE} IS NULL THEN 'FieldError' END AS error_class, len(md) AS n_chars FROM state""",
     "normalize_text": f"WITH {_STATE} SELECT id AS doc_id, md AS md_content FROM state",
+    "read_utf8": """WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN CASE WHEN text = '' OR strlen(right(text, 1)) = 1 THEN left(text, -1) END WHEN 2 THEN CASE WHEN text = '' OR strlen(left(text, 1)) = 1 THEN substr(text, 2) END
+                                 WHEN 3 THEN NULL ELSE text END AS t, text IS NULL AS none FROM documents)
+        SELECT doc_id, md5(t) AS digest, len(t) AS n_chars, t IS NULL AND NOT none AS is_bad FROM t""",
     "resolve_title": f"WITH {_STATE} SELECT id AS doc_id, {_TITLE} AS file_title FROM state",
     "resolve_dir": f"""WITH {_STATE} SELECT id AS doc_id, coalesce(dir, CASE WHEN md_path LIKE '%/%' THEN regexp_extract({_strip('md_path')}, '^(.*)/[^/]*$', 1) WHEN md_path IS NOT NULL THEN '.' END) AS file_dir FROM state""",
     "env_bool": "SELECT n_nationkey, n_nationkey % 8 < 4 AS is_true FROM nation",

@@ -11,14 +11,31 @@ from pyspark.sql import functions as F
 
 from ..errors import FileError
 from ..functions import text as T
+from .versions import Version, Versions, chunk_statistics
+
+
+def decoded(content: Column) -> Column:
+    """struct<text, error> of a file's bytes: text with line ends as \\n (a byte-order mark stays) if they are UTF-8, and why not if they aren't."""
+    raw = content.cast("string")
+    good = F.is_valid_utf8(raw)
+    return F.struct(F.when(good, F.regexp_replace(raw, r"\r\n?", "\n")).alias("text"), F.when(~good, F.lit("the file is not UTF-8")).alias("error"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """md_path, md_content, image_dir of the .md and .markdown files under path; line ends as \\n, a byte-order mark stays."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("md_path"), "value")
-    files = files.filter(F.lower(T.suffix(F.col("md_path"))).isin(".md", ".markdown"))
-    content = F.regexp_replace("value", r"\r\n?", "\n")
-    return files.select("md_path", content.alias("md_content"), F.concat(T.parent(F.col("md_path")), F.lit("/images")).alias("image_dir"))
+    """md_path, md_content, image_dir, error_class, error_message of the .md and .markdown files under path; line ends as \\n, a byte-order mark stays.
+
+    A file that isn't UTF-8 has no content but a FileError; bytes are checked on the JVM, and none is replaced by another. Files without a byte
+    aren't read by Spark and so aren't here; they have no chunks either.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("md_path"), "content")
+    files = files.filter(F.lower(T.suffix(F.col("md_path"))).isin(".md", ".markdown")).withColumn("read", decoded(F.col("content")))
+    return files.select(
+        "md_path",
+        F.col("read.text").alias("md_content"),
+        F.concat(T.parent(F.col("md_path")), F.lit("/images")).alias("image_dir"),
+        F.when(F.col("read.error").isNotNull(), "FileError").alias("error_class"),
+        F.col("read.error").alias("error_message"),
+    )
 
 
 _IMAGE = "image_dir string, image_name string, path string, length long, error_class string, error_message string"
@@ -67,14 +84,19 @@ def converted_path(pdf: Column, output_dir: Column) -> Column:
     return F.concat_ws("/", output_dir, s, F.lit("auto"), F.concat(s, F.lit(".md")))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Publish chunks, replacing those of an earlier run."""
-    chunks.write.mode("overwrite").parquet(path)
+def write_chunks(chunks: DataFrame, path: str, keep: int = 3) -> Version:
+    """Publish chunks as the next version of the table at path, with their statistics; readers see the version before until it is complete."""
+    return Versions(chunks.sparkSession, path).publish(chunks, keep, statistics=chunk_statistics())
+
+
+def write_chunk_json(chunks: DataFrame, path: str, keep: int = 3) -> Version:
+    """The same as JSON lines, for people and other tools: a backup in versions, statistics beside them."""
+    return Versions(chunks.sparkSession, path).publish(chunks, keep, "json", chunk_statistics())
 
 
-def write_chunk_json(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines, beside the table, for people and other tools."""
-    chunks.write.mode("overwrite").json(path)
+def read_chunks(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The chunks that were published last, or an earlier version that is kept."""
+    return Versions(spark, path).read(version)
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,15 +32,6 @@ def test_markdown_and_images_from_files(spark, tmp_path):
     assert urls == {"p.PNG": "data:image/png;base64,YWJj", "q.bmp": None}
 
 
-def test_chunks_and_documents_to_files(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "# A\nx", "a", "/d/a.md")], "doc_id long, md_content string, file_title string, md_path string")
-    chunks = D.split(docs)
-    S.write_chunks(chunks, str(tmp_path / "c"))
-    S.write_chunks(chunks, str(tmp_path / "c"))
-    S.write_chunk_json(chunks, str(tmp_path / "j"))
-    assert spark.read.parquet(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "j")).count() == 1
-
-
 def test_processed_documents_go_beside_their_sources(spark, tmp_path):
     """Files of one name in two folders, line ends as they are, an earlier run replaced, sources kept."""
     for folder in ("a", "b"):
