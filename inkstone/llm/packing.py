@@ -42,10 +42,11 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def by_part(to: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
-    """Each part that occurs in to (sorted), with its slice."""
-    cuts = np.searchsorted(to, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        yield p, slice(int(cuts[p]), int(cuts[p + 1]))
+    """Each of the parts (their number, at most) that occurs in to (sorted), with its slice; only those that occur are looked at."""
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True) if len(to) else ():
+        assert 0 <= to[a] < parts
+        yield int(to[a]), slice(a, b)
 
 
 ROWS = "part int, kind int, blob binary"
