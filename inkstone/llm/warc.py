@@ -155,8 +155,9 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
         at = end + 4 + length + 4
 
 
-def record_id(url: str, date: str, digest: str, page: str) -> str:
-    return uuid.uuid5(NAMESPACE, f"{url} {date} {digest} {page}").urn
+def record_id(url: str, date: str, digest: str, page: str, where: str = "") -> str:
+    """The identifier of a record, the same whenever it is converted; where (its archive and place in it) tells repeated records apart."""
+    return uuid.uuid5(NAMESPACE, f"{url} {date} {digest} {page} {where}").urn
 
 
 def _header(head: bytes, name: str) -> str:
@@ -166,12 +167,12 @@ def _header(head: bytes, name: str) -> str:
     return ""
 
 
-def converted(record: ArcRecord, refers: dict | None = None) -> WarcRecord:
+def converted(record: ArcRecord, refers: dict | None = None, where: str = "") -> WarcRecord:
     """The WARC record for an ARC record: a response (resource without HTTP header), or a revisit of refers (id, page)."""
     head, payload = record.http()
     digest = hashlib.sha256(payload).hexdigest()
     page, date = _header(head, "X-Page-Id"), record.warc_date()
-    h = {"WARC-Type": "revisit" if refers else "response" if head else "resource", "WARC-Record-ID": f"<{record_id(record.url, date, digest, page)}>", "WARC-Date": date, "WARC-Target-URI": record.url}
+    h = {"WARC-Type": "revisit" if refers else "response" if head else "resource", "WARC-Record-ID": f"<{record_id(record.url, date, digest, page, where)}>", "WARC-Date": date, "WARC-Target-URI": record.url}
     ip = record.fields.get("IP-address", "-")
     if ip not in ("-", "0.0.0.0"):
         h["WARC-IP-Address"] = ip
@@ -231,7 +232,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place, r in enumerate(read_arc(content.as_py())):
                 head, payload = r.http()
                 digest, page = hashlib.sha256(payload).hexdigest(), _header(head, "X-Page-Id")
-                rows.append((archive.as_py(), place, int(page) if page else None, record_id(r.url, r.warc_date(), digest, page), len(payload), digest))
+                rows.append((archive.as_py(), place, int(page) if page else None, record_id(r.url, r.warc_date(), digest, page, f"{archive.as_py()} {place}"), len(payload), digest))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kinds.field(i).type) for i in range(len(names))], schema=kinds)
 
 
@@ -258,7 +259,7 @@ def _write_warcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             refers = {x["place"]: {"id": x["id"], "page": x["page"] or ""} for x in known.as_py() or []}
             info = WarcRecord({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<{uuid.uuid5(NAMESPACE, archive.as_py()).urn}>", "WARC-Date": "1996-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, b"software: inkstone\r\nformat: WARC File Format 1.0\r\n")
             out = [zipped(info.to_bytes())]
-            out += [zipped(converted(r, refers.get(place)).to_bytes()) for place, r in enumerate(read_arc(content.as_py()))]
+            out += [zipped(converted(r, refers.get(place), f"{archive.as_py()} {place}").to_bytes()) for place, r in enumerate(read_arc(content.as_py()))]
             yield pa.RecordBatch.from_pydict({"archive": [archive.as_py()], "content": [b"".join(out)]}, schema=_ARCHIVE)
 
 
@@ -302,7 +303,8 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
 
     Of records with equal payloads of at least 100 bytes the one with the smallest page_id is the response
     (null page_id: last; repeated page_id: one of them), the others revisit it. A null or empty html has an
-    empty payload; a null url is written as '-'; no pages give no archives and no rows.
+    empty payload, one of any length is written whole; a null url is written as '-'; repeated rows have records with identifiers of
+    their own; no pages give no archives and no rows.
     """
     arcs = write_arcs(pages)
     warcs = arc_to_warc(arcs)
