@@ -100,6 +100,18 @@ def test_archives(spark):
     assert warc.pages_through_archives(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_repeated_pages_have_records_of_their_own(spark):
+    pages = [(1, "http://a", "x" * 300)] * 4 + [(1, "http://a", "x" * 300), (2, "http://b", "y"), (2, "http://b", "y")]
+    arcs = warc.write_arcs(spark.createDataFrame([(*p, "x", "y") for p in pages], PAGES).repartition(3))
+    records = [r for row in warc.arc_to_warc(arcs).collect() for r in warc.read_warc(bytes(row.content)) if r.headers["WARC-Type"] != "warcinfo"]
+    ids = [r.headers["WARC-Record-ID"] for r in records]
+    assert len(ids) == len(set(ids)) == 7
+    for r in records:
+        if r.headers["WARC-Type"] == "revisit":
+            assert r.headers["WARC-Refers-To"] in ids and r.headers["WARC-Refers-To"] != r.headers["WARC-Record-ID"]
+    assert sum(r.headers["WARC-Type"] == "revisit" for r in records) == 4
+
+
 def test_arc_versions_and_lengths():
     fields = {"URL": "http://x/a b", "IP-address": "1.2.3.4", "Archive-date": "20010203040506", "Content-type": "text/plain", "Result-code": "404"}
     for version in (1, 2):
@@ -140,6 +152,17 @@ def test_a_group_with_most_rows_is_spread(spark):
     assert (small == 1).all()
 
 
+@pytest.mark.parametrize("same", [None, 7])
+def test_a_hot_text_without_ids_of_its_own_is_spread(spark, same):
+    """3000 rows of one text, all without a doc_id or all with one, among 4500."""
+    rows = [(same, "same text of some words")] * 3000 + [(10000 + i, f"text {i} " * (i % 9 + 1)) for i in range(1500)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24).toPandas()
+    load = got.groupby("shard").agg(b=("size", "sum"), n=("size", "count"))
+    assert len(got) == 4500 and len(load) == 24 and (load.b.max() - load.b.min()) / load.b.mean() < 0.01 and (load.n.max() - load.n.min()) / load.n.mean() < 0.1
+    for _, shard in got.groupby("shard"):
+        assert sorted(shard.slot) == list(range(len(shard)))
+
+
 def test_packing_follows_the_dot_product():
     v = np.random.default_rng(1).random((200, 3)) ** 3
     where = sharding.pack(v, 5)
@@ -157,6 +180,7 @@ def test_groups_are_packed_one_by_one(spark, monkeypatch):
     rows = [(i, rng.choice(texts)) for i in range(1500)] + [(None, None), (3, ""), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(sharding, "PART_ROWS", 400)
+    monkeypatch.setattr(sharding, "PART_GROUPS", -(-len({t or "" for _, t in rows}) // 4))
     monkeypatch.setattr(sharding, "FINE", 1)
     got = sharding.shard(docs, 4).collect()
     part = {r.text: r.part for r in docs.select("text", F.pmod(F.xxhash64(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(5)), F.lit(4)).alias("part")).collect()}
