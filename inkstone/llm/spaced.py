@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batch import LOWER, SPACE, Texts, hash_of, mix, slices
@@ -41,8 +41,8 @@ WINDOW, SIMILAR, LEAST_WORDS = 20, 0.8, 5
 HOT_ITEMS = 8
 #: Hits in a bucket of the join, about, and pairs that are compared at a time.
 BUCKET, BLOCK = 100_000, 40_000
-#: Text bytes of the items whose seeds are looked at together.
-PART_BYTES = 4 << 20
+#: Parts of the items whose seeds are looked at together.
+PARTS = 4096
 #: Words on each side of a hit that travel with it: any window around it lies within.
 _SIDE = WINDOW - 1
 _SPAN = 2 * _SIDE + 1
@@ -137,11 +137,12 @@ def _spare(group: pa.Table) -> pa.Table:
     return pa.concat_tables([kept, group.select(names).filter(pa.array(~np.concatenate(out)))])
 
 
-def item_seeds(items: DataFrame, size: int) -> DataFrame:
-    """The seeds (seed, item, place, span, words) of items (item, text; size bytes) that documents are searched for."""
-    every = items.mapInArrow(_item_seeds, _SEED).withColumn("n", F.count("*").over(Window.partitionBy("seed")))
-    part = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-size // PART_BYTES)))).alias("part")
-    return keep(every.select(part, "*").groupBy("part").applyInArrow(_spare, _SEED), "seeds")
+def item_seeds(items: DataFrame) -> DataFrame:
+    """The seeds (seed, item, place, span, words) of items (item, text) that documents are searched for."""
+    every = items.mapInArrow(_item_seeds, _SEED)
+    counted = every.join(every.groupBy("seed").agg(F.count("*").alias("n")), "seed")  # a seed of many items is split like any skewed key
+    part = F.pmod(F.xxhash64("item"), F.lit(PARTS)).alias("part")
+    return keep(counted.select(part, "*").groupBy("part").applyInArrow(_spare, _SEED), "seeds")
 
 
 # Documents.
@@ -241,23 +242,22 @@ def _tagged(docs: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, tag (of the text), item_id and best window of each item in each text; and how many rows each doc_id and tag with hits has."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn("item", F.xxhash64("item_id", "text"))
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    wanted = item_seeds(items, size)
-    short = {r["words"] for r in wanted.filter(F.col("words") < 4).select("words").distinct().collect()}  # three rows at most
+    wanted = item_seeds(items)
+    many, short = wanted.agg(F.count("*"), F.collect_set(F.when(F.col("words") < 4, F.col("words")))).first()  # three numbers at most
     masks = MASKS + tuple(SHORT_MASKS[n - 1] for n in sorted(short))
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "seed", size))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "seed", many))
     hits = keep(_tagged(docs).mapInArrow(_hits(shared, masks), _HIT), "seeds-hits")
     real = hits.filter("seed is not null")
-    buckets = max(8, -(-real.count() // BUCKET))
+    counts = real.groupBy("seed").agg(F.count("*").alias("hits"))
+    buckets = max(8, -(-hits.count() // BUCKET))
     # of the seeds with hits at most one in a bucket has more than one salt
-    hot = real.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).collect()
-    salts = docs.sparkSession.createDataFrame([(r["seed"], -(-r["n"] // BUCKET)) for r in hot], "seed long, salts int")
+    salts = counts.filter(F.col("hits") > BUCKET).select("seed", F.ceil(F.col("hits") / BUCKET).cast("int").alias("salts"))
     bucket = F.pmod(F.xxhash64("seed", "salt"), F.lit(buckets)).alias("bucket")
-    met = wanted.join(real.select("seed").distinct(), "seed", "left_semi")
-    entries = met.join(F.broadcast(salts), "seed", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+    met = wanted.join(counts, "seed").withColumn("salts", F.ceil(F.col("hits") / BUCKET).cast("int"))
+    entries = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     words = items.mapInArrow(_item_words, "of long, item_id long, whole binary")
     entries = entries.join(words, F.col("item") == F.col("of")).select(bucket, "seed", "item", "item_id", "place", "words", "whole")
-    salted = real.join(F.broadcast(salts), "seed", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "tag", "at"), F.col("salts")), F.lit(0)).cast("int"))
+    salted = real.join(salts, "seed", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "tag", "at"), F.col("salts")), F.lit(0)).cast("int"))
     pairs = salted.select(bucket, "seed", "doc_id", "tag", "at", "around").groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(_verify, _PAIR)
     best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("before"))).alias("best")
     found = pairs.groupBy("doc_id", "tag", "item", "item_id", "window_words").agg(best)
