@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import functools
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +104,38 @@ def stage(name: str) -> Callable:
         return run
 
     return wrap
+
+
+@contextmanager
+def enveloped(stage: str, every: bool, *passed: type[ImportFailure]) -> Iterator[dict[str, str]]:
+    """Inside a task: what fails in the block is put into the dict (error_class, error_message, stage) and the next row goes on.
+
+    Errors of the given classes always are; any other one if every is true, an unclassified one as a failure of the stage.
+    """
+    found: dict[str, str] = {}
+    try:
+        yield found
+    except Exception as e:
+        if not every and not isinstance(e, passed):
+            raise
+        classified = isinstance(e, ImportFailure)
+        found |= {"error_class": type(e).__name__ if classified else "ImportFailure", "error_message": e.message if classified else f"{type(e).__name__}: {e}", "stage": stage}
+
+
+@contextmanager
+def running(stage: str, df: DataFrame) -> Iterator[None]:
+    """Around an action: its jobs carry the stage's name, and a job that fails raises an ImportFailure of the stage, with what Spark says as its cause."""
+    context = df.sparkSession.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(stage)
+    log.info("%s: runs", stage)
+    try:
+        yield
+    except ImportFailure:
+        raise
+    except (PySparkException, Py4JError) as e:
+        lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+        raise ImportFailure(next((x for x in reversed(lines) if "Error" in x.split(":")[0] and not x.startswith("at ")), lines[0] if lines else type(e).__name__)[:500], stage, e) from e
+    finally:
+        context.setLocalProperty("spark.job.description", before)
+    log.info("%s: done", stage)

@@ -34,6 +34,22 @@ def scheme(target: Column) -> Column:
     return F.lower(F.regexp_extract(target, r"\A([A-Za-z][A-Za-z0-9+.\-]*):", 1))
 
 
+_GROUP, _OCTET = "[0-9A-Fa-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+
+
+def bad_authority(target: Column) -> Column:
+    """Whether a target's authority can't be one: brackets that don't enclose an address, or stand elsewhere than around the host. False for null."""
+    authority = F.regexp_extract(target, r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    host = F.regexp_extract(authority, r"(?s)([^@]*)\z", 1)
+    inner = F.regexp_extract(host, r"(?s)\A\[([^\]]*)\](?::.*)?\z", 1)
+    future = inner.rlike(r"(?s)\Av[0-9A-Fa-f]+\..+\z")
+    # an address of 8 groups, or of fewer with one gap; its last two groups may be written as four numbers
+    plain = F.regexp_replace(F.regexp_replace(inner, r"(?s)%.+\z", ""), rf"(?<=:)(?:{_OCTET}\.){{3}}{_OCTET}\z", "0:0")
+    whole = plain.rlike(rf"\A{_GROUP}(?::{_GROUP}){{7}}\z")
+    gap = plain.rlike(rf"\A(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?\z") & (F.regexp_count(plain, F.lit(_GROUP)) <= 7)
+    return F.coalesce(authority.rlike(r"[\[\]]") & ~(future | whole | gap), F.lit(False))
+
+
 def is_local(target: Column) -> Column:
     return F.coalesce(~scheme(target).isin("http", "https", "data"), F.lit(False))
 

@@ -236,6 +236,9 @@ ORACLES: dict[str, str] = {
     "image_refs": f"{_REFS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, alt) - 1 AS ref_no, alt, dest AS raw_destination FROM rf",
     "image_dest": f"SELECT n_nationkey, {_DEST} AS destination FROM nation",
     "image_basename": "SELECT n_nationkey, ['a', 'a.png', 'x.png', 'b.jpg', 'png;base64,xx', NULL, '图.png', 'c+d.gif'][n_nationkey % 8 + 1] AS image_key FROM nation",
+    "url_authority": """WITH t AS (SELECT page_id, url, page_id % 9 AS k, string_split(string_split(url, '://')[2], '/')[1] AS host FROM pages)
+        SELECT page_id, CASE k WHEN 1 THEN true WHEN 2 THEN true WHEN 4 THEN len(printf('%x', page_id)) > 4 WHEN 5 THEN true WHEN 6 THEN page_id % 2 = 1
+                             ELSE k IN (0, 7) AND host SIMILAR TO '.*[\\[\\]].*' END AS is_bad FROM t""",
     "local_refs": "SELECT n_nationkey, n_nationkey % 8 NOT IN (2, 4, 5) AS is_local FROM nation",
     "image_join": f"{_REFS}, {_IMAGES} SELECT doc_id, k || '.PNG' AS image_name FROM three t WHERE EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = t.doc_id AND rf.dest = 'images/' || t.k || '.png')",
     "unreferenced_images": f"{_REFS}, {_IMAGES} SELECT doc_id, k || '.PNG' AS image_name FROM three t WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = t.doc_id AND rf.dest = 'images/' || t.k || '.png')",

@@ -404,6 +404,16 @@ def image_basename(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", I.basename(I.destination(F.expr(_TARGET))).alias("image_key"))
 
 
+_AUTHORITY = """case page_id % 9 when 0 then url when 1 then replace(url, '://', '://[') when 2 then replace(url, '://', '://u[') || ']' when 3 then '//[v1.' || page_id || ']/' || page_id
+  when 4 then 'http://u@[' || hex(page_id) || '::1]:80/x' when 5 then '//[' || page_id || '.1.1.1]/x' when 6 then 'https://[1:2:3:4:5:6:7' || case when page_id % 2 = 0 then ':8' else '' end || ']'
+  when 7 then regexp_replace(url, '^[a-z]+:', '') else 'images/[' || page_id || '.png' end"""
+
+
+@query
+def url_authority(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", I.bad_authority(F.expr(_AUTHORITY)).alias("is_bad"))
+
+
 @query
 def local_refs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", I.is_local(I.destination(F.expr(_TARGET))).alias("is_local"))
