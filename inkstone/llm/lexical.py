@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,6 @@ from .scratch import drop, keep
 TOP = 50
 #: Text bytes handled at a time.
 SLICE = 1 << 19
-#: Documents of a shard and of a block; posting lists up to SHORT are scored without blocks.
-SHARD, BLOCK, SHORT = 1024, 128, 32
 #: Unit of the maxima that blocks keep; what a term adds is below 1000000, so they fit into bytes.
 STEP = 4096
 #: Dimensions of the sums that tell how much documents resemble each other.
@@ -42,6 +41,18 @@ SKETCH = 32
 QUERY_TERMS, SEEDS = 1 << 18, 8
 #: Cells of the table in which maxima are taken.
 _CELLS = 1 << 23
+#: Documents whose terms are taken into it at a time.
+_AT_ONCE = 1024
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Documents of a shard and of a block; posting lists up to short are scored without blocks."""
+
+    shard: int = 1024
+    block: int = 128
+    short: int = 32
+
 
 #: Bytes of terms: digits, letters, and all beyond ASCII.
 TERM = np.zeros(256, bool)
@@ -106,16 +117,16 @@ _KINDS = {"vocabulary": "<u8", "starts": "p4", "terms": "p4", "adds": "p3", "lis
 _WRAP = 1 << 32
 
 
-def _blocked(members: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def _blocked(members: np.ndarray, sketches: np.ndarray, block: int) -> tuple[np.ndarray, list[int]]:
     """A posting list in the order of its blocks, and their sizes."""
-    k = -(-len(members) // BLOCK)
+    k = -(-len(members) // block)
     if k == 1:
         return members, [len(members)]
     own = sketches[members]
     nearest = np.argmax(own @ own[np.arange(k) * len(members) // k].T, axis=1)
     sizes = []
     for n in np.bincount(nearest).tolist():
-        sizes += [BLOCK] * (n // BLOCK) + [n % BLOCK] * (n % BLOCK > 0)
+        sizes += [block] * (n // block) + [n % block] * (n % block > 0)
     return members[np.argsort(nearest, kind="stable")], sizes
 
 
@@ -132,7 +143,7 @@ def _sketched(terms: np.ndarray, adds: np.ndarray, starts: np.ndarray, vocabular
     return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
 
-def index_of(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, starts: np.ndarray, documents: int, all_lengths: int) -> dict[str, np.ndarray]:
+def index_of(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, starts: np.ndarray, documents: int, all_lengths: int, most_of: Sizes = Sizes()) -> dict[str, np.ndarray]:
     """The index of a shard: what each term adds in each document, posting lists by block, and the blocks' maxima.
 
     starts: the place of each document's first term in hashes and counts; documents, all_lengths: N and L of the whole collection.
@@ -149,12 +160,12 @@ def index_of(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, starts
     first_block = np.zeros(len(vocabulary) + 1, np.int64)
     for t in range(len(vocabulary)):
         a, b = lists[t], lists[t + 1]
-        if b - a > SHORT:
-            members[a:b], own = _blocked(members[a:b], sketches)
+        if b - a > most_of.short:
+            members[a:b], own = _blocked(members[a:b], sketches, most_of.block)
             sizes += own
         first_block[t + 1] = len(sizes)
     # blocks follow each other inside a list; places in members
-    long = np.flatnonzero(np.diff(lists) > SHORT)
+    long = np.flatnonzero(np.diff(lists) > most_of.short)
     inside = ragged(lists[long], np.diff(lists)[long])
     ends = np.cumsum(np.array(sizes, np.int64))
     begins = ends - np.array(sizes, np.int64)
@@ -167,9 +178,9 @@ def index_of(lengths: np.ndarray, hashes: np.ndarray, counts: np.ndarray, starts
         docs = members[inside[begins[low] : ends[high - 1]]]
         block = np.repeat(np.arange(high - low), sizes[low:high])
         table = np.zeros((high - low) * width, np.uint8)
-        for a in range(0, len(docs), SHARD):
-            at = ragged(starts[docs[a : a + SHARD]], per[docs[a : a + SHARD]])
-            np.maximum.at(table, np.repeat(block[a : a + SHARD], per[docs[a : a + SHARD]]) * width + terms[at], most[at])
+        for a in range(0, len(docs), _AT_ONCE):
+            at = ragged(starts[docs[a : a + _AT_ONCE]], per[docs[a : a + _AT_ONCE]])
+            np.maximum.at(table, np.repeat(block[a : a + _AT_ONCE], per[docs[a : a + _AT_ONCE]]) * width + terms[at], most[at])
         filled = np.flatnonzero(table)
         found.append(filled % width)
         values.append(table[filled])
@@ -195,7 +206,7 @@ def opened(stored: bytes) -> dict[str, np.ndarray]:
     return index | {"list_most": list_most}
 
 
-def _indexed(documents: int, all_lengths: int):
+def _indexed(documents: int, all_lengths: int, sizes_of: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_back: list[pa.RecordBatch] = []
 
@@ -204,13 +215,13 @@ def _indexed(documents: int, all_lengths: int):
             held_back.clear()
             ids, lengths = rows.column("doc_id").combine_chunks(), np.asarray(rows.column("length"))
             sizes = [len(x.as_buffer()) // 8 for x in rows.column("terms")]
-            index = index_of(lengths, _joined(rows.column("terms"), np.uint64), _joined(rows.column("counts"), np.int32), np.append(0, np.cumsum(sizes)), documents, all_lengths)
+            index = index_of(lengths, _joined(rows.column("terms"), np.uint64), _joined(rows.column("counts"), np.int32), np.append(0, np.cumsum(sizes)), documents, all_lengths, sizes_of)
             return pa.RecordBatch.from_pydict({"doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "index": pa.array([packed(index)], pa.binary())})
 
         for batch in batches:
-            for a in range(0, len(batch), SHARD):
-                piece = batch.slice(a, SHARD)
-                if sum(map(len, held_back)) + len(piece) > SHARD:
+            for a in range(0, len(batch), sizes_of.shard):
+                piece = batch.slice(a, sizes_of.shard)
+                if sum(map(len, held_back)) + len(piece) > sizes_of.shard:
                     yield shard()
                 held_back.append(piece)
         if held_back and sum(map(len, held_back)):
@@ -220,10 +231,10 @@ def _indexed(documents: int, all_lengths: int):
 
 
 class Best:
-    """The TOP results of each query so far, and the least score that a further one needs."""
+    """The best results of each query so far (top at most), and the least score that a further one needs."""
 
-    def __init__(self, least: np.ndarray):
-        self.least = least.copy()
+    def __init__(self, least: np.ndarray, top: int = TOP):
+        self.top, self.least = top, least.copy()
         self.scores = [np.zeros(0, np.int64)] * len(least)
         self.ids = [np.zeros(0, np.int64)] * len(least)
 
@@ -232,9 +243,9 @@ class Best:
         if not near.any():
             return
         scores, ids = np.concatenate([self.scores[query], scores[near]]), np.concatenate([self.ids[query], ids[near]])
-        order = np.lexsort((ids, -scores))[:TOP]
+        order = np.lexsort((ids, -scores))[: self.top]
         self.scores[query], self.ids[query] = scores[order], ids[order]
-        if len(order) == TOP:
+        if len(order) == self.top:
             self.least[query] = max(self.least[query], scores[order[-1]])
 
 
@@ -287,12 +298,12 @@ def search(index: dict[str, np.ndarray], ids: np.ndarray, query: int, hashes: np
     return scored
 
 
-def _searched(queries):
+def _searched(queries, top: int):
     """item, doc_id, score of the best results that these shards have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, at, hashes, weights, least = queries.value
-        best, null = Best(least), np.iinfo(np.int64).max
+        best, null = Best(least, top), np.iinfo(np.int64).max
         for batch in batches:
             for i in range(len(batch)):
                 ids = np.asarray(batch.column("doc_ids")[i].values.fill_null(null))
@@ -308,13 +319,13 @@ def _searched(queries):
     return run
 
 
-def _ranked(found: DataFrame) -> DataFrame:
+def _ranked(found: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, rank, doc_id and score of the 50 best documents (doc_id, text) for each row of items (item_id, text), scores above 0.
+def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, sizes: Sizes = Sizes()) -> DataFrame:
+    """item_id, rank, doc_id and score of the top best documents (doc_id, text) for each row of items (item_id, text), scores above 0.
 
     Null and empty texts have no terms: such a document is never found, such an item finds none. Texts of any length are read
     whole. Equal scores rank by doc_id, a null one last; rows with one doc_id are found each for itself. Each row of items has
@@ -332,7 +343,7 @@ def ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
     weighed = asked.join(holders, "term").select("item", "item_id", "term", weight.alias("weight"))
     parts = max(1, -(-2 * asked.count() // QUERY_TERMS))
     weighed = keep(weighed.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))), "lexical-queries")
-    index = keep(forward.mapInArrow(_indexed(documents, all_lengths), "doc_ids array<long>, index binary"), "lexical-index")
+    index = keep(forward.mapInArrow(_indexed(documents, all_lengths, sizes), "doc_ids array<long>, index binary"), "lexical-index")
     drop(forward)
     shards = index.count()
     seeds = index.sample(fraction=min(1.0, SEEDS / shards), seed=7) if shards > 2 * SEEDS else None
@@ -342,12 +353,12 @@ def ranked(docs: DataFrame, items: DataFrame) -> DataFrame:
         terms, weights = (np.asarray(block.column(c)) for c in ("term", "weight"))
         of, at = np.unique(np.asarray(block.column("item")), return_index=True)
         at, least = np.append(at, len(terms)), np.ones(len(of), np.int64)
-        search_for = lambda least: _searched(spark.sparkContext.broadcast((of, at, terms.view(np.uint64), weights, least)))  # noqa: B023, E731
+        search_for = lambda least: _searched(spark.sparkContext.broadcast((of, at, terms.view(np.uint64), weights, least)), top)  # noqa: B023, E731
         if seeds is not None:
-            first = _ranked(seeds.mapInArrow(search_for(least), "item long, doc_id long, score long"))
-            for item, score in first.filter(F.col("rank") == TOP).select("item", "score").collect():  # a number for each query of the block
+            first = _ranked(seeds.mapInArrow(search_for(least), "item long, doc_id long, score long"), top)
+            for item, score in first.filter(F.col("rank") == top).select("item", "score").collect():  # a number for each query of the block
                 least[np.searchsorted(of, item)] = score
-        results.append(keep(_ranked(index.mapInArrow(search_for(least), "item long, doc_id long, score long")), "lexical-results"))
+        results.append(keep(_ranked(index.mapInArrow(search_for(least), "item long, doc_id long, score long"), top), "lexical-results"))
     drop(index)
     found = functools.reduce(DataFrame.union, results)
     return found.join(numbered.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")

@@ -44,9 +44,9 @@ def _node(run: list[str]) -> str:
     return hashlib.sha256("".join(run).encode()).hexdigest()
 
 
-def height(n: int) -> int:
-    """Levels above n nodes until one remains, STEP at most."""
-    return min(STEP, (n - 1).bit_length())
+def height(n: int, step: int) -> int:
+    """Levels above n nodes until one remains, step at most."""
+    return min(step, (n - 1).bit_length())
 
 
 def levels_above(digests: list[str], height: int) -> list[list[str]]:
@@ -67,20 +67,24 @@ def path_of(levels: list[list[str]], i: int) -> list[dict[str, str]]:
     return out
 
 
-def _tops(group: pa.Table) -> pa.Table:
+def _tops(step: int) -> Callable[[pa.Table], pa.Table]:
     """The top node of an aligned subtree."""
-    order = group.sort_by("pos")
-    n, block = order.column("n")[0].as_py(), order.column("pos")[0].as_py() >> STEP
-    top = levels_above(order.column("digest").to_pylist(), height(n))[-1]
-    return pa.table({"tree": order.column("tree").slice(0, 1), "pos": pa.array([block], pa.int64()), "n": pa.array([-(-n >> STEP) if n > 1 else 1], pa.int64()), "digest": pa.array(top, pa.string())})
 
+    def run(group: pa.Table) -> pa.Table:
+        order = group.sort_by("pos")
+        n, block = order.column("n")[0].as_py(), order.column("pos")[0].as_py() >> step
+        top = levels_above(order.column("digest").to_pylist(), height(n, step))[-1]
+        return pa.table({"tree": order.column("tree").slice(0, 1), "pos": pa.array([block], pa.int64()), "n": pa.array([-(-n >> step) if n > 1 else 1], pa.int64()), "digest": pa.array(top, pa.string())})
 
-def _paths(names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return run
+
+
+def _paths(names: list[str], step: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Each node of an aligned subtree, with its columns of these names, and its path to the root."""
 
     def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
         order = nodes.sort_by("pos")
-        levels = levels_above(order.column("digest").to_pylist(), height(order.column("n")[0].as_py()))
+        levels = levels_above(order.column("digest").to_pylist(), height(order.column("n")[0].as_py(), step))
         rest, subroot = above.column("path")[0].as_py(), above.column("subroot")[0].as_py()
         paths = [path_of(levels, i) + rest for i in range(len(order))]
         columns = {c: order.column(c) for c in names} | {"subroot": pa.array([subroot] * len(order), pa.string()), "path": pa.array(paths, _PATH_TYPE)}
@@ -108,7 +112,7 @@ def _raised(lowest: DataFrame) -> list[DataFrame]:
     out = [lowest]
     while (out[-1].agg(F.max("n")).first()[0] or 0) > 1:
         block = F.shiftright("pos", STEP).alias("block")
-        out.append(keep(out[-1].select("tree", "pos", "n", "digest").groupBy("tree", block).applyInArrow(_tops, "tree string, pos long, n long, digest string"), "merkle-level"))
+        out.append(keep(out[-1].select("tree", "pos", "n", "digest").groupBy("tree", block).applyInArrow(_tops(STEP), "tree string, pos long, n long, digest string"), "merkle-level"))
     return out
 
 
@@ -118,7 +122,7 @@ def _lowered(levels: list[DataFrame], tops: DataFrame, names: str) -> DataFrame:
     for low in reversed(levels[:-1]):
         own = "tree string, pos long" if low is not levels[0] else names
         blocks = low.groupBy("tree", F.shiftright("pos", STEP).alias("block"))
-        above = blocks.cogroup(above.groupBy("tree", "block")).applyInArrow(_paths([x.split()[0] for x in own.split(", ")]), f"{own}, subroot string, path {_PATH}")
+        above = blocks.cogroup(above.groupBy("tree", "block")).applyInArrow(_paths([x.split()[0] for x in own.split(", ")], STEP), f"{own}, subroot string, path {_PATH}")
         if low is not levels[0]:
             above = keep(above.withColumnRenamed("pos", "block"), "merkle-paths")
     if len(levels) == 1:
