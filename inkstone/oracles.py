@@ -257,3 +257,76 @@ ORACLES: dict[str, str] = {
 }
 ORACLES |= {f"sql_{name}": ORACLES[of] for name, of in {"sections": "sections", "blocks": "blocks", "recursive_split": "recursive_split", "linearized": "html_linearize", "chunks": "chunk_sections"}.items()}
 ORACLES["sql_table_cells"] = f"WITH {_HTML_CELLS}, {_TOLD} SELECT p_partkey, i AS row_no, j AS column_no, v AS value, kind AS table_type FROM cells JOIN kinds USING (p_partkey)"
+
+# The flagship: tables of the Markdown input as sentences, blocks, cuts at separators, packing, overlap and merging, each as a fold over a list.
+_SEPARATORS = "['" + "', '".join(["\\n\\n", "\\n", "。", "！", "？", "；", ".", "!", "?", ";", "，", ",", " ", ""]).replace("\\n", "' || chr(10) || '") + "']"
+_HEADER_LINE = "regexp_matches(line, '^\\| a \\| b[0-9]+ \\|$')"
+_SPACES = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+_FLAT = lambda x: f"trim({x}, {_SPACES})"
+_LAST_SENTENCE = _SENT.format("acc[-1]").replace("lambda x:", "lambda y:").replace("trim(x,", "trim(y,").replace("x <> ''", "y <> ''") + "[-1]"
+
+
+#: The cut of text blocks (doc_id, section_idx, budget, b, kind, t) at separators, coarse ones first; the rows that are done are pieces, in order of b and pos.
+_CUTS = f"""rs AS (SELECT doc_id, section_idx, budget, b, []::BIGINT[] AS pos, t, 1::BIGINT AS k, kind <> 'text' AS done FROM b5 WHERE kind <> 'text' OR {_FLAT("t")} <> ''
+       UNION ALL
+       SELECT doc_id, section_idx, budget, b, list_append(pos, i), CASE WHEN long THEN t ELSE {_FLAT("t")} END, k, NOT long FROM (
+         SELECT doc_id, section_idx, budget, b, pos, i, runs[i].t AS t, runs[i].long AS long, k + 1 AS k FROM (
+           SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM (
+             SELECT doc_id, section_idx, budget, b, pos, k,
+                    list_reduce(list_transform(pieces, lambda p: [{{'t': p, 'long': len(p) >= budget AND k < 14}}]),
+                      lambda acc, x: CASE WHEN NOT acc[-1].long AND NOT x[1].long AND len(acc[-1].t) + len(x[1].t) <= budget
+                                          THEN list_append(acc[:-2], {{'t': acc[-1].t || x[1].t, 'long': false}}) ELSE list_concat(acc, x) END) AS runs
+             FROM (SELECT doc_id, section_idx, budget, b, pos, k, list_filter(CASE WHEN sep = '' THEN string_split(t, '') ELSE list_transform(string_split(t, sep), lambda p, j: CASE WHEN j = 1 THEN p ELSE sep || p END) END, lambda p: p <> '') AS pieces
+                   FROM (SELECT *, {_SEPARATORS}[k] AS sep FROM (
+                     SELECT doc_id, section_idx, budget, b, pos, t, list_filter(range(k, 15), lambda j: {_SEPARATORS}[j] = '' OR contains(t, {_SEPARATORS}[j]))[1] AS k FROM rs WHERE NOT done))) WHERE len(pieces) > 0)))
+       WHERE long OR {_FLAT("t")} <> '')"""
+
+
+def _chunks(longest: int, least: int) -> str:
+    join = "acc[-1].n + 2 + x[1].n"
+    close = f"""CASE WHEN len(acc) > 1 AND acc[-1].n < {least} AND acc[-2].k = acc[-1].k AND acc[-2].n + 2 + acc[-1].n <= {longest}
+                     THEN list_append(acc[:-3], {{'a': acc[-2].a, 'b': acc[-1].b, 'n': acc[-2].n + 2 + acc[-1].n, 'k': acc[-2].k}}) ELSE acc END"""
+    return f"""{_SECTIONS},
+sx AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS section_idx FROM pa),
+gt AS (SELECT *, coalesce(NOT in_fence AND {_HEADER_LINE} AND lead(line) OVER w = '|---|---|', false) AS is_table, lead(line, 2) OVER w AS l2 FROM gl WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+gd AS (SELECT *, coalesce(lag(is_table) OVER w, false) OR coalesce(lag(is_table, 2) OVER w, false) AS gone, regexp_extract(line, 'b([0-9]+)', 1) AS number, {_FLAT("regexp_extract(l2, '^\\| (.*) \\| [0-9]+ \\|$', 1)")} AS v
+       FROM gt WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+gr AS (SELECT doc_id, g, line_no, opens, in_fence, CASE WHEN is_table THEN '【表格转译】' || chr(10) || '- 【' || CASE WHEN v = '' THEN '' ELSE 'a:' || v || '，' END || 'b' || number || ':' || number || '】' || chr(10) || '【表格转译结束】' ELSE line END AS line
+       FROM gd WHERE NOT gone AND level = 0),
+bo AS (SELECT doc_id, g, trim(string_agg(line, chr(10) ORDER BY line_no), chr(10)) AS body FROM gr GROUP BY doc_id, g),
+ss AS (SELECT s.doc_id, s.section_idx, s.title, s.parent_title, s.path, {_FLAT("s.title")} AS head, coalesce(bo.body, '') AS body, sx.g
+       FROM sections s JOIN sx USING (doc_id, section_idx) LEFT JOIN bo ON bo.doc_id = s.doc_id AND bo.g = sx.g),
+sg AS (SELECT *, len(head) + CASE WHEN body = '' THEN 0 ELSE 2 + len(body) END > {longest} AS is_long, {longest} - len(head) - CASE WHEN {_FLAT("body")} = '' THEN 0 ELSE 2 END AS budget FROM ss),
+b1 AS (SELECT gr.*, sg.section_idx, sg.budget, CASE WHEN in_fence THEN 'fenced_code' WHEN regexp_matches(line, '^\\s*!\\[[^\\]]*\\]\\([^\\n]+\\)\\s*$') THEN 'image'
+              WHEN regexp_matches(line, '^\\s*\\[[^\\]]+\\]\\([^\\n]+\\)\\s*$') THEN 'link' ELSE 'text' END AS kind FROM gr JOIN sg USING (doc_id, g) WHERE is_long),
+b2 AS (SELECT *, CASE WHEN lag(kind) OVER w IS DISTINCT FROM kind OR kind IN ('image', 'link') OR opens THEN 1 ELSE 0 END AS new FROM b1 WINDOW w AS (PARTITION BY doc_id, g ORDER BY line_no)),
+b3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, g ORDER BY line_no) AS b FROM b2),
+b4 AS (SELECT doc_id, section_idx, budget, b, min(kind) AS kind, string_agg(line, chr(10) ORDER BY line_no) AS t, b = max(b) OVER (PARTITION BY doc_id, section_idx) AS last FROM b3 GROUP BY doc_id, section_idx, budget, b),
+b5 AS (SELECT doc_id, section_idx, budget, b, kind, CASE WHEN kind = 'text' THEN trim(t, chr(10)) WHEN last THEN rtrim(t, chr(10)) ELSE t END AS t FROM b4),
+{_CUTS},
+pk AS (SELECT doc_id, section_idx, any_value(budget) AS budget, list([trim(t, chr(10))] ORDER BY b, pos) AS pieces FROM rs WHERE done AND {_FLAT("t")} <> '' GROUP BY doc_id, section_idx),
+pp AS (SELECT doc_id, section_idx, budget, list_reduce(pieces, lambda acc, x: CASE WHEN len(acc[-1]) + 2 + len(x[1]) <= budget THEN list_append(acc[:-2], acc[-1] || chr(10) || chr(10) || x[1]) ELSE list_concat(acc, x) END) AS parts FROM pk),
+po AS (SELECT doc_id, section_idx, list_reduce(list_transform(parts, lambda p: [p]), lambda acc, x: CASE WHEN len(x[1]) <= budget AND len({_LAST_SENTENCE}) + 1 + len(x[1]) <= budget
+              THEN list_append(acc, {_LAST_SENTENCE} || chr(10) || x[1]) ELSE list_concat(acc, x) END) AS parts FROM pp),
+dr AS (SELECT doc_id, section_idx, 0 AS part, body FROM sg WHERE NOT is_long UNION ALL SELECT doc_id, section_idx, part, parts[part] FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS part FROM po)),
+dn AS (SELECT d.doc_id, d.section_idx, title, parent_title, path, trim(d.body, chr(10)) AS body, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.section_idx, part) AS i,
+              head || CASE WHEN trim(d.body, chr(10)) = '' THEN '' ELSE CASE WHEN head = '' THEN '' ELSE chr(10) || chr(10) END || trim(d.body, chr(10)) END AS content FROM dr d JOIN ss s ON s.doc_id = d.doc_id AND s.section_idx = d.section_idx),
+ng AS (SELECT doc_id, list_reduce(list([{{'a': i, 'b': i, 'n': len(content), 'k': path[1]}}] ORDER BY i), lambda acc, x: CASE WHEN acc[-1].n < {least} AND acc[-1].k = x[1].k AND {join} <= {longest}
+              THEN list_append(acc[:-2], {{'a': acc[-1].a, 'b': x[1].b, 'n': {join}, 'k': acc[-1].k}}) ELSE list_concat({close}, x) END) AS acc FROM dn GROUP BY doc_id),
+nc AS (SELECT doc_id, {close} AS acc FROM ng),
+gp AS (SELECT doc_id, c - 1 AS chunk_index, acc[c].a AS a, acc[c].b AS z FROM (SELECT *, unnest(range(1, len(acc) + 1)) AS c FROM nc)),
+chunks AS (SELECT gp.doc_id, chunk_index, min_by(title, i) AS title, min_by(parent_title, i) AS parent_title,
+              list_reduce(list(path ORDER BY i), lambda acc, p: acc[:coalesce(nullif(list_position(list_transform(range(1, least(len(acc), len(p)) + 1), lambda j: acc[j] <> p[j]), true), 0) - 1, least(len(acc), len(p)))]) AS path,
+              list(title ORDER BY i) AS titles, list(section_idx ORDER BY i) AS indexes, string_agg(CASE WHEN {_FLAT("body")} <> '' THEN body END, chr(10) || chr(10) ORDER BY i) AS body, string_agg(content, chr(10) || chr(10) ORDER BY i) AS content
+           FROM gp JOIN dn ON dn.doc_id = gp.doc_id AND dn.i BETWEEN a AND z GROUP BY gp.doc_id, chunk_index)"""
+
+
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+ORACLES["chunks"] = f"""{_chunks(600, 150)}
+    SELECT doc_id, chunk_index, 'doc' || doc_id AS file_title, title, parent_title, array_to_string(path, ' > ') AS heading_path, array_to_string({_DISTINCT.format("titles")}, ' > ') AS source_titles,
+           array_to_string({_DISTINCT.format("indexes")}, ',') AS source_section_indexes, coalesce(body, '') AS body, content, len(content) AS char_count, '/in/' || source || '/doc' || doc_id || '.md' AS source_path
+    FROM chunks JOIN documents USING (doc_id)"""
+ORACLES["split_stats"] = f"""{_chunks(600, 150)}
+    SELECT doc_id, count(*) AS n_chunks, sum(len(content))::BIGINT AS n_chars, len(list_distinct(flatten(list(indexes)))) AS n_sections, min(len(content)) AS min_chars, max(len(content)) AS max_chars FROM chunks GROUP BY doc_id"""
+ORACLES["recursive_pieces"] = f"""WITH RECURSIVE b5 AS (SELECT doc_id, 0 AS section_idx, 120 AS budget, 0 AS b, 'text' AS kind, text AS t FROM documents), {_CUTS}
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS piece_no, t AS piece FROM rs WHERE done"""

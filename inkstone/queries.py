@@ -352,6 +352,13 @@ def recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", (F.array_max(F.transform("p", F.length)) <= 120).alias("within"), F.md5(F.regexp_replace(F.array_join("p", ""), r"(?U)\s", "").cast("binary")).alias("digest"))
 
 
+@query
+def recursive_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves."""
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(C.recursive_split("text", F.lit(120))).alias("piece_no", "piece"))
+    return s.select("doc_id", _n("piece_no"), "piece")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     piece = F.expr("transform(split(text, chr(10)), (x, i) -> named_struct('text', x, 'atomic', (doc_id + i) % 3 = 0))")
     return table(spark, d, "documents").select("doc_id", piece.alias("pieces"))
