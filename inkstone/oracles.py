@@ -66,7 +66,7 @@ state AS (SELECT id, {_PATH} AS md_path, md,
   CASE doc_id % 4 WHEN 0 THEN 'title ' || doc_id END AS given, CASE WHEN doc_id % 6 = 0 THEN '/out' END AS dir FROM cases)"""
 _TITLE = f"coalesce(given, import_stem, nullif({_strip(_stem(_strip('md_path')))}, ''))"
 
-_NATION = "SELECT *, [' host:9000/ ', 'http://host:9000', 'HTTPS://host', 'ftp://host', 'http://', 'http://host/path', 'https://host/?q', ''][n_nationkey % 8 + 1] AS e FROM nation"
+_PAGES = """p AS (SELECT page_id, url, page_id % 6 AS k, len(html) % 2 = 0 AS even, string_split(url, '://')[1] AS scheme, string_split(string_split(url, '://')[2], '/')[1] AS host FROM pages)"""
 _IMAGES = "three AS (SELECT doc_id, unnest([0, 1, 7]) AS k FROM documents)"
 _REFS = f"""WITH {_MD}, rf AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '!\\[([^\\]\\n]*)\\]\\(\\s*([^)\\n]+?)\\s*\\)', 1)) AS alt,
   unnest(regexp_extract_all(line, '!\\[([^\\]\\n]*)\\]\\(\\s*([^)\\n]+?)\\s*\\)', 2)) AS dest FROM ln)"""
@@ -115,8 +115,10 @@ _MARKED = "CASE WHEN text = '' THEN raw ELSE '【表格转译】' || chr(10) ||
 
 _SENT = "list_filter(list_transform(regexp_extract_all({0}, '[^。！？；.!?;]+[。！？；.!?;]?'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
 
-_TARGETS = """[ 'images/a b.png', '<my img/A.PNG> "t"', 'http://h/x.png', 'dir\\B.jpg ''title''', 'data:image/png;base64,xx', '<broken', './%E5%9B%BE.png?x#y', 'C+D.gif']"""
-_DEST = "['images/a', 'my img/A.PNG', 'http://h/x.png', 'dir\\B.jpg', 'data:image/png;base64,xx', NULL, './%E5%9B%BE.png?x#y', 'C+D.gif'][n_nationkey % 8 + 1]"
+# What the targets made of addresses are once titles and brackets are gone.
+_DEST = """d AS (SELECT page_id, page_id % 8 AS k, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN path || ' x.PNG' WHEN 2 THEN path || '.png' WHEN 3 THEN 'dir\\' || page_id || '.JPG' WHEN 4 THEN 'data:image/png;base64,' || printf('%X', page_id)
+  WHEN 6 THEN './%E5%9B%BE' || page_id || '.png?x#y' WHEN 7 THEN 'C+' || host || '.gif' END AS t
+  FROM (SELECT page_id, url, string_split(string_split(url, '://')[2], '/')[1] AS host, substr(string_split(url, '://')[2], 2 + len(string_split(string_split(url, '://')[2], '/')[1])) AS path FROM pages))"""
 
 _GIVEN = ["'doc' || doc_id", *(f"coalesce(nullif({c}, ''), '未提供')" for c in ("heading", "pre_text", "post_text"))]
 _PROMPT = " || ".join([*(f"'{head}' || {value}" for head, value in zip(PROMPT, _GIVEN, strict=False)), f"'{PROMPT[-1]}'"])
@@ -151,11 +153,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, md5(t) AS digest, len(t) AS n_chars, t IS NULL AND NOT none AS is_bad FROM t""",
     "resolve_title": f"WITH {_STATE} SELECT id AS doc_id, {_TITLE} AS file_title FROM state",
     "resolve_dir": f"""WITH {_STATE} SELECT id AS doc_id, coalesce(dir, CASE WHEN md_path LIKE '%/%' THEN regexp_extract({_strip('md_path')}, '^(.*)/[^/]*$', 1) WHEN md_path IS NOT NULL THEN '.' END) AS file_dir FROM state""",
-    "env_bool": "SELECT n_nationkey, n_nationkey % 8 < 4 AS is_true FROM nation",
-    "base_url": f"""WITH n AS ({_NATION}) SELECT n_nationkey, CASE WHEN rtrim(trim(e), '/') LIKE 'http://%' OR rtrim(trim(e), '/') LIKE 'https://%' THEN rtrim(trim(e), '/')
-        ELSE CASE WHEN n_regionkey % 2 = 0 THEN 'https://' ELSE 'http://' END || rtrim(trim(e), '/') END AS base_url FROM n""",
-    "endpoint_parse": """SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 'host:9000' WHEN 1 THEN 'host:9000' WHEN 2 THEN 'host' END AS host,
-        CASE n_nationkey % 8 WHEN 0 THEN n_regionkey % 2 = 0 WHEN 1 THEN false WHEN 2 THEN true END AS secure, n_nationkey % 8 < 3 AS is_valid FROM nation""",
+    "env_bool": """SELECT doc_id, len(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda w: lower(w) IN ('1', 'true', 'yes', 'on'))) AS n_true FROM documents""",
+    "base_url": f"""WITH {_PAGES} SELECT page_id, CASE k WHEN 1 THEN scheme || '://' || host WHEN 3 THEN rtrim(url, '/') ELSE CASE WHEN even THEN 'https://' ELSE 'http://' END ||
+        CASE k WHEN 0 THEN host || ':9000' WHEN 2 THEN upper(scheme) || '://' || host WHEN 4 THEN rtrim(scheme || ':' || substr(url, len(scheme) + 4), '/') ELSE '' END END AS base_url FROM p""",
+    "endpoint_parse": f"""WITH {_PAGES}, v AS (SELECT *, k IN (0, 1, 2, 4) OR (k = 3 AND url = scheme || '://' || host) AS ok FROM p)
+        SELECT page_id, CASE WHEN ok THEN CASE k WHEN 0 THEN host || ':9000' WHEN 4 THEN rtrim(scheme || ':' || substr(url, len(scheme) + 4), '/') ELSE host END END AS host,
+               CASE WHEN ok THEN CASE WHEN k IN (0, 4) THEN even ELSE scheme = 'https' END END AS secure, ok AS is_valid FROM v""",
     "output_name": "SELECT doc_id, '/in/v1.2/doc' || doc_id || CASE doc_id % 3 WHEN 1 THEN '_NEW' ELSE '_new' END || '.md' AS new_path FROM documents",
     "explode_lines": f"WITH {_MD} SELECT doc_id, line_no, line FROM ln",
     "fence_open": f"WITH {_MD} SELECT doc_id, line_no, regexp_extract(line, {_FENCE}, 1) AS marker FROM ln WHERE regexp_matches(line, '^ {{0,3}}(`{{3,}}[^`]*|~{{3,}}.*)$')",
@@ -234,12 +237,13 @@ ORACLES: dict[str, str] = {
     "common_path": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a > b' || doc_id % 2 || ' > c0 > d' WHEN 1 THEN 'a > b' || doc_id % 2 || CASE WHEN doc_id % 5 = 0 THEN ' > c0' ELSE '' END
         ELSE 'a > b' || doc_id % 2 END AS common FROM documents""",
     "image_refs": f"{_REFS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, alt) - 1 AS ref_no, alt, dest AS raw_destination FROM rf",
-    "image_dest": f"SELECT n_nationkey, {_DEST} AS destination FROM nation",
-    "image_basename": "SELECT n_nationkey, ['a', 'a.png', 'x.png', 'b.jpg', 'png;base64,xx', NULL, '图.png', 'c+d.gif'][n_nationkey % 8 + 1] AS image_key FROM nation",
+    "image_dest": f"WITH {_DEST} SELECT page_id, t AS destination FROM d",
+    "image_basename": f"""WITH {_DEST} SELECT page_id, CASE WHEN k IN (0, 1, 2) THEN lower(string_split(rtrim(string_split(string_split(t, '?')[1], '#')[1], '/'), '/')[-1]) WHEN k = 3 THEN page_id || '.jpg' WHEN k = 4 THEN lower(string_split(t, '/')[-1])
+        WHEN k = 6 THEN '图' || page_id || '.png' WHEN k = 7 THEN lower(t) END AS image_key FROM d""",
     "url_authority": """WITH t AS (SELECT page_id, url, page_id % 9 AS k, string_split(string_split(url, '://')[2], '/')[1] AS host FROM pages)
         SELECT page_id, CASE k WHEN 1 THEN true WHEN 2 THEN true WHEN 4 THEN len(printf('%x', page_id)) > 4 WHEN 5 THEN true WHEN 6 THEN page_id % 2 = 1
                              ELSE k IN (0, 7) AND host SIMILAR TO '.*[\\[\\]].*' END AS is_bad FROM t""",
-    "local_refs": "SELECT n_nationkey, n_nationkey % 8 NOT IN (2, 4, 5) AS is_local FROM nation",
+    "local_refs": "SELECT page_id, page_id % 8 NOT IN (0, 4, 5) AS is_local FROM pages",
     "image_join": f"{_REFS}, {_IMAGES} SELECT doc_id, k || '.PNG' AS image_name FROM three t WHERE EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = t.doc_id AND rf.dest = 'images/' || t.k || '.png')",
     "unreferenced_images": f"{_REFS}, {_IMAGES} SELECT doc_id, k || '.PNG' AS image_name FROM three t WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = t.doc_id AND rf.dest = 'images/' || t.k || '.png')",
     "first_ref": f"{_REFS} SELECT doc_id, regexp_extract(dest, '([^/]*)$', 1) AS image_key, min(line_no) AS line_no FROM rf GROUP BY ALL",

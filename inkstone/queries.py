@@ -181,22 +181,25 @@ def resolve_dir(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def env_bool(spark: SparkSession, d: str) -> DataFrame:
-    value = F.expr("element_at(array('1', ' TRUE ', 'Yes', 'on', '0', 'off', '', 'y'), cast(n_nationkey % 8 + 1 as int))")
-    return table(spark, d, "nation").select("n_nationkey", T.true_word(value).alias("is_true"))
+    """Words of the texts, with blanks around some, as configuration values: how many mean true."""
+    words = F.transform(F.split("text", r"[^A-Za-z0-9]+"), lambda w, i: F.when(i % 3 == 0, F.concat(F.lit(" "), F.upper(w), F.lit("\t"))).otherwise(w))
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(words, T.true_word)).cast("long").alias("n_true"))
 
 
-_ENDPOINT = "element_at(array(' host:9000/ ', 'http://host:9000', 'HTTPS://host', 'ftp://host', 'http://', 'http://host/path', 'https://host/?q', ''), cast(n_nationkey % 8 + 1 as int))"
+#: Endpoints made of the pages' addresses: a host with a port, a host with its scheme in either case, a whole address, a path, nothing.
+_ENDPOINT = """case page_id % 6 when 0 then ' ' || regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ':9000/ ' when 1 then regexp_extract(url, '^([a-z]+://[^/]+)', 1) when 2 then upper(regexp_extract(url, '^([a-z]+:)', 1)) || regexp_extract(url, '(//[^/]+)', 1) || '/'
+  when 3 then url when 4 then replace(url, '://', ':') else '' end"""
 
 
 @query
 def base_url(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", T.base_url(F.expr(_ENDPOINT), F.col("n_regionkey") % 2 == 0).alias("base_url"))
+    return table(spark, d, "pages").select("page_id", T.base_url(F.expr(_ENDPOINT), F.length("html") % 2 == 0).alias("base_url"))
 
 
 @query
 def endpoint_parse(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "nation").select("n_nationkey", T.endpoint(F.expr(_ENDPOINT), F.col("n_regionkey") % 2 == 0).alias("e"))
-    return e.select("n_nationkey", F.when(F.col("e.valid"), F.col("e.host")).alias("host"), F.when(F.col("e.valid"), F.col("e.secure")).alias("secure"), F.col("e.valid").alias("is_valid"))
+    e = table(spark, d, "pages").select("page_id", T.endpoint(F.expr(_ENDPOINT), F.length("html") % 2 == 0).alias("e"))
+    return e.select("page_id", F.when(F.col("e.valid"), F.col("e.host")).alias("host"), F.when(F.col("e.valid"), F.col("e.secure")).alias("secure"), F.col("e.valid").alias("is_valid"))
 
 
 @query
@@ -397,18 +400,19 @@ def image_refs(spark: SparkSession, d: str) -> DataFrame:
     return I.references(inputs.markdown(spark, d)).select("doc_id", _n("ref_no"), "alt", "raw_destination")
 
 
-_TARGETS = ("images/a b.png", "<my img/A.PNG> \"t\"", "http://h/x.png", "dir\\\\B.jpg 'title'", "data:image/png;base64,xx", "<broken", "./%E5%9B%BE.png?x#y", "C+D.gif")
-_TARGET = "element_at(array(" + ", ".join("'" + t.replace("'", "''").replace("''", "\\'") + "'" for t in _TARGETS) + "), cast(n_nationkey % 8 + 1 as int))"
+#: Targets of image references made of the pages' addresses: remote, in brackets, with a title, with backslashes, data, a broken bracket, escapes.
+_TARGET = """case page_id % 8 when 0 then url when 1 then '<' || regexp_replace(url, '^[a-z]+://[^/]+/', '') || ' x.PNG> "t"' when 2 then regexp_replace(url, '^[a-z]+://[^/]+/', '') || '.png "title"' when 3 then 'dir\\\\' || page_id || '.JPG'
+  when 4 then 'data:image/png;base64,' || hex(page_id) when 5 then '<' || url when 6 then './%E5%9B%BE' || page_id || '.png?x#y' else 'C+' || regexp_extract(url, '//([^/]+)', 1) || '.gif' end"""
 
 
 @query
 def image_dest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", I.destination(F.expr(_TARGET)).alias("destination"))
+    return table(spark, d, "pages").select("page_id", I.destination(F.expr(_TARGET)).alias("destination"))
 
 
 @query
 def image_basename(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", I.basename(I.destination(F.expr(_TARGET))).alias("image_key"))
+    return table(spark, d, "pages").select("page_id", I.basename(I.destination(F.expr(_TARGET))).alias("image_key"))
 
 
 _AUTHORITY = """case page_id % 9 when 0 then url when 1 then replace(url, '://', '://[') when 2 then replace(url, '://', '://u[') || ']' when 3 then '//[v1.' || page_id || ']/' || page_id
@@ -423,7 +427,7 @@ def url_authority(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def local_refs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", I.is_local(I.destination(F.expr(_TARGET))).alias("is_local"))
+    return table(spark, d, "pages").select("page_id", I.is_local(I.destination(F.expr(_TARGET))).alias("is_local"))
 
 
 @query
