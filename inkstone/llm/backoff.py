@@ -275,7 +275,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     n_bigrams is the number of words scored by a bigram. Words are runs of other than ASCII white space. A null
     or empty text has no words and a null score; repeated rows count each time in the model and get equal scores;
-    no rows give no rows; other columns are ignored.
+    texts of any length count whole; no rows give no rows; other columns are ignored.
     """
     text = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lm-documents")
     size = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -149,7 +149,8 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: list[str] | None
     """The secrets of every row of docs (doc_id, text), through the ledger (a fresh one if none is given).
 
     doc_id is a path, its rows are versions of it. A null text is an empty blob without findings; copies and repeated
-    rows get the same findings each; a null doc_id is a path like others; no rows give no rows; other columns are ignored.
+    rows get the same findings each; a null doc_id is a path like others; texts of any length are scanned whole; spans that start at one place come in the order of their kinds;
+    no rows give no rows; other columns are ignored.
     """
     ledger = ledger or Ledger(docs.sparkSession)
     at = keep(versions(docs), "versions")

@@ -182,7 +182,8 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     A null or empty text has no words and fails the base rules. Repeated rows are judged alike and counted
     each time. A document labelled more than once is trusted if one label says so. Without trusted documents all
-    scores are 0, so only the base rules decide. No rows give no rows; other columns are ignored.
+    scores are 0, so only the base rules decide. Texts of any length are counted and scored whole; a score at the threshold is kept. No rows give no
+    rows; other columns are ignored.
     """
     weight = docs.sparkSession.sparkContext.broadcast(weights(docs, labels))  # BUCKETS numbers
 

@@ -140,7 +140,8 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
 
     A null text has no words; a null source is a source of its own, last in order; repeated rows are
     rounded one by one; no rows give no rows; other columns are ignored. taken is copies * size, at most
-    most * size. The same rows give the same result, in whatever order or files they come.
+    most * size. A text of any length counts all its words; rows that are equal are interchangeable.
+    The same rows give the same result, in whatever order or files they come.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.col("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "mix-rows")
@@ -183,7 +184,7 @@ def taken(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
 
     The copies of rows with one doc_id, text and source are summed and dealt out to them in turn. A null or empty text has
     no words and is taken as often as its source's share says, rounded down; a null doc_id is an id, a null source a source
-    like others; no rows give no rows; columns of docs may have any names.
+    like others; texts of any length count whole; equal rows are one document to which its copies are dealt; no rows give no rows; columns of docs may have any names.
     """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):

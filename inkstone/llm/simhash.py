@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null text and one without words have fingerprint zero and are linked like others; repeated rows are
     copies of each other; a null doc_id is never the smallest unless there is no other; no rows give no
-    rows; other columns are ignored.
+    rows; other columns are ignored. All shingles of a text of any length vote; a bit with as many votes for as against it is 0.
     """
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -210,7 +210,7 @@ def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = gro
     groups gives doc_id, tag and root (the group) of every row, by 4 bits of the fingerprint unless another is given. Of
     rows with one doc_id and text one stays; rows without a doc_id are members of groups like others and stay only where no
     member has one; null and empty texts are one group; no rows give no rows; columns of docs may have any names.
-    Which rows stay is decided on ids and hashes; texts take part in one join.
+    Which rows stay is decided on ids and hashes, ties by the least hash; texts, of any length, take part in one join.
     """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):

@@ -272,7 +272,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs (doc_id, text), benchmark (item_id, text). Where an item occurs more than once, its best (then
     first) window is given. A null or empty text holds nothing; items of fewer than LEAST_WORDS words must occur
     exactly; items without words or with a null text match nothing; repeated rows of docs are reported each, repeated
-    items once; a null doc_id or item_id is reported as such; no rows give no rows; other columns are ignored.
+    items once; a null doc_id or item_id is reported as such; no rows give no rows; other columns are ignored. Texts of any length are searched whole.
     """
     found, rows = _found(docs, benchmark)
     each = found.join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("tag") == F.col("row_tag"))).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
@@ -284,7 +284,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEA
 
     Shorter items are names and phrases that clean documents hold as well; overlaps() reports them. A null or empty
     text is clean; repeated rows, and rows with one doc_id and text, stay or go together; a null doc_id is an id like
-    others; no rows give no rows; columns of docs may have any names.
+    others; texts of any length are searched whole; no rows give no rows; columns of docs may have any names.
     """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):

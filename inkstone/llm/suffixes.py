@@ -536,7 +536,8 @@ def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Earlier means a smaller doc_id, or an earlier start in the same document. A null text is empty; a null
     doc_id comes after all others; rows with one doc_id come in the order of a hash of their texts, and rows with one
     doc_id and one text are one document and get the same result; texts under 100 bytes keep every byte; no rows
-    give no rows; other columns are ignored. kept_text replaces bytes of characters that were cut.
+    give no rows; other columns are ignored. Texts of any length are read whole.
+    kept_text replaces bytes of characters that were cut.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("tag"))
