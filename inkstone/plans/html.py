@@ -54,6 +54,9 @@ class Cell:
 
 def _end_of_tag(html: str, at: int, no_more: set[str]) -> int:
     """The place after the > that ends a tag, outside quotes; -1 if there is none. no_more: quotes that don't occur any more."""
+    end = html.find(">", at)
+    if end < 0 or not (html.find('"', at, end) >= 0 or html.find("'", at, end) >= 0):
+        return end + 1 if end >= 0 else -1
     while stop := _STOP.search(html, at):
         at = stop.end()
         if stop[0] == ">":
@@ -89,7 +92,7 @@ def tags(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield "close", name[1:], {}
                 continue
             inside = html[tag.end() : end - 1]
-            yield "open", name, {k.lower(): unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(inside)}
+            yield "open", name, {k.lower(): unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(inside)} if inside else {}
             if inside.endswith("/"):
                 yield "close", name, {}
             elif name in NO_TEXT:
