@@ -217,7 +217,7 @@ def _sets(asked):
                 every, offs = shingle_sets(texts)
                 ids = _set_ids(every, offs)
                 new = [i for i, x in enumerate(ids.tolist()) if x not in seen and not seen.add(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[new].view(np.int64)), pa.array([every[offs[i] : offs[i + 1]].tobytes() for i in new], pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[new].view(np.int64)), pa.array([every[offs[i] : offs[i + 1]].view(np.int64) for i in new], pa.list_(pa.int64()))], ["id", "hashes"])
 
     return run
 
@@ -232,20 +232,9 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(differ <= a + b - 2 * needed(a, b))).select(["a", "b"])
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """How many hashes two sorted sets share."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int(np.count_nonzero(both[1:] == both[:-1]))
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            near.append(shared(a, b) >= needed(len(a), len(b)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+def _linked(x: str, y: str) -> Column:
+    """Whether two sets (columns of arrays) are linked; compared on the JVM, so that no batch of sets is made for Python."""
+    return (LEAST + OF) * F.size(F.array_intersect(x, y)) >= LEAST * (F.size(x) + F.size(y))
 
 
 class _Judge:
@@ -266,9 +255,9 @@ class _Judge:
         asked = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "prefix-asked")
         tags = keep(self.described.filter("prefix is not null").join(asked, "id", "left_semi").select("tag").distinct(), "prefix-tags")
         wanted = self.texts.sparkSession.sparkContext.broadcast(key_filter(tags, "tag"))
-        sets = keep(self.texts.select("tag", "text").mapInArrow(_sets(wanted), "id long, hashes binary").join(asked, "id", "left_semi").dropDuplicates(["id"]), "prefix-sets")
+        sets = keep(self.texts.select("tag", "text").mapInArrow(_sets(wanted), "id long, hashes array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"]), "prefix-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-        judged = keep(both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long, near boolean"), "prefix-judged")
+        judged = keep(both.select("a", "b", _linked("x", "y").alias("near")), "prefix-judged")
         for x in (pairs, asked, tags, sets):
             drop(x)
         self.before = judged.select("a", "b") if self.before is None else self.before.union(judged.select("a", "b"))
