@@ -40,7 +40,7 @@ LENGTH, GRAM, LEAD = 100, 32, 16
 #: Text bytes that are sorted together before they are sent on; text bytes behind one bucket of runs, and of documents.
 PACK_BYTES, SORT_BYTES, TEXT_BYTES = 4 << 20, 4 << 20, 32 << 20
 #: Suffixes that are sorted at a time, but for those of one anchor at one distance.
-SORT_SUFFIXES = 1 << 19
+SORT_SUFFIXES = 1 << 18
 #: Ranges of leading bytes at most, and text bytes of the documents that are sampled for their boundaries, about.
 RANGES, SAMPLE_BYTES = 4096, 16 << 20
 

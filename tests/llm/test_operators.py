@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from inkstone.llm import backoff, ledger, llr, mixing, sharding, simhash, spaced, suffixes, toxic, warc
-from inkstone.llm.batch import slices
+from inkstone.llm.batch import Texts, slices
 from inkstone.llm.components import components
 
 # columns that operators use inside themselves must not disturb them
@@ -312,6 +313,24 @@ def test_multikey_sorts_like_bytes():
     assert [len(x) for x in suffixes.multikey(data, np.zeros(0, np.int64), 100)] == [0, 0]
 
 
+def test_a_bucket_of_copies_is_sorted_in_little_memory():
+    """Four copies of 1 MB with a byte changed now and then: all suffixes without one repeat, sorted in bounded working sets."""
+    one = np.random.default_rng(3).integers(97, 123, 1 << 20, dtype=np.uint8)
+    copies = [one.copy() for _ in range(4)]
+    for c in (1, 2, 3):
+        copies[c][c * 40 :: 160] = 48 + c
+    found = [suffixes.anchored(Texts(x, np.array([0, len(x)]))) for x in copies]
+    doc, start, more, anchor = (np.concatenate(x) for x in ([np.full(len(f[2]), c) for c, f in enumerate(found)], *([f[k] for f in found] for k in (2, 3, 4))))
+    data = np.append(np.concatenate(copies), np.zeros(8, np.uint8))
+    tracemalloc.start()
+    run, low, further = suffixes.repeats_by_anchor(data, start + doc * len(one), more, anchor, doc, start)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    changed = [np.concatenate(([0], np.cumsum(np.isin(x, [49, 50, 51])))) for x in copies]
+    assert (further + 1).sum() == sum(int((x[100:] == x[:-100]).sum()) for x in changed[1:])
+    assert peak < 36 << 20  # 51 MB when half a million suffixes were sorted at a time
+
+
 def test_repeats_in_small_groups_and_of_common_anchors(spark, monkeypatch):
     """Buckets of a few suffixes, ranges cut by hash, and first words that all documents share, each behind other bytes."""
     rng = random.Random(13)
