@@ -472,6 +472,25 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxic.scored(docs, spark.createDataFrame([], LABELS)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A telling word that stands only in rows after the first 6000, in order of the hash of their ids."""
+    ids = [r.id for r in spark.range(9600).filter("crc32(cast(string(id) as binary)) % 3 <> 1").orderBy(F.xxhash64("id"), "id").collect()]
+    late, early = set(ids[6000:]), set(ids[:6000])
+    assert len(late) > 200
+    rng, rows, labels, asked = random.Random(9), [], [], set()
+    for i in range(9600):
+        text = words(rng, 8)
+        if i in late and len(labels) % 2 or (i not in late and i not in early and i % 20 == 0):
+            text += " Gruesome"
+            asked |= {i} if i not in late else set()
+        elif i % 10 == 3:
+            text += " vile"
+        rows.append((i, text, "en"))
+        labels.append((i, 1, int("Gruesome" in text or "vile" in text)))
+    got = toxic.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, LABELS)).filter(F.col("doc_id").isin(list(asked))).collect()
+    assert len(got) == len(asked) > 100 and sum(r.predicted for r in got) > 0.95 * len(asked)
+
+
 def made(rng, n=12):
     """A few samples as buckets() makes them, with parameters in double precision."""
     texts = [words(rng, rng.randrange(1, 9)) + " Vile" * (i % 3 == 0) for i in range(n)] + ["one"]
