@@ -17,7 +17,7 @@ Lists with the same sets are one list.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -336,33 +336,41 @@ def _within(lists: DataFrame, traits: DataFrame, most: int | None) -> DataFrame:
     return joined.groupBy(*keys).applyInArrow(_pairs_of(most), "a long, b long").distinct()
 
 
-def _roots(described: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, root of every set that is linked to another one."""
-    lists = _lists(described)
+def _roots(described: DataFrame, texts: DataFrame, near: DataFrame | None) -> DataFrame:
+    """id, root of every set that is linked to another one; pairs (a, b) of near are compared first."""
+    every = lists = _lists(described)
     judge = _Judge(described, texts)
+    roots = described.sparkSession.createDataFrame([], "id long, root long")
+    if near is not None:
+        # what these links connect needs no list
+        roots = _merged(roots, judge.links(near))
+        lists = _apart(every, roots).drop("root", "many")
     weight = lists.join(lists.groupBy("token").agg(F.count("*").alias("many")), "token").groupBy("id").agg(F.sum("many").alias("weight"))
     weighed = keep(lists.join(weight, "id"), "prefix-weighed")
     lead = weighed.groupBy("token").agg(F.max(F.struct("weight", "id", "n", "place")).alias("lead"))
-    near = F.expr(f"{LEAST + OF} * least(n - place, lead.n - lead.place) >= {LEAST} * (n + lead.n)")
-    star = weighed.join(lead, "token").filter(F.col("id") != F.col("lead.id")).filter(near).select(*_ordered(F.col("id"), F.col("lead.id"))).distinct()
-    roots = _merged(described.sparkSession.createDataFrame([], "id long, root long"), judge.links(star))
+    fits = F.expr(f"{LEAST + OF} * least(n - place, lead.n - lead.place) >= {LEAST} * (n + lead.n)")
+    star = weighed.join(lead, "token").filter(F.col("id") != F.col("lead.id")).filter(fits).select(*_ordered(F.col("id"), F.col("lead.id"))).distinct()
+    roots = _merged(roots, judge.links(star))
     drop(weighed)
     for most in (FIRST, None):
-        apart = _apart(lists, roots)
+        apart = _apart(every, roots)
         links = judge.links(keep(_within(apart, judge.traits, most), "prefix-within"))
         roots = _merged(roots, links)
         drop(apart)
-    drop(lists)
+    drop(every)
     drop(judge.traits)
     return roots
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (hash of the text), n (size of its set), root (the group) and component_id of every row of docs (doc_id, text); rows without words are one group."""
+def grouped(docs: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, tag (hash of the text), n (size of its set), root (the group) and component_id of every row of docs (doc_id, text); rows without words are one group.
+
+    near gives, of the rows' tag, id (of its set) and n, pairs (a, b) of sets by another method; they are compared first, and what they connect needs no further comparison.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     tally = docs.sparkSession.sparkContext.broadcast(tallies(texts))
     described = keep(texts.mapInArrow(_described(tally), "doc_id long, tag long, id long, n long, prefix binary, ranks binary, bits binary"), "prefix-described")
-    roots = _roots(described, texts)
+    roots = _roots(described, texts, near(described.select("tag", "id", "n")) if near else None)
     known = keep(described.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "prefix-known")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     member = keep(known.join(least, "root").select("id", "root", "component_id"), "prefix-components")

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prefixes
 from .batch import LOWER, slices
 from .components import components
 from .scratch import drop, keep
@@ -204,6 +205,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def candidates(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different sets (tag, id, n of each row's set of shingles) whose fingerprints are in one group: each with that of the least id."""
+    of = sets.filter("n > 0").select("tag", "id").distinct()
+    known = keep(grouped(docs).select("tag", F.col("root").alias("group")).distinct().join(of, "tag").select("group", "id").distinct(), "simhash-sets")
+    lead = known.groupBy("group").agg(F.min("id").alias("a"))
+    return keep(known.join(lead, "group").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "simhash-near")
+
+
+def alike(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, root (the group) of every row of docs (doc_id, text), as prefixes.grouped() has them: texts linked by a similarity of 0.8 at least.
+
+    Fingerprints are made, indexed by their variants and grouped first, and the similarity of what they bring together is checked on the whole sets. Links
+    that fingerprints don't show, being further apart, come from the similarity join, among what isn't connected yet.
+    """
+    return prefixes.grouped(docs, lambda sets: candidates(docs, sets))
+
+
 def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = grouped) -> DataFrame:
     """One row of docs, with all its columns, for each group: of the smallest doc_id, and of its rows that with the least hash of its text.
 

@@ -78,6 +78,34 @@ def test_stages(spark, tables):
     assert Counter((r.doc_id, r.size) for r in P.run(spark, tables).collect()) == Counter((r.doc_id, r.size) for r in out)
 
 
+def test_near_duplicates_go_by_fingerprints_first_and_lose_no_link(spark, monkeypatch):
+    """Some copies are within four bits of their fingerprints, others only similar; some texts within four bits aren't similar enough."""
+    import corpus_pipeline as P
+    from inkstone.llm import prefixes, simhash
+
+    rng = random.Random(12)
+    texts = []
+    for k in range(12):
+        text = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        texts.append(" ".join(text))
+        for changed in (1, 2, 4, 8, 12):
+            for i in rng.sample(range(400), changed):
+                text[i] = f"x{k}"
+            texts.append(" ".join(text))
+    # one line many times, after openings of their own: alike in its votes, not in its set of shingles
+    texts += [" ".join(f"{x}{i}" for i in range(30)) + " the same line again" * 300 for x in "pq"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    asked, links = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a: asked.append(a) or links(*a))
+    first, judged = [], prefixes._Judge.links
+    monkeypatch.setattr(prefixes._Judge, "links", lambda self, pairs: first.append({(r.a, r.b) for r in pairs.collect()}) or judged(self, pairs))
+    got = {r.doc_id for r in P.near_duplicates(spark, docs, "").collect()}
+    of = groups(texts)
+    assert got == {min(i for i, h in enumerate(of) if h == g) for g in of} and 14 <= len(got) < len(texts)
+    # what the index of fingerprints brings together is compared first, and the join still has pairs of its own
+    assert len(asked) == 1 and len(first[0]) >= 10 and any(p - first[0] for p in first[1:])
+
+
 NAMES = "doc_id long, text string, lang string, source string, n_chars long, tag long, root long, key string, part int, size long, `_` int, `_tag` int, item long, seed long, shard int, `_of` int, n int, turn int"
 
 
