@@ -6,7 +6,7 @@ by mistake when there are many; a join on the key must follow.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,10 @@ def _slots(key: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(key + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2, 3)]
 
 
-def _pieces(bits: int):
+def _pieces(bits: int, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.zeros(1 << (bits - 3), np.uint8)
-        for batch in batches:
+        for batch in made(batches) if made else batches:
             for at in _slots(np.asarray(batch.column("key")).view(np.uint64), bits):
                 np.bitwise_or.at(filled, at >> 3, (1 << (at & 7)).astype(np.uint8))
         pieces = filled.reshape(-1, 1 << (PIECE_BITS - 3))
@@ -45,12 +45,18 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"piece": pa.array(list(total), pa.int32()), "bits": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
 
-def key_filter(rows: DataFrame, column: str, about: int | None = None) -> np.ndarray:
-    """A filter that holds every value of a long column without nulls: 1 << MOST_BITS bits (32 MB) at most. about: the number of values, if known."""
+def key_filter(rows: DataFrame, column: str, about: int | None = None, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> np.ndarray:
+    """A filter that holds every value of a long column without nulls: 1 << MOST_BITS bits (32 MB) at most. about: the number of values, if known.
+
+    made makes keys (batches with a column key) of the column, if it isn't them, where the filter is filled: a task with two Python functions, one on the other, has two
+    workers, and an executor keeps as many for all that follows.
+    """
     keys = rows.select(F.col(column).alias("key"))
-    bits = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * (keys.count() if about is None else about)).bit_length()))
+    if about is None:
+        about = (keys.mapInArrow(made, "key long") if made else keys).count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * about).bit_length()))
     out = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
-    united = keys.mapInArrow(_pieces(bits), "piece int, bits binary").repartition("piece").mapInArrow(_united, "piece int, bits binary")
+    united = keys.mapInArrow(_pieces(bits, made), "piece int, bits binary").repartition("piece").mapInArrow(_united, "piece int, bits binary")
     for r in united.collect():  # at most the pieces of the filter
         out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()

@@ -415,9 +415,9 @@ def _doc_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 
 def _span_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A key of each document with repeats."""
+    """A key of each document with repeats, from packed rows."""
     for batch in batches:
-        for blob in batch.column("blob"):
+        for blob in batch.column("key"):
             *_, ids, tags = unpack(blob.as_py(), *_SPAN_KINDS)
             yield pa.RecordBatch.from_pydict({"key": pa.array(_doc_keys(np.cumsum(ids), tags).view(np.int64))})
 
@@ -546,7 +546,7 @@ def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     runs = rows_in.mapInArrow(_runs(plan, doc_parts), ROWS)
     spans = keep(runs.groupBy("part").applyInArrow(_sort(plan.parts, doc_parts), ROWS), "repeats")
     # documents without repeats, mostly by far, are finished where they are read; a filter of bounded size tells most of them
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(spans.select("blob").mapInArrow(_span_keys, "key long"), "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "blob", made=_span_keys))
     schema = _OUT + (", kept_text string" if with_text else "")
     packed = rows_in.mapInArrow(_texts(doc_parts, shared), ROWS)
     cut = packed.union(spans).groupBy("part").applyInArrow(_remove(with_text), schema)

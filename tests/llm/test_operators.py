@@ -300,6 +300,21 @@ def test_repeats_of_many_shapes(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == {k: v[:4] for k, v in want.items()}
 
 
+def test_the_filter_of_repeats_has_one_python_worker_a_task(spark, monkeypatch):
+    """Two Python functions on each other in one task would have two workers."""
+    docs, cls = spark.createDataFrame([(i, "0123456789" * (12 + i)) for i in range(9)], "doc_id long, text string"), type(spark.range(1))
+    real, on = cls.mapInArrow, []
+
+    def noted(self, *args, **more):
+        on.append(self._jdf.queryExecution().executedPlan().toString().split("Exchange")[0])
+        return real(self, *args, **more)
+
+    monkeypatch.setattr(cls, "mapInArrow", noted)
+    got = suffixes.repeats_removed(docs).collect()
+    assert sum(r.n_removed for r in got) > 900 and len(on) > 4
+    assert not [plan for plan in on if "InArrow" in plan]
+
+
 def test_multikey_sorts_like_bytes():
     rng = random.Random(12)
     raw = b"".join(rng.choice([b"ab", b"abc", b"x" * 30, b"\0", "é".encode(), b"0123456789" * 9]) for _ in range(900))
