@@ -16,13 +16,14 @@ from .scratch import drop, keep
 def components(links: DataFrame) -> DataFrame:
     """id, root for every id in links (a, b); root is the smallest id reachable. No links give no rows."""
     both = keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    most = both.count()
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels", most)
     while True:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         low = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        stepped = keep(low, "labels")
+        stepped = keep(low, "labels", most)
         up = stepped.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = keep(stepped.join(up, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels")
+        jumped = keep(stepped.join(up, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels", most)
         moved = jumped.filter("root < old").limit(1).count()
         drop(labels)
         drop(stepped)

@@ -197,10 +197,11 @@ def _lists(described: DataFrame) -> DataFrame:
     shared = keep(met, "prefix-shared")
     asked = described.sparkSession.sparkContext.broadcast(key_filter(shared, "token"))
     every = keep(sets.mapInArrow(_tokens(asked), _TOKENS).join(shared, "token", "left_semi").distinct(), "prefix-tokens")
+    many = every.count()
     members = every.groupBy("token", "rank").agg(F.count("*").alias("many"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mixed"))
     unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("unsigned")  # prefixes are in order of unsigned numbers
     kept = members.groupBy("many", "total", "mixed").agg(F.min(F.struct("rank", unsigned, "token")).alias("first")).select(F.col("first.token").alias("token"))
-    out = keep(every.join(kept, "token", "left_semi").drop("rank"), "prefix-lists")
+    out = keep(every.join(kept, "token", "left_semi").drop("rank"), "prefix-lists", many)
     drop(shared)
     drop(every)
     return out
@@ -241,8 +242,8 @@ class _Judge:
     """Decides on pairs of sets; each pair is compared once."""
 
     def __init__(self, described: DataFrame, texts: DataFrame):
-        self.described, self.texts = described, texts
-        self.traits = keep(described.filter("prefix is not null").select("id", "n", "bits").dropDuplicates(["id"]), "prefix-traits")
+        self.described, self.texts, self.rows = described, texts, described.count()
+        self.traits = keep(described.filter("prefix is not null").select("id", "n", "bits").dropDuplicates(["id"]), "prefix-traits", self.rows)
         self.before: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -252,12 +253,13 @@ class _Judge:
         one = self.traits.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
         other = self.traits.select(F.col("id").alias("b"), F.col("bits").alias("y"), "n")
         pairs = keep(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_plausible, "a long, b long"), "prefix-pairs")
-        asked = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "prefix-asked")
-        tags = keep(self.described.filter("prefix is not null").join(asked, "id", "left_semi").select("tag").distinct(), "prefix-tags")
+        many = pairs.count()
+        asked = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "prefix-asked", 2 * many)
+        tags = keep(self.described.filter("prefix is not null").join(asked, "id", "left_semi").select("tag").distinct(), "prefix-tags", self.rows)
         wanted = self.texts.sparkSession.sparkContext.broadcast(key_filter(tags, "tag"))
-        sets = keep(self.texts.select("tag", "text").mapInArrow(_sets(wanted), "id long, hashes array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"]), "prefix-sets")
+        sets = keep(self.texts.select("tag", "text").mapInArrow(_sets(wanted), "id long, hashes array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"]), "prefix-sets", 2 * many)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-        judged = keep(both.select("a", "b", _linked("x", "y").alias("near")), "prefix-judged")
+        judged = keep(both.select("a", "b", _linked("x", "y").alias("near")), "prefix-judged", many)
         for x in (pairs, asked, tags, sets):
             drop(x)
         self.before = judged.select("a", "b") if self.before is None else self.before.union(judged.select("a", "b"))
@@ -275,7 +277,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     upper = components(more)
     above = upper.select(F.col("id").alias("of"), F.col("root").alias("above"))
     ids = roots.union(above.select("of", "of")).dropDuplicates(["id"])
-    out = keep(ids.join(above, ids.root == above.of, "left").select("id", F.coalesce("above", "root").alias("root")), "prefix-roots")
+    out = keep(ids.join(above, ids.root == above.of, "left").select("id", F.coalesce("above", "root").alias("root")), "prefix-roots", roots.count() + upper.count())
     drop(upper)
     return out
 
@@ -319,9 +321,10 @@ def _pairs_of(most: int | None):
 
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """lists, with the root of each set, as far as their sets aren't all connected."""
-    placed = keep(lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-placed")
+    many = lists.count()
+    placed = keep(lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-placed", many)
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).filter("low < high").select("token", "many")
-    out = keep(placed.join(apart, "token"), "prefix-apart")
+    out = keep(placed.join(apart, "token"), "prefix-apart", many)
     drop(placed)
     return out
 
@@ -346,7 +349,7 @@ def _roots(described: DataFrame, texts: DataFrame, near: DataFrame | None) -> Da
         roots = _merged(roots, judge.links(near))
         lists = _apart(every, roots).drop("root", "many")
     weight = lists.join(lists.groupBy("token").agg(F.count("*").alias("many")), "token").groupBy("id").agg(F.sum("many").alias("weight"))
-    weighed = keep(lists.join(weight, "id"), "prefix-weighed")
+    weighed = keep(lists.join(weight, "id"), "prefix-weighed", lists.count())
     lead = weighed.groupBy("token").agg(F.max(F.struct("weight", "id", "n", "place")).alias("lead"))
     fits = F.expr(f"{LEAST + OF} * least(n - place, lead.n - lead.place) >= {LEAST} * (n + lead.n)")
     star = weighed.join(lead, "token").filter(F.col("id") != F.col("lead.id")).filter(fits).select(*_ordered(F.col("id"), F.col("lead.id"))).distinct()
@@ -371,9 +374,10 @@ def grouped(docs: DataFrame, near: Callable[[DataFrame], DataFrame] | None = Non
     tally = docs.sparkSession.sparkContext.broadcast(tallies(texts))
     described = keep(texts.mapInArrow(_described(tally), "doc_id long, tag long, id long, n long, prefix binary, ranks binary, bits binary"), "prefix-described")
     roots = _roots(described, texts, near(described.select("tag", "id", "n")) if near else None)
-    known = keep(described.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "prefix-known")
+    many = described.count()
+    known = keep(described.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "prefix-known", many)
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = keep(known.join(least, "root").select("id", "root", "component_id"), "prefix-components")
+    member = keep(known.join(least, "root").select("id", "root", "component_id"), "prefix-components", many)
     drop(known)
     drop(roots)
     return described.select("doc_id", "tag", "n", "id").join(member, "id").select("doc_id", "tag", "n", "root", "component_id")

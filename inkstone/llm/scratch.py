@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file, where their number is known.
+FILE_ROWS = 1 << 13
+
 _own: dict[str, str] = {}
 
 
@@ -37,9 +40,15 @@ def _path(spark: SparkSession, at: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write df under the shared folder and read it back with the same schema."""
+def keep(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
+    """Write df under the shared folder and read it back with the same schema.
+
+    most: a bound on its rows, if known. A small table then has a file for each FILE_ROWS of them (two for each core at least), not one for each
+    partition of the exchange before it: some stores start several processes for a file.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-most // FILE_ROWS)))
     at = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     store, path = _path(spark, at)

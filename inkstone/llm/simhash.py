@@ -184,13 +184,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, tag, bits, root (the group) and component_id of every row of docs (doc_id, text)."""
     rows = keep(tagged(docs).mapInArrow(_fingerprints, "doc_id long, tag long, bits long"), "simhash-rows")
     distinct = keep(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    links = keep(near_links(distinct, distinct.count()), "simhash-links")
+    many = distinct.count()
+    links = keep(near_links(distinct, many), "simhash-links")
     root = components(links)
-    known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots")
+    known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots", many)
     for x in (distinct, links, root):
         drop(x)
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "root", "component_id"), "simhash-members")
+    member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "root", "component_id"), "simhash-members", many)
     drop(known)
     return rows.join(member, rows.bits == member.of).select("doc_id", "tag", "bits", "root", "component_id")
 
@@ -207,10 +208,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different sets (tag, id, n of each row's set of shingles) whose fingerprints are in one group: each with that of the least id."""
-    of = sets.filter("n > 0").select("tag", "id").distinct()
-    known = keep(grouped(docs).select("tag", F.col("root").alias("group")).distinct().join(of, "tag").select("group", "id").distinct(), "simhash-sets")
+    of, many = sets.filter("n > 0").select("tag", "id").distinct(), sets.count()
+    known = keep(grouped(docs).select("tag", F.col("root").alias("group")).distinct().join(of, "tag").select("group", "id").distinct(), "simhash-sets", many)
     lead = known.groupBy("group").agg(F.min("id").alias("a"))
-    return keep(known.join(lead, "group").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "simhash-near")
+    return keep(known.join(lead, "group").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "simhash-near", many)
 
 
 def alike(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -453,6 +454,29 @@ def test_no_link_is_lost():
     assert groups(links) == groups([root[int(x)] for x in bits])
 
 
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """Exchanges of many partitions don't make as many files of small tables."""
+    module, files = sys.modules[components.__module__], []
+    real = module.keep
+
+    def noted(df, label, *more):
+        out = real(df, label, *more)
+        files.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(module, "keep", noted)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.range(300).selectExpr("id as a", "id + 1 as b")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(got) == 301 and {r.root for r in got} == {0}
+    assert max(n for label, n in files if label == "labels") <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (99, 98), (98, 100)], "a long, b long")
     assert {(r.id, r.root) for r in components(links).collect()} == {(i, 0) for i in range(61)} | {(98, 98), (99, 98), (100, 98)}
