@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +123,27 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         i = j
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a task's batches that releases memory at its end: Spark keeps Python workers for later tasks, and else each keeps all it has ever used."""
+
+    @functools.wraps(run)
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
 def each(column: pa.Array) -> Iterator[Texts]:
     """The documents one by one."""
     for texts in slices(column):

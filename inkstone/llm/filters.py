@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batch import mix
+from .batch import frugal, mix
 
 #: Bits for each key; bits at least and at most (32 MB), and those of a piece, as powers of two.
 KEY_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 22, 28, 19
@@ -24,6 +24,7 @@ def _slots(key: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _pieces(bits: int, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.zeros(1 << (bits - 3), np.uint8)
         for batch in made(batches) if made else batches:
@@ -36,6 +37,7 @@ def _pieces(bits: int, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+@frugal
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:

@@ -26,10 +26,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batch import LOWER, Texts, hash_of, mix, roll, slices
+from .batch import LOWER, Texts, frugal, hash_of, mix, roll, slices
 from .components import components
 from .filters import held, key_filter
-from .scratch import drop, keep
+from .scratch import drop, keep, narrow
 
 SHINGLE = 5
 #: Text bytes handled at a time.
@@ -84,6 +84,7 @@ def cell(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
+@frugal
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << CELLS, np.uint32)
     for batch in batches:
@@ -96,6 +97,7 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pack(pieces[i].tobytes()) for i in some.tolist()], pa.binary())], ["piece", "tally"])
 
 
+@frugal
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     unpack = zstandard.ZstdDecompressor().decompress
@@ -143,6 +145,7 @@ def _set_ids(every: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _described(tally):
     """Each row with its set and its size; the first row of a set in this task has the set's prefix, their ranks and its bitmap, too."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -171,6 +174,7 @@ def _group(prefix: Column, n: Column) -> Column:
 def _tokens(asked=None):
     """The shingles of prefixes, each with its rank and place; only what a filter may hold, if there is one."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(x.as_buffer()) // 8 for x in batch.column("prefix")], np.int64)
@@ -210,6 +214,7 @@ def _lists(described: DataFrame) -> DataFrame:
 def _sets(asked):
     """The sets of the texts whose tag may be asked for, once a task; a few others come along."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -223,6 +228,7 @@ def _sets(asked):
     return run
 
 
+@frugal
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
@@ -370,17 +376,18 @@ def grouped(docs: DataFrame, near: Callable[[DataFrame], DataFrame] | None = Non
 
     near gives, of the rows' tag, id (of its set) and n, pairs (a, b) of sets by another method; they are compared first, and what they connect needs no further comparison.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    tally = docs.sparkSession.sparkContext.broadcast(tallies(texts))
-    described = keep(texts.mapInArrow(_described(tally), "doc_id long, tag long, id long, n long, prefix binary, ranks binary, bits binary"), "prefix-described")
-    roots = _roots(described, texts, near(described.select("tag", "id", "n")) if near else None)
-    many = described.count()
-    known = keep(described.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "prefix-known", many)
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = keep(known.join(least, "root").select("id", "root", "component_id"), "prefix-components", many)
-    drop(known)
-    drop(roots)
-    return described.select("doc_id", "tag", "n", "id").join(member, "id").select("doc_id", "tag", "n", "root", "component_id")
+    with narrow(docs.sparkSession):
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+        tally = docs.sparkSession.sparkContext.broadcast(tallies(texts))
+        described = keep(texts.mapInArrow(_described(tally), "doc_id long, tag long, id long, n long, prefix binary, ranks binary, bits binary"), "prefix-described")
+        roots = _roots(described, texts, near(described.select("tag", "id", "n")) if near else None)
+        many = described.count()
+        known = keep(described.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "prefix-known", many)
+        least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+        member = keep(known.join(least, "root").select("id", "root", "component_id"), "prefix-components", many)
+        drop(known)
+        drop(roots)
+        return described.select("doc_id", "tag", "n", "id").join(member, "id").select("doc_id", "tag", "n", "root", "component_id")
 
 
 def linked(docs: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ exchanges, whose skewed partitions the engine can split. Tables are removed by d
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a file, where their number is known.
 FILE_ROWS = 1 << 13
+#: Bytes of a batch for Python, within narrow().
+NARROW, _NARROW_KEY = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own: dict[str, str] = {}
 
@@ -58,6 +62,23 @@ def keep(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def narrow(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send Python functions batches of NARROW bytes (or one longer row), not of 10000 rows whatever their size.
+
+    All rows still go there; of each batch there are copies in the executor and in its worker. For functions that give the same for any batches.
+    """
+    before = spark.conf.get(_NARROW_KEY, None)
+    spark.conf.set(_NARROW_KEY, str(NARROW))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_NARROW_KEY)
+        else:
+            spark.conf.set(_NARROW_KEY, before)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """df itself if its rows come in one order whenever a task is repeated (it exchanges nothing), else df written and read back."""
     return keep(df, label) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefixes
-from .batch import LOWER, slices
+from .batch import LOWER, frugal, release, slices
 from .components import components
-from .scratch import drop, keep
+from .scratch import drop, keep, narrow
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -64,6 +64,7 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@frugal
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, tag and the 64 fingerprint bits (as a signed long) of every row; null text: 0."""
     for batch in batches:
@@ -86,6 +87,7 @@ def variants(bits: np.ndarray) -> np.ndarray:
 
 
 def _index(buckets: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.asarray(batch.column("bits")).view(np.uint64)
@@ -165,6 +167,7 @@ def _verify(group: pa.Table) -> pa.Table:
     keys = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("keys")])
     bits = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("bits")])
     a, b = matches(keys, bits)
+    release()
     return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
@@ -182,18 +185,19 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, tag, bits, root (the group) and component_id of every row of docs (doc_id, text)."""
-    rows = keep(tagged(docs).mapInArrow(_fingerprints, "doc_id long, tag long, bits long"), "simhash-rows")
-    distinct = keep(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    many = distinct.count()
-    links = keep(near_links(distinct, many), "simhash-links")
-    root = components(links)
-    known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots", many)
-    for x in (distinct, links, root):
-        drop(x)
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "root", "component_id"), "simhash-members", many)
-    drop(known)
-    return rows.join(member, rows.bits == member.of).select("doc_id", "tag", "bits", "root", "component_id")
+    with narrow(docs.sparkSession):
+        rows = keep(tagged(docs).mapInArrow(_fingerprints, "doc_id long, tag long, bits long"), "simhash-rows")
+        distinct = keep(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        many = distinct.count()
+        links = keep(near_links(distinct, many), "simhash-links")
+        root = components(links)
+        known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots", many)
+        for x in (distinct, links, root):
+            drop(x)
+        least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+        member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "root", "component_id"), "simhash-members", many)
+        drop(known)
+        return rows.join(member, rows.bits == member.of).select("doc_id", "tag", "bits", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batch import LOWER, SPACE, Texts, each, hash_of, mix, slices  # noqa: F401
+from .batch import LOWER, SPACE, Texts, each, frugal, hash_of, mix, slices  # noqa: F401
 from .packing import ROWS, pack, rows, unpack
 from .scratch import drop, keep
 
@@ -272,6 +272,7 @@ _CHUNKS = "kind int, many int, hits int, langs array<string>, blob binary"
 _LEARN, _STOP, _CALIBRATE = range(3)
 
 
+@frugal
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (in order; of those with one id the first), up to BATCH of one kind together, as their different words and their order."""
     last = None
@@ -296,6 +297,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, (*[pa.int32()] * 3, pa.list_(pa.string()), pa.binary()), strict=True)], ["kind", "many", "hits", "langs", "blob"])
 
 
+@frugal
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents each bucket occurs."""
     seen = np.zeros(_NONE + 1, np.int64)
@@ -328,6 +330,7 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
 def _changes(shared, known, turn: int, passes: int):
     """What each block of chunks changes, weighted by its steps, and the loss of the parameters on chunks that nothing learns from."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, ids = shared.value, known.value
         model = built(p, ids)
@@ -364,6 +367,7 @@ def _changes(shared, known, turn: int, passes: int):
     return run
 
 
+@frugal
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of a part as one."""
     total: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -424,6 +428,7 @@ def train(chunks: DataFrame, many: int, hits: int) -> Model:
 def _cells(shared):
     """The scores of calibration, as cells of a grid, with their languages and labels, counted."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, langs in zip(batch.column("blob"), batch.column("langs").to_pylist(), strict=True):
@@ -478,6 +483,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in the slices in which it is scored."""
+    for texts in slices(batch.column("text"), SLICE):
+        yield batch.slice(texts.first, len(texts))
+
+
 def _scorer(docs: DataFrame, model: Model | None):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -505,6 +516,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scores, limits = _scorer(docs, fit(docs, labels))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, t = scores(batch), limits(batch)
@@ -524,8 +536,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scores, limits = _scorer(docs, fit(docs, labels))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch) < limits(batch)))
+            for part in _pieces(batch):
+                yield part.filter(pa.array(scores(part) < limits(part)))
 
     return docs.mapInArrow(run, docs.schema)
