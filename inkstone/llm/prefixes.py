@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .batch import LOWER, Texts, frugal, hash_of, mix, roll, slices
 from .components import components
 from .filters import held, key_filter
-from .scratch import drop, keep, narrow
+from .scratch import counted, drop, keep, narrow, rows, sweep
 
 SHINGLE = 5
 #: Text bytes handled at a time.
@@ -198,14 +198,14 @@ def _lists(described: DataFrame) -> DataFrame:
     """token, place, id, n, group of the shingles that stand in the prefixes of several sets; of lists with the same sets only that which is first in the order."""
     sets = described.filter("prefix is not null").select("id", "n", "prefix", "ranks", _group(F.col("prefix"), F.col("n")).alias("group"))
     met = sets.mapInArrow(_tokens(), _TOKENS).groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
-    shared = keep(met, "prefix-shared")
-    asked = described.sparkSession.sparkContext.broadcast(key_filter(shared, "token"))
-    every = keep(sets.mapInArrow(_tokens(asked), _TOKENS).join(shared, "token", "left_semi").distinct(), "prefix-tokens")
-    many = every.count()
+    shared = keep(counted(met), "prefix-shared")
+    asked = described.sparkSession.sparkContext.broadcast(key_filter(shared, "token", rows(shared)))
+    every = keep(counted(sets.mapInArrow(_tokens(asked), _TOKENS).join(shared, "token", "left_semi").distinct()), "prefix-tokens")
+    asked.destroy()
     members = every.groupBy("token", "rank").agg(F.count("*").alias("many"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mixed"))
     unsigned = F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("unsigned")  # prefixes are in order of unsigned numbers
     kept = members.groupBy("many", "total", "mixed").agg(F.min(F.struct("rank", unsigned, "token")).alias("first")).select(F.col("first.token").alias("token"))
-    out = keep(every.join(kept, "token", "left_semi").drop("rank"), "prefix-lists", many)
+    out = keep(counted(every.join(kept, "token", "left_semi").drop("rank")), "prefix-lists", rows(every))
     drop(shared)
     drop(every)
     return out
@@ -248,43 +248,50 @@ class _Judge:
     """Decides on pairs of sets; each pair is compared once."""
 
     def __init__(self, described: DataFrame, texts: DataFrame):
-        self.described, self.texts, self.rows = described, texts, described.count()
+        self.described, self.texts, self.rows = described, texts, rows(described)
         self.traits = keep(described.filter("prefix is not null").select("id", "n", "bits").dropDuplicates(["id"]), "prefix-traits", self.rows)
         self.before: DataFrame | None = None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that are linked; pairs compared before are left out."""
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """Those of pairs (a, b) that are linked, or None if none are; pairs compared before are left out."""
         if self.before is not None:
             pairs = pairs.join(self.before, ["a", "b"], "left_anti")
         one = self.traits.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
         other = self.traits.select(F.col("id").alias("b"), F.col("bits").alias("y"), "n")
-        pairs = keep(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_plausible, "a long, b long"), "prefix-pairs")
-        many = pairs.count()
+        pairs = keep(counted(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_plausible, "a long, b long")), "prefix-pairs")
+        many = rows(pairs)
+        if not many:
+            drop(pairs)
+            return None
         asked = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "prefix-asked", 2 * many)
-        tags = keep(self.described.filter("prefix is not null").join(asked, "id", "left_semi").select("tag").distinct(), "prefix-tags", self.rows)
-        wanted = self.texts.sparkSession.sparkContext.broadcast(key_filter(tags, "tag"))
+        tags = keep(counted(self.described.filter("prefix is not null").join(asked, "id", "left_semi").select("tag").distinct()), "prefix-tags", self.rows)
+        wanted = self.texts.sparkSession.sparkContext.broadcast(key_filter(tags, "tag", rows(tags)))
         sets = keep(self.texts.select("tag", "text").mapInArrow(_sets(wanted), "id long, hashes array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"]), "prefix-sets", 2 * many)
+        wanted.destroy()
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-        judged = keep(both.select("a", "b", _linked("x", "y").alias("near")), "prefix-judged", many)
+        judged = keep(counted(both.select("a", "b", _linked("x", "y").alias("near")), F.col("near")), "prefix-judged", many)
         for x in (pairs, asked, tags, sets):
             drop(x)
         self.before = judged.select("a", "b") if self.before is None else self.before.union(judged.select("a", "b"))
-        return judged.filter("near").select("a", "b")
+        return judged.filter("near").select("a", "b") if rows(judged) else None
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (id, root) with the groups of links (a, b) put together; ids that roots doesn't have are roots of their own so far."""
+def _merged(roots: DataFrame, links: DataFrame | None, most: int) -> DataFrame:
+    """roots (id, root; most ids at most) with the groups of links (a, b) put together; ids that roots doesn't have are roots of their own so far."""
+    if links is None:
+        return roots
     of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
     more = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b")
     upper = components(more)
     above = upper.select(F.col("id").alias("of"), F.col("root").alias("above"))
     ids = roots.union(above.select("of", "of")).dropDuplicates(["id"])
-    out = keep(ids.join(above, ids.root == above.of, "left").select("id", F.coalesce("above", "root").alias("root")), "prefix-roots", roots.count() + upper.count())
+    out = keep(ids.join(above, ids.root == above.of, "left").select("id", F.coalesce("above", "root").alias("root")), "prefix-roots", most)
     drop(upper)
+    sweep(roots.sparkSession)
     return out
 
 
@@ -327,10 +334,10 @@ def _pairs_of(most: int | None):
 
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """lists, with the root of each set, as far as their sets aren't all connected."""
-    many = lists.count()
+    many = rows(lists)
     placed = keep(lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "prefix-placed", many)
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).filter("low < high").select("token", "many")
-    out = keep(placed.join(apart, "token"), "prefix-apart", many)
+    out = keep(counted(placed.join(apart, "token")), "prefix-apart", many)
     drop(placed)
     return out
 
@@ -348,24 +355,29 @@ def _within(lists: DataFrame, traits: DataFrame, most: int | None) -> DataFrame:
 def _roots(described: DataFrame, texts: DataFrame, near: DataFrame | None) -> DataFrame:
     """id, root of every set that is linked to another one; pairs (a, b) of near are compared first."""
     every = lists = _lists(described)
-    judge = _Judge(described, texts)
+    judge, many = _Judge(described, texts), rows(every)
     roots = described.sparkSession.createDataFrame([], "id long, root long")
     if near is not None:
         # what these links connect needs no list
-        roots = _merged(roots, judge.links(near))
-        lists = _apart(every, roots).drop("root", "many")
+        roots = _merged(roots, judge.links(near), judge.rows)
+        apart = _apart(every, roots)
+        lists, many = apart.drop("root", "many"), rows(apart)
     weight = lists.join(lists.groupBy("token").agg(F.count("*").alias("many")), "token").groupBy("id").agg(F.sum("many").alias("weight"))
-    weighed = keep(lists.join(weight, "id"), "prefix-weighed", lists.count())
+    weighed = keep(lists.join(weight, "id"), "prefix-weighed", many)
     lead = weighed.groupBy("token").agg(F.max(F.struct("weight", "id", "n", "place")).alias("lead"))
     fits = F.expr(f"{LEAST + OF} * least(n - place, lead.n - lead.place) >= {LEAST} * (n + lead.n)")
     star = weighed.join(lead, "token").filter(F.col("id") != F.col("lead.id")).filter(fits).select(*_ordered(F.col("id"), F.col("lead.id"))).distinct()
-    roots = _merged(roots, judge.links(star))
+    roots = _merged(roots, judge.links(star), judge.rows)
     drop(weighed)
     for most in (FIRST, None):
         apart = _apart(every, roots)
-        links = judge.links(keep(_within(apart, judge.traits, most), "prefix-within"))
-        roots = _merged(roots, links)
-        drop(apart)
+        if not rows(apart):
+            drop(apart)
+            break
+        within = keep(_within(apart, judge.traits, most), "prefix-within")
+        roots = _merged(roots, judge.links(within), judge.rows)
+        for x in (apart, within):
+            drop(x)
     drop(every)
     drop(judge.traits)
     return roots
@@ -379,9 +391,10 @@ def grouped(docs: DataFrame, near: Callable[[DataFrame], DataFrame] | None = Non
     with narrow(docs.sparkSession):
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
         tally = docs.sparkSession.sparkContext.broadcast(tallies(texts))
-        described = keep(texts.mapInArrow(_described(tally), "doc_id long, tag long, id long, n long, prefix binary, ranks binary, bits binary"), "prefix-described")
+        described = keep(counted(texts.mapInArrow(_described(tally), "doc_id long, tag long, id long, n long, prefix binary, ranks binary, bits binary")), "prefix-described")
+        tally.destroy()
         roots = _roots(described, texts, near(described.select("tag", "id", "n")) if near else None)
-        many = described.count()
+        many = rows(described)
         known = keep(described.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "prefix-known", many)
         least = known.groupBy("root").agg(F.min("least").alias("component_id"))
         member = keep(known.join(least, "root").select("id", "root", "component_id"), "prefix-components", many)

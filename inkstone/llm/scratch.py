@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a file, where their number is known.
 FILE_ROWS = 1 << 13
@@ -50,7 +52,7 @@ def keep(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
     most: a bound on its rows, if known. A small table then has a file for each FILE_ROWS of them (two for each core at least), not one for each
     partition of the exchange before it: some stores start several processes for a file.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, getattr(df, "_inkstone_seen", None)
     if most is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-most // FILE_ROWS)))
     at = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
@@ -58,10 +60,32 @@ def keep(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
     store, path = _path(spark, at)
     store.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)
-    out._inkstone_path = at
+    out._inkstone_path, out._inkstone_seen = at, seen
     return out
 
 
+def counted(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """df, for keep(): its rows, or those where a condition holds, are counted as they are written. rows() gives their number without another job."""
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("rows"))
+    out._inkstone_seen = seen
+    return out
+
+
+def rows(df: DataFrame) -> int:
+    """What was counted while df, counted(), was kept."""
+    return df._inkstone_seen.get["rows"]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage after many small jobs.
+
+    Their plans go, with what they broadcast and the shuffle files that wait for it, and its heap, which grows while jobs are planned, shrinks to what is in use.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def narrow(spark: SparkSession) -> Iterator[None]:
     """Jobs that run inside send Python functions batches of NARROW bytes (or one longer row), not of 10000 rows whatever their size.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import prefixes
 from .batch import LOWER, frugal, release, slices
 from .components import components
-from .scratch import drop, keep, narrow
+from .scratch import counted, drop, keep, narrow, rows, sweep
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
@@ -186,9 +186,9 @@ def tagged(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, tag, bits, root (the group) and component_id of every row of docs (doc_id, text)."""
     with narrow(docs.sparkSession):
-        rows = keep(tagged(docs).mapInArrow(_fingerprints, "doc_id long, tag long, bits long"), "simhash-rows")
-        distinct = keep(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-        many = distinct.count()
+        prints = keep(tagged(docs).mapInArrow(_fingerprints, "doc_id long, tag long, bits long"), "simhash-rows")
+        distinct = keep(counted(prints.groupBy("bits").agg(F.min("doc_id").alias("least"))), "simhash-distinct")
+        many = rows(distinct)
         links = keep(near_links(distinct, many), "simhash-links")
         root = components(links)
         known = keep(distinct.join(root, distinct.bits == root.id, "left").select("bits", "least", F.coalesce("root", "bits").alias("root")), "simhash-roots", many)
@@ -197,7 +197,8 @@ def grouped(docs: DataFrame) -> DataFrame:
         least = known.groupBy("root").agg(F.min("least").alias("component_id"))
         member = keep(known.join(least, "root").select(F.col("bits").alias("of"), "root", "component_id"), "simhash-members", many)
         drop(known)
-        return rows.join(member, rows.bits == member.of).select("doc_id", "tag", "bits", "root", "component_id")
+        sweep(docs.sparkSession)
+        return prints.join(member, prints.bits == member.of).select("doc_id", "tag", "bits", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
-"""What Python workers are given at a time, and what they keep between tasks."""
+"""What Python workers are given at a time, and what they and the driver keep."""
 
+import os
 import re
 import uuid
 from pathlib import Path
@@ -8,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from inkstone.llm import prefixes, simhash
+from inkstone.llm.components import components
 from inkstone.llm.batch import frugal
 from inkstone.llm.scratch import NARROW
 
@@ -70,3 +72,45 @@ def test_memory_goes_back_at_the_end_of_a_task():
     assert own_mb() < start + 50
     for function in (prefixes._tallies, simhash._fingerprints):
         assert function.__wrapped__  # the operators' own functions are such
+
+
+def executions(spark) -> int:
+    """The number of the last query that Spark has run."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+
+def test_near_duplicates_leave_the_driver_little(spark, monkeypatch):
+    """The driver plans few queries (each leaves it garbage, threads and plans), none of which only count what was just written, and no broadcast stays with it."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{k:04d}" for k in range(3000)])
+    texts = []
+    for k in range(40):
+        text = rng.choice(words, 200)
+        texts.append(" ".join(text))
+        for changed in (1, 3, 5):
+            text[rng.choice(200, changed, replace=False)] = f"x{k}"
+            texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared, real = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: shared.append(real(value)) or shared[-1])
+    spark.range(1).collect()
+    before = executions(spark)
+    kept = simhash.deduplicated(docs, simhash.alike).collect()
+    assert 40 <= len(kept) < len(texts)
+    assert executions(spark) - before <= 75
+    assert len(shared) > 2 and not [b for b in shared if os.path.exists(b._path)]
+
+
+def test_a_round_of_components_is_one_query(spark):
+    """A star of 200 links: the links, their first labels and one round that moves some, one that moves none; no query only counts."""
+    links = spark.range(1, 201).selectExpr("id as a", "500L as b").union(spark.range(1).selectExpr("0L as a", "1L as b"))
+    links.count()
+    before = executions(spark)
+    roots = components(links)
+    assert executions(spark) - before <= 6
+    assert {(r.id, r.root) for r in roots.collect()} == {(i, 0) for i in [*range(201), 500]}
+
+
+def test_components_without_links(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
