@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batch import LOWER, SPACE, Texts, hash_of, mix, slices
+from .batch import LOWER, SPACE, Texts, frugal, hash_of, mix, release, slices
 from .filters import held, key_filter
-from .scratch import keep
+from .scratch import counted, keep, narrow, rows
 
 #: Word offsets that each mask looks at.
 MASKS = ((0, 1, 2, 4), (0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4))
@@ -140,9 +140,9 @@ def _spare(group: pa.Table) -> pa.Table:
 def item_seeds(items: DataFrame) -> DataFrame:
     """The seeds (seed, item, place, span, words) of items (item, text) that documents are searched for."""
     every = items.mapInArrow(_item_seeds, _SEED)
-    counted = every.join(every.groupBy("seed").agg(F.count("*").alias("n")), "seed")  # a seed of many items is split like any skewed key
+    known = every.join(every.groupBy("seed").agg(F.count("*").alias("n")), "seed")  # a seed of many items is split like any skewed key
     part = F.pmod(F.xxhash64("item"), F.lit(PARTS)).alias("part")
-    return keep(counted.select(part, "*").groupBy("part").applyInArrow(_spare, _SEED), "seeds")
+    return keep(known.select(part, "*").groupBy("part").applyInArrow(_spare, _SEED), "seeds")
 
 
 # Documents.
@@ -165,6 +165,7 @@ def _blobs(rows: np.ndarray) -> pa.Array:
 def _hits(shared, masks: tuple[tuple[int, ...], ...]):
     """Hits of the filter with the words around them, and for each row that has any a row without a seed."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _HIT.split(", ")]
         for batch in batches:
@@ -232,6 +233,8 @@ def _verify(hits: pa.Table, entries: pa.Table) -> pa.Table:
         h, e, n = h[ok], e[ok], n[ok]
         part = pa.table({"doc_id": hits.column("doc_id").take(pa.array(h)), "tag": hits.column("tag").take(pa.array(h)), "item": entries.column("item").take(pa.array(e)), "item_id": entries.column("item_id").take(pa.array(e)), "first_word": at[h] - _SIDE + start[ok], "equal_words": equal[ok], "window_words": n})
         out.append(part.cast(kinds).group_by(["doc_id", "tag", "item", "item_id", "window_words", "equal_words"]).aggregate([("first_word", "min")]).rename_columns(["doc_id", "tag", "item", "item_id", "window_words", "equal_words", "first_word"]).select(kinds.names))
+    del hits, entries, around, whole
+    release()
     return pa.concat_tables(out).cast(kinds) if out else kinds.empty_table()
 
 
@@ -246,10 +249,12 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
     many, short = wanted.agg(F.count("*"), F.collect_set(F.when(F.col("words") < 4, F.col("words")))).first()  # three numbers at most
     masks = MASKS + tuple(SHORT_MASKS[n - 1] for n in sorted(short))
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "seed", many))
-    hits = keep(_tagged(docs).mapInArrow(_hits(shared, masks), _HIT), "seeds-hits")
+    with narrow(docs.sparkSession):
+        hits = keep(counted(_tagged(docs).mapInArrow(_hits(shared, masks), _HIT)), "seeds-hits")
+    shared.destroy()
     real = hits.filter("seed is not null")
     counts = real.groupBy("seed").agg(F.count("*").alias("hits"))
-    buckets = max(8, -(-hits.count() // BUCKET))
+    buckets = max(8, -(-rows(hits) // BUCKET))
     # of the seeds with hits at most one in a bucket has more than one salt
     salts = counts.filter(F.col("hits") > BUCKET).select("seed", F.ceil(F.col("hits") / BUCKET).cast("int").alias("salts"))
     bucket = F.pmod(F.xxhash64("seed", "salt"), F.lit(buckets)).alias("bucket")
@@ -262,8 +267,8 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
     best = F.max(F.struct("equal_words", (-F.col("first_word")).alias("before"))).alias("best")
     found = pairs.groupBy("doc_id", "tag", "item", "item_id", "window_words").agg(best)
     found = found.select("doc_id", "tag", "item_id", (-F.col("best.before")).alias("first_word"), F.col("best.equal_words").alias("equal_words"), "window_words")
-    rows = hits.filter("seed is null").groupBy(F.col("doc_id").alias("row_id"), F.col("tag").alias("row_tag")).agg(F.count("*").alias("n"))
-    return found, rows
+    holders = hits.filter("seed is null").groupBy(F.col("doc_id").alias("row_id"), F.col("tag").alias("row_tag")).agg(F.count("*").alias("n"))
+    return found, holders
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -274,8 +279,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     exactly; items without words or with a null text match nothing; repeated rows of docs are reported each, repeated
     items once; a null doc_id or item_id is reported as such; no rows give no rows; other columns are ignored. Texts of any length are searched whole.
     """
-    found, rows = _found(docs, benchmark)
-    each = found.join(rows, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("tag") == F.col("row_tag"))).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    found, holders = _found(docs, benchmark)
+    each = found.join(holders, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("tag") == F.col("row_tag"))).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return each.select("doc_id", "item_id", "first_word", "equal_words", "window_words", (F.col("equal_words") / F.col("window_words")).alias("similarity"))
 
 

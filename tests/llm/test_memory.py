@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-from inkstone.llm import prefixes, simhash
+from inkstone.llm import prefixes, simhash, spaced
 from inkstone.llm.components import components
 from inkstone.llm.batch import frugal
 from inkstone.llm.scratch import NARROW
@@ -114,3 +114,20 @@ def test_a_round_of_components_is_one_query(spark):
 
 def test_components_without_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_items_are_sought_in_narrow_batches(spark, tmp_path, monkeypatch):
+    """4000 texts of 4000 bytes in one partition, 16 MB, 40 of which hold an item."""
+    hits = spaced._hits
+    monkeypatch.setattr(spaced, "_hits", lambda *a: noted(hits(*a), str(tmp_path)))
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k:06d}" for k in range(100_000)])
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(4000)]
+    item = texts[7].split()[100:130]
+    for i in range(0, 4000, 100):
+        texts[i] += " " + " ".join(item)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    clean = spaced.decontaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in clean.select("doc_id").collect()) == [i for i in range(4000) if i % 100 and i != 7]
+    given = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert given and max(given) < 1.5 * NARROW
