@@ -6,15 +6,24 @@ would overflow the stack. (?d) keeps '.' and '$' from stopping at U+0085 or U+20
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters that SPACE stands for.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it; inside lambda functions Spark finds no common parts by itself."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def strip(c: Column) -> Column:
     """c without white space (also beyond ASCII) at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

@@ -75,6 +75,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df in a partition for each slot at least: a small file of short rows would keep one slot busy with all that is made of them."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, md_content, file_title, md_path."""
     body = f"array_join(transform(split(text, chr(10), -1), (x, i) -> {LINE.format(d='doc_id', n='i', x='x')}), chr(10))"
@@ -88,7 +94,8 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.expr(pipe(SPARK)).alias("raw"))
+    parts = _dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return parts.select("*", F.expr(pipe(SPARK)).alias("raw"))
 
 
 def html_tables(spark: SparkSession, d: str) -> DataFrame:

@@ -46,20 +46,32 @@ def html_tables(text: Column) -> Column:
 
 def pipe_cells(line: Column) -> Column:
     """Cells between the unescaped pipes of a line; null if it doesn't begin and end with one."""
-    s = T.strip(line)
-    inner = F.substring(s, F.lit(2), F.length(s) - 2)
-    cells = F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: T.strip(F.replace(c, F.lit("\\|"), F.lit("|"))))
-    return F.when(s.startswith("|") & s.endswith("|") & (F.length(s) > 1), cells)
+
+    def cells(s: Column) -> Column:
+        inner = F.substring(s, F.lit(2), F.length(s) - 2)
+        found = F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: T.strip(F.replace(c, F.lit("\\|"), F.lit("|"))))
+        return F.when(s.startswith("|") & s.endswith("|") & (F.length(s) > 1), found)
+
+    return T.once(T.strip(line), cells)
 
 
 def pipe_grid(raw: Column) -> Column:
     """struct<grid, header> of a pipe table: ragged rows filled with '', the separator line taken out; null if a line is none."""
-    rows = F.transform(F.filter(F.split(raw, "\n", -1), lambda x: T.strip(x) != ""), pipe_cells)
-    width = F.array_max(F.transform(rows, F.size))
-    full = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    ruled = (F.size(full) > 1) & F.forall(F.coalesce(F.get(full, F.lit(1)), F.array(F.lit(""))), lambda c: c.rlike(SEPARATOR))
-    grid = F.when(ruled, F.concat(F.slice(full, 1, 1), F.slice(full, F.lit(3), F.greatest(F.size(full) - 2, F.lit(0))))).otherwise(full)
-    return F.when(~F.exists(rows, lambda r: r.isNull()), F.struct(grid.alias("grid"), ruled.alias("header")))
+
+    def filled(rows: Column) -> Column:
+        full = lambda width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        return F.when(~F.exists(rows, lambda r: r.isNull()), T.once(F.array_max(F.transform(rows, F.size)), full))
+
+    def parted(full: Column) -> Column:
+        def told(ruled: Column) -> Column:
+            rest = F.slice(full, F.lit(3), F.greatest(F.size(full) - 2, F.lit(0)))
+            grid = F.when(ruled, F.concat(F.slice(full, 1, 1), rest)).otherwise(full)
+            return F.when(full.isNotNull(), F.struct(grid.alias("grid"), ruled.alias("header")))
+
+        return T.once(F.coalesce(F.forall(F.get(full, F.lit(1)), lambda c: c.rlike(SEPARATOR)), F.lit(False)), told)
+
+    lines = F.filter(F.split(raw, "\n", -1), lambda x: T.strip(x) != "")
+    return T.once(T.once(F.transform(lines, pipe_cells), filled), parted)
 
 
 def table_type(grid: Column, header: Column) -> Column:

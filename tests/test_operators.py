@@ -1,6 +1,8 @@
 """The DataFrame operators against the plain splitter and on their own cases."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from inkstone.operators import validate as V
 from inkstone.plans import documents as D
 from inkstone.plans import splitter as S
 from inkstone.plans import tables as P
+from inkstone.queries import QUERIES
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, md_content string, file_title string, md_path string"
 PIECES = ["# A", "## B", "#### C ", "  ## D", "#x", "", "text。 two. three!", "```", "````", "~~~", "``` py", "![a](images/1.png)", "[l](u)", "| a | b |", "|---|---|", "| 1 | x\\|y |", "a b", "   ", "<table><tr><td>k</td><td>v</td></tr></table>"]
 
@@ -153,3 +157,31 @@ def test_failed_uploads_keep_the_reference(spark):
     docs = spark.createDataFrame([(1, "![a](x.png)", "t", "p.md")], DOCS)
     images = spark.createDataFrame([(1, "x.png", "s", "/local/x.png")], "doc_id long, image_name string, summary string, url string")
     assert I.rewritten(docs, images).first().md_content == "![a](x.png)"
+
+
+def test_every_white_space_is_stripped(spark):
+    texts = [chr(k) for k in range(1, 0x3100)] + ["᠎", "​", "﻿", "\U0001f600"]
+    rows = spark.createDataFrame([(f"{x}a{x} b{x}",) for x in texts], "v string").select("v", T.strip(F.col("v")).alias("s")).collect()
+    assert [r.s for r in rows] == [r.v.strip() for r in rows]
+
+
+def test_time_is_linear_in_one_pipe_table(spark):
+    """Each line is read once, however many there are, and not again for each line."""
+    raw = "| a | b |\n|---|---|\n" + "| 1 | 2 |\n" * 1500
+    began = time.monotonic()
+    (grid,) = spark.createDataFrame([(raw,)], "raw string").select(B.pipe_grid(F.col("raw")).alias("g")).collect()
+    assert len(grid.g.grid) == 1501 and grid.g.header
+    assert time.monotonic() - began < 15
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize(("name", "part", "most"), [("pipe_grid", r"(?<!\\)\|", 1)])
+def test_plans_read_a_table_once(spark, name, part, most):
+    """Lines are cut into cells at one place in the plan, and facts of each kind are made at one."""
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000000")
+    try:
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
+    assert 1 <= plan.count(part) <= most
