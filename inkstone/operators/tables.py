@@ -94,15 +94,19 @@ def _lines(xs: Column) -> Column:
 
 def header_sentences(grid: Column) -> Column:
     """A line per data row with heading:value for each value; headings alone if there are no data."""
-    heads = F.transform(grid[0], lambda h, i: F.coalesce(T.filled(h), F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("列"))))
 
-    def row(r: Column) -> Column:
+    def fact(xs: Column) -> Column:
+        return F.concat(F.lit("- 【"), F.array_join(xs, "，"), F.lit("】"))
+
+    def row(heads: Column, r: Column) -> Column:
         facts = F.filter(F.zip_with(heads, r, lambda h, v: F.concat(h, F.lit(":"), T.filled(v))), lambda x: x.isNotNull())
-        return F.when(F.size(facts) > 0, F.concat(F.lit("- 【"), F.array_join(facts, "，"), F.lit("】")))
+        return T.once(facts, lambda xs: F.when(F.size(xs) > 0, fact(xs)))
+
+    def told(heads: Column) -> Column:
+        alone = F.when(F.exists(grid[0], lambda h: T.strip(h) != ""), fact(heads)).otherwise("")
+        return T.once(_lines(F.transform(_data(grid), lambda r: row(heads, r))), lambda data: F.when(data != "", data).otherwise(alone))
 
-    data = _lines(F.transform(_data(grid), row))
-    alone = F.when(F.exists(grid[0], lambda h: T.strip(h) != ""), F.concat(F.lit("- 【"), F.array_join(heads, "，"), F.lit("】"))).otherwise("")
-    return F.when(data != "", data).otherwise(alone)
+    return T.once(F.transform(grid[0], lambda h, i: F.coalesce(T.filled(h), F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("列")))), told)
 
 
 def cross_sentences(grid: Column) -> Column:
@@ -122,12 +126,13 @@ def kv_sentences(grid: Column) -> Column:
 
 
 def sentences(grid: Column, kind: Column) -> Column:
-    return F.when(kind == "header_table", header_sentences(grid)).when(kind == "cross_table", cross_sentences(grid)).when(kind == "kv_table", kv_sentences(grid)).otherwise("")
+    text = lambda g: F.when(kind == "header_table", header_sentences(g)).when(kind == "cross_table", cross_sentences(g)).when(kind == "kv_table", kv_sentences(g)).otherwise("")
+    return T.once(grid, text)
 
 
 def replaced(raw: Column, text: Column) -> Column:
     """text between the marks of a rewritten table, or raw where there is no text."""
-    return F.coalesce(F.concat(F.lit(plain.OPEN + "\n"), F.nullif(text, F.lit("")), F.lit("\n" + plain.CLOSE)), raw)
+    return T.once(text, lambda t: F.when(t != "", F.concat(F.lit(plain.OPEN + "\n"), t, F.lit("\n" + plain.CLOSE))).otherwise(raw))
 
 
 _GRID = K.StructType([K.StructField("grid", K.ArrayType(K.ArrayType(K.StringType()))), K.StructField("header", K.BooleanType())])
