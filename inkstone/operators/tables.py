@@ -75,12 +75,14 @@ def pipe_grid(raw: Column) -> Column:
 
 
 def table_type(grid: Column, header: Column) -> Column:
-    first = F.get(grid, F.lit(0))
-    return (
-        F.when(grid.isNull() | (F.size(grid) == 0) | (F.size(first) == 0), "unknown")
-        .when((F.size(first) > 2) & (T.strip(first[0]) == ""), "cross_table")
-        .when((F.size(first) == 2) & ~header, "kv_table")
-        .otherwise("header_table")
+    return T.once(
+        F.get(grid, F.lit(0)),
+        lambda first: (
+            F.when(first.isNull() | (F.size(first) == 0), "unknown")
+            .when((F.size(first) > 2) & (T.strip(first[0]) == ""), "cross_table")
+            .when((F.size(first) == 2) & ~header, "kv_table")
+            .otherwise("header_table")
+        ),
     )
 
 

@@ -175,7 +175,7 @@ def test_time_is_linear_in_one_pipe_table(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize(("name", "part", "most"), [("pipe_grid", r"(?<!\\)\|", 1), ("table_fallback", "zip_with", 2)])
+@pytest.mark.parametrize(("name", "part", "most"), [("pipe_grid", r"(?<!\\)\|", 1), ("table_type", r"(?<!\\)\|", 1), ("table_fallback", "zip_with", 2)])
 def test_plans_read_a_table_once(spark, name, part, most):
     """Lines are cut into cells at one place in the plan, and facts of each kind are made at one."""
     before = spark.conf.get("spark.sql.maxPlanStringLength")
