@@ -37,15 +37,15 @@ _CHUNK = pa.schema(
     ]
 )
 _ERROR = "error_class string, error_message string"
-#: Documents whose chunks are sent back to the JVM together.
-_BATCH = 64
+#: Documents whose chunks are sent back to the JVM together, and the characters in them (with their titles) after which more go by themselves.
+_BATCH, _CHARACTERS = 64, 4_000_000
 
 
 @stage("split")
 def split(docs: DataFrame, config: SplitConfig | None = None, errors: bool = False) -> DataFrame:
     """The chunks of docs (doc_id, md_content, file_title, md_path), without any shuffle.
 
-    A null md_content has no chunks. A document that can't be split (a title that leaves no room for text, or any other failure) has none
+    A null md_content has no chunks. A document that can't be split (a title that leaves no room for text unless config keeps it, or any other failure) has none
     either; with errors it is a row with error_class and error_message instead (other rows: null), without them only the first kind is passed over.
     """
     config = config or SplitConfig()
@@ -54,11 +54,15 @@ def split(docs: DataFrame, config: SplitConfig | None = None, errors: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
-                out = []
+                out, held = [], 0
                 for doc in batch.slice(at, _BATCH).to_pylist():
                     with enveloped("split", errors, SplitError) as failure:
-                        found = splitter.chunks(doc["md_content"], doc["file_title"] or "", doc["md_path"], config) if doc["md_content"] is not None else []
-                        out += [{"doc_id": doc["doc_id"], **c} for c in found]
+                        for c in splitter.each_chunk(doc["md_content"], doc["file_title"] or "", doc["md_path"], config) if doc["md_content"] is not None else ():
+                            out.append({"doc_id": doc["doc_id"], **c})
+                            held += c["char_count"] + len(c["body"]) + 2 * sum(map(len, c["source_titles"])) + len(c["parent_title"])
+                            if held > _CHARACTERS:
+                                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                                out, held = [], 0
                     if failure and errors:
                         out.append({"doc_id": doc["doc_id"], "error_class": failure["error_class"], "error_message": failure["error_message"]})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
