@@ -26,7 +26,7 @@ def odd(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["chunks", "split_stats", "chunk_bounds", "chunk_conservation", "recursive_split"])
+@pytest.mark.parametrize("name", ["chunks", "split_stats", "chunk_bounds", "chunk_conservation", "recursive_split", "sql_recursive_split"])
 def test_odd_texts_match_sql(spark, odd, name):
     db = duckdb.connect()
     db.execute(f"create view documents as from '{odd}/documents.parquet'")
