@@ -23,13 +23,15 @@ class SplitConfig:
     """Chunk sizes in code points, and the sentences that a part repeats of the one before.
 
     A title that leaves no room for text is an error of its document; with keep_long_titles the document keeps all its sections, and the
-    text below such a title is cut as far as it can be, into its characters and its atomic blocks, each below the title.
+    text below such a title is cut as far as it can be, into its characters and its atomic blocks, each below the title. White space at the
+    ends of pieces goes: all that Unicode calls so, or the characters in spaces.
     """
 
     max_length: int = 2000
     min_length: int = 500
     overlap: int = 1
     keep_long_titles: bool = False
+    spaces: str | None = None
 
     def __post_init__(self) -> None:
         if not (_whole(self.max_length) and _whole(self.min_length) and self.max_length > self.min_length > 0):

@@ -51,3 +51,16 @@ def test_chunks_of_a_long_title_are_sent_in_parts(spark, monkeypatch):
     got = D.split(docs, SplitConfig(600, 150, 1, keep_long_titles=True)).collect()
     assert [(r.doc_id, r.chunk_index) for r in got] == [(1, n) for n in range(200)] + [(2, 0)]
     assert "".join(r.body for r in got[:200]) == "ab" * 100
+
+
+@pytest.mark.parametrize("name", ["chunk_conservation"])
+def test_digests_keep_what_sql_calls_no_white_space(spark, tmp_path, name):
+    """Blanks beyond ASCII within a line, at its ends, alone, and where texts are cut."""
+    texts = ["One\xa0two three four. Five", "One two.\xa0\nNext\xa0", " a b\x0bc\x0b d 　 ", "\xa0", "　", " \xa0 x", "words 　 and\xa0 more " * 60, "\x85" * 400, "x\x1c y\x1f " * 90, "a\tb\fc\n"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as from '{tmp_path}/documents.parquet'")
+    want = db.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got) == sorted(want.fetchall()) and len(got) == len(texts)
