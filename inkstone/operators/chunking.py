@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +29,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), T.strip), lambda s: s != "")
 
 
-@F.arrow_udf(K.ArrayType(K.StringType()))
-def recursive_split(text: pa.Array, size: pa.Array) -> pa.Array:
-    """Pieces of at most size characters, cut at the coarsest separator that occurs."""
-    pairs = zip(text.to_pylist(), size.to_pylist(), strict=True)
-    return pa.array([None if t is None else splitter.recursive_split(t, n) for t, n in pairs], pa.list_(pa.string()))
+def recursive_splitter(spaces: str | None = None) -> Callable[..., Column]:
+    """A function of text and size: pieces of at most size characters, cut at the coarsest separator that occurs. At their ends go these characters, or all white space."""
+
+    @F.arrow_udf(K.ArrayType(K.StringType()))
+    def recursive_split(text: pa.Array, size: pa.Array) -> pa.Array:
+        pairs = zip(text.to_pylist(), size.to_pylist(), strict=True)
+        return pa.array([None if t is None else splitter.recursive_split(t, n, spaces=spaces) for t, n in pairs], pa.list_(pa.string()))
+
+    return recursive_split
+
+
+recursive_split = recursive_splitter()
 
 
 @F.arrow_udf(K.ArrayType(K.StringType()))
