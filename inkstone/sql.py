@@ -70,16 +70,16 @@ class Blocks:
 
 
 class Pieces:
-    """The pieces of at most size characters that a text is cut into at the coarsest separator that occurs; none of a null one."""
+    """The pieces of at most size characters that a text is cut into at the coarsest separator that occurs; none of a null one. At their ends go the characters in spaces, if given, or all white space."""
 
     @staticmethod
-    def analyze(text: AnalyzeArgument, size: AnalyzeArgument) -> AnalyzeResult:
+    def analyze(text: AnalyzeArgument, size: AnalyzeArgument, spaces: AnalyzeArgument | None = None) -> AnalyzeResult:
         if size.isConstantExpression and isinstance(size.value, int) and size.value < 1:
             raise ConfigError("a piece must have room for a character", "sql")
-        return _checked("piece_no int, piece string", text=(text, _STRINGS), size=(size, _WHOLE))
+        return _checked("piece_no int, piece string", text=(text, _STRINGS), size=(size, _WHOLE), **({} if spaces is None else {"spaces": (spaces, _STRINGS)}))
 
-    def eval(self, text: str | None, size: int | None) -> Iterator[tuple]:
-        for n, piece in enumerate(splitter.recursive_split(text, size) if text is not None and size else ()):
+    def eval(self, text: str | None, size: int | None, spaces: str | None = None) -> Iterator[tuple]:
+        for n, piece in enumerate(splitter.recursive_split(text, size, spaces=spaces) if text is not None and size else ()):
             yield n, piece
 
 

@@ -53,7 +53,7 @@ def test_chunks_of_a_long_title_are_sent_in_parts(spark, monkeypatch):
     assert "".join(r.body for r in got[:200]) == "ab" * 100
 
 
-@pytest.mark.parametrize("name", ["chunk_conservation", "recursive_split"])
+@pytest.mark.parametrize("name", ["chunk_conservation", "recursive_split", "sql_recursive_split"])
 def test_digests_keep_what_sql_calls_no_white_space(spark, tmp_path, name):
     """Blanks beyond ASCII within a line, at its ends, alone, and where texts are cut."""
     texts = ["One\xa0two three four. Five", "One two.\xa0\nNext\xa0", " a b\x0bc\x0b d 　 ", "\xa0", "　", " \xa0 x", "words 　 and\xa0 more " * 60, "\x85" * 400, "x\x1c y\x1f " * 90, "a\tb\fc\n"]
